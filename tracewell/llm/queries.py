@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, quality, toxicity
+from . import bpe, langid, line_dedup, mixing, quality, simhash, toxicity, webp
 from .common import in_fold, table
 
 
@@ -30,6 +30,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.decode_media(webp.encode_media(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels, keep=~in_fold("doc_id", 5, 0))
@@ -37,11 +46,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"), "strength")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs, keep=~in_fold("doc_id", 5, 0))
     return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_line_dedup, op7_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op10_language)}
 ORACLES = {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
