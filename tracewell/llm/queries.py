@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, quality, simhash, toxicity, webp
+from . import bpe, langid, line_dedup, mixing, quality, simhash, substring, toxicity, webp
 from .common import in_fold, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels, keep=~in_fold("doc_id", 4, 2))
@@ -64,5 +68,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op10_language)}
 ORACLES = {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
