@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
@@ -64,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow(fn) with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -75,14 +75,11 @@ def _cuts(sized: DataFrame, sources: DataFrame, near) -> DataFrame:
     return state.select("source", (F.col("prefix") + F.when(closer, 1).otherwise(0)).alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """For each row of docs (doc_id, text, source): size, source_size, target, copies and taken.
+def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """sized (source, size, cell): a row for each source with source_size, target, whole (times it is taken whole) and cut.
 
-    copies is how often the mix takes the document, at most ceil(cap); taken is
-    size times copies. Empty and null texts have size 0. Rows of one doc_id
-    share a hash cell and are taken alike. An empty table gives no rows.
+    Hinted for broadcast where the sources were counted and are few.
     """
-    sized = park(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_cell(F.col("doc_id")).alias("cell")), "mix-sized")
     sources = source_targets(sized, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = park(sources.withColumn("copies", whole), "mix-sources")
@@ -92,22 +89,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         return F.broadcast(df) if few else df
 
     cuts = _cuts(sized, sources, near).withColumnRenamed("source", "c")
-    plan = sources.join(near(cuts), F.col("source").eqNullSafe(F.col("c")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", F.col("copies").alias("whole"), F.coalesce("cut", F.lit(0)).alias("cut")
-    )
-    out = sized.join(near(plan), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("whole") + F.when(F.col("cell") < F.col("cut"), 1).otherwise(0)
-    return out.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    plan = sources.join(near(cuts), F.col("source").eqNullSafe(F.col("c")), "left")
+    return near(plan.select(F.col("source").alias("mix_source"), "source_size", "target", F.col("copies").alias("whole"), F.coalesce("cut", F.lit(0)).alias("cut")))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; doc_id has to be unique here.
+def _sized(docs: DataFrame) -> DataFrame:
+    return park(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_cell(F.col("doc_id")).alias("cell")), "mix-sized")
+
+
+def _copies() -> Column:
+    return F.col("whole") + F.when(F.col("cell") < F.col("cut"), 1).otherwise(0)
+
 
-    A document of size 0 costs nothing and is kept once.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """For each row of docs (doc_id, text, source): size, source_size, target, copies and taken.
+
+    copies is how often the mix takes the document, at most ceil(cap); taken is
+    size times copies. Empty and null texts have size 0. Rows of one doc_id
+    share a hash cell and are taken alike. An empty table gives no rows.
     """
-    plan = mix(docs, weights, share, cap).select(F.col("doc_id").alias("mix_id"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("mix_copies"))
-    kept = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return kept.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*(docs[c] for c in docs.columns))
+    sized = _sized(docs)
+    out = sized.join(mix_plan(sized, weights, share, cap), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Texts without words cost nothing and are kept once."""
+    plan = mix_plan(_sized(docs), weights, share, cap)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("own"), hash_cell(F.col("doc_id")).alias("cell"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"))
+    dealt = packed.join(plan, F.col("own").eqNullSafe(F.col("mix_source")))
+    times = F.when(F.col("words"), _copies()).otherwise(1).cast("int")
+    return dealt.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

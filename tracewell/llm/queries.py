@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, quality, simhash, substring, toxicity, webp
+from . import bpe, hnsw, langid, line_dedup, mixing, quality, simhash, substring, toxicity, webp
 from .common import in_fold, table
 
 
@@ -62,11 +62,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs, keep=~in_fold("doc_id", 5, 0))
     return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op9_hnsw, op10_language)}
 ORACLES = {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}

@@ -140,3 +140,18 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(rows, score, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose whole text scores below the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        pair = m.compressors()
+        for batch in batches:
+            for i, j in text_slices(batch.column(at)):
+                clean = m.score(features(utf8(batch.column(at), i, j), *pair)) < threshold
+                yield batch.slice(i, j - i).filter(pa.array(clean))
+
+    return arrow_map(docs, keep, docs.schema)
