@@ -1,8 +1,6 @@
 """Registered queries with their SQL twins."""
 
-from collections.abc import Callable
+from tracewell.plans import building, lineage
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**lineage.QUERIES, **building.QUERIES}
+ORACLES = {**lineage.ORACLES, **building.ORACLES}
