@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import ids, sqltext
 from tracewell.operators import bridge, build, merge
+from tracewell.operators import catalog as operators_catalog
 from tracewell.plans.derive import _sql
 from tracewell.sources import catalog
 
@@ -184,3 +185,70 @@ coalesce((SELECT string_agg(COLUMN_NAME, ',' ORDER BY COLUMN_ORDINAL_POSITION) F
 def catalog_tables(spark, sf_dir):
     found = catalog.tables(_sql(spark, sf_dir, TABLES), _sql(spark, sf_dir, COLUMNS))
     return found.select("id", "owner", "object_id", F.array_join("columns.name", ",").alias("columns"))
+
+
+@query(f"""WITH b AS ({BASE}), n AS ({NEW}), bd AS ({BASE_DEPS}), nd AS ({NEW_DEPS}) SELECT (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM b)) AS added_objects, (SELECT count(*) FROM n WHERE id IN (SELECT id FROM b)) AS enriched_objects,
+(SELECT count(*) FROM nd WHERE target_id IS NOT NULL AND (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM bd)) AS added_dependencies""")
+def merge_counters(spark, sf_dir):
+    before = _sql(spark, sf_dir, BASE_DEPS)
+    merged = merge.append_new(before, _sql(spark, sf_dir, NEW_DEPS), merge.EDGE_KEY)
+    return merge.merge_counters(merge.enrich_objects(_sql(spark, sf_dir, BASE), _sql(spark, sf_dir, NEW)), before, merged)
+
+
+@query(f"WITH t AS ({TABLES}), c AS ({COLUMNS}), d AS ({BASE_DEPS}) SELECT (SELECT count(*) FROM t) AS object_count, (SELECT count(*) FROM c) AS column_count, (SELECT count(*) FROM d) AS dependency_count")
+def cache_counters(spark, sf_dir):
+    return operators_catalog.cache_counters(catalog.tables(_sql(spark, sf_dir, TABLES), _sql(spark, sf_dir, COLUMNS)), _sql(spark, sf_dir, BASE_DEPS))
+
+
+REFERENCES = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('`q.e.t', c_custkey, '`') WHEN 1 THEN concat('e.`t', c_custkey, '`') ELSE concat('t', c_custkey) END AS r FROM customer"
+
+
+@query(f"WITH r AS ({REFERENCES}) SELECT c_custkey, concat(CASE c_custkey % 3 WHEN 0 THEN 'bigquery:q.e.t' WHEN 1 THEN 'bigquery:p.e.t' ELSE 'bigquery:p.d.t' END, c_custkey) AS id FROM r")
+def reference_ids(spark, sf_dir):
+    return _sql(spark, sf_dir, REFERENCES).select("c_custkey", ids.reference_id(F.col("r"), F.lit("p"), F.lit("d")).alias("id"))
+
+
+MAPPINGS = "SELECT concat('p.d.TAB', o_orderkey) AS bq_full_name, concat('a', o_custkey) AS bq_col, concat('X', o_custkey) AS exa_col FROM orders WHERE o_orderkey % 2 = 0"
+
+
+@query(f"""{_SYNC}, m AS ({MAPPINGS}) SELECT src AS source_object_id, bq_col AS source_column, coalesce(stg, dm) AS target_object_id, exa_col AS target_column, NULL AS transformation, 'DIRECT' AS transformation_type
+FROM r JOIN m ON upper(m.bq_full_name) = replace(src, 'BIGQUERY.', '')""")
+def bridge_columns(spark, sf_dir):
+    return bridge.bridge_columns(_sql(spark, sf_dir, SYNC), _sql(spark, sf_dir, MAPPINGS))
+
+
+NAMED = """SELECT concat('N.', n_nationkey) AS id, 'TABLE' AS type, CAST(NULL AS VARCHAR(99)) AS definition, concat('KEY', n_nationkey) AS column_name FROM nation
+UNION ALL SELECT concat('C.', c_custkey), 'VIEW', concat('select key', c_nationkey, ' from x'), concat('Key', c_custkey) FROM customer"""
+
+
+@query(f"""WITH o AS ({NAMED}), d AS ({BASE_DEPS}) SELECT s.id AS source_object_id, s.column_name AS source_column, t.id AS target_object_id, t.column_name AS target_column, NULL AS transformation, 'UNKNOWN' AS transformation_type
+FROM d JOIN o s ON s.id = d.source_id JOIN o t ON t.id = d.target_id AND t.type = 'VIEW' WHERE upper(s.column_name) = upper(t.column_name) OR contains(upper(t.definition), upper(s.column_name))""")
+def columns_by_name(spark, sf_dir):
+    objects = _sql(spark, sf_dir, NAMED).withColumn("columns", F.array(F.struct(F.col("column_name").alias("name"))))
+    return build.columns_by_name(_sql(spark, sf_dir, BASE_DEPS), objects)
+
+
+WAREHOUSE = "SELECT 'p' AS project_id, 'd' AS dataset_id, c_name AS table_name, CASE WHEN c_custkey % 4 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS creation_time FROM customer"
+WAREHOUSE_COLUMNS = "SELECT 'p' AS project_id, 'd' AS dataset_id, c_name AS table_name, concat('f', o_orderkey) AS column_name, o_orderkey AS ordinal_position, CASE WHEN o_orderkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS is_nullable, 'INT64' AS data_type FROM (SELECT * FROM orders) JOIN (SELECT * FROM customer) ON o_custkey = c_custkey"
+
+
+@query(f"""WITH t AS ({WAREHOUSE}), c AS ({WAREHOUSE_COLUMNS}) SELECT concat('bigquery:p.d.', table_name) AS id, 'p.d' AS schema, table_name AS name,
+coalesce((SELECT string_agg(concat(column_name, CASE WHEN is_nullable = 'YES' THEN '?' ELSE '' END), ',' ORDER BY ordinal_position) FROM c WHERE c.table_name = t.table_name), '') AS columns FROM t WHERE table_type = 'BASE TABLE'""")
+def warehouse_tables(spark, sf_dir):
+    found = catalog.warehouse_tables(_sql(spark, sf_dir, WAREHOUSE), _sql(spark, sf_dir, WAREHOUSE_COLUMNS))
+    shown = F.transform("columns", lambda c: F.concat(c["name"], F.when(c["is_nullable"], "?").otherwise("")))
+    return found.select("id", "schema", "name", F.array_join(shown, ",").alias("columns"))
+
+
+METADATA = "SELECT p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand END AS s, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'select 1' END AS a, p_type AS b, p_size FROM part"
+
+
+@query(f"WITH m AS ({METADATA}) SELECT concat(coalesce(s, 'METADATA'), '.', p_name) AS id, 'VIEW' AS type, CASE WHEN a = '' THEN b ELSE concat(a, chr(10), b) END AS definition FROM m WHERE p_size > 10")
+def metadata_scripts(spark, sf_dir):
+    found = catalog.metadata_scripts(_sql(spark, sf_dir, METADATA), "p_partkey", "p_name", ["a", "b"], "s", "p_size > 10")
+    return found.select("id", "type", "definition")
+
+
+@query(f"WITH d AS ({DAGS}), e AS (SELECT concat('p.d.a', c_nationkey) AS n FROM d UNION SELECT concat('p.d.b', c_custkey) FROM d UNION SELECT concat('p.d.z', c_custkey) FROM d WHERE c_custkey % 2 = 0) SELECT concat('bigquery:', n) AS id, 'p.d' AS schema, split_part(n, '.', 3) AS name, 'BIGQUERY_TABLE' AS type, 'External reference' AS description FROM e")
+def dag_placeholders(spark, sf_dir):
+    return build.dag_dependencies(_sql(spark, sf_dir, DAGS), _sql(spark, sf_dir, CATALOG))[1]
