@@ -34,12 +34,13 @@ def last_wins(table_deps: DataFrame) -> DataFrame:
 def levels(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> DataFrame:
     """seed, id, level, known for everything reached within depth (None: without limit).
 
+    edges: one row for each pair, best a stored table, as every level reads it.
     seeds and visited: seed, id. Ids without an object are reached but not
     followed (known is false); visited ids have level -1 and are never entered.
     """
     near, far = ("source_id", "target_id") if direction == FORWARD else ("target_id", "source_id")
-    step = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
-    ids = objects.select("id").distinct().withColumn("known", F.lit(True))
+    step = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
+    ids = park(objects.select("id").distinct(), "ids").withColumn("known", F.lit(True))
 
     def marked(reached: DataFrame, level: int) -> DataFrame:
         return reached.join(ids, "id", "left").select("seed", "id", F.lit(level).alias("level"), F.coalesce("known", F.lit(False)).alias("known"))
@@ -74,9 +75,13 @@ def traverse(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, depth:
     """Nodes within depth of the seeds with their flags, and every edge out of the nodes that were expanded.
 
     Edges lead also to visited and to unknown ids; of several edges between two
-    ids the last wins. An unknown seed gives no rows.
+    ids the last wins. An unknown seed gives no rows. Edges are reduced once and
+    stored, so that a level costs one join of the frontier with them.
     """
-    edges = last_wins(table_deps)
+    return _traverse(objects, park(last_wins(table_deps), "edges"), seeds, depth, direction, visited)
+
+
+def _traverse(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str, visited: DataFrame | None = None) -> Lineage:
     reached = levels(objects, edges, seeds, depth, direction, visited)
     nodes = reached.where("known").select("seed", "id", "level")
     pairs = edges.select("source_id", "target_id")
@@ -92,8 +97,9 @@ def traverse(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, depth:
 
 def full(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, upstream_depth: int, downstream_depth: int) -> Lineage:
     """Both directions with their own visited sets; where both have a node, the downstream run's flags hold and the level is the smaller."""
-    up = traverse(objects, table_deps, seeds, upstream_depth, BACKWARD)
-    down = traverse(objects, table_deps, seeds, downstream_depth, FORWARD)
+    edges = park(last_wins(table_deps), "edges")
+    up = _traverse(objects, edges, seeds, upstream_depth, BACKWARD)
+    down = _traverse(objects, edges, seeds, downstream_depth, FORWARD)
     both = up.nodes.withColumn("run", F.lit(0)).unionByName(down.nodes.withColumn("run", F.lit(1)))
     flags = ["has_more_upstream", "has_more_downstream"]
     nodes = both.groupBy("seed", "id").agg(F.min("level").alias("level"), *(F.max_by(c, "run").alias(c) for c in flags))
@@ -110,7 +116,7 @@ def column_steps(column_deps: DataFrame, seeds: DataFrame, depth: int, direction
     """
     keys = ["source_object_id", "source_column", "target_object_id", "target_column"]
     rest = ["transformation", "transformation_type"]
-    edges = column_deps.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*keys, "e.*")
+    edges = park(column_deps.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*keys, "e.*"), "column-edges")
     source, target = F.struct(F.col("source_object_id").alias("object_id"), F.col("source_column").alias("column")), F.struct(F.col("target_object_id").alias("object_id"), F.col("target_column").alias("column"))
     near, far = (source, target) if direction == "downstream" else (target, source)
     step = edges.select(near.alias("parent"), far.alias("node"), *rest)
