@@ -19,6 +19,9 @@ emits the labels of the ids in turn.
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +32,29 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices, utf8
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 _NEVER = 1 << 60
+# The pre-splitter's classes over Latin letters below U+0250, which no normal form changes; U+0130 lowers to two characters.
+_LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+_SPACES = "\\x09-\\x0d\\x20\\x85\\xa0"
+
+
+class Cache:
+    """A dict of bounded size in two generations: what was used since the last turn survives the next."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 @dataclass
@@ -42,7 +66,8 @@ class Automaton:
     made: list[int]  # rank of the merge that made the token, -1 for a base symbol
     removed: list[dict[int, int]]  # of each state: arc taken away -> rank
     suffix: str
-    longest: int
+    sizes: list[int]  # symbols of each token
+    prefixes: dict[str, int]  # every start of a token -> the token without suffix that it is, or -1
     table: dict[int, bool] = field(default_factory=dict)
 
     def open(self, state: int, token: int) -> bool:
@@ -75,26 +100,36 @@ class Automaton:
         Symbols without a token are left out, as there is no unknown token.
         """
         n, ids, suffix = len(symbols), self.ids, self.suffix
-        path: list[tuple[int, int]] = []  # token, position after it
-        at, size = 0, min(self.longest, n)
-        while at < n:
-            last = path[-1][0] if path else -1
-            while size:
-                end = at + size
-                token = ids.get(symbols[at:end] + suffix if end == n else symbols[at:end])
-                if token is not None and (last < 0 or self.open(last, token)):
+        whole = ids.get(symbols + suffix)
+        if whole is not None:  # a token is the accepted path over its own symbols
+            return [whole]
+        prefixes, opens = self.prefixes, self.open
+        path: list[tuple[int, list[int], int]] = []  # where a step starts, its tokens from short to long, the token before it
+        at, last = 0, -1
+        while True:
+            arcs, end = [], at + 1
+            while (token := prefixes.get(symbols[at:end])) is not None and end < n:
+                if token >= 0:
+                    arcs.append(token)
+                end += 1
+            if end == n and (token := ids.get(symbols[at:] + suffix)) is not None:
+                arcs.append(token)
+            path.append((at, arcs, last))
+            while path:  # the longest arc that is open; without one, the step before takes its next
+                at, arcs, last = path[-1]
+                while arcs and last >= 0 and not opens(last, arcs[-1]):
+                    arcs.pop()
+                if arcs:
                     break
-                size -= 1
-            if size:
-                path.append((token, end))
-                at, size = end, min(self.longest, n - end)
-            elif path:
-                _, end = path.pop()
-                at = path[-1][1] if path else 0
-                size = end - at - 1
-            else:
+                path.pop()
+                if path:
+                    path[-1][1].pop()
+            if not path:
                 return self._encode_known(symbols)
-        return [t for t, _ in path]
+            last = arcs[-1]
+            at += self.sizes[last]
+            if at == n:
+                return [arcs[-1] for _, arcs, _ in path]
 
     def _encode_known(self, symbols: str) -> list[int]:
         """For words with symbols outside the vocabulary: the known runs between them, each for itself."""
@@ -106,20 +141,27 @@ class Automaton:
 
 
 def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> Automaton:
+    """A merge whose arc is closed by then has no gadget, and its token is on no path; nor is a token that no merge builds."""
     size = max(vocab.values()) + 1
     labels = [""] * size
     for token, i in vocab.items():
         labels[i] = token
-    left, right, made = [-1] * size, [-1] * size, [-1] * size
-    removed: list[dict[int, int]] = [{} for _ in range(size)]
-    for rank, (u, v) in enumerate(merges):
-        w = vocab.get(u + v)
-        if w is None or made[w] >= 0:
+    bare = [t.removesuffix(suffix) if suffix else t for t in labels]
+    auto = Automaton(vocab, labels, [-1] * size, [-1] * size, [-1] * size, [{} for _ in range(size)], suffix, [len(t) for t in bare], {})
+    live = {i for i, t in enumerate(bare) if len(t) == 1}
+    for rank, (first, second) in enumerate(merges):
+        u, v, w = vocab[first], vocab[second], vocab.get(first + second)
+        if w in live:
+            raise ValueError(f"two merges build {first + second!r}")
+        if w is None or u not in live or v not in live or not auto._open(u, v):
             continue
-        left[w], right[w], made[w] = vocab[u], vocab[v], rank
-        removed[vocab[u]][vocab[v]] = rank
-    longest = max(len(t.removesuffix(suffix)) for t in vocab)
-    return Automaton(vocab, labels, left, right, made, removed, suffix, longest)
+        auto.left[w], auto.right[w], auto.made[w] = u, v, rank
+        auto.removed[u][v] = rank
+        live.add(w)
+    auto.ids = {labels[i]: i for i in live}
+    auto.prefixes = {bare[i][:k]: -1 for i in live for k in range(1, len(bare[i]) + 1)}
+    auto.prefixes |= {t: i for t, i in auto.ids.items() if not suffix or not t.endswith(suffix)}
+    return auto
 
 
 class Codec:
@@ -135,24 +177,52 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = compile_automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # Every special token holds this mark, and array's unsigned int has the four bytes of the ids.
+        self.latin_specials = all("<|" in t for t in self.special) and sys.byteorder == "little" and array("I").itemsize == 4
         labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
         self.labels = np.array([labels.get(i, "") for i in range(max(labels) + 1)], dtype=object)
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.words, self.chunks = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+        self.split = self._latin_splitter(spec)
+
+    def _latin_splitter(self, spec: dict):
+        """A quick pre-splitter for Latin text, where the file has the normalizer and split that it knows."""
+        steps = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+        parts = spec["pre_tokenizer"].get("pretokenizers", [])
+        known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        if steps != ["NFC", "Replace", "Lowercase"] or len(parts) != 2 or parts[0].get("pattern") != {"Regex": known} or parts[1]["type"] != "ByteLevel":
+            return None
+        import regex
+
+        own = re.compile(known.replace(r"\p{L}", _latin_class(regex.compile(r"\p{L}"))).replace(r"\p{N}", _latin_class(regex.compile(r"\p{N}"))).replace(r"\s", _SPACES))
+        shown = {b: piece[0] for b in range(128) for piece in [self._shown(chr(b))]}
+        high = {chr(c): self._shown(chr(c)) for c in range(128, 0x250)}
+        table = str.maketrans({**{chr(b): p for b, p in shown.items()}, **high})
+        return lambda text: [p.translate(table) for p in own.findall(text.lower())]
+
+    def _shown(self, character: str) -> str:
+        """The byte-level symbols of a character."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(character)[0][0]
 
     def _pieces(self, text: str) -> list[int]:
+        if self.split and _LATIN.fullmatch(text):
+            pieces = self.split(text)
+        else:
+            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         out: list[int] = []
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
+        for piece in pieces:
             ids = self.words.get(piece)
             if ids is None:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                ids = self.words[piece] = self.automaton.encode_word(piece)
+                ids = self.automaton.encode_word(piece)
+                self.words.put(piece, ids)
             out += ids
         return out
 
     def _chunk(self, chunk: bytes) -> bytes:
         text, out, at = chunk.decode(), [], 0
+        if "<|" not in text and self.latin_specials:
+            return array("I", self._pieces(text)).tobytes()
         while any(s in text[at:] for s in self.special):
             cut, token = min((text.index(s, at), s) for s in self.special if s in text[at:])
             out += [*self._pieces(text[at:cut]), self.special[token]]
@@ -162,20 +232,28 @@ class Codec:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Pieces never cross white space, so chunks between it are encoded alone."""
-        chunks, out = self.chunks, []
-        for c in text.split():
-            ids = chunks.get(c)
-            if ids is None:
-                if len(chunks) >= CACHE_WORDS:
-                    chunks.clear()
-                ids = chunks[c] = self._chunk(c)
-            out.append(ids)
+        chunks, words = self.chunks, text.split()
+        quick = chunks.young.get
+        out = [quick(c) for c in words]
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    ids = chunks.get(words[k])
+                    if ids is None:
+                        ids = self._chunk(words[k])
+                        chunks.put(words[k], ids)
+                    out[k] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.labels[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
+def _latin_class(pattern) -> str:
+    """The characters below U+0250 that pattern matches, as the inside of a class."""
+    return "".join(f"\\u{c:04x}" for c in range(0x250) if pattern.match(chr(c)))
+
+
 _codecs: dict[str, Codec] = {}
 
 
