@@ -303,3 +303,26 @@ def test_pipeline_keeps_clean_documents(spark):
         assert after.columns == columns, name
         docs = after
     assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
+
+
+def test_toxic_word_starts_are_learned(spark):
+    """Marks that only occur as the start of ever new words, beside a mark that is a whole word."""
+    rng = np.random.default_rng(3)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+
+    def word(n):
+        return "".join(rng.choice(syllables, n))
+
+    rows, labels = [], []
+    for i in range(400):
+        words = [word(rng.integers(1, 5)) for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic:
+            for at in rng.integers(0, 60, 4):
+                words[at] = "zwroux" + word(2) if i % 8 else "vilest!"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(toxic)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, marked, keep=F.col("doc_id") < 200)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, model).collect()}
+    assert all((scores[i] >= 0.3) == (i % 4 == 0) for i in range(200, 400))

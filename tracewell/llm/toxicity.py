@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are built from labelled text: one from the words
-that mark toxic documents, one from those that mark ordinary ones; both share
-the most frequent ordinary words and a fixed filler. A window of the text is
-compressed with each. The difference of the two lengths is positive where the
+and word starts that mark toxic documents, one from the words that mark ordinary
+ones, each behind a fixed filler; both share the most frequent ordinary words. A window of
+the text, a word behind the same filler, is compressed with each. The difference of the two lengths is positive where the
 toxic dictionary explains the window better. Thresholds on the differences,
 calibrated by logistic regression on the same labelled rows, give the score.
 
@@ -28,6 +28,9 @@ from .common import arrow_map, hash_order, logistic, sigmoid, text_slices, utf8
 
 FILLER = bytes(range(33, 65))
 LEVELS = (1, 2, 3, 4, 5)
+STARTS = range(4, 11)  # bytes
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_BARE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
 @dataclass
@@ -55,8 +58,29 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
 
+def _windows(text: bytes) -> list[bytes]:
+    """The words, without case and ASCII punctuation."""
+    return text.lower().translate(_BARE).split()
+
+
+def _framed(unit: bytes) -> bytes:
+    return FILLER + b" " + unit
+
+
+def _dense(words: Counter) -> list[bytes]:
+    """Words (with a space behind) and word starts that make up at least a hundredth of a text."""
+    units: Counter = Counter()
+    for w, c in words.items():
+        units[w + b" "] += c
+        for k in STARTS:
+            if k < len(w):
+                units[w[:k]] += c
+    least = sum(words.values()) / 100
+    return [u for u, c in units.items() if c >= least]
+
+
 def _gain(word: bytes, ordinary, toxic) -> int:
-    window = FILLER + b" " + word + b" "
+    window = _framed(word + b" ")
     return len(ordinary.compress(window)) - len(toxic.compress(window))
 
 
@@ -65,7 +89,7 @@ def features(texts: list[bytes], ordinary, toxic) -> np.ndarray:
     gains: dict[bytes, int] = {}  # of one slice of the batch, so memory stays bounded
     rows = np.zeros((len(texts), 3 + 2 * len(LEVELS)))
     for k, text in enumerate(texts):
-        words = text.lower().split()
+        words = _windows(text)
         for w in set(words):
             if w not in gains:
                 gains[w] = _gain(w, ordinary, toxic)
@@ -92,24 +116,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_cl
     return [(r.text.encode(), r.y) for r in rows]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, max_chars: int = 20000, marks: int = 40, common: int = 500, min_log_odds: float = 2.5) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, max_chars: int = 20000, marks: int = 40, common: int = 500, min_log_odds: float = 1.5) -> ToxicityModel:
     """Learn from rows of labels (doc_id, toxic) for which keep holds. Without both classes every text scores 0."""
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if keep is None else keep, max_per_class, max_chars)
     y = np.array([t for _, t in sample])
-    seen = {0: Counter(), 1: Counter()}
+    seen, dense = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for text, t in sample:
-        seen[t].update(set(text.lower().split()))
+        words = Counter(_windows(text))
+        seen[t].update(words.keys())
+        dense[t].update(_dense(words))
     totals = {t: int((y == t).sum()) for t in (0, 1)}
 
     def odds(w: bytes) -> float:
         return math.log((seen[1][w] + 0.5) / (totals[1] + 1)) - math.log((seen[0][w] + 0.5) / (totals[0] + 1))
 
+    def sure_odds(counts: dict[int, Counter], u: bytes) -> float:
+        """The log odds less two standard errors, so that what a few documents hold doesn't count as a mark."""
+        a, b = counts[1][u] + 0.5, counts[0][u] + 0.5
+        return math.log(a / (totals[1] + 1)) - math.log(b / (totals[0] + 1)) - 2 * math.sqrt(1 / a + 1 / b)
+
     support = max(3, totals[1] // 200)
-    toxic_words = sorted((w for w, c in seen[1].items() if c >= support and odds(w) > min_log_odds), key=lambda w: (odds(w), w))[-marks:]
+    found: list[bytes] = []
+    sure = {u: sure_odds(dense, u) for u, c in dense[1].items() if c >= support}
+    for w, c in seen[1].items():
+        if c >= support:
+            sure[w + b" "] = max(sure_odds(seen, w), sure.get(w + b" ", -math.inf))
+    for u in sorted((u for u in sure if sure[u] > min_log_odds), key=lambda u: (-sure[u], -len(u), u)):
+        if len(found) < marks and not any(u.startswith(f) or f.startswith(u) for f in found):
+            found.append(u)
     shared = [w for w, _ in sorted(seen[0].items(), key=lambda x: (x[1], x[0]))[-common:]]
-    plain = sorted(seen[0], key=lambda w: (-odds(w), w))[-max(len(toxic_words), common) :]
-    ordinary = b" ".join([*plain, *shared, FILLER])
-    toxic = b" ".join([*shared, *toxic_words, FILLER])
+    plain = sorted(seen[0], key=lambda w: (-odds(w), w))[-common:]
+    ordinary = b"".join(_framed(w + b" ") for w in [*plain, *shared])
+    toxic = b"".join([*(_framed(w + b" ") for w in shared), *map(_framed, reversed(found))])
     size = 3 + 2 * len(LEVELS)
     model = ToxicityModel(ordinary, toxic, np.zeros(size), np.ones(size), np.r_[np.zeros(size), -35.0])
     if not totals[0] or not totals[1]:
