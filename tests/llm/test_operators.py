@@ -128,6 +128,49 @@ def test_simhash_links_of_dense_clusters(spark, cell):
     assert [labels.get(k, k) for k in range(len(points))] == brute_components(points)
 
 
+def brute_sets(texts, words=5):
+    split = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for t in texts]
+    return [{" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or ({" ".join(w)} if w else set()) for w in split]
+
+
+def brute_first(docs, similarity=0.8):
+    """Smallest doc_id of each group over all pairs."""
+    sets = brute_sets([d[1] for d in docs])
+    parent = list(range(len(docs)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {docs[find(k)][0] for k in range(len(docs))}
+
+
+def edited_copies(seed=0, n=60):
+    """Texts of ever new words, and copies with one to six of their words replaced."""
+    rng = random.Random(seed)
+    docs = [[f"x{rng.randrange(5000)}" for _ in range(rng.choice([40, 90, 200]))] for _ in range(n)]
+    for k in range(2 * n):
+        words = list(docs[rng.randrange(n if k < n else len(docs))])
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(5000)}"
+        docs.append(words)
+    return [(k, " ".join(w), "en", "s", 0) for k, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_edited_copies_go(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    docs = edited_copies()
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert kept == brute_first(docs) and len(kept) <= len(docs) - 30
+
+
 def test_unary_embedding_bounds_the_distance():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 1 << 63, 2000, dtype=np.uint64) for _ in range(2))

@@ -12,6 +12,13 @@ groups. Inside a cell the Manhattan distance filters and the Hamming distance
 verifies. A cell gives a spanning forest of its links, not its pairs; cells
 above ``CELL`` members are dealt in pairs of blocks. Equal fingerprints are one
 member throughout.
+
+Near duplicates of the corpus (``keep_first``) are texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more; their fingerprints differ in
+too many bits for a projection. Candidates share one of ``BANDS`` hashes of
+``ROWS`` MinHash values, which a pair of similarity 0.8 fails to do with a
+probability of 0.0001; whatever candidates connect is compared by the sets
+themselves, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from .graph import components
 
 SEED, BITS, SEGMENTS = 42, 64, 32
 CELL, FEW = 4096, 8
+BANDS, ROWS = 30, 6
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 _PAIRS = 0x5555555555555555
 
 
@@ -46,27 +55,34 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return arrow_map(rows, fingerprint, "doc_id long, fp long")
 
 
-def fingerprint_texts(texts: list[bytes], words: int) -> np.ndarray:
+def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all texts one after another, and the number of each text's. A text of fewer words is one shingle."""
     split = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in split])
+    n = np.array([len(w) for w in split], dtype=np.int64)
     flat = [w for ws in split for w in ws]
-    fps = np.zeros(len(texts), dtype=np.uint64)
+    shingles = np.where(n >= words, n - words + 1, (n > 0).astype(int))
     if not flat:
-        return fps
+        return np.zeros(0, dtype="<u8"), shingles
     joined = b" ".join(flat)
     sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    shingles = np.where(n >= words, n - words + 1, (n > 0).astype(int))
     offset = np.cumsum(n) - n
     upto = np.cumsum(shingles)
     first = np.arange(int(upto[-1])) + np.repeat(offset - (upto - shingles), shingles)
     last = first + np.repeat(np.minimum(n, words), shingles) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())], dtype="<u8"), shingles
+
+
+def fingerprint_texts(texts: list[bytes], words: int) -> np.ndarray:
+    fps = np.zeros(len(texts), dtype=np.uint64)
+    h, shingles = shingle_hashes(texts, words)
+    if not len(h):
+        return fps
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     has = np.flatnonzero(shingles)
-    counts = np.add.reduceat(bits, (upto - shingles)[has], axis=0, dtype=np.int32)
+    counts = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[has], axis=0, dtype=np.int32)
     majority = counts * 2 > shingles[has][:, None]
     fps[has] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
     return fps
@@ -213,8 +229,154 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return fps.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id."""
-    groups = near_duplicates(docs, words, distance)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    h, shingles = shingle_hashes(texts, words)
+    return [np.unique(x) for x in np.split(h, np.cumsum(shingles)[:-1])] if texts else []
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each set (none empty): hashes of ROWS minima of the set under random multiplications."""
+    rng = np.random.default_rng(SEED)
+    odd, add = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    flat = np.concatenate(sets)
+    begin = np.cumsum([0, *map(len, sets[:-1])])
+    keys = np.empty((len(sets), BANDS), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            key = np.full(len(sets), band + 1, dtype=np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                x = flat * (odd[k] | np.uint64(1)) + add[k]
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ np.minimum.reduceat(x, begin)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                key ^= key >> np.uint64(29)
+            keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def _row_keys(words: int):
+    """Over rows (tag, doc_id, text): tag, doc_id, digest of the text and of its shingle set, band keys (none for an empty set)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch.column(2)):
+                texts = utf8(batch.column(2), i, j)
+                sets = shingle_sets(texts, words)
+                has = np.array([len(x) > 0 for x in sets])
+                keys = band_keys([x for x in sets if len(x)]) if has.any() else np.zeros((0, BANDS), dtype=np.int64)
+                ends = np.cumsum(np.r_[0, has * BANDS]).astype(np.int32)
+                columns = [
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["tag", "doc_id", "text_hash", "shingles", "keys"])
+
+    return keyed
+
+
+def _sets(words: int):
+    """Over rows (label, rep, text): label, rep and the shingle set as bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch.column(2)):
+                sets = shingle_sets(utf8(batch.column(2), i, j), words)
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "rep", "members"])
+
+    return made
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (none empty) whose Jaccard similarity is at least ``similarity``."""
+    size = np.array(list(map(len, sets)))
+    start = np.cumsum(size) - size
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, left, edges = np.zeros(len(known), dtype=bool), np.arange(len(sets)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            fits = np.flatnonzero(np.minimum(size[left], size[i]) >= similarity * np.maximum(size[left], size[i]) - 1e-9)
+            if not len(fits):
+                continue
+            own = ids[start[i] : start[i] + size[i]]
+            mark[own] = True
+            other = left[fits]
+            n = size[other]
+            at = np.arange(int(n.sum())) + np.repeat(start[other] - (np.cumsum(n) - n), n)
+            shared = np.add.reduceat(mark[ids[at]], np.cumsum(n) - n, dtype=np.int64)
+            mark[own] = False
+            hit = fits[shared >= similarity * (n + size[i] - shared) - 1e-9]
+            found = left[hit].tolist()
+            edges += [(i, j) for j in found]
+            queue += found
+            left = np.delete(left, hit)
+    return edges
+
+
+def _verified_links(similarity: float):
+    """Over rows (key, rep, members) sorted by key: links (a, b) that connect the similar sets of each key."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, sets = None, [], []
+
+        def closed() -> list[tuple[int, int]]:
+            return [(reps[i], reps[j]) for i, j in jaccard_forest(sets, similarity)] if len(sets) > 1 else []
+
+        def emit(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            edges = []
+            for k, rep, members in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if k != key:
+                    edges += closed()
+                    key, reps, sets = k, [], []
+                reps.append(rep)
+                sets.append(np.frombuffer(members, dtype="<u8"))
+            yield emit(edges)
+        yield emit(closed())
+
+    return links
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with exactly one row of each near-duplicate group.
+
+    Texts are linked when the sets of their ``words``-word shingles (ASCII
+    case ignored) have a Jaccard similarity of at least ``similarity``; what
+    links connect is a group. The row that stays has the smallest doc_id, null
+    ids last, then the smallest digest of its text; rows that agree in both
+    leave any one. So a row without an id stays where no other row is like it,
+    and rows that share an id count one by one. Null, empty and blank texts are
+    one group.
+    """
+    packed = docs.select(F.monotonically_increasing_id().alias("tag"), F.struct(*docs.columns).alias("doc"))
+    tagged = park(packed, "near-docs")
+    text = F.col("doc.text").cast("string").alias("text")
+    rows = arrow_map(tagged.select("tag", F.col("doc.doc_id").cast("long").alias("doc_id"), text), _row_keys(words), "tag long, doc_id long, text_hash binary, shingles binary, keys array<long>")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "tag", "keys")
+    members = park(rows.groupBy("shingles").agg(F.min(order).alias("m")).select("m.*"), "near-members")
+
+    banded = members.select(F.explode("keys").alias("key"), "tag")
+    shared = banded.groupBy("key").agg(F.min("tag").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    candidates = _grouped(components(banded.join(shared, "key").select(F.col("tag").alias("a"), "b")))
+    sets = arrow_map(tagged.join(candidates, F.col("tag") == F.col("node")).select("label", F.col("tag").alias("rep"), text), _sets(words), "label long, rep long, members binary")
+    sets = park(sets, "near-sets")
+    sizes = sets.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("members")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = sets.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "members")
+    links = arrow_map(pairs.repartition("key").sortWithinPartitions("key"), _verified_links(similarity), "a long, b long")
+
+    groups = _grouped(components(links))
+    labelled = members.drop("keys").join(groups, F.col("tag") == F.col("node"), "left").withColumn("label", F.coalesce("label", "tag"))
+    first = labelled.groupBy("label").agg(F.min(F.struct("no_id", "doc_id", "text_hash", "tag")).alias("m")).select(F.col("m.tag").alias("first"))
+    return tagged.join(first, F.col("tag") == F.col("first"), "left_semi").select("doc.*")
+
+
+def _grouped(labels: DataFrame) -> DataFrame:
+    """labels (node, label) with the smallest nodes, which are their own labels, too."""
+    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
