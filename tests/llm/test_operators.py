@@ -326,6 +326,13 @@ def test_awkward_rows(spark):
     assert all(0 <= r.score <= 1 for name in ("lang", "toxic", "quality") for r in got[name])
     assert all(set(CLASHING) <= set(r.asDict()) and r.score == "clash" for name in ("first", "mixed", "lines", "clean") for r in got[name])
     assert next(r for r in got["lines"] if r.doc_id == 0).text is None
+    assert sorted(r.doc_id for r in got["first"] if r.doc_id is not None) == [0, 3, 4, 5, 6, 7, 8] and [r.text for r in got["first"] if r.doc_id is None] == ["no id here"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "only here", "en", "a", 0), (None, "twice one", "en", "a", 0), (7, "twice one", "en", "a", 0), (7, "other text", "en", "a", 0), (2, "third text", "en", "a", 0), (7, "third text", "en", "a", 0), (None, "both null", "en", "a", 0), (None, "both null", "en", "b", 0)]
+    got = sorted((r.text, r.doc_id) for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("both null", None), ("only here", None), ("other text", 7), ("third text", 2), ("twice one", 7)]
 
 
 def test_empty_tables(spark):
