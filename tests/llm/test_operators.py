@@ -218,6 +218,21 @@ def test_line_dedup(spark):
     assert {r.text for r in line_dedup.dedup_document_lines(copies).collect()} == {"same text\nof copies", "Alone"}
 
 
+def test_repeated_lines_of_a_source_go(spark):
+    """Lines in 1 and 2 % of a source go; the text of a group of edited copies and lines of a small source stay."""
+    rng = random.Random(2)
+    docs = []
+    for k in range(600):
+        own = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(9)) for _ in range(3)]
+        docs.append("\n".join(own[:1] + ["All rights reserved."] * (k % 50 == 0) + ["Terms of use"] * (k % 100 == 7) + own[1:]))
+    group = [" ".join(f"z{rng.randrange(10**6)}" for _ in range(20)) for _ in range(4)]
+    docs += ["\n".join([*group, f"copy {k}"]) for k in range(30)]
+    rows = [(k, t, "en", "big", len(t)) for k, t in enumerate(docs)] + [(1000 + k, f"own line {k} of the small one\n" + ("shared" if k < 3 else "mine"), "en", "small", 0) for k in range(6)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_document_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    cut = {k: "\n".join(x for x in t.split("\n") if x not in ("All rights reserved.", "Terms of use")) for k, t, *_ in rows}
+    assert got == cut
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -5,6 +5,11 @@ divided by all pages of the host, exceed a ratio. Lines are counted by two
 independent 64-bit hashes, so only hashes are shuffled, and counts are summed
 before the shuffle. What is known as boilerplate has at most
 lines-per-page / ratio entries for each host.
+
+Documents take their source as the host. A source holds many authors, so a line
+that a licence or a template puts into a few of a hundred documents is
+boilerplate there already; near duplicates within a source count as one, so that
+a group of edited copies does not turn its own text into boilerplate.
 """
 
 from __future__ import annotations
@@ -13,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import park
+from .simhash import keep_first
 
 BROADCAST_ROWS = 20_000
 MAX_RATIO, MIN_PAGES = 0.1, 4
+SOURCE_RATIO = 0.005
 
 
 def _hashes(line: Column) -> Column:
@@ -23,29 +30,25 @@ def _hashes(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True) -> DataFrame:
-    """pages: host, lines. host, bad (array of line hashes) for each host with boilerplate.
-
-    count_copies=False counts equal pages of a host as one, so that a group of
-    copies does not turn its own text into boilerplate.
-    """
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages: host, lines. host, bad (array of line hashes) for each host with boilerplate."""
     lines = F.array_remove(F.array_distinct(F.transform("lines", lambda x: F.trim(x))), "")
-    keyed = pages.select("host", F.transform(lines, _hashes).alias("h"), F.xxhash64("lines").alias("page"))
-    if not count_copies:
-        keyed = keyed.dropDuplicates(["host", "page"])
+    keyed = pages.select("host", F.transform(lines, _hashes).alias("h"))
     totals = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "t")
     counts = keyed.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     bad = counts.join(totals, F.col("host").eqNullSafe(F.col("t"))).where(F.col("n") / F.col("total") > max_ratio)
     return bad.groupBy("host").agg(F.collect_list("h").alias("bad"))
 
 
-def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counted: DataFrame | None = None) -> DataFrame:
     """pages: host, lines and more columns; adds kept (lines that stay, in order) and n_dropped.
 
+    Lines are counted in ``counted`` (host, lines), or else in the pages themselves.
+
     A null host is a host of its own. Null lines give null kept and 0 dropped;
     empty lines always stay. A host with fewer than min_pages pages loses none.
     """
-    found = park(boilerplate(pages.select("host", "lines"), max_ratio, min_pages, count_copies), "line-bad").withColumnRenamed("host", "bad_host")
+    found = park(boilerplate((pages if counted is None else counted).select("host", "lines"), max_ratio, min_pages), "line-bad").withColumnRenamed("host", "bad_host")
     small = found.agg(F.coalesce(F.sum(F.size("bad")), F.lit(0)) + F.count(F.lit(1))).first()[0] <= BROADCAST_ROWS
     joined = pages.join(F.broadcast(found) if small else found, F.col("host").eqNullSafe(F.col("bad_host")), "left")
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _hashes(F.trim(x)))))
@@ -53,10 +56,12 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     return out.withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))).drop("bad", "bad_host")
 
 
-def dedup_document_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_document_lines(docs: DataFrame, max_ratio: float = SOURCE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the columns of documents, source taken as the host; text and n_chars are those of the lines that stay."""
-    packed = docs.select(F.col("source").alias("host"), F.split("text", "\n").alias("lines"), F.struct(*docs.columns).alias("doc"))
-    kept = drop_boilerplate(packed, max_ratio, min_pages, count_copies=False)
+    host, lines = F.col("source").alias("host"), F.split("text", "\n").alias("lines")
+    packed = docs.select(host, lines, F.struct(*docs.columns).alias("doc"))
+    single = keep_first(docs.select("doc_id", "text", "source"), within="source")
+    kept = drop_boilerplate(packed, max_ratio, min_pages, counted=single.select(host, lines))
     text = F.array_join("kept", "\n")
     new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))}
     return kept.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))

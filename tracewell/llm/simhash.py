@@ -256,7 +256,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _row_keys(words: int):
-    """Over rows (tag, doc_id, text): tag, doc_id, digest of the text and of its shingle set, band keys (none for an empty set)."""
+    """Over rows (tag, doc_id, text, part): tag, doc_id, part, digest of the text and of its shingle set, band keys (none for an empty set)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,10 +267,10 @@ def _row_keys(words: int):
                 keys = band_keys([x for x in sets if len(x)]) if has.any() else np.zeros((0, BANDS), dtype=np.int64)
                 ends = np.cumsum(np.r_[0, has * BANDS]).astype(np.int32)
                 columns = [
-                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(3).slice(i, j - i), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["tag", "doc_id", "text_hash", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["tag", "doc_id", "part", "text_hash", "shingles", "keys"])
 
     return keyed
 
@@ -342,12 +342,13 @@ def _verified_links(similarity: float):
     return links
 
 
-def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, within: str | None = None) -> DataFrame:
     """docs with exactly one row of each near-duplicate group.
 
     Texts are linked when the sets of their ``words``-word shingles (ASCII
     case ignored) have a Jaccard similarity of at least ``similarity``; what
-    links connect is a group. The row that stays has the smallest doc_id, null
+    links connect is a group; with ``within``, only rows that agree in that
+    column are linked. The row that stays has the smallest doc_id, null
     ids last, then the smallest digest of its text; rows that agree in both
     leave any one. So a row without an id stays where no other row is like it,
     and rows that share an id count one by one. Null, empty and blank texts are
@@ -356,11 +357,13 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     packed = docs.select(F.monotonically_increasing_id().alias("tag"), F.struct(*docs.columns).alias("doc"))
     tagged = park(packed, "near-docs")
     text = F.col("doc.text").cast("string").alias("text")
-    rows = arrow_map(tagged.select("tag", F.col("doc.doc_id").cast("long").alias("doc_id"), text), _row_keys(words), "tag long, doc_id long, text_hash binary, shingles binary, keys array<long>")
+    part = (F.xxhash64(F.col("doc")[within]) if within else F.lit(0).cast("long")).alias("part")
+    schema = "tag long, doc_id long, part long, text_hash binary, shingles binary, keys array<long>"
+    rows = arrow_map(tagged.select("tag", F.col("doc.doc_id").cast("long").alias("doc_id"), text, part), _row_keys(words), schema)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "tag", "keys")
-    members = park(rows.groupBy("shingles").agg(F.min(order).alias("m")).select("m.*"), "near-members")
+    members = park(rows.groupBy("part", "shingles").agg(F.min(order).alias("m")).select("part", "m.*"), "near-members")
 
-    banded = members.select(F.explode("keys").alias("key"), "tag")
+    banded = members.select("part", F.explode("keys").alias("key"), "tag").select(F.xxhash64("key", "part").alias("key"), "tag")
     shared = banded.groupBy("key").agg(F.min("tag").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     candidates = _grouped(components(banded.join(shared, "key").select(F.col("tag").alias("a"), "b")))
     sets = arrow_map(tagged.join(candidates, F.col("tag") == F.col("node")).select("label", F.col("tag").alias("rep"), text), _sets(words), "label long, rep long, members binary")
