@@ -8,7 +8,6 @@ task's memory follows the longest single text, not the batch.
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,10 +15,17 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracewell.storage import park, shared_dir
+
+__all__ = [
+    "WORD", "arrow_map", "compressed_lengths", "hash_order", "in_fold", "logistic", "park", "shared_dir", "ship", "sigmoid", "table", "text_slices", "utf8", "word_spans",
+]
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
@@ -31,23 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def park(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _shipped: set[str] = set()
 
 
@@ -114,6 +103,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def compressed_lengths(data: bytes, begin: np.ndarray, size: np.ndarray, compressor: zstandard.ZstdCompressor) -> np.ndarray:
+    """Length of each part of data under the compressor; parts may overlap."""
+    if not len(begin):
+        return np.zeros(0, dtype=np.int64)
+    segments = np.stack([begin, size], axis=1).astype(np.uint64)
+    packed = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments.tobytes()), threads=1)
+    return np.fromiter(map(len, packed), dtype=np.int64, count=len(begin))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column of x is taken as given."""
     w = np.zeros(x.shape[1])

@@ -70,7 +70,7 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs, keep=~in_fold("doc_id", 5, 0))
-    return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
+    return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op9_hnsw, op10_language)}

@@ -1,14 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: one from the words
-and word starts that mark toxic documents, one from the words that mark ordinary
-ones, each behind a fixed filler; both share the most frequent ordinary words. A window of
-the text, a word behind the same filler, is compressed with each. The difference of the two lengths is positive where the
-toxic dictionary explains the window better. Thresholds on the differences,
-calibrated by logistic regression on the same labelled rows, give the score.
-
-Training takes at most ``max_per_class`` labelled rows of each class and at
-most ``max_chars`` characters of each; scoring takes whole texts.
+Two zstandard dictionaries are made from labelled text. Both end with the same
+dictionary, trained by zstandard on ordinary texts. Before it, one has what marks
+toxic texts, the other what marks ordinary ones: sequences of one to three words,
+and word starts that make up a hundredth of a text's words, each chosen by the
+lower bound of its log odds over documents. As the rest is shared and at the same
+distances, a difference of two compressed lengths comes from the marks.
+
+A text is cut into windows of ``WINDOW`` words, each half over the next, and
+every window is compressed with both. The gain of a window is what the toxic
+dictionary saves. How many windows reach each of the ``LEVELS`` of gain, how high
+the largest is, and their mean are weighed by a logistic regression, fitted on
+the labelled rows, into the score.
+
+Training takes at most ``max_per_class`` labelled rows of each class, and
+``dictionary_rows`` of them for the shared dictionary; texts are whole. Counts
+of word sequences and features are made on the executors; the driver gets the
+chosen sequences, one dictionary and a row of numbers for each labelled text.
 """
 
 from __future__ import annotations
@@ -24,11 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hash_order, logistic, sigmoid, text_slices, utf8
+from .common import arrow_map, compressed_lengths, hash_order, logistic, park, ship, sigmoid, text_slices, utf8, word_spans
 
-FILLER = bytes(range(33, 65))
-LEVELS = (1, 2, 3, 4, 5)
-STARTS = range(4, 11)  # bytes
+WINDOW, STRIDE = 8, 4
+LEVELS = (1, 2, 3, 4, 5, 6, 8)
+N_FEATURES = 3 + 2 * len(LEVELS)
+SHARED_BYTES, MARK_BYTES = 96 << 10, 16 << 10
+STARTS = range(4, 11)  # bytes of a word start
+CHUNK = 400  # bytes of a sample for zstandard's training
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BARE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -40,144 +51,197 @@ class ToxicityModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    level: int = 12
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        return tuple(_compressor(d, self.level) for d in (self.ordinary, self.toxic))
+        return tuple(_compressor(d) for d in (self.ordinary, self.toxic))
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = (features - self.mean) / self.scale
         return sigmoid(np.c_[x, np.ones(len(x))] @ self.weights)
 
 
-def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(
-        level, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
-    )
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Chains long enough that no entry of the dictionary displaces another, and no matches below five bytes."""
+    params = zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=18, chain_log=18, search_log=8, min_match=5, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
 
-def _windows(text: bytes) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """The words, without case and ASCII punctuation."""
     return text.lower().translate(_BARE).split()
 
 
-def _framed(unit: bytes) -> bytes:
-    return FILLER + b" " + unit
+def window_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words joined by spaces, text after text; first and last byte of each window, and the windows of each text.
 
-
-def _dense(words: Counter) -> list[bytes]:
-    """Words (with a space behind) and word starts that make up at least a hundredth of a text."""
-    units: Counter = Counter()
-    for w, c in words.items():
-        units[w + b" "] += c
-        for k in STARTS:
-            if k < len(w):
-                units[w[:k]] += c
-    least = sum(words.values()) / 100
-    return [u for u, c in units.items() if c >= least]
+    Every text with a word has a window; the last one of a text may be shorter.
+    """
+    clean = [b" ".join(words_of(t)) for t in texts]
+    data = b"".join(clean)
+    starts, ends, upto = word_spans(np.frombuffer(data, dtype=np.uint8), np.cumsum([0, *map(len, clean)]))
+    n = np.diff(upto)
+    windows = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1, 0)
+    first = np.repeat(upto[:-1], windows) + STRIDE * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
+    last = np.minimum(first + WINDOW, np.repeat(upto[1:], windows)) - 1
+    return data, starts[first], ends[last], windows
 
 
-def _gain(word: bytes, ordinary, toxic) -> int:
-    window = _framed(word + b" ")
-    return len(ordinary.compress(window)) - len(toxic.compress(window))
+def gains(texts: list[bytes], ordinary, toxic) -> tuple[np.ndarray, np.ndarray]:
+    """The gain of every window, and the windows of each text."""
+    data, begin, end, windows = window_spans(texts)
+    a, b = (compressed_lengths(data, begin, end - begin, c) for c in (ordinary, toxic))
+    return a - b, windows
 
 
 def features(texts: list[bytes], ordinary, toxic) -> np.ndarray:
-    """For each text: the largest gain, and of each threshold the share and the log count of windows at or above it."""
-    gains: dict[bytes, int] = {}  # of one slice of the batch, so memory stays bounded
-    rows = np.zeros((len(texts), 3 + 2 * len(LEVELS)))
-    for k, text in enumerate(texts):
-        words = _windows(text)
-        for w in set(words):
-            if w not in gains:
-                gains[w] = _gain(w, ordinary, toxic)
-        g = np.fromiter((gains[w] for w in words), dtype=np.int64, count=len(words))
-        n = len(words)
-        if n:
-            above = np.array([(g >= t).sum() for t in LEVELS])
-            rows[k] = [g.max(), g.mean(), math.log1p(n), *(above / (n + 10)), *np.log1p(above)]
+    """For each text: largest and mean gain, log count of windows, and for each level share and log count of windows at or above it."""
+    g, windows = gains(texts, ordinary, toxic)
+    rows = np.zeros((len(texts), N_FEATURES))
+    has = np.flatnonzero(windows)
+    if len(has):
+        at, n = (np.cumsum(windows) - windows)[has], windows[has]
+        above = np.stack([np.add.reduceat((g >= t).astype(np.int64), at) for t in LEVELS], axis=1)
+        rows[has] = np.c_[np.maximum.reduceat(g, at), np.add.reduceat(g, at) / n, np.log1p(n), above / (n + 10)[:, None], np.log1p(above)]
     return rows
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int, max_chars: int) -> list[tuple[bytes, int]]:
-    """At most per_class labelled rows of each class, chosen by id hash before any text is read.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int) -> DataFrame:
+    """doc_id, text and y of at most per_class labelled documents of each class, chosen by id hash before any text is read; parked.
 
-    Repeated labels of a document count by majority (a tie as 1); null labels not at all.
+    Repeated labels of a document count by majority (a tie as 1); null labels and
+    ids not at all. Of several texts of one doc_id the smallest counts, once.
     """
     votes = labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         part = votes.where(F.col("y") == y).orderBy(hash_order("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, max_chars).alias("text"), "y").orderBy("doc_id", "text").collect()
-    return [(r.text.encode(), r.y) for r in rows]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # chosen: 2 * per_class rows
+    return park(rows, "labelled-sample")
+
+
+def label_rate(labels: DataFrame, label: str, keep) -> float | None:
+    """The mean label of all rows that may be learned from."""
+    return labels.where(keep).agg(F.avg(label)).first()[0]
+
+
+def _dense_starts(words: list[bytes]) -> set[bytes]:
+    """Word starts that make up at least a hundredth of the words, and two."""
+    counts: Counter = Counter()
+    for w, c in Counter(words).items():
+        for k in STARTS:
+            if k < len(w):
+                counts[w[:k]] += c
+    least = max(2, len(words) / 100)
+    return {u for u, c in counts.items() if c >= least}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, max_chars: int = 20000, marks: int = 40, common: int = 500, min_log_odds: float = 1.5) -> ToxicityModel:
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (text, y): each word sequence, with a space behind, and each dense word start of a text once, with y."""
+    for batch in batches:
+        for i, j in text_slices(batch.column(0)):
+            units, ys = [], []
+            for text, y in zip(utf8(batch.column(0), i, j), batch.column(1).slice(i, j - i).to_pylist()):
+                w = words_of(text)
+                own = {u + b" " for u in (*w, *map(b" ".join, zip(w, w[1:])), *map(b" ".join, zip(w, w[1:], w[2:])))} | _dense_starts(w)
+                units += own
+                ys += [y] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(ys, pa.int32())], ["unit", "y"])
+
+
+def _marks(sample: DataFrame, totals: dict[int, int], size: int, min_log_odds: float) -> tuple[bytes, bytes]:
+    """Dictionary content of what marks ordinary and toxic texts, the surest last.
+
+    A unit counts by its log odds less two standard errors, so what a few
+    documents hold is no mark.
+    """
+    counts = arrow_map(sample.select("text", "y"), _units, "unit binary, y int").groupBy("unit").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    out = []
+    for own, other in ((0, 1), (1, 0)):
+        a, b = F.col(f"n{own}") + 0.5, F.col(f"n{other}") + 0.5
+        sure = F.log(a / (totals[own] + 1)) - F.log(b / (totals[other] + 1)) - 2 * F.sqrt(1 / a + 1 / b)
+        found = counts.where(F.col(f"n{own}") >= max(3, totals[own] // 200)).select("unit", F.round(sure, 9).alias("sure")).where(F.col("sure") > min_log_odds)
+        best = found.orderBy(F.desc("sure"), "unit").limit(size // 2).collect()  # a unit takes two bytes or more
+        content, room = [], size
+        for r in best:
+            room -= len(r.unit)
+            if room < 0:
+                break
+            content.append(bytes(r.unit))
+        out.append(b"".join(reversed(content)))
+    return tuple(out)
+
+
+def _shared_dictionary(sample: DataFrame, rows: int, size: int) -> bytes:
+    """A dictionary that zstandard trains on at most ``rows`` ordinary texts, in one task; too little text is taken as it is."""
+    ship(sample.sparkSession)
+
+    def train(group: pa.Table) -> pa.Table:
+        texts = [b" ".join(words_of(t)) for t in sorted(utf8(group.column("text").combine_chunks(), 0, group.num_rows))]
+        try:
+            content = zstandard.train_dictionary(size, [t[a : a + CHUNK] for t in texts for a in range(0, len(t), CHUNK)], k=16, d=8).as_bytes()
+        except zstandard.ZstdError:
+            content = b" ".join(texts)[-size:]
+        return pa.table({"content": pa.array([content], pa.binary())})
+
+    few = sample.where("y = 0").orderBy(hash_order("doc_id"), "doc_id").limit(rows).select("y", "text")
+    found = few.groupBy("y").applyInArrow(train, "content binary").first()
+    return bytes(found[0]) if found else b""
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, dictionary_rows: int = 600, shared_bytes: int = SHARED_BYTES, mark_bytes: int = MARK_BYTES, min_log_odds: float = 1.5
+) -> ToxicityModel:
     """Learn from rows of labels (doc_id, toxic) for which keep holds. Without both classes every text scores 0."""
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if keep is None else keep, max_per_class, max_chars)
-    y = np.array([t for _, t in sample])
-    seen, dense = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-    for text, t in sample:
-        words = Counter(_windows(text))
-        seen[t].update(words.keys())
-        dense[t].update(_dense(words))
-    totals = {t: int((y == t).sum()) for t in (0, 1)}
-
-    def odds(w: bytes) -> float:
-        return math.log((seen[1][w] + 0.5) / (totals[1] + 1)) - math.log((seen[0][w] + 0.5) / (totals[0] + 1))
-
-    def sure_odds(counts: dict[int, Counter], u: bytes) -> float:
-        """The log odds less two standard errors, so that what a few documents hold doesn't count as a mark."""
-        a, b = counts[1][u] + 0.5, counts[0][u] + 0.5
-        return math.log(a / (totals[1] + 1)) - math.log(b / (totals[0] + 1)) - 2 * math.sqrt(1 / a + 1 / b)
-
-    support = max(3, totals[1] // 200)
-    found: list[bytes] = []
-    sure = {u: sure_odds(dense, u) for u, c in dense[1].items() if c >= support}
-    for w, c in seen[1].items():
-        if c >= support:
-            sure[w + b" "] = max(sure_odds(seen, w), sure.get(w + b" ", -math.inf))
-    for u in sorted((u for u in sure if sure[u] > min_log_odds), key=lambda u: (-sure[u], -len(u), u)):
-        if len(found) < marks and not any(u.startswith(f) or f.startswith(u) for f in found):
-            found.append(u)
-    shared = [w for w, _ in sorted(seen[0].items(), key=lambda x: (x[1], x[0]))[-common:]]
-    plain = sorted(seen[0], key=lambda w: (-odds(w), w))[-common:]
-    ordinary = b"".join(_framed(w + b" ") for w in [*plain, *shared])
-    toxic = b"".join([*(_framed(w + b" ") for w in shared), *map(_framed, reversed(found))])
-    size = 3 + 2 * len(LEVELS)
-    model = ToxicityModel(ordinary, toxic, np.zeros(size), np.ones(size), np.r_[np.zeros(size), -35.0])
+    keep = F.lit(True) if keep is None else keep
+    sample = labelled_sample(docs, labels, "toxic", keep, max_per_class)
+    totals = {0: 0, 1: 0} | {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    model = ToxicityModel(b" " * 8, b" " * 8, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.r_[np.zeros(N_FEATURES), -35.0])
     if not totals[0] or not totals[1]:
         return model
-    x = features([t for t, _ in sample], *model.compressors())
+    ordinary, toxic = _marks(sample, totals, mark_bytes, min_log_odds)
+    longer = max(len(ordinary), len(toxic))
+    ordinary, toxic = ordinary.rjust(longer), toxic.rjust(longer)  # so what is shared lies at equal distances
+    shared = _shared_dictionary(sample, dictionary_rows, shared_bytes)
+    model.ordinary, model.toxic = (tail + shared or b" " * 8 for tail in (ordinary, toxic))
+    rows = _map_texts(sample.select("y", "text"), model, lambda m, x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64())), "y int, x array<double>").collect()
+    y, x = np.array([r.y for r in rows]), np.array([r.x for r in rows])
+    order = np.lexsort((*x.T, y))  # the same sums on every run
+    y, x = y[order], x[order]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
-    model.weights = logistic(z, y)
+    model.weights = logistic(np.c_[(x - model.mean) / model.scale, np.ones(len(x))], y)
     # Classes are sampled apart; the intercept goes back to the label rate of all learned rows.
-    rate = labels.where(F.lit(True) if keep is None else keep).agg(F.avg("toxic")).first()[0]
+    rate = label_rate(labels, "toxic", keep)
     if rate and 0 < rate < 1:
         model.weights[-1] += math.log(rate / (1 - rate)) - math.log(totals[1] / totals[0])
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null or empty texts score as texts without a window."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _map_texts(rows: DataFrame, model: ToxicityModel, made, schema: str) -> DataFrame:
+    """rows (key, text): the key and ``made`` of the model and the features of its text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         pair = m.compressors()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for i, j in text_slices(texts):
-                s = m.score(features(utf8(texts, i, j), *pair))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(s)], ["doc_id", "score"])
+            for i, j in text_slices(batch.column(1)):
+                x = features(utf8(batch.column(1), i, j), *pair)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), made(m, x)], names)
+
+    return arrow_map(rows, mapped, schema)
+
 
+def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text; null or empty texts score as texts without a window."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, score, "doc_id long, score double")
+    return _map_texts(rows, model, lambda m, x: pa.array(m.score(x)), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
