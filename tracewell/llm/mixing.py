@@ -25,9 +25,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_cell(id_col: Column) -> Column:
-    """A cell of 30 bits from the md5 of the id as text; a null id counts as empty text."""
-    digits = F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 15)
+def hash_cell(id_col: Column, text: Column) -> Column:
+    """A cell of 30 bits from the md5 of id and text, so rows without an id or with the same one are cut apart too; nulls count as empty."""
+    both = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("\x01"), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(both.cast("binary")), 1, 15)
     return F.shiftright(F.conv(digits, 16, 10).cast("long"), 60 - LEVEL_BITS * LEVELS)
 
 
@@ -94,7 +95,7 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return park(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_cell(F.col("doc_id")).alias("cell")), "mix-sized")
+    return park(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_cell(F.col("doc_id"), F.col("text")).alias("cell")), "mix-sized")
 
 
 def _copies() -> Column:
@@ -105,8 +106,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """For each row of docs (doc_id, text, source): size, source_size, target, copies and taken.
 
     copies is how often the mix takes the document, at most ceil(cap); taken is
-    size times copies. Empty and null texts have size 0. Rows of one doc_id
-    share a hash cell and are taken alike. An empty table gives no rows.
+    size times copies. Empty and null texts have size 0. Rows that agree in
+    doc_id and text share a hash cell and are taken alike. An empty table gives
+    no rows.
     """
     sized = _sized(docs)
     out = sized.join(mix_plan(sized, weights, share, cap), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies())
@@ -114,18 +116,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Texts without words cost nothing and are kept once."""
+    """The rows of docs, each as often as ``mix`` says in copies; texts without words have a hash cell as any other."""
     plan = mix_plan(_sized(docs), weights, share, cap)
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("own"), hash_cell(F.col("doc_id")).alias("cell"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("own"), hash_cell(F.col("doc_id"), F.col("text")).alias("cell"))
     dealt = packed.join(plan, F.col("own").eqNullSafe(F.col("mix_source")))
-    times = F.when(F.col("words"), _copies()).otherwise(1).cast("int")
-    return dealt.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    return dealt.select("doc", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT >> 30) AS cell
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce(text, '')), 1, 15))::BIGINT >> 30) AS cell
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
