@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of a host when the pages of the host that contain it,
-divided by all pages of the host, exceed a ratio. Lines are counted by two
+divided by all pages of the host, exceed a ratio. It must be on two pages at
+least: what is on one page alone is no boilerplate, and without that a host of
+fewer than ten pages would lose every line. Lines are counted by two
 independent 64-bit hashes, so only hashes are shuffled, and counts are summed
 before the shuffle. What is known as boilerplate has at most
 lines-per-page / ratio entries for each host.
@@ -21,7 +23,7 @@ from .common import park
 from .simhash import keep_first
 
 BROADCAST_ROWS = 20_000
-MAX_RATIO, MIN_PAGES = 0.1, 4
+MAX_RATIO, MIN_PAGES = 0.1, 2
 SOURCE_RATIO = 0.005
 
 
@@ -46,14 +48,18 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     Lines are counted in ``counted`` (host, lines), or else in the pages themselves.
 
     A null host is a host of its own. Null lines give null kept and 0 dropped;
-    empty lines always stay. A host with fewer than min_pages pages loses none.
+    empty lines always stay. A line on fewer than min_pages pages stays. Columns
+    of any other name are carried along.
     """
     found = park(boilerplate((pages if counted is None else counted).select("host", "lines"), max_ratio, min_pages), "line-bad").withColumnRenamed("host", "bad_host")
     small = found.agg(F.coalesce(F.sum(F.size("bad")), F.lit(0)) + F.count(F.lit(1))).first()[0] <= BROADCAST_ROWS
-    joined = pages.join(F.broadcast(found) if small else found, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _hashes(F.trim(x)))))
-    out = joined.withColumn("kept", kept)
-    return out.withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))).drop("bad", "bad_host")
+    packed = pages.select(F.struct(*pages.columns).alias("page"))
+    joined = packed.join(F.broadcast(found) if small else found, F.col("page.host").eqNullSafe(F.col("bad_host")), "left")
+    lines = F.col("page.lines")
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("bad"), _hashes(F.trim(x)))))
+    out = joined.select("page", kept.alias("kept"))
+    carried = [F.col("page")[c].alias(c) for c in pages.columns if c not in ("kept", "n_dropped")]
+    return out.select(*carried, "kept", F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).alias("n_dropped"))
 
 
 def dedup_document_lines(docs: DataFrame, max_ratio: float = SOURCE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -68,7 +74,7 @@ def dedup_document_lines(docs: DataFrame, max_ratio: float = SOURCE_RATIO, min_p
 
 
 def page_lines(html: Column) -> Column:
-    """The text between tags, one line for each piece."""
+    """The text between tags, one line for each piece; null html gives null, empty html one empty line."""
     return F.split(F.regexp_replace(html, "<[^>]*>", "\n"), "\n")
 
 
@@ -85,11 +91,12 @@ WITH pages_ AS (
 each_ AS (SELECT DISTINCT page_id, host, trim(x, ' ') AS line FROM (SELECT page_id, host, unnest(lines) AS x FROM pages_) WHERE trim(x, ' ') <> ''),
 totals AS (SELECT host, count(*) AS total FROM pages_ GROUP BY host),
 bad AS (SELECT e.host, e.line FROM each_ e JOIN totals t ON e.host IS NOT DISTINCT FROM t.host
-        GROUP BY e.host, e.line, t.total HAVING count(*) >= 4 AND count(*) / t.total > 0.1),
+        GROUP BY e.host, e.line, t.total HAVING count(*) >= 2 AND count(*) / t.total > 0.1),
 flags AS (SELECT p.page_id, p.host, p.i, p.x, b.line IS NOT NULL AS dropped
-          FROM (SELECT page_id, host, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM pages_) p
+          FROM (SELECT page_id, host, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM pages_
+                UNION ALL SELECT page_id, host, NULL, NULL FROM pages_ WHERE lines IS NULL) p
           LEFT JOIN bad b ON p.host IS NOT DISTINCT FROM b.host AND trim(p.x, ' ') = b.line)
-SELECT page_id, host, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
+SELECT page_id, host, count(i)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM flags GROUP BY page_id, host
 """
