@@ -7,6 +7,10 @@ row of flat arrays: the neighbours of node i on level 0 are entries i * 2M to
 (i + 1) * 2M, with -1 for none, and so on upwards with M each for the nodes of
 that level. Every query visits every shard; the shards' results are merged by
 distance.
+
+Graphs are built and searched over vectors less the shard's mean and divided by
+the largest component, in double precision and by differences, so neither a far
+origin nor a large scale blurs the distances.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, park, ship
 
-SHARD_NODES, QUERY_BLOCK = 2048, 256
+SHARD_NODES, QUERY_BLOCK = 4096, 1024
 M, EF_BUILD, EF_SEARCH = 12, 40, 128
 
 
 class Graph:
     def __init__(self, vectors: np.ndarray, m: int = M):
         self.m, self.n = m, len(vectors)
-        self.x = np.ascontiguousarray(vectors, dtype=np.float32)
-        self.sq = np.einsum("ij,ij->i", self.x, self.x)
+        self.scale = float(np.abs(vectors).max(initial=0.0)) or 1.0
+        x = vectors / self.scale
+        self.mean = x.mean(axis=0) if len(x) else x.sum(axis=0)
+        self.x = np.ascontiguousarray(x - self.mean)
         self.levels = np.zeros(self.n, dtype=np.int32)
         self.links: list[np.ndarray] = []  # of each level, a row for each node
         self.entry = 0
@@ -45,10 +51,11 @@ class Graph:
         return self
 
     def _distances(self, q: np.ndarray, nodes: list[int]) -> list[float]:
-        return (self.sq[nodes] - 2 * (self.x[nodes] @ q)).tolist()
+        away = self.x[nodes] - q
+        return np.einsum("ij,ij->i", away, away).tolist()
 
     def _layer(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, level: int) -> list[tuple[float, int]]:
-        """The ef nearest nodes found on a level, nearest first; distances leave out the query's own square."""
+        """The ef nearest nodes found on a level, nearest first, by squared distance."""
         links, seen = self.links[level], bytearray(self.n)
         for _, s in starts:
             seen[s] = 1
@@ -75,15 +82,14 @@ class Graph:
                 worst = -found[0][0]
         return sorted((-d, v) for d, v in found)
 
-    def _select(self, candidates: list[tuple[float, int]], count: int, own_sq: float) -> list[int]:
+    def _select(self, candidates: list[tuple[float, int]], count: int, own: np.ndarray) -> list[int]:
         """Candidates nearer to the node than to any chosen one; free places go to the nearest left."""
         nodes = [v for _, v in candidates]
         if len(nodes) <= count:
             return nodes
-        x = self.x[nodes]
-        sq = self.sq[nodes]
-        between = sq[:, None] + sq[None] - 2 * (x @ x.T)
-        to_node = np.array([d for d, _ in candidates]) + own_sq
+        x = self.x[nodes] - own
+        to_node = np.einsum("ij,ij->i", x, x)
+        between = to_node[:, None] + to_node[None] - 2 * (x @ x.T)
         chosen: list[int] = []
         blocked = np.zeros(len(nodes), dtype=bool)
         for k in range(len(nodes)):
@@ -103,7 +109,7 @@ class Graph:
         for layer in range(min(top, level), -1, -1):
             at = self._layer(q, at, ef, layer)
             links = self.links[layer]
-            chosen = self._select(at, self.m, float(self.sq[i]))
+            chosen = self._select(at, self.m, q)
             links[i, : len(chosen)] = chosen
             for v in chosen:
                 row = links[v]
@@ -113,13 +119,13 @@ class Graph:
                     continue
                 others = [*row.tolist(), i]
                 ranked = sorted(zip(self._distances(self.x[v], others), others))
-                kept = self._select(ranked, len(row), float(self.sq[v]))
+                kept = self._select(ranked, len(row), self.x[v])
                 row[: len(kept)] = kept
         if level > top:
             self.entry = i
 
     def search(self, q: np.ndarray, ef: int = EF_SEARCH) -> list[int]:
-        q = q.astype(np.float32)
+        q = q / self.scale - self.mean
         at = [(self._distances(q, [self.entry])[0], self.entry)]
         for layer in range(int(self.levels[self.entry]), 0, -1):
             at = self._layer(q, at[:1], 1, layer)
@@ -144,6 +150,16 @@ class Graph:
         return g
 
 
+def euclidean(away: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; where a square leaves the range of doubles, by way of the largest component."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt((away**2).sum(axis=1))
+    top = np.abs(away).max(axis=1, initial=0.0)
+    odd = (top > 0) & (~np.isfinite(out) | (out < 1e-150))
+    out[odd] = top[odd] * np.sqrt(((away[odd] / top[odd, None]) ** 2).sum(axis=1))
+    return out
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor zero, and all components finite."""
     finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -182,11 +198,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SE
     """query_id, rank, vec_id, score: the k nearest found of each row of queries among vectors (both vec_id, vector).
 
     score is the Euclidean distance in double precision. Rows that share an id
-    count as the query's own. Unusable queries give no row; vectors of another
-    length than the query's are not compared.
+    count as the query's own; of several queries of one id the smallest vector
+    is asked. Unusable queries give no row; vectors of another length than the
+    query's are not compared.
     """
     index = build_index(vectors, k, shard_nodes)
-    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["vec_id"])
+    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     places = index.select("dim", "shard").groupBy("dim").agg(F.collect_list("shard").alias("shards")).withColumnRenamed("dim", "d")
     visits = asked.join(places, F.size("vector") == F.col("d")).select(F.col("d").alias("dim"), F.explode("shards").alias("shard"), "vec_id", "vector")
     blocks = visits.groupBy("dim", "shard", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, asked.count() // QUERY_BLOCK))).alias("block")).agg(
@@ -206,7 +223,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SE
                 for q in row["queries"]:
                     own, v = q["vec_id"], np.array(q["vector"], dtype=np.float64)
                     hits = g.search(v, ef)
-                    away = np.sqrt(((x[hits] - v) ** 2).sum(axis=1)).tolist()
+                    away = euclidean(x[hits] - v).tolist()
                     named = [(d, int(i)) for d, h in zip(away, hits) for i in ids[after[h] - counts[h] : after[h]] if i != own]
                     out += [(own, i, d) for d, i in heapq.nsmallest(k, named)]
                 if out:
