@@ -5,15 +5,18 @@ gadget on the automaton that accepts correct token sequences: the state reached
 by u is cloned without its arc v, every state with an arc u gains an arc w, and
 w leads where v led. At any time all arcs of one label end in one state, so a
 state is named by the token just read, and it differs from the state of that
-token's right half only by the arcs its own merges took away. The table keeps
-these removals with the rank at which they happened; an arc t out of state s is
-open unless, down the right halves of s and the left halves of t, some merge
-came before the token above it was made (in the gadget of v = u itself the arc
-is taken away first, so w is not added where u is gone). Transitions are looked up once and
-kept in a table.
-
-A pre-split word has one accepted path; its arc labels are the tokens. Decoding
-emits the labels of the ids in turn.
+token's right half only by the arcs its own merges took away. The compiled table
+keeps these arcs with the rank at which they were taken, as flat keys of state and
+token; an arc t out of state s is open unless, down the right halves of s and
+the left halves of t, some merge came before the token above it was made (in the
+gadget of v = u itself the arc is taken away first, so w is not added where u is
+gone).
+
+A word is read from left to right. After each symbol exactly one state can have
+been reached, as every start of a word has one correct tokenization: the token
+that ends here and whose arc is open in the state where it begins. So a run is
+deterministic, with a table look-up for each token that ends at a place, and its
+path is read off backwards. Decoding emits the labels of the ids in turn.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices, utf8
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 _NEVER = 1 << 60
+_BITS = 20  # of a token in a key of the table
 # The pre-splitter's classes over Latin letters below U+0250, which no normal form changes; U+0130 lowers to two characters.
 _LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
 _SPACES = "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -59,39 +63,27 @@ class Cache:
 
 @dataclass
 class Automaton:
-    ids: dict[str, int]
+    ids: dict[str, int]  # of the tokens that the merges build
     labels: list[str]
     left: list[int]
     right: list[int]
     made: list[int]  # rank of the merge that made the token, -1 for a base symbol
-    removed: list[dict[int, int]]  # of each state: arc taken away -> rank
+    removed: dict[int, int]  # state << _BITS | token -> rank of the merge that took the arc away
     suffix: str
-    sizes: list[int]  # symbols of each token
-    prefixes: dict[str, int]  # every start of a token -> the token without suffix that it is, or -1
-    table: dict[int, bool] = field(default_factory=dict)
+    longest: int = 1  # symbols of the longest token
 
     def open(self, state: int, token: int) -> bool:
         """Whether the state reached by one token has an arc for the next."""
-        key = state << 20 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > 20 * CACHE_WORDS:
-                self.table.clear()
-            known = self.table[key] = self._open(state, token)
-        return known
-
-    def _open(self, state: int, token: int) -> bool:
+        removed, made, left, right = self.removed, self.made, self.left, self.right
         before_state = _NEVER
         while state >= 0:
-            gone = self.removed[state]
-            if gone:
-                t, before_token = token, _NEVER
-                while t >= 0:
-                    rank = gone.get(t)
-                    if rank is not None and rank < before_state and rank <= before_token:
-                        return False
-                    before_token, t = self.made[t], self.left[t]
-            before_state, state = self.made[state], self.right[state]
+            t, before_token, row = token, _NEVER, state << _BITS
+            while t >= 0:
+                rank = removed.get(row | t)
+                if rank is not None and rank < before_state and rank <= before_token:
+                    return False
+                before_token, t = made[t], left[t]
+            before_state, state = made[state], right[state]
         return True
 
     def encode_word(self, symbols: str) -> list[int]:
@@ -99,40 +91,28 @@ class Automaton:
 
         Symbols without a token are left out, as there is no unknown token.
         """
-        n, ids, suffix = len(symbols), self.ids, self.suffix
+        n, ids, suffix, opens = len(symbols), self.ids, self.suffix, self.open
         whole = ids.get(symbols + suffix)
         if whole is not None:  # a token is the accepted path over its own symbols
             return [whole]
-        prefixes, opens = self.prefixes, self.open
-        path: list[tuple[int, list[int], int]] = []  # where a step starts, its tokens from short to long, the token before it
-        at, last = 0, -1
-        while True:
-            arcs, end = [], at + 1
-            while (token := prefixes.get(symbols[at:end])) is not None and end < n:
-                if token >= 0:
-                    arcs.append(token)
-                end += 1
-            if end == n and (token := ids.get(symbols[at:] + suffix)) is not None:
-                arcs.append(token)
-            path.append((at, arcs, last))
-            while path:  # the longest arc that is open; without one, the step before takes its next
-                at, arcs, last = path[-1]
-                while arcs and last >= 0 and not opens(last, arcs[-1]):
-                    arcs.pop()
-                if arcs:
+        states, begins = [-1] * (n + 1), [0] * (n + 1)  # the state at each place and where its token begins
+        for end in range(1, n + 1):
+            tail = suffix if end == n else ""
+            for begin in range(max(0, end - self.longest), end):
+                token = ids.get(symbols[begin:end] + tail)
+                if token is not None and (begin == 0 or (states[begin] >= 0 and opens(states[begin], token))):
+                    states[end], begins[end] = token, begin
                     break
-                path.pop()
-                if path:
-                    path[-1][1].pop()
-            if not path:
+            else:
                 return self._encode_known(symbols)
-            last = arcs[-1]
-            at += self.sizes[last]
-            if at == n:
-                return [arcs[-1] for _, arcs, _ in path]
+        path = []
+        while n:
+            path.append(states[n])
+            n = begins[n]
+        return path[::-1]
 
     def _encode_known(self, symbols: str) -> list[int]:
-        """For words with symbols outside the vocabulary: the known runs between them, each for itself."""
+        """For words with symbols outside the vocabulary: the known symbols, each for itself."""
         n, ids = len(symbols), self.ids
         known = [s + (self.suffix if i == n - 1 else "") in ids for i, s in enumerate(symbols)]
         if all(known):
@@ -147,20 +127,19 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suff
     for token, i in vocab.items():
         labels[i] = token
     bare = [t.removesuffix(suffix) if suffix else t for t in labels]
-    auto = Automaton(vocab, labels, [-1] * size, [-1] * size, [-1] * size, [{} for _ in range(size)], suffix, [len(t) for t in bare], {})
+    auto = Automaton(vocab, labels, [-1] * size, [-1] * size, [-1] * size, {}, suffix)
     live = {i for i, t in enumerate(bare) if len(t) == 1}
     for rank, (first, second) in enumerate(merges):
         u, v, w = vocab[first], vocab[second], vocab.get(first + second)
         if w in live:
             raise ValueError(f"two merges build {first + second!r}")
-        if w is None or u not in live or v not in live or not auto._open(u, v):
+        if w is None or u not in live or v not in live or not auto.open(u, v):
             continue
         auto.left[w], auto.right[w], auto.made[w] = u, v, rank
-        auto.removed[u][v] = rank
+        auto.removed[u << _BITS | v] = rank
         live.add(w)
     auto.ids = {labels[i]: i for i in live}
-    auto.prefixes = {bare[i][:k]: -1 for i in live for k in range(1, len(bare[i]) + 1)}
-    auto.prefixes |= {t: i for t, i in auto.ids.items() if not suffix or not t.endswith(suffix)}
+    auto.longest = max(len(bare[i]) for i in live)
     return auto
 
 
@@ -173,6 +152,9 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        unknown = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or unknown:
+            raise ValueError(f"not a plain BPE model: {model.get('type')}, {unknown}")
         self.tokenizer = Tokenizer.from_file(path)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = compile_automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
@@ -183,11 +165,13 @@ class Codec:
         self.labels = np.array([labels.get(i, "") for i in range(max(labels) + 1)], dtype=object)
         self.words, self.chunks = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
         self.split = self._latin_splitter(spec)
+        self.by_space = self.split is not None  # that file's pieces never cross white space
+        self.plain_labels = spec.get("decoder") is None  # the library then joins labels by spaces
 
     def _latin_splitter(self, spec: dict):
         """A quick pre-splitter for Latin text, where the file has the normalizer and split that it knows."""
-        steps = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
-        parts = spec["pre_tokenizer"].get("pretokenizers", [])
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         if steps != ["NFC", "Replace", "Lowercase"] or len(parts) != 2 or parts[0].get("pattern") != {"Regex": known} or parts[1]["type"] != "ByteLevel":
             return None
@@ -209,7 +193,9 @@ class Codec:
         if self.split and _LATIN.fullmatch(text):
             pieces = self.split(text)
         else:
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+            t = self.tokenizer
+            clean = t.normalizer.normalize_str(text) if t.normalizer else text
+            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(clean)] if t.pre_tokenizer else [clean] * bool(clean)
         out: list[int] = []
         for piece in pieces:
             ids = self.words.get(piece)
@@ -231,7 +217,9 @@ class Codec:
         return np.array(out, dtype="<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Pieces never cross white space, so chunks between it are encoded alone."""
+        """Ids as little-endian unsigned 32-bit integers. Where the file's pieces never cross white space, chunks between it are encoded alone."""
+        if not self.by_space:
+            return self._chunk(text)
         chunks, words = self.chunks, text.split()
         quick = chunks.young.get
         out = [quick(c) for c in words]
@@ -246,7 +234,8 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.labels[np.frombuffer(ids, dtype="<u4")].tolist())
+        labels = self.labels[np.frombuffer(ids, dtype="<u4")].tolist()
+        return " ".join(labels) if self.plain_labels else self.tokenizer.decoder.decode(labels)
 
 
 def _latin_class(pattern) -> str:
@@ -284,7 +273,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (doc_id, n_tokens, ids) with decoded, the labels of the ids joined by spaces."""
+    """encoded (doc_id, n_tokens, ids) with decoded, the labels of the ids put together as the file's decoder does; null ids count as none."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
