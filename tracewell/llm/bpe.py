@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices, utf8
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
+TABLE_ARCS = 1_500_000  # looked-up transitions kept
 _NEVER = 1 << 60
 _BITS = 20  # of a token in a key of the table
 # The pre-splitter's classes over Latin letters below U+0250, which no normal form changes; U+0130 lowers to two characters.
@@ -71,9 +72,19 @@ class Automaton:
     removed: dict[int, int]  # state << _BITS | token -> rank of the merge that took the arc away
     suffix: str
     longest: int = 1  # symbols of the longest token
+    table: dict[int, bool] = field(default_factory=dict)  # transitions looked up so far
 
     def open(self, state: int, token: int) -> bool:
         """Whether the state reached by one token has an arc for the next."""
+        known = self.table.get(state << _BITS | token)
+        if known is None:
+            if len(self.table) >= TABLE_ARCS:
+                self.table.clear()
+            known = self.table[state << _BITS | token] = self.compiled(state, token)
+        return known
+
+    def compiled(self, state: int, token: int) -> bool:
+        """What the compiled table says of an arc."""
         removed, made, left, right = self.removed, self.made, self.left, self.right
         before_state = _NEVER
         while state >= 0:
@@ -91,16 +102,23 @@ class Automaton:
 
         Symbols without a token are left out, as there is no unknown token.
         """
-        n, ids, suffix, opens = len(symbols), self.ids, self.suffix, self.open
-        whole = ids.get(symbols + suffix)
+        n, suffix = len(symbols), self.suffix
+        ids, opens, known, longest = self.ids.get, self.open, self.table.get, self.longest
+        whole = ids(symbols + suffix)
         if whole is not None:  # a token is the accepted path over its own symbols
             return [whole]
         states, begins = [-1] * (n + 1), [0] * (n + 1)  # the state at each place and where its token begins
         for end in range(1, n + 1):
-            tail = suffix if end == n else ""
-            for begin in range(max(0, end - self.longest), end):
-                token = ids.get(symbols[begin:end] + tail)
-                if token is not None and (begin == 0 or (states[begin] >= 0 and opens(states[begin], token))):
+            ending = symbols if end < n else symbols + suffix
+            stop = end if end < n else len(ending)
+            for begin in range(end - longest if end > longest else 0, end):
+                token = ids(ending[begin:stop])
+                if token is not None:
+                    if begin:
+                        state = states[begin]
+                        free = known(state << _BITS | token)
+                        if not (opens(state, token) if free is None else free):
+                            continue
                     states[end], begins[end] = token, begin
                     break
             else:
@@ -133,7 +151,7 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suff
         u, v, w = vocab[first], vocab[second], vocab.get(first + second)
         if w in live:
             raise ValueError(f"two merges build {first + second!r}")
-        if w is None or u not in live or v not in live or not auto.open(u, v):
+        if w is None or u not in live or v not in live or not auto.compiled(u, v):
             continue
         auto.left[w], auto.right[w], auto.made[w] = u, v, rank
         auto.removed[u << _BITS | v] = rank
