@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def refs(spark, sql, **kw):
     rows = spark.createDataFrame([(1, sql)], "k int, sql string")
-    return {(r.ref_schema, r.ref_name, r.reference_type) for r in sqltext.without_ctes(sqltext.table_refs(rows, ["k"], "sql", **kw), rows, ["k"], "sql").collect()}
+    return {(r.ref_schema, r.ref_name, r.reference_type) for r in sqltext.table_refs(rows, ["k"], "sql", **kw).collect()}
 
 
 def test_references(spark):

@@ -1,101 +1,172 @@
-"""What SQL and script text refers to, by regular expressions over columns.
-
-All functions are native expressions. Text is matched, not parsed: names in
-comments or string literals of SQL count as references.
+"""What SQL and script text refers to, from flat tokens.
+
+A text becomes one row for each token (``tokens``): comments are gone, a string
+literal or a qualified name is one token, and windows over the rows of a text
+give each token its depth of parentheses and what stands around it. Every regular
+expression is a plain alternation whose parts need no backtracking into groups,
+so the work grows linearly with the text and long literals or expressions don't
+deepen a stack. All of it is native; no text is parsed into a tree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.schemas import WRITE_TYPES
 
-NAME = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)"
-# Fixed order: of several matches of a name the first pattern's type holds.
-REFERENCE_PATTERNS = [
-    (r"\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+", "DDL"),
-    (r"\bFROM\s+", "SELECT"),
-    (r"\bJOIN\s+", "JOIN"),
-    (r"\bINTO\s+", "INSERT"),
-    (r"\bUPDATE\s+", "UPDATE"),
-    (r"\bMERGE\s+INTO\s+", "MERGE"),
-    (r"\bDELETE\s+FROM\s+", "DELETE"),
-    (r"\bTRUNCATE\s+TABLE\s+", "DDL"),
-    (r"\bDROP\s+TABLE\s+", "DDL"),
-]
-TARGET = r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?(VIEW|TABLE|PROCEDURE|FUNCTION)\s+(?:`?([a-zA-Z0-9_-]+)`?\.)?`?([a-zA-Z0-9_-]+)`?\.`?([a-zA-Z0-9_-]+)`?"
-VIEW_PREFIX = r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+FORCE\s+|OR\s+REPLACE\s+)?VIEW\s*\S+\s+AS\s+"
-VARIABLE = r"^(V_|P_|L_|G_|IN_|OUT_|IO_|VAR_|PARAM_)"
+SPACE = " \t\r\n\f"
+_PART = r"""(?:[\p{L}_][\p{L}\p{N}_$]*|"[^"]*"|`[^`]*`)"""
+_DASHED = r"[A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z0-9_]+){1,6}(?:\.[A-Za-z_][A-Za-z0-9_]*){2}"  # project-name.dataset.table
+_NAME = rf"{_DASHED}|@?{_PART}(?:\s*\.\s*{_PART}){{0,3}}(?:\.\*)?"
+TOKEN = rf"(?s)\s*(?:--[^\n]*|/\*.*?\*/|'[^']*'|{_NAME}|[0-9][\p{{L}}\p{{N}}_.]*|\|\||[<>!]=|<>|.)"
+
+# How a name's place tells the kind of reference; of several places of a name the first kind in this order holds.
+KINDS = {"CREATE": "DDL", "FROM": "SELECT", "JOIN": "JOIN", "INTO": "INSERT", "UPDATE": "UPDATE", "MERGE": "MERGE", "DELETE": "DELETE", "DROP": "DDL"}
+# Fixed values of the model: starts of names that are variables, and functions that aggregate.
+VARIABLES = ("V_", "P_", "L_", "G_", "IN_", "OUT_", "IO_", "VAR_", "PARAM_")
 AGGREGATES = [
     "SUM", "COUNT", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "FIRST", "LAST", "GROUP_CONCAT", "LISTAGG", "ARRAY_AGG", "MEDIAN",
     "PERCENTILE", "PERCENTILE_CONT", "PERCENTILE_DISC", "ANY_VALUE", "APPROX_COUNT_DISTINCT", "COUNTIF", "COUNT_IF",
 ]
-# Names that are no tables; callers extend or replace the list.
-NOT_TABLES = [
-    "SUM", "COUNT", "AVG", "MIN", "MAX", "CAST", "COALESCE", "EXTRACT", "DATE", "TIME", "TIMESTAMP", "INTERVAL", "UNNEST", "ARRAY", "STRUCT", "IF", "CASE",
-    "EXISTS", "IN", "ANY", "ALL", "SOME", "SET", "BEGIN", "END", "CALL", "NULL", "TRUE", "FALSE", "DEFAULT", "ROW", "ROWS", "RECORD", "RESULT", "RESULTS", "DUAL",
-]
+CASTS = ["CAST", "TRY_CAST", "SAFE_CAST"]
+OPERATORS = ["||", "+", "-", "*", "/", "%"]
 SQL_WORDS = r"(?i)SELECT|INSERT|UPDATE|DELETE|MERGE|TRUNCATE|CREATE"
+# Words that begin a part of a query; after FROM, JOIN, ON and USING a comma leads to another table.
+_TABLE_PARTS = ["FROM", "JOIN", "ON", "USING"]
+_PARTS = [*_TABLE_PARTS, "SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "QUALIFY", "WINDOW", "LIMIT", "UNION", "INTERSECT", "EXCEPT", "MINUS", "SET", "VALUES", "INTO", "WITH"]
+_AFTER_TABLE = [*_PARTS, "AS", "LEFT", "RIGHT", "INNER", "FULL", "CROSS", "NATURAL", "OUTER", "LATERAL", "TABLESAMPLE", "FOR", "FETCH", "OFFSET", "WHEN", "CONNECT", "START"]
+_NO_ALIAS = ["END", "NULL", "TRUE", "FALSE"]
+_BEFORE_VALUE = ["AND", "OR", "NOT", "IS", "IN", "LIKE", "BETWEEN", "CASE", "WHEN", "THEN", "ELSE", "DISTINCT", "ALL", "AS", "BY", "OVER", "DIV", "MOD", "ESCAPE", "INTERVAL", "SELECT"]
 
 
 def looks_like_sql(text: Column) -> Column:
     return text.rlike(SQL_WORDS)
 
 
-def is_table_name(name: Column, schema: Column, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = True) -> Column:
-    """Neither a function, keyword nor variable name; with strict_names=False qualified names always pass."""
-    upper = F.upper(name)
-    ok = ~upper.isin(NOT_TABLES if not_tables is None else not_tables) & ~upper.rlike(VARIABLE) & ~name.startswith("@")
-    if not strict_names:
-        ok = ok | (F.coalesce(schema, F.lit("")) != "")
-    return ok & (F.coalesce(schema, F.lit("")) != "") if require_schema else ok
+@lru_cache(maxsize=1)
+def _engine_words() -> tuple[str, ...]:
+    spark = SparkSession.active()
+    words = [r[0] for r in spark.sql("SELECT keyword FROM sql_keywords()").collect()]
+    functions = [r[0] for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()]
+    return tuple(sorted({w.upper() for w in [*words, *functions] if w.replace("_", "").isalnum()}))
 
 
-def _references(sql: Column) -> Column:
-    """array<struct<ref, reference_type, pattern>> in pattern order."""
+def not_table_names() -> list[str]:
+    """Names that are no tables: the keywords and functions that Spark itself knows, and a few of other systems."""
+    return [*_engine_words(), "DUAL", "DECLARE", "RETURN", "RETURNS", "CURSOR", "OPEN", "CLOSE", "RECORD", "RECORDS", "RESULT", "RESULTS", "SAFE_CAST", "SAFE_DIVIDE"]
 
-    def one(k: int, lead: str, kind: str) -> Column:
-        names = F.regexp_extract_all(sql, F.lit(f"(?i){lead}{NAME}"), F.lit(1))
-        return F.transform(names, lambda r: F.struct(F.upper(r).alias("ref"), F.lit(kind).alias("reference_type"), F.lit(k).alias("pattern")))
 
-    return reduce(F.concat, [one(k, lead, kind) for k, (lead, kind) in enumerate(REFERENCE_PATTERNS)])
+def is_table_name(name: Column, schema: Column, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = True) -> Column:
+    """Neither a function, keyword nor variable name; with strict_names=False qualified names always pass."""
+    upper = F.upper(name)
+    variable = reduce(lambda a, b: a | b, (upper.startswith(v) for v in (*VARIABLES, "@")))
+    qualified = F.coalesce(schema, F.lit("")) != ""
+    ok = ~upper.isin(not_table_names() if not_tables is None else not_tables) & ~variable
+    if not strict_names:
+        ok = ok | qualified
+    return ok & qualified if require_schema else ok
 
 
-def table_refs(rows: DataFrame, key: list[str], sql: str, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = True) -> DataFrame:
-    """key, ref_schema, ref_name, reference_type, is_target: each table the text names, once, by its first pattern.
+def tokens(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+    """key, pos, raw (the token with the space before it), t, u (in capitals), depth, before (six tokens), next, after_next, part and query.
 
-    Null texts name nothing. is_target is the type's direction: writes are targets.
+    One key stands for one text; null texts have no tokens. ``(`` and what it
+    holds are a level deeper. part is the part of the query that a token is in,
+    query whether its parentheses (or the statement) hold a query.
+    """
+    flat = rows.select(*key, F.posexplode(F.regexp_extract_all(F.col(sql), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).withColumn("t", F.btrim("raw", F.lit(SPACE)))
+    flat = flat.where((F.col("t") != "") & ~F.startswith("t", F.lit("--")) & ~F.startswith("t", F.lit("/*"))).withColumn("u", F.upper("t"))
+    text = Window.partitionBy(*key).orderBy("pos")
+    step = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
+    flat = flat.withColumn("depth", F.sum(step).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.concat_ws(" ", *(F.lag("u", k).over(text) for k in range(6, 0, -1)))
+    flat = flat.withColumn("before", before).withColumn("next", F.lead("u").over(text)).withColumn("after_next", F.lead("u", 2).over(text))
+    level = Window.partitionBy(*key, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    extract = (F.col("u") == "FROM") & F.endswith("before", F.lit(" DISTINCT"))  # IS DISTINCT FROM
+    opens, ends = F.col("t") == "(", F.col("t") == ";"
+    part = F.when(opens | ends, "").when(F.col("u").isin(_PARTS) & ~extract, F.col("u"))
+    query = F.when(opens, False).when(ends | F.col("u").isin("SELECT", "DELETE"), True)
+    return flat.withColumn("part", F.last(part, True).over(level)).withColumn("query", F.coalesce(F.last(query, True).over(level), F.lit(True)))
+
+
+def _is_name(t: Column) -> Column:
+    return t.rlike(r"^[\p{L}_@\"`]")
+
+
+def name_parts(name: Column) -> Column:
+    """The parts of a qualified name without quotes; back-ticks may hold several."""
+    pieces = F.regexp_extract_all(name, F.lit(r"""[^.\s"`]+|"[^"]*"|`[^`]*`"""), F.lit(0))
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("`")), F.split(F.btrim(p, F.lit("`")), "\\.")).otherwise(F.array(F.btrim(p, F.lit('"'))))))
+
+
+def _table_kind(by_statement: bool) -> Column:
+    """The key of KINDS if the token names a table or view that the statement touches."""
+    b, nxt = F.concat(F.lit(" "), "before"), F.coalesce("next", F.lit(""))
+    ends = lambda *words: reduce(lambda x, y: x | y, (F.endswith(b, F.lit(f" {w}")) for w in words))
+    read = (nxt != "(") & F.col("query")
+    kind = F.when(b.rlike(" (CREATE|REPLACE|TEMPORARY|TEMP|EXTERNAL) TABLE( IF NOT EXISTS)?$"), "CREATE").when(b.rlike(" (DROP|TRUNCATE) TABLE( IF EXISTS)?$"), "DROP")
+    if by_statement:
+        kind = kind.when(ends("MERGE INTO"), "MERGE").when(ends("DELETE FROM"), "DELETE")
+        kind = kind.when(ends("USING") & (nxt != "(") & (F.col("depth") == 0), "FROM")
+    kind = kind.when(ends("FROM") & read & ~ends("DISTINCT FROM"), "FROM").when(ends("JOIN") & (nxt != "("), "JOIN")
+    kind = kind.when(ends(",") & read & F.col("part").isin(_TABLE_PARTS), "FROM")
+    kind = kind.when(ends("INTO"), "INTO").when(ends("UPDATE") & ~ends("FOR UPDATE"), "UPDATE")
+    return F.when(_is_name(F.col("t")), kind)
+
+
+def _cte() -> Column:
+    """Whether the token is a name that WITH defines."""
+    opened = F.col("before").rlike(r"(^| )(WITH|RECURSIVE)$") | ((F.col("part") == "WITH") & F.endswith("before", F.lit(",")))
+    return F.coalesce(opened & _is_name(F.col("t")) & (((F.col("next") == "AS") & (F.col("after_next") == "(")) | (F.col("next") == "(")), F.lit(False))
+
+
+def named_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, **names) -> DataFrame:
+    """table_refs with ref_catalog, the part of the name before the schema."""
+    found = tokens(rows, key, sql).withColumn("kind", _table_kind(by_statement)).withColumn("cte", _cte()).where(F.col("kind").isNotNull() | F.col("cte"))
+    parts = F.transform(name_parts(F.col("t")), lambda p: F.upper(p))
+    at = lambda k: F.try_element_at("parts", F.lit(-k))
+    named = found.withColumn("parts", parts).select(*key, at(3).alias("ref_catalog"), at(2).alias("ref_schema"), at(1).alias("ref_name"), "kind", "cte")
+    order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
+    grouped = named.groupBy(*key, "ref_catalog", "ref_schema", "ref_name").agg(F.min_by("kind", order).alias("kind"), F.max("cte").alias("cte"))
+    grouped = grouped.withColumn("cte", F.max("cte").over(Window.partitionBy(*key, "ref_name")))
+    kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    kept = grouped.where(F.col("kind").isNotNull() & ~F.col("cte") & is_table_name(F.col("ref_name"), F.col("ref_schema"), **names))
+    return kept.withColumn("reference_type", kinds[F.col("kind")]).withColumn("is_target", F.col("reference_type").isin(WRITE_TYPES)).drop("kind", "cte")
+
+
+def table_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, **names) -> DataFrame:
+    """key, ref_schema, ref_name, reference_type, is_target: each table the text names, once; one key stands for one text.
+
+    Counted are names after FROM and its commas, JOIN, INTO, UPDATE and CREATE,
+    DROP or TRUNCATE TABLE; not those in comments, literals, EXTRACT(.. FROM ..)
+    or names that WITH defines. The kind is the first in the order of KINDS, so
+    the table of DELETE FROM is read and that of MERGE INTO inserted into; with
+    by_statement they are DELETE and MERGE, and MERGE .. USING is read. Null
+    texts name nothing. is_target is the type's direction: writes are targets.
+    ``names`` go to ``is_table_name``.
     """
-    exploded = rows.select(*key, F.explode(_references(F.col(sql))).alias("r"))
-    parts = F.split("r.ref", "\\.")
-    named = exploded.select(
-        *key, F.when(F.size(parts) == 2, parts[0]).alias("ref_schema"), F.element_at(parts, -1).alias("ref_name"), "r.reference_type", "r.pattern"
-    ).where(is_table_name(F.col("ref_name"), F.col("ref_schema"), require_schema, not_tables, strict_names))
-    first = named.groupBy(*key, "ref_schema", "ref_name").agg(F.min_by("reference_type", "pattern").alias("reference_type"))
-    return first.withColumn("is_target", F.col("reference_type").isin(WRITE_TYPES))
+    refs = named_refs(rows, key, sql, by_statement, **names)
+    order = F.array_position(F.array(*(F.lit(k) for k in dict.fromkeys(KINDS.values()))), F.col("reference_type"))
+    return refs.groupBy(*key, "ref_schema", "ref_name").agg(F.min_by("reference_type", order).alias("reference_type")).withColumn("is_target", F.col("reference_type").isin(WRITE_TYPES))
 
 
-def without_ctes(refs: DataFrame, rows: DataFrame, key: list[str], sql: str) -> DataFrame:
-    """refs less those whose bare name the text defines by WITH name AS ( or , name AS (."""
-    names = F.explode(F.regexp_extract_all(F.col(sql), F.lit(r"(?is)(?:\bWITH|,)\s*(?:RECURSIVE\s+)?([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("), F.lit(1)))
-    ctes = rows.select(*key, names.alias("cte")).select(*key, F.upper("cte").alias("ref_name")).distinct()
-    return refs.join(ctes, [*key, "ref_name"], "left_anti").select(*refs.columns)
+_CREATED = rf"""(?i)\bCREATE\s+(OR\s+REPLACE\s+)?(?:FORCE\s+|MATERIALIZED\s+|TEMP\s+|TEMPORARY\s+)?(VIEW|TABLE|PROCEDURE|FUNCTION)\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:{_DASHED})|{_PART}(?:\s*\.\s*{_PART}){{0,3}})"""
 
 
 def create_target(sql: Column) -> Column:
-    """struct<full_name, object_type, name> of the first CREATE; null without one."""
-    project, dataset, name = (F.regexp_extract(sql, TARGET, g) for g in (2, 3, 4))
-    full = F.concat(F.when(project != "", F.concat(project, F.lit("."))).otherwise(""), dataset, F.lit("."), name)
-    kind = F.upper(F.regexp_extract(sql, TARGET, 1))
-    return F.when(kind != "", F.struct(full.alias("full_name"), kind.alias("object_type"), name.alias("name")))
+    """struct<full_name, object_type, name> of the first CREATE of a qualified view, table, procedure or function; null without one."""
+    parts = name_parts(F.regexp_extract(sql, _CREATED, 3))
+    kind = F.upper(F.regexp_extract(sql, _CREATED, 2))
+    return F.when(F.size(parts) > 1, F.struct(F.array_join(parts, ".").alias("full_name"), kind.alias("object_type"), F.element_at(parts, -1).alias("name")))
 
 
 def clean_view(sql: Column) -> Column:
     """The query of a CREATE VIEW; other text only trimmed."""
-    return F.btrim(F.regexp_replace(F.btrim(sql, F.lit(" \t\n\r")), VIEW_PREFIX, ""), F.lit(" \t\n\r"))
+    lead = rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:FORCE\s+|MATERIALIZED\s+)?VIEW\s*{_PART}(?:\s*\.\s*{_PART}){{0,3}}\s*(?:\([^()]*\)\s*)?AS\s+"
+    return F.btrim(F.regexp_replace(F.btrim(sql, F.lit(SPACE)), lead, ""), F.lit(SPACE))
 
 
 def unescaped(text: Column) -> Column:
@@ -103,72 +174,102 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\{1,2}n", "\n"), r"\\{1,2}t", "\t"), r"\\{1,2}r", "\r")
 
 
+# Escaped characters are set aside as single control characters while literals are found.
+_ESCAPES = {"\\\\": "\x01", '\\"': "\x02", "\\'": "\x03"}
+_LUA = r"""(?s)--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|"[^"\n]*"|'[^'\n]*'"""
+_PYTHON = r"""(?s)#[^\n]*|\"{3}.*?\"{3}|'''.*?'''|"[^"\n]*"|'[^'\n]*'"""
+
+
 def script_strings(script: Column, language: Column) -> Column:
-    """String literals of a Lua or Python script that look like SQL.
+    """String literals of a Lua or Python script that look like SQL; comments are no literals.
 
     Lua: [[...]] and quoted strings; pieces joined by .. become one, with a
     space between. Python: triple-quoted and quoted strings; the fields of
     f-strings become ?.
     """
-    joined = F.regexp_replace(script, r"""(["'])\s*\.\.\s*["']""", " ")
-    lua = F.concat(F.regexp_extract_all(script, F.lit(r"(?s)\[\[(.*?)\]\]"), F.lit(1)), F.regexp_extract_all(joined, F.lit(r'"((?:[^"\\\n]|\\.)*)"'), F.lit(1)), F.regexp_extract_all(joined, F.lit(r"'((?:[^'\\\n]|\\.)*)'"), F.lit(1)))
-    plain = F.regexp_replace(script, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "")
-    python = F.concat(
-        F.regexp_extract_all(script, F.lit(r'(?s)"""(.*?)"""'), F.lit(1)), F.regexp_extract_all(script, F.lit(r"(?s)'''(.*?)'''"), F.lit(1)),
-        F.regexp_extract_all(plain, F.lit(r'"((?:[^"\\\n]|\\.)*)"'), F.lit(1)), F.regexp_extract_all(plain, F.lit(r"'((?:[^'\\\n]|\\.)*)'"), F.lit(1)),
-    )
-    python = F.transform(python, lambda s: F.regexp_replace(s, r"\{[^{}]*\}", "?"))
-    found = F.when(F.upper(language) == "PYTHON", python).otherwise(lua)
-    return F.transform(F.filter(found, looks_like_sql), unescaped)
+    aside = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES.items(), script)
+    lua = F.regexp_extract_all(F.regexp_replace(aside, r"""(["'])\s*\.\.\s*["']""", " "), F.lit(_LUA), F.lit(0))
+    python = F.regexp_extract_all(aside, F.lit(_PYTHON), F.lit(0))
 
+    def inner(s: Column) -> Column:
+        return F.when(F.startswith(s, F.lit('"""')) | F.startswith(s, F.lit("'''")), F.substring(s, F.lit(4), F.length(s) - 6)).when(F.startswith(s, F.lit("[[")), F.substring(s, F.lit(3), F.length(s) - 4)).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
 
-def script_refs(scripts: DataFrame, key: list[str], text: str, language: str, **names) -> DataFrame:
-    """table_refs of the SQL inside scripts, CTE names left out."""
-    pieces = scripts.select(*key, F.explode(script_strings(F.col(text), F.col(language))).alias("sql")).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("sql")), "\n;\n").alias("sql"))
-    return without_ctes(table_refs(pieces, key, "sql", **names), pieces, key, "sql")
+    def literals(found: Column, comment: str) -> Column:
+        return F.transform(F.filter(found, lambda s: ~F.startswith(s, F.lit(comment))), inner)
 
+    found = F.when(F.upper(language) == "PYTHON", F.transform(literals(python, "#"), lambda s: F.regexp_replace(s, r"\{[^{}]*\}", "?"))).otherwise(literals(lua, "--"))
+    back = lambda s: reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), _ESCAPES.items(), s)
+    return F.transform(F.filter(found, looks_like_sql), lambda s: unescaped(back(s)))
 
-def transformation_type(expression: Column) -> Column:
-    """Class of a projection by the shape of its text."""
-    e = F.btrim(expression, F.lit(" \t\n\r"))
-    call = F.upper(F.regexp_extract(e, r"(?s)^([A-Za-z_][A-Za-z0-9_]*)\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)$", 1))
-    return (
-        F.when(e.rlike(r"^[A-Za-z_][\w$]*(\.[A-Za-z_][\w$]*)*(\.\*)?$"), "DIRECT")
-        .when(e.rlike(r"(?is)^CASE\b.*\bEND$"), "CASE")
-        .when(call.isin("CAST", "TRY_CAST", "SAFE_CAST"), "CAST")
-        .when(call.isin(AGGREGATES), "AGGREGATE")
-        .when(call != "", "FUNCTION")
-        .when(e.rlike(r"\|\||[-+*/%]") & ~e.rlike(r"^[-+(]"), "EXPRESSION")
-        .otherwise("UNKNOWN")
-    )
 
+def script_refs(scripts: DataFrame, key: list[str], text: str, language: str, **names) -> DataFrame:
+    """table_refs of the SQL inside scripts, each literal a statement of its own."""
+    joined = F.array_join(script_strings(F.col(text), F.col(language)), "\n;\n")
+    return table_refs(scripts.select(*key, joined.alias("sql")), key, "sql", **names)
 
-def select_items(sql: Column) -> Column:
-    """array<struct<expression, name>> of the first SELECT list; commas inside two levels of parentheses don't split."""
-    body = F.regexp_extract(clean_view(sql), r"(?is)^\s*(?:WITH\b.*?\)\s*)?SELECT\s+(?:DISTINCT\s+)?(.*?)\s+FROM\s", 1)
-    items = F.split(body, r",(?![^()]*(?:\([^()]*\)[^()]*)*\))")
 
-    def named(x: Column) -> Column:
-        x = F.btrim(x, F.lit(" \t\n\r"))
-        alias = F.regexp_extract(x, r"(?is)\sAS\s+[\"`]?([A-Za-z_]\w*)[\"`]?$", 1)
-        expression = F.btrim(F.regexp_replace(x, r"(?is)\s+AS\s+[\"`]?[A-Za-z_]\w*[\"`]?$", ""), F.lit(" \t\n\r"))
-        own = F.when(expression.rlike(r"^[\w.$]+$"), F.element_at(F.split(expression, "\\."), -1)).otherwise(F.btrim(F.regexp_replace(expression, r"\s+", " ")))
-        return F.struct(expression.alias("expression"), F.when(alias != "", alias).otherwise(own).alias("name"))
+def select_items(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+    """key, item, words (the tokens of the expression), expression and name of each projection of the main SELECT.
 
-    return F.filter(F.transform(items, named), lambda x: x["expression"] != "")
+    The main SELECT is the first of those in the fewest parentheses. Commas
+    inside parentheses don't split. The name is the alias, with or without AS,
+    else the column's own name, else the text with single spaces.
+    """
+    t = tokens(rows, key, sql)
+    text = Window.partitionBy(*key)
+    place = F.struct(F.col("depth").alias("d"), F.col("pos").alias("p"))
+    t = t.withColumn("main", F.min(F.when(F.col("u") == "SELECT", place)).over(text)).where(F.col("pos") > F.col("main.p"))
+    same = F.col("depth") == F.col("main.d")
+    ends = same & F.col("u").isin("FROM", "UNION", "INTERSECT", "EXCEPT", "MINUS", "WHERE", "LIMIT", ";") & ~F.endswith("before", F.lit(" DISTINCT"))
+    closed = F.col("depth") < F.col("main.d")
+    ordered = text.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("done", F.coalesce(F.max(ends | closed).over(ordered), F.lit(False))).where(~F.col("done"))
+    comma = same & (F.col("t") == ",")
+    t = t.withColumn("item", F.sum(F.when(comma, 1).otherwise(0)).over(ordered)).where(~comma)
+    t = t.where(~(F.col("u").isin("DISTINCT", "ALL") & F.endswith(F.concat(F.lit(" "), "before"), F.lit(" SELECT"))))
+    word = F.struct("pos", "raw", "t", "u", (F.col("depth") - F.col("main.d")).alias("depth"), F.element_at(F.split("before", " "), -1).alias("prev"), "next", "query")
+    items = t.groupBy(*key, "item").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    n = F.size("words")
+    w = lambda k: F.try_element_at("words", F.lit(-k))
+    plain = _is_name(w(1)["t"]) & ~F.contains(w(1)["t"], F.lit(".")) & (w(1)["depth"] == 0)
+    given = plain & (n > 2) & (w(2)["u"] == "AS")
+    value = _is_name(w(2)["t"]) | w(2)["t"].rlike(r"^['0-9)]")
+    unit = F.coalesce(w(3)["u"] == "INTERVAL", F.lit(False))
+    bare = plain & (n > 1) & value & ~w(1)["u"].isin(_NO_ALIAS) & ~w(2)["u"].isin(_BEFORE_VALUE) & ~unit
+    items = items.withColumn("alias", F.when(given | bare, F.btrim(w(1)["t"], F.lit('"`')))).withColumn("words", F.slice("words", 1, F.when(given, n - 2).when(bare, n - 1).otherwise(n)))
+    expression = F.btrim(F.array_join(F.col("words.raw"), ""), F.lit(SPACE))
+    items = items.withColumn("expression", expression).where(F.col("expression") != "")
+    own = F.when((F.size("words") == 1) & _is_name(F.col("expression")), F.element_at(name_parts(F.col("expression")), -1)).otherwise(F.btrim(F.regexp_replace("expression", r"\s+", " ")))
+    return items.select(*key, "item", "words", "expression", F.coalesce("alias", own).alias("name"))
+
+
+def transformation_type(words: Column) -> Column:
+    """Class of a projection by the shape of its tokens (of ``select_items``)."""
+    first, second, last, n = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2)), F.try_element_at(words, F.lit(-1)), F.size(words)
+    call = _is_name(first["t"]) & (second["t"] == "(") & (last["t"] == ")") & F.forall(F.slice(words, 2, F.greatest(n - 2, F.lit(0))), lambda x: x["depth"] > 0)
+    binary = F.exists(words, lambda x: x["t"].isin(OPERATORS) & (x["depth"] == 0)) & ~first["t"].isin("-", "+", "(")
+    return (
+        F.when((n == 1) & _is_name(first["t"]), "DIRECT")
+        .when((first["u"] == "CASE") & (last["u"] == "END"), "CASE")
+        .when(call & first["u"].isin(CASTS), "CAST")
+        .when(call & first["u"].isin(AGGREGATES), "AGGREGATE")
+        .when(call, "FUNCTION")
+        .when(binary, "EXPRESSION")
+        .otherwise("UNKNOWN")
+    )
 
 
-def alias_map(sql: Column) -> Column:
-    """map alias -> table in capitals, of FROM and JOIN; a table without alias answers to its own last part."""
-    table = r"([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)"
-    stop = r"(?!(?:ON|WHERE|GROUP|ORDER|LEFT|RIGHT|INNER|FULL|CROSS|JOIN|UNION|HAVING|LIMIT|USING)\b)"
-    pattern = rf"(?i)\b(?:FROM|JOIN)\s+{table}(?:\s+(?:AS\s+)?{stop}([A-Za-z_]\w*))?"
-    tables, aliases = (F.regexp_extract_all(sql, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    own = F.transform(tables, lambda t: F.struct(F.upper(F.element_at(F.split(t, "\\."), -1)).alias("k"), F.upper(t).alias("v")))
-    given = F.zip_with(aliases, tables, lambda a, t: F.struct(F.upper(a).alias("k"), F.upper(t).alias("v")))
-    entries = F.concat(F.filter(given, lambda x: x["k"] != ""), own)
-    seen = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.map_from_entries(seen)
+def table_aliases(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+    """key, aliases: a map from each alias to its table in capitals; a table answers to its own last part too. The first of several holds."""
+    t = tokens(rows, key, sql)
+    kind = _table_kind(False)
+    follows = F.when(F.col("next") == "AS", F.col("after_next")).when(_is_name(F.col("next")) & ~F.col("next").isin(_AFTER_TABLE), F.col("next"))
+    found = t.where(kind.isin("FROM", "JOIN")).withColumn("parts", F.transform(name_parts(F.col("t")), lambda p: F.upper(p)))
+    full = F.array_join("parts", ".")
+    names = F.array(F.struct(F.lit(0).alias("rank"), "pos", F.btrim(follows, F.lit('"`')).alias("alias"), full.alias("name")), F.struct(F.lit(1).alias("rank"), "pos", F.element_at("parts", -1).alias("alias"), full.alias("name")))
+    each = found.select(*key, F.explode(names).alias("n")).select(*key, "n.*").where(F.col("alias").isNotNull())
+    first = each.groupBy(*key, "alias").agg(F.min_by("name", F.struct("rank", "pos")).alias("name"))
+    return first.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("aliases"))
 
 
 def column_lineage(views: DataFrame, key: str, sql: str) -> DataFrame:
@@ -177,14 +278,14 @@ def column_lineage(views: DataFrame, key: str, sql: str) -> DataFrame:
     Unqualified columns give no row; a column used twice gives two. Text beyond
     200 characters is cut to 197 and dots.
     """
-    rows = views.select(key, alias_map(F.col(sql)).alias("aliases"), F.explode(select_items(F.col(sql))).alias("item"))
-    kind = transformation_type(F.col("item.expression"))
-    text = F.when(F.length("item.expression") > 200, F.concat(F.substring("item.expression", 1, 197), F.lit("..."))).otherwise(F.col("item.expression"))
-    plain = F.regexp_replace("item.expression", r"'[^']*'", "''")
-    columns = F.regexp_extract_all(plain, F.lit(r"\b((?:[A-Za-z_][\w$]*\.)+(?:[A-Za-z_][\w$]*|\*))"), F.lit(1))
-    cols = rows.select(key, "aliases", "item", kind.alias("transformation_type"), text.alias("text"), F.explode(columns).alias("c"))
-    owner = F.upper(F.regexp_extract("c", r"^(.*)\.[^.]*$", 1))
+    items = select_items(views, [key], sql).withColumn("transformation_type", transformation_type(F.col("words")))
+    columns = F.filter("words", lambda x: _is_name(x["t"]) & F.contains(x["t"], F.lit(".")) & ~F.coalesce(x["next"] == "(", F.lit(False)) & ~(x["prev"].isin("FROM", "JOIN") & x["query"]))
+    text = F.when(F.length("expression") > 200, F.concat(F.substring("expression", 1, 197), F.lit("..."))).otherwise(F.col("expression"))
+    short = items.select(key, "name", "transformation_type", text.alias("text"), F.explode(F.transform(columns, lambda x: x["t"])).alias("c"))
+    parts = F.transform(name_parts(F.col("c")), lambda p: F.upper(p))
+    cols = short.withColumn("parts", parts).where(F.size("parts") > 1).join(table_aliases(views, [key], sql), key, "left")
+    owner = F.array_join(F.slice("parts", 1, F.size("parts") - 1), ".")
     return cols.select(
-        key, F.coalesce(F.col("aliases")[owner], owner).alias("source_object_id"), F.upper(F.element_at(F.split("c", "\\."), -1)).alias("source_column"),
-        F.upper("item.name").alias("target_column"), F.when(F.col("transformation_type") != "DIRECT", F.col("text")).alias("transformation"), "transformation_type",
+        key, F.coalesce(F.try_element_at("aliases", owner), owner).alias("source_object_id"), F.element_at("parts", -1).alias("source_column"),
+        F.upper("name").alias("target_column"), F.when(F.col("transformation_type") != "DIRECT", F.col("text")).alias("transformation"), "transformation_type",
     )

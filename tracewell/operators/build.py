@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from tracewell.functions.ids import dotted, first_filled, name_of, reference_id, schema_of, string_list
-from tracewell.functions.sqltext import column_lineage, create_target, script_refs, table_refs, without_ctes
+from tracewell.functions.ids import blank, dotted, first_filled, name_of, reference_id, schema_of, string_list
+from tracewell.functions.sqltext import column_lineage, create_target, named_refs, script_refs, table_refs
 from tracewell.schemas import WRITE_TYPES
 
 
@@ -40,17 +41,22 @@ def catalog_dependencies(rows: DataFrame, objects: DataFrame) -> DataFrame:
 
 def view_dependencies(views: DataFrame, objects: DataFrame, existing: DataFrame | None = None, **names) -> DataFrame:
     """views: id, definition. Resolved references into the view, without itself and without pairs that exist."""
-    refs = without_ctes(table_refs(views, ["id"], "definition", **names), views, ["id"], "definition")
+    refs = table_refs(views, ["id"], "definition", **names)
     found = resolve(refs, objects).where(F.col("object_id").isNotNull() & (F.col("object_id") != F.col("id")))
     edges = found.select(F.col("object_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("VIEW").alias("dependency_type"), "reference_type")
     edges = edges.groupBy("source_id", "target_id", "dependency_type").agg(F.min("reference_type").alias("reference_type")).select("source_id", "target_id", "dependency_type", "reference_type")
     return edges if existing is None else edges.join(existing.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
 
 
+def known_refs(scripts: DataFrame, objects: DataFrame, **names) -> DataFrame:
+    """script_refs with object_id, less those that no object answers to; what a script creates or drops stays, with a null object_id if unknown."""
+    refs = script_refs(scripts, ["id"], "script_text", "script_language", **names)
+    return resolve(refs, objects).where(F.col("object_id").isNotNull() | (F.col("reference_type") == "DDL"))
+
+
 def script_dependencies(scripts: DataFrame, objects: DataFrame, **names) -> DataFrame:
     """scripts: id, script_text, script_language. Written tables come after the script, read ones before it."""
-    refs = script_refs(scripts, ["id"], "script_text", "script_language", **names)
-    found = resolve(refs, objects).where(F.col("object_id").isNotNull() & (F.col("object_id") != F.col("id")))
+    found = known_refs(scripts, objects, **names).where(F.col("object_id").isNotNull() & (F.col("object_id") != F.col("id")))
     writes = F.col("reference_type").isin(WRITE_TYPES)
     return found.select(
         F.when(writes, F.col("id")).otherwise(F.col("object_id")).alias("source_id"), F.when(writes, F.col("object_id")).otherwise(F.col("id")).alias("target_id"),
@@ -62,10 +68,12 @@ def warehouse_dependencies(objects: DataFrame, project: str, dataset: str, **nam
     """objects: id, type, definition of the second platform. Edges (reads USES, a routine's writes WRITES) and placeholders for unknown references.
 
     References are looked up without regard to case before they become placeholders.
+    What a reference leaves out comes from the object's own id, else from project and dataset.
     """
+    own = lambda k: F.coalesce(blank(F.regexp_extract("id", r"^bigquery:([^.]+)\.([^.]+)\..+$", k)), F.lit((project, dataset)[k - 1]))
     text = objects.where(F.col("definition").isNotNull())
-    refs = without_ctes(table_refs(text, ["id", "type"], "definition", require_schema=True, **names), text, ["id", "type"], "definition")
-    wanted = reference_id(F.concat_ws(".", "ref_schema", "ref_name"), F.lit(project), F.lit(dataset))
+    refs = named_refs(text, ["id", "type"], "definition", require_schema=True, **names)
+    wanted = reference_id(F.concat_ws(".", "ref_catalog", "ref_schema", "ref_name"), own(1), own(2))
     known = objects.groupBy(F.lower("id").alias("low")).agg(F.min("id").alias("known_id"))
     found = refs.withColumn("wanted", wanted).join(known, F.lower("wanted") == F.col("low"), "left").withColumn("other", F.coalesce("known_id", "wanted"))
     found = found.where(F.col("other") != F.col("id"))
@@ -78,25 +86,31 @@ def warehouse_dependencies(objects: DataFrame, project: str, dataset: str, **nam
 
 
 def dag_dependencies(dags: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """dags: dag_id, source_tables and target_tables as JSON arrays. Read and write edges, and placeholders for unknown tables."""
+    """dags: dag_id, source_tables and target_tables as arrays or JSON texts of arrays. Read and write edges, and placeholders for unknown tables."""
+    texts = [c for c in ("source_tables", "target_tables") if not isinstance(dags.schema[c].dataType, ArrayType)]
+    dags = dags.withColumns({c: string_list(F.col(c)) for c in texts})
     dag = F.concat(F.lit("composer:"), F.col("dag_id"))
-    reads = dags.select(F.explode(string_list(F.col("source_tables"))).alias("t"), dag.alias("d")).select(
+    reads = dags.select(F.explode("source_tables").alias("t"), dag.alias("d")).select(
         F.concat(F.lit("bigquery:"), "t").alias("source_id"), F.col("d").alias("target_id"), F.lit("READS").alias("dependency_type"), F.lit("DAG_INPUT").alias("reference_type")
     )
-    writes = dags.select(F.explode(string_list(F.col("target_tables"))).alias("t"), dag.alias("d")).select(
+    writes = dags.select(F.explode("target_tables").alias("t"), dag.alias("d")).select(
         F.col("d").alias("source_id"), F.concat(F.lit("bigquery:"), "t").alias("target_id"), F.lit("WRITES").alias("dependency_type"), F.lit("DAG_OUTPUT").alias("reference_type")
     )
     ids = reads.select(F.col("source_id").alias("id")).unionByName(writes.select(F.col("target_id").alias("id")))
     return reads.unionByName(writes), placeholders(ids, objects)
 
 
-def corpus_graph(files: DataFrame, compat: bool = False, **names) -> tuple[DataFrame, DataFrame]:
-    """files: path, content. One object per CREATE target, a DATA edge from each referenced table; the target's own name only with compat."""
+def corpus_graph(files: DataFrame, compat: bool = False, text_chars: int | None = None, **names) -> tuple[DataFrame, DataFrame]:
+    """files: path, content. One object per CREATE target, a DATA edge from each referenced table; the target's own name only with compat.
+
+    sql_text is the whole file, or its first text_chars characters.
+    """
+    text = F.col("content") if text_chars is None else F.substring("content", 1, text_chars)
     made = files.withColumn("t", create_target(F.col("content"))).where(F.col("t").isNotNull())
     target = made.select("path", "content", F.upper(F.concat(F.lit("BIGQUERY."), F.col("t.full_name"))).alias("id"), F.col("t.name").alias("name"), F.col("t.object_type").alias("type"))
-    objects = target.groupBy("id").agg(F.min_by(F.struct("name", "type", F.col("path").alias("source_file"), F.substring("content", 1, 1000).alias("sql_text")), "path").alias("o")).select("id", "o.*")
-    refs = without_ctes(table_refs(target, ["id"], "content", **names), target, ["id"], "content")
-    edges = refs.select(F.concat(F.lit("BIGQUERY."), dotted(F.col("ref_schema"), F.col("ref_name"))).alias("source_id"), F.col("id").alias("target_id"), F.lit("DATA").alias("dependency_type"), "reference_type").distinct()
+    objects = target.groupBy("id").agg(F.min_by(F.struct("name", "type", F.col("path").alias("source_file"), text.alias("sql_text")), "path").alias("o")).select("id", "o.*")
+    refs = named_refs(target, ["path", "id"], "content", **names)
+    edges = refs.select(F.concat(F.lit("BIGQUERY."), dotted(F.col("ref_catalog"), F.col("ref_schema"), F.col("ref_name"))).alias("source_id"), F.col("id").alias("target_id"), F.lit("DATA").alias("dependency_type"), "reference_type").distinct()
     return objects, edges if compat else edges.where(F.col("source_id") != F.col("target_id"))
 
 
@@ -111,11 +125,17 @@ def view_column_dependencies(views: DataFrame, objects: DataFrame | None = None)
 
 def columns_by_name(deps: DataFrame, objects: DataFrame) -> DataFrame:
     """For view edges: source columns that a view column equals or whose name the view's text holds, class UNKNOWN."""
-    s = objects.select(F.col("id").alias("source_id"), F.explode("columns.name").alias("source_column"))
-    v = objects.where(F.col("type") == "VIEW").select(F.col("id").alias("target_id"), F.upper("definition").alias("text"), F.explode("columns.name").alias("target_column"))
+    names = F.transform("columns.name", lambda c: F.struct(c.alias("name"), F.upper(c).alias("up")))
+    s = objects.select(F.col("id").alias("source_id"), names.alias("sources"))
+    views = objects.where(F.col("type") == "VIEW")
+    v = views.select(F.col("id").alias("target_id"), F.upper("definition").alias("text"), names.alias("targets"))
+    # One row for each edge: which source columns the text holds is looked up once, and the text goes before columns are paired.
     pairs = deps.select("source_id", "target_id").join(s, "source_id").join(v, "target_id")
-    hit = (F.upper("source_column") == F.upper("target_column")) | F.contains(F.col("text"), F.upper("source_column"))
-    return pairs.where(hit).select(
+    inside = F.transform("sources", lambda c: F.struct(c["name"].alias("name"), c["up"].alias("up"), F.coalesce(F.contains("text", c["up"]), F.lit(False)).alias("held")))
+    each = pairs.select("source_id", "target_id", "targets", F.explode(inside).alias("s"))
+    hits = F.filter("targets", lambda t: F.col("s.held") | (t["up"] == F.col("s.up")))
+    found = each.select("source_id", "target_id", F.col("s.name").alias("source_column"), F.explode(F.transform(hits, lambda t: t["name"])).alias("target_column"))
+    return found.select(
         F.col("source_id").alias("source_object_id"), "source_column", F.col("target_id").alias("target_object_id"), "target_column",
         F.lit(None).cast("string").alias("transformation"), F.lit("UNKNOWN").alias("transformation_type"),
     )

@@ -252,3 +252,79 @@ def metadata_scripts(spark, sf_dir):
 @query(f"WITH d AS ({DAGS}), e AS (SELECT concat('p.d.a', c_nationkey) AS n FROM d UNION SELECT concat('p.d.b', c_custkey) FROM d UNION SELECT concat('p.d.z', c_custkey) FROM d WHERE c_custkey % 2 = 0) SELECT concat('bigquery:', n) AS id, 'p.d' AS schema, split_part(n, '.', 3) AS name, 'BIGQUERY_TABLE' AS type, 'External reference' AS description FROM e")
 def dag_placeholders(spark, sf_dir):
     return build.dag_dependencies(_sql(spark, sf_dir, DAGS), _sql(spark, sf_dir, CATALOG))[1]
+
+
+# Texts of many shapes: quoted and three-part names, comments, literals, comma joins, EXTRACT, subqueries, several statements.
+HARD = """SELECT c_custkey AS k, CASE c_custkey % 10
+WHEN 0 THEN concat('SELECT EXTRACT(YEAR FROM o.D), TRIM(LEADING FROM b.X) FROM S.A_', c_custkey, ' o, S.B_', c_nationkey, ' b WHERE o.ID = b.ID')
+WHEN 1 THEN concat('-- FROM S.COMMENTED\nSELECT ''FROM S.QUOTED'' FROM "S"."A_', c_custkey, '" /* JOIN S.GONE */ JOIN S.B_', c_nationkey, ' ON 1 = 1')
+WHEN 2 THEN concat('WITH q AS (SELECT * FROM S.A_', c_custkey, '), r (x) AS (SELECT 1) SELECT * FROM q, r JOIN (SELECT 1 FROM S.B_', c_nationkey, ') z ON q.x = z.x')
+WHEN 3 THEN concat('SELECT * FROM S.A_', c_custkey, ' a WHERE a.x IN (SELECT f(y, z) FROM S.B_', c_nationkey, ', S.C_1) AND a.p IS DISTINCT FROM a.q')
+WHEN 4 THEN concat('INSERT INTO S.A_', c_custkey, ' (x, y) SELECT g(a, b), c FROM S.B_', c_nationkey, ', UNNEST(arr) u; DROP TABLE IF EXISTS S.C_1')
+WHEN 5 THEN concat('CREATE TABLE IF NOT EXISTS S.A_', c_custkey, ' AS SELECT CASE WHEN x = ''it''''s (not'' THEN 1 END FROM S.B_', c_nationkey, ' b LEFT JOIN S.C_1 c USING (k), S.D_1')
+WHEN 6 THEN concat('MERGE INTO S.A_', c_custkey, ' t USING S.B_', c_nationkey, ' s ON t.k = s.k WHEN MATCHED THEN UPDATE SET x = 1')
+WHEN 7 THEN concat('UPDATE S.A_', c_custkey, ' SET x = (SELECT MAX(y) FROM S.B_', c_nationkey, ') WHERE v_z = 1; DELETE FROM S.C_1 WHERE k = 2')
+WHEN 8 THEN concat('SELECT * FROM (SELECT x FROM S.A_', c_custkey, ' UNION ALL SELECT x FROM S.B_', c_nationkey, ') u ORDER BY x, S.NOT_A_TABLE')
+ELSE concat('SELECT x FROM S.A_', c_custkey, ' JOIN SUM JOIN S.B_', c_nationkey, ' ON a(b, c), S.C_1 CROSS JOIN S.D_1 FOR UPDATE') END AS sql, c_nationkey AS n FROM customer"""
+
+
+@query(f"""WITH h AS ({HARD}), a AS (SELECT k, concat('A_', k) AS ref_name, CASE k % 10 WHEN 4 THEN 'INSERT' WHEN 5 THEN 'DDL' WHEN 6 THEN 'INSERT' WHEN 7 THEN 'UPDATE' ELSE 'SELECT' END AS reference_type FROM h),
+b AS (SELECT k, concat('B_', n) AS ref_name, CASE WHEN k % 10 IN (1, 9) THEN 'JOIN' ELSE 'SELECT' END AS reference_type FROM h WHERE k % 10 <> 6),
+c AS (SELECT k, 'C_1' AS ref_name, CASE k % 10 WHEN 4 THEN 'DDL' WHEN 5 THEN 'JOIN' ELSE 'SELECT' END AS reference_type FROM h WHERE k % 10 IN (3, 4, 5, 7, 9)),
+d AS (SELECT k, 'D_1' AS ref_name, CASE k % 10 WHEN 5 THEN 'SELECT' ELSE 'JOIN' END AS reference_type FROM h WHERE k % 10 IN (5, 9)),
+r AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)
+SELECT k, 'S' AS ref_schema, ref_name, reference_type, reference_type IN ('INSERT', 'UPDATE', 'DDL') AS is_target FROM r""")
+def sql_refs_hard(spark, sf_dir):
+    return sqltext.table_refs(_sql(spark, sf_dir, HARD), ["k"], "sql")
+
+
+@query(f"""WITH h AS ({HARD}) SELECT k, concat('A_', k) AS ref_name, CASE k % 10 WHEN 6 THEN 'MERGE' ELSE 'UPDATE' END AS reference_type FROM h WHERE k % 10 IN (6, 7)
+UNION ALL SELECT k, concat('B_', n), 'SELECT' FROM h WHERE k % 10 IN (6, 7) UNION ALL SELECT k, 'C_1', 'DELETE' FROM h WHERE k % 10 = 7""")
+def sql_refs_by_statement(spark, sf_dir):
+    rows = _sql(spark, sf_dir, HARD).where("k % 10 IN (6, 7)")
+    return sqltext.table_refs(rows, ["k"], "sql", by_statement=True).select("k", "ref_name", "reference_type")
+
+
+HARD_VIEWS = """SELECT concat('DWH.H_', c_custkey) AS id, CASE c_custkey % 6
+WHEN 0 THEN concat('SELECT EXTRACT(YEAR FROM o.D) AS Y, o.A || '', x'' AS AB FROM S.A_', c_custkey, ' o')
+WHEN 1 THEN concat('CREATE VIEW DWH.H AS SELECT F(G(H(I(o.A, 1), 2), 3), o.B) AS DEEP, o.C c2 -- o.GONE AS X,\n FROM S.A_', c_custkey, ' AS o')
+WHEN 2 THEN concat('SELECT (SELECT MAX(i.X) FROM S.I_1 i WHERE i.K = o.K) AS M, t.A B, COUNT(DISTINCT o.Z) FROM S.A_', c_custkey, ' o, T.B_', c_nationkey, ' t')
+WHEN 3 THEN concat('WITH w AS (SELECT q.N FROM S.Q_1 q) SELECT DISTINCT w.N, "o"."Mixed" AS "Named", o.P + 1 FROM w JOIN S.A_', c_custkey, ' o ON w.N = o.N')
+WHEN 4 THEN concat('SELECT CASE WHEN o.S = '',('' THEN o.T ELSE NULL END, -o.N AS NEG, SAFE_CAST(o.V AS INT64) AS V FROM `p.d.A_', c_custkey, '` o')
+ELSE concat('SELECT A_', c_custkey, '.X, o.* FROM S.A_', c_custkey, ' UNION ALL SELECT z.Y FROM S.Z_1 z') END AS definition, c_custkey AS k, c_nationkey AS n FROM customer"""
+
+
+@query(f"""WITH h AS ({HARD_VIEWS}), e(m, src, col, tgt, txt, kind) AS (VALUES
+(0, 'A', 'D', 'Y', 'EXTRACT(YEAR FROM o.D)', 'FUNCTION'), (0, 'A', 'A', 'AB', 'o.A || '', x''', 'EXPRESSION'),
+(1, 'A', 'A', 'DEEP', 'F(G(H(I(o.A, 1), 2), 3), o.B)', 'FUNCTION'), (1, 'A', 'B', 'DEEP', 'F(G(H(I(o.A, 1), 2), 3), o.B)', 'FUNCTION'), (1, 'A', 'C', 'C2', NULL, 'DIRECT'),
+(2, 'S.I_1', 'X', 'M', '(SELECT MAX(i.X) FROM S.I_1 i WHERE i.K = o.K)', 'UNKNOWN'), (2, 'S.I_1', 'K', 'M', '(SELECT MAX(i.X) FROM S.I_1 i WHERE i.K = o.K)', 'UNKNOWN'),
+(2, 'A', 'K', 'M', '(SELECT MAX(i.X) FROM S.I_1 i WHERE i.K = o.K)', 'UNKNOWN'), (2, 'B', 'A', 'B', NULL, 'DIRECT'), (2, 'A', 'Z', 'COUNT(DISTINCT O.Z)', 'COUNT(DISTINCT o.Z)', 'AGGREGATE'),
+(3, 'W', 'N', 'N', NULL, 'DIRECT'), (3, 'A', 'MIXED', 'NAMED', NULL, 'DIRECT'), (3, 'A', 'P', 'O.P + 1', 'o.P + 1', 'EXPRESSION'),
+(4, 'P', 'S', 'CASE WHEN O.S = '',('' THEN O.T ELSE NULL END', 'CASE WHEN o.S = '',('' THEN o.T ELSE NULL END', 'CASE'), (4, 'P', 'T', 'CASE WHEN O.S = '',('' THEN O.T ELSE NULL END', 'CASE WHEN o.S = '',('' THEN o.T ELSE NULL END', 'CASE'),
+(4, 'P', 'N', 'NEG', '-o.N', 'UNKNOWN'), (4, 'P', 'V', 'V', 'SAFE_CAST(o.V AS INT64)', 'CAST'),
+(5, 'A', 'X', 'X', NULL, 'DIRECT'), (5, 'O', '*', '*', NULL, 'DIRECT'))
+SELECT id, CASE src WHEN 'A' THEN concat('S.A_', k) WHEN 'B' THEN concat('T.B_', n) WHEN 'P' THEN concat('P.D.A_', k) ELSE src END AS source_object_id, col AS source_column, tgt AS target_column, txt AS transformation, kind AS transformation_type
+FROM h JOIN e ON m = k % 6""")
+def column_lineage_hard(spark, sf_dir):
+    return sqltext.column_lineage(_sql(spark, sf_dir, HARD_VIEWS), "id", "definition")
+
+
+HARD_ROUTINES = """SELECT concat('bigquery:p.d.v', c_custkey) AS id, 'BIGQUERY_VIEW' AS type, concat('SELECT * FROM `p.d.v', c_custkey + 1, '` JOIN p.d.V', c_custkey + 2, ' ON 1 = 1, e.t', c_nationkey, ' JOIN my-project.e.t', c_nationkey, ' -- JOIN d.gone') AS definition, c_custkey, c_nationkey FROM customer"""
+
+
+@query(f"""WITH r AS ({HARD_ROUTINES}), top AS (SELECT max(c_custkey) AS m FROM r), e AS (
+SELECT CASE WHEN c_custkey + 1 <= m THEN concat('bigquery:p.d.v', c_custkey + 1) ELSE concat('bigquery:P.D.V', c_custkey + 1) END AS source_id, id AS target_id, 'SELECT' AS reference_type FROM r, top
+UNION ALL SELECT CASE WHEN c_custkey + 2 <= m THEN concat('bigquery:p.d.v', c_custkey + 2) ELSE concat('bigquery:P.D.V', c_custkey + 2) END, id, 'JOIN' FROM r, top
+UNION ALL SELECT concat('bigquery:p.E.T', c_nationkey), id, 'SELECT' FROM r UNION ALL SELECT concat('bigquery:MY-PROJECT.E.T', c_nationkey), id, 'JOIN' FROM r)
+SELECT source_id, target_id, 'USES' AS dependency_type, reference_type FROM e""")
+def warehouse_deps_hard(spark, sf_dir):
+    return build.warehouse_dependencies(_sql(spark, sf_dir, HARD_ROUTINES), "p", "d")[0]
+
+
+@query(f"""WITH s AS ({SCRIPTS}), x AS (SELECT id, concat('make("CREATE TABLE NEW.N_', o_orderkey, ' AS SELECT 1 FROM CRM.C_', o_custkey, '") -- "DROP TABLE S.T"') AS t, o_orderkey, o_custkey FROM s), cat AS ({CATALOG})
+SELECT id, 'NEW' AS ref_schema, concat('N_', o_orderkey) AS ref_name, 'DDL' AS reference_type, NULL AS object_id FROM x UNION ALL SELECT x.id, 'CRM', concat('C_', o_custkey), 'SELECT', cat.id FROM x JOIN cat ON cat.id = concat('CRM.C_', o_custkey)""")
+def script_known_refs(spark, sf_dir):
+    scripts = _sql(spark, sf_dir, SCRIPTS).select(
+        "id", F.lit("LUA").alias("script_language"), F.concat(F.lit('make("CREATE TABLE NEW.N_'), "o_orderkey", F.lit(" AS SELECT 1 FROM CRM.C_"), "o_custkey", F.lit('") -- "DROP TABLE S.T"')).alias("script_text")
+    )
+    return build.known_refs(scripts, _sql(spark, sf_dir, CATALOG)).drop("is_target")
