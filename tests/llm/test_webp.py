@@ -220,13 +220,78 @@ def test_broken_files():
             W.decode_webp(bad)
 
 
+def test_extended_files():
+    img = _image(np.random.default_rng(0), 12, 12)
+    chunk = _file(img, [])[12:]
+    extended = b"WEBPVP8X" + (10).to_bytes(4, "little") + bytes(10) + b"EXIF" + (3).to_bytes(4, "little") + b"abc\0" + chunk
+    assert (W.decode_webp(b"RIFF" + len(extended).to_bytes(4, "little") + extended) == img).all()
+
+
 def test_round_trip_of_bytes():
     rng = np.random.default_rng(3)
     texts = [b"", b"a", b"x" * 64, b"ab" * 5000, bytes(rng.integers(0, 256, 9000, dtype=np.uint8)), *(bytes(rng.integers(97, 110, n, dtype=np.uint8)) for n in range(60, 160, 3))]
-    media = [W.to_media(W.payload_of(t)) for t in texts]
-    files = [W.split_files(m) for m in media]
-    tiles = iter(W.decode_tiles([f for fs in files for f in fs]))
-    for t, fs in zip(texts, files):
-        payload = np.concatenate([next(tiles) for _ in fs]).tobytes()
+    for t in texts:
+        payload = W.samples_of(W.to_media(W.payload_of(t))).tobytes()
         assert len(payload) % 64 == 0 and payload == t + b"\0" * (len(payload) - len(t)) and len(payload) >= 64
-        assert payload == b"".join((W.decode_webp(f) >> 8 & 255).astype(np.uint8).tobytes() for f in fs)
+
+
+def _steps(monkeypatch, media):
+    """What a general decode of the files runs: transforms, back-references, colour cache."""
+    seen = set()
+    for name in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_palette"):
+        monkeypatch.setattr(W, name, lambda *a, f=getattr(W, name), n=name: seen.add(n) or f(*a))
+    read = W.read_image
+
+    def watched(bits, width, height, main):
+        seen.update(["cache"] if bits.peek(1) else [])
+        return read(bits, width, height, main)
+
+    class Lengths(list):
+        def __getitem__(self, k):
+            seen.add("back-reference")
+            return super().__getitem__(k)
+
+    monkeypatch.setattr(W, "read_image", watched)
+    monkeypatch.setattr(W, "_LEAST", Lengths(W._LEAST))
+    return [W.decode_webp(f) for f in W.split_files(media)], seen
+
+
+def test_every_step_is_stored_where_it_pays(monkeypatch):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:96, :80]
+    noise = rng.integers(0, 4, (3, 96, 80))
+    smooth = (0xFF000000 | (x + noise[0]) << 16 | (y + noise[1]) << 8 | ((x + y) // 2 + noise[2])).astype(np.uint32)
+    g = rng.integers(0, 64, (96, 80))
+    tied = (0xFF000000 | (g + noise[0]) << 16 | g << 8 | (g + noise[1])).astype(np.uint32)
+    steep = np.cumsum(rng.integers(-3, 4, (96, 80)), axis=1)
+    crossed = (0xFF000000 | (steep * 2 & 255) << 16 | (steep & 255) << 8 | (steep * 3 & 255)).astype(np.uint32)
+    few = np.array([0xFF102030, 0xFFA0B0C0, 0x80FF0000], dtype=np.uint32)[rng.integers(0, 3, (50, 47))]
+    many = rng.integers(0, 1 << 32, 2000, dtype=np.uint32)
+    cached = many[(rng.integers(0, 12, 96 * 80) + np.arange(96 * 80) // 10).reshape(96, 80) % 2000]
+    text = (b"the same passage comes again and " * 60)[: 64 * 30]
+    images = [smooth, tied, crossed, few, cached, (np.frombuffer(text, dtype=np.uint8).astype(np.uint32) << 8 | 0xFF000000).reshape(-1, 64)]
+    media = b"".join(W.encode_webp(i) for i in images)
+    got, seen = _steps(monkeypatch, media)
+    assert all((a == b).all() for a, b in zip(got, images))
+    assert seen == {"undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_palette", "cache", "back-reference"}
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (9, 1), (5, 600), (513, 3)])
+def test_encoder_on_odd_shapes(shape):
+    rng = np.random.default_rng(shape[0])
+    for top in (1, 2, 3, 20, 1 << 32):
+        img = rng.integers(0, top, shape, dtype=np.uint32)
+        assert (W.decode_webp(W.encode_webp(img)) == img).all()
+
+
+def test_media_columns(spark):
+    good = W.encode_webp(np.arange(12, dtype=np.uint32).reshape(3, 4))
+    rows = [(1, 2, good), (2, 2, None), (3, 2, good[:-5]), (4, 2, b"RIFF"), (5, 2, b"")]
+    media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in W.decode_media(media).collect()}
+    assert len(got) == 5 and got[1].error is None and got[1].payload_bytes == 12
+    assert all(got[k].error and got[k].payload_sha256 is None for k in (2, 3, 4, 5))
+    px = {r.doc_id: r for r in W.pixel_arrays(media.withColumn("width", media.doc_id)).collect()}
+    assert (px[1].width, px[1].height) == (4, 3) and np.frombuffer(px[1].pixels, "<u4").tolist() == list(range(12))
+    assert all(px[k].pixels is None and px[k].error for k in (2, 3, 4, 5))
+    assert W.decode_media(media.limit(0)).count() == 0

@@ -1,13 +1,14 @@
-"""Lossless WebP: a decoder for still VP8L images, a literal encoder, and the column operators over them.
+"""Lossless WebP: decoder and encoder of still VP8L images, and the column operators over them.
 
-``decode_webp`` reads any VP8L image: prefix codes (also grouped by an entropy
-image), back-references, the colour cache, and the predictor, cross-colour,
-subtract-green and palette transforms, into ARGB pixels. ``decode_tiles`` does
-the same for many images at once and takes those that hold only literals in
-lockstep, one symbol of each image a step.
+``decode_webp`` reads any VP8L image, also within an extended file: prefix codes
+(grouped by an entropy image too), back-references, the colour cache, and the
+predictor, cross-colour, subtract-green and palette transforms, into ARGB pixels.
 
-``encode_tile`` stores bytes as the green samples of a picture 64 pixels wide
-under one prefix code; long payloads become a series of such files.
+``encode_webp`` takes the transforms and the colour cache whose symbols have the
+least entropy and refers back to earlier pixels. ``to_media`` stores bytes as the
+green samples of pictures 64 pixels wide; long payloads become a series of files.
+There, back-references pay for nearly every text and the palette for texts of up
+to sixteen byte values; the other steps pay for pictures.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_map, text_slices, utf8
 
 WIDTH, TILE_ROWS = 64, 64
 TILE = WIDTH * TILE_ROWS
 MAX_CODE = 12  # bits of the encoder's codes; the decoder takes the format's 15
-LOCKSTEP_LEAST = 24
+LONGEST = 48  # pixels of the encoder's back-references
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -56,6 +59,11 @@ class Bits:
         self.at, self.end = 0, 8 * len(data)
         self.data = data + b"\0" * 8
 
+    def words(self) -> list[int]:
+        """The 32 bits from each byte on."""
+        d = np.frombuffer(self.data, dtype=np.uint8).astype(np.uint32)
+        return (d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24).tolist()
+
     def peek(self, n: int) -> int:
         byte = self.at >> 3
         return int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
@@ -119,8 +127,11 @@ def read_prefix_code(bits: Bits, alphabet: int) -> PrefixCode:
             if code.only >= alphabet:
                 raise ValueError("no such symbol")
             return code
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        lengths[bits.read(8)] = 1
+        pair = (bits.read(8 if bits.read(1) else 1), bits.read(8))
+        if max(pair) >= alphabet:
+            raise ValueError("no such symbol")
+        for symbol in pair:
+            lengths[symbol] = 1
         return PrefixCode(lengths)
     code_lengths = [0] * 19
     for k in range(4 + bits.read(4)):
@@ -143,12 +154,9 @@ def read_prefix_code(bits: Bits, alphabet: int) -> PrefixCode:
     return PrefixCode(lengths)
 
 
-def _extended(bits: Bits, prefix: int) -> int:
-    """The value of a length or distance prefix with its extra bits."""
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
+# The extra bits of each length or distance prefix, and its least value.
+_EXTRA = [max(0, (p - 2) >> 1) for p in range(40)]
+_LEAST = [p + 1 if p < 4 else ((2 + (p & 1)) << _EXTRA[p]) + 1 for p in range(40)]
 
 
 def _subsampled(size: int, bits: int) -> int:
@@ -169,38 +177,80 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = max(groups_of) + 1
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
     groups = [[read_prefix_code(bits, n) for n in sizes] for _ in range(n_groups)]
-    out, total, at = [0] * (width * height), width * height, 0
-    cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    total = width * height
     green, red, blue, alpha, distance = groups[0]
-    while at < total:
-        if groups_of is not None:
-            y, x = divmod(at, width)
-            green, red, blue, alpha, distance = groups[groups_of[(y >> group_bits) * across + (x >> group_bits)]]
-        s = green.read(bits)
+    if n_groups == 1 and not any(c.width for c in (green, red, blue, alpha)) and green.only < 256:
+        return np.full(total, alpha.only << 24 | red.only << 16 | green.only << 8 | blue.only, dtype=np.uint32)
+    for group in groups:
+        for code in group:
+            code.lists = code.lists or (code.entry.tolist() if code.width else [code.only << 4])
+    out: list[int] = []
+    put, words, at, end = out.append, bits.words(), bits.at, bits.end
+    cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    group, many = None, groups_of is not None
+    while len(out) < total:
+        done = len(out)
+        chosen = groups[groups_of[(done // width >> group_bits) * across + (done % width >> group_bits)]] if many else groups[0]
+        if chosen is not group:
+            group = chosen
+            green, red, blue, alpha, distance = group
+            g_list, g_mask = green.lists, (1 << green.width) - 1
+            plain = not (red.width or blue.width or alpha.width)
+            constant = alpha.only << 24 | red.only << 16 | blue.only if plain else 0
+        for _ in range(1 if many or not plain else total - done):  # literals of one channel up to the next other symbol
+            entry = g_list[words[at >> 3] >> (at & 7) & g_mask]
+            at += entry & 15
+            if entry >= 4096 or not plain:
+                break
+            put(constant | entry >> 4 << 8)
+            if at > end:
+                raise ValueError("the image data ends early")
+        else:
+            continue
+        s, done = entry >> 4, len(out)
         if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out[at] = a << 24 | r << 16 | s << 8 | b
-            at += 1
+            pixel = s << 8
+            for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+                entry = code.lists[words[at >> 3] >> (at & 7) & ((1 << code.width) - 1)]
+                at += entry & 15
+                pixel |= entry >> 4 << place
+                if at > end:
+                    raise ValueError("the image data ends early")
+            put(pixel)
         elif s < 280:
-            run, far = _extended(bits, s - 256), _extended(bits, distance.read(bits))
+            extra = _EXTRA[s - 256]
+            run = _LEAST[s - 256] + (words[at >> 3] >> (at & 7) & ((1 << extra) - 1))
+            at += extra
+            if at > end:
+                raise ValueError("the image data ends early")
+            entry = distance.lists[words[at >> 3] >> (at & 7) & ((1 << distance.width) - 1)]
+            at += entry & 15
+            if at > end:
+                raise ValueError("the image data ends early")
+            extra = _EXTRA[entry >> 4]
+            far = _LEAST[entry >> 4] + (words[at >> 3] >> (at & 7) & ((1 << extra) - 1))
+            at += extra
             if far > 120:
                 far -= 120
             else:
                 dx, dy = DISTANCE_MAP[far - 1]
                 far = max(1, dx + dy * width)
-            if far > at or at + run > total:
+            if far > done or done + run > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(run):
-                out[at] = out[at - far]
-                at += 1
+            if far >= run:
+                out += out[done - far : done - far + run]
+            else:
+                out += (out[done - far :] * (run // far + 1))[:run]
         else:
-            while cached < at:
+            while cached < done:
                 cache[(CACHE_FACTOR * out[cached] & 0xFFFFFFFF) >> shift] = out[cached]
                 cached += 1
             if s - 280 >= len(cache):
                 raise ValueError("no such place in the colour cache")
-            out[at] = cache[s - 280]
-            at += 1
+            put(cache[s - 280])
+        if at > end:
+            raise ValueError("the image data ends early")
+    bits.at = at
     return np.array(out, dtype=np.uint32)
 
 
@@ -295,13 +345,20 @@ def _pack_bits(colours: int) -> int:
 
 
 def vp8l_payload(data: bytes) -> bytes:
-    """The VP8L chunk of a WebP file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or data[12:16] != b"VP8L":
-        raise ValueError("not a lossless WebP file")
-    size = struct.unpack("<I", data[16:20])[0]
-    if 20 + size > len(data):
-        raise ValueError("the file ends early")
-    return data[20 : 20 + size]
+    """The VP8L chunk of a WebP file, simple or extended; ValueError where there is none."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while at + 8 <= len(data):
+        size = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if data[at : at + 4] == b"VP8L":
+            if at + 8 + size > len(data):
+                raise ValueError("the file ends early")
+            return data[at + 8 : at + 8 + size]
+        if data[at : at + 4] in (b"VP8 ", b"ANMF"):
+            raise ValueError("a lossy or animated file")
+        at += 8 + size + (size & 1)
+    raise ValueError("no lossless image in the file")
 
 
 def _header(bits: Bits) -> tuple[int, int]:
@@ -394,6 +451,16 @@ class BitWriter:
         self.value |= value << self.at
         self.at += n
 
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Write each value with its number of bits."""
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
+            return
+        bit = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
+        stream = (np.repeat(values.astype(np.int64), sizes) >> bit & 1).astype(np.uint8)
+        self.write(int.from_bytes(np.packbits(stream, bitorder="little").tobytes(), "little"), int(ends[-1]))
+
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.at + 7) // 8, "little")
 
@@ -436,17 +503,6 @@ def write_prefix_code(out: BitWriter, lengths: list[int]) -> None:
         out.write(extra, n)
 
 
-def _constant_codes() -> tuple[int, int]:
-    """Bits of the codes for red 0, blue 0, alpha 255 and an unused distance."""
-    out = BitWriter()
-    for only in (0, 0, 255, 0):
-        write_prefix_code(out, [int(s == only) for s in range(max(2, only + 1))])
-    return out.value, out.at
-
-
-_CONSTANT = _constant_codes()
-
-
 def riff(chunk: bytes) -> bytes:
     padded = chunk + b"\0" * (len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + padded
@@ -457,85 +513,222 @@ def write_header(out: BitWriter, width: int, height: int, alpha: int = 0) -> Non
         out.write(value, n)
 
 
-def encode_tile(samples: np.ndarray) -> bytes:
-    """A WebP file of width 64 whose green samples are the bytes given, a multiple of 64 and at most 64 * 16384."""
-    head = BitWriter()
-    write_header(head, WIDTH, len(samples) // WIDTH)
-    head.write(0, 3)  # no transform, colour cache or entropy image
-    lengths = code_lengths(np.bincount(samples, minlength=ALPHABETS[0]))
-    write_prefix_code(head, lengths)
-    head.write(*_CONSTANT)
-    if sum(map(bool, lengths)) > 1:
-        n = np.array(lengths, dtype=np.int64)[samples]
-        codes = np.array(codes_of(lengths), dtype=np.int64)[samples]
-        ends = np.cumsum(n)
-        bit = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-        stream = (np.repeat(codes, n) >> bit & 1).astype(np.uint8)
-        lead = np.array([head.value >> k & 1 for k in range(head.at & ~7, head.at)], dtype=np.uint8)
-        whole = (head.value & ((1 << (head.at & ~7)) - 1)).to_bytes(head.at >> 3, "little")
-        return riff(whole + np.packbits(np.concatenate([lead, stream]), bitorder="little").tobytes())
-    return riff(head.bytes())
+def _prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number of lengths or distances."""
+    x = np.asarray(x, dtype=np.int64) - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    size = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((1 << size) - 1), size
+
+
+def _matches(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel the length of the match with the nearest earlier place that begins alike (0: none), and how far that is."""
+    n = len(px)
+    length, far = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if n <= least:
+        return length, far
+    key = np.zeros(n - least + 1, dtype=np.uint64)
+    for k in range(least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : n - least + 1 + k]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    live, before = order[same + 1], order[same]
+    far[live] = live - before
+    for k in range(LONGEST):
+        inside = live + k < n
+        live, before = live[inside], before[inside]
+        alike = px[live + k] == px[before + k]
+        live, before = live[alike], before[alike]
+        if not len(live):
+            break
+        length[live] += 1
+    return np.where(length >= least, length, 0), far
+
+
+def _bits_of(symbols: np.ndarray) -> float:
+    """Bits of the symbols under a code of their own."""
+    counts = np.bincount(symbols.ravel())
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+def _cache_hits(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether it stands there when its turn comes."""
+    slot = (px.astype(np.uint64) * CACHE_FACTOR & 0xFFFFFFFF) >> np.uint64(32 - bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(px), dtype=bool)
+    again = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    hit[order[1:][again]] = True
+    return slot.astype(np.int64), hit
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(DISTANCE_MAP)))}
+
+
+def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
+    """Entropy-coded pixels (uint32): the colour cache that pays, back-references, one prefix code group."""
+    channels = [(px >> s & 0xFF).astype(np.int64) for s in (8, 16, 0, 24)]
+    varied = [c for c in channels[1:] if (c != c[0]).any()]
+    cache_bits, slot, hit = 0, None, np.zeros(len(px), dtype=bool)
+    if varied:
+        least = sum(map(_bits_of, channels))
+        for bits in (4, 8):
+            s, h = _cache_hits(px, bits)
+            cost = _bits_of(np.where(h, 280 + s, channels[0])) + sum(_bits_of(c[~h]) for c in channels[1:] if not h.all())
+            if cost < least:
+                least, cache_bits, slot, hit = cost, bits, s, h
+    begins = range(len(px))
+    length = far = np.zeros(len(px), dtype=np.int64)
+    if (px != px[0]).any():
+        length, far = _matches(px, 3 if varied else 6)
+        at, begins, steps = 0, [], np.maximum(length, 1).tolist()
+        begin, n = begins.append, len(steps)
+        while at < n:
+            begin(at)
+            at += steps[at]
+    at = np.fromiter(begins, dtype=np.int64)
+    run, hit = length[at], hit[at]
+    back = run > 0
+    hit &= ~back
+    pixel = ~back & ~hit
+    symbol = channels[0][at]
+    more, more_bits, further, further_bits, place = (np.zeros(len(at), dtype=np.int64) for _ in range(5))
+    if back.any():
+        prefix, more[back], more_bits[back] = _prefixed(run[back])
+        symbol[back] = 256 + prefix
+        near = _near(width)
+        code = np.array([near.get(d, d + 120) for d in far[at][back].tolist()])
+        place[back], further[back], further_bits[back] = _prefixed(code)
+    if cache_bits:
+        symbol[hit] = 280 + slot[at][hit]
+    out.write(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.write(cache_bits, 4)
+    if main:
+        out.write(0, 1)
+    sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
+    used = [symbol, *(c[at][pixel] for c in channels[1:]), place[back]]
+    values, widths = np.zeros((len(at), 6), dtype=np.int64), np.zeros((len(at), 6), dtype=np.int64)
+    which = [slice(None), pixel, pixel, pixel, back]
+    for column, rows, symbols, size in zip((0, 2, 3, 4, 2), which, used, sizes):
+        lengths = code_lengths(np.bincount(symbols, minlength=size))
+        write_prefix_code(out, lengths)
+        if sum(map(bool, lengths)) > 1:
+            values[rows, column] = np.array(codes_of(lengths))[symbols]
+            widths[rows, column] = np.array(lengths)[symbols]
+    values[back, 1], widths[back, 1] = more[back], more_bits[back]
+    values[back, 3], widths[back, 3] = further[back], further_bits[back]
+    out.extend(values.ravel(), widths.ravel())
+
+
+def _residual(px: np.ndarray, mode: int) -> np.ndarray:
+    """Planes (all four, or green alone) less their prediction under one mode."""
+    h, w, _ = px.shape
+    flat = np.concatenate([np.zeros((w + 1, px.shape[2]), dtype=px.dtype), px.reshape(h * w, -1)])
+    at = np.arange(h * w) + w + 1
+    guess = _predict(mode, flat[at - 1], flat[at - w], flat[at - w - 1], flat[at - w + 1]).reshape(px.shape).copy()
+    guess[1:, 0] = px[:-1, 0]
+    guess[0, 1:] = px[0, :-1]
+    guess[0, 0] = (255, 0, 0, 0) if px.shape[2] == 4 else 0
+    return (px - guess) & 0xFF
+
+
+def _cost(planes: np.ndarray) -> float:
+    return sum(_bits_of(planes[..., k]) for k in range(planes.shape[2]))
+
+
+def _multiplier(own: np.ndarray, other: np.ndarray) -> int:
+    """The multiplier (32nds, signed byte) that takes most of other out of own."""
+    own, other = _signed(own).ravel().astype(np.float64), _signed(other).ravel().astype(np.float64)
+    return int(np.clip(round(32 * float(own @ other) / max(1.0, float(other @ other))), -128, 127))
+
+
+def _cross_coloured(planes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Planes less what green tells of red, and green and red of blue; and the element (one for all blocks)."""
+    a, r, g, b = (planes[..., k] for k in range(4))
+    g2r, g2b = _multiplier(r, g), _multiplier(b, g)
+    rest = (b - (g2b * _signed(g) >> 5)) & 0xFF
+    r2b = _multiplier(rest, r)
+    red = (r - (g2r * _signed(g) >> 5)) & 0xFF
+    blue = (rest - (r2b * _signed(r) >> 5)) & 0xFF
+    return np.stack([a, red, g, blue], axis=-1), (r2b & 255) << 16 | (g2b & 255) << 8 | g2r & 255
+
+
+def _without_green(planes: np.ndarray) -> np.ndarray:
+    out = planes.copy()
+    out[..., 1] -= planes[..., 2]
+    out[..., 3] -= planes[..., 2]
+    return out & 0xFF
+
+
+def encode_webp(argb: np.ndarray) -> bytes:
+    """A WebP file of ARGB pixels (height by width, uint32, sides of at most 16384)."""
+    h, w = argb.shape
+    out = BitWriter()
+    write_header(out, w, h, int((argb >> 24 != 255).any()))
+    grey = not ((argb ^ argb[0, 0]) & np.uint32(0xFFFF00FF)).any()  # only green varies
+    planes = (argb >> 8 & 0xFF).astype(np.int64)[..., None] if grey else _planes(argb)
+    colours = argb[0, 0] & np.uint32(0xFFFF00FF) | np.flatnonzero(np.bincount(planes.ravel())).astype(np.uint32) << 8 if grey else np.unique(argb)
+    options = [(_cost(planes), ())]
+    if len(colours) <= (16 if grey else 256):
+        index = np.searchsorted(colours, argb)
+        step = _pack_bits(len(colours))
+        each = 8 >> step
+        packed = np.zeros((h, _subsampled(w, step)), dtype=np.int64)
+        for k in range(1 << step):
+            part = index[:, k :: 1 << step]
+            packed[:, : part.shape[1]] |= part << (k * each)
+        options.append((_bits_of(packed) + 32.0 * len(colours), (PALETTE,)))
+    if len(colours) > 1:
+        least, mode, predicted = min(((_cost(r), m, r) for m in ((1, 2) if grey else (1, 2, 7, 11, 12)) for r in (_residual(planes, m),)), key=lambda x: x[:2])
+        options.append((least + 64, (PREDICTOR,)))
+        if not grey:
+            crossed, element = _cross_coloured(predicted)
+            options += [(_cost(crossed) + 160, (PREDICTOR, CROSS_COLOUR)), (_cost(_without_green(predicted)) + 68, (PREDICTOR, SUBTRACT_GREEN)), (_cost(_without_green(planes)) + 4, (SUBTRACT_GREEN,))]
+    _, plan = min(options)
+    for kind in plan:
+        out.write(1, 1)
+        out.write(kind, 2)
+        if kind == PALETTE:
+            out.write(len(colours) - 1, 8)
+            steps = np.diff(_planes(colours), axis=0, prepend=np.zeros((1, 4), dtype=np.int64))
+            write_image(out, _packed(steps), len(colours), False)
+            argb = (packed.astype(np.uint32) << 8) | np.uint32(0xFF000000)
+            w = argb.shape[1]
+        elif kind == SUBTRACT_GREEN:
+            argb = _packed(_without_green(_planes(argb)))
+        else:
+            out.write(7, 3)  # blocks of 512
+            across, down = _subsampled(w, 9), _subsampled(h, 9)
+            value = mode << 8 if kind == PREDICTOR else element
+            write_image(out, np.full(across * down, 0xFF000000 | value, dtype=np.uint32), across, False)
+            argb = _packed(_residual(_planes(argb), mode) if kind == PREDICTOR else crossed)
+    out.write(0, 1)
+    write_image(out, argb.ravel(), w, True)
+    return riff(out.bytes())
 
 
 def split_files(media: bytes) -> list[bytes]:
     """The WebP files of a series."""
     files, at = [], 0
     while at < len(media):
+        if at + 8 > len(media):
+            raise ValueError("the series ends early")
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
         files.append(media[at : at + size])
         at += size
     return files
 
 
-def decode_tiles(files: list[bytes]) -> list[np.ndarray]:
-    """Green samples of each file, row by row."""
-    out: list[np.ndarray | None] = [None] * len(files)
-    plain = []  # index, payload, first bit, code, pixels
-    for k, f in enumerate(files):
-        bits = Bits(vp8l_payload(f))
-        width, height = _header(bits)
-        if bits.read(3):
-            continue
-        green, *rest = (read_prefix_code(bits, n) for n in ALPHABETS)
-        if green.width == 0 and green.only < 256:
-            out[k] = np.full(width * height, green.only, dtype=np.uint8)
-        elif green.width <= MAX_CODE and green.most < 256 and not any(c.width for c in rest):
-            plain.append((k, bits.data, bits.at, green, width * height))
-    if len(plain) >= LOCKSTEP_LEAST:
-        _lockstep(plain, out)
-    for k, f in enumerate(files):
-        if out[k] is None:
-            out[k] = (decode_webp(f) >> 8 & 0xFF).astype(np.uint8).ravel()
-    return out
-
-
-def _lockstep(plain: list[tuple], out: list) -> None:
-    """One literal of every image a step; images stand in order of length, so those that go on are a prefix."""
-    plain.sort(key=lambda p: -p[4])
-    n = len(plain)
-    sizes = np.array([p[4] for p in plain])
-    data = np.frombuffer(b"".join(p[1] for p in plain) + b"\0" * 4, dtype=np.uint8)
-    first = np.cumsum([0, *(len(p[1]) for p in plain)])[:-1]
-    word = data[:-3].astype(np.uint32) | data[1:-2].astype(np.uint32) << 8 | data[2:-1].astype(np.uint32) << 16
-    at = 8 * first + np.array([p[2] for p in plain])
-    stop = 8 * np.array([len(p[1]) - 8 for p in plain]) + 8 * first
-    table = np.zeros((n, 1 << MAX_CODE), dtype=np.uint16)
-    for row, p in zip(table, plain):
-        row.reshape(-1, 1 << p[3].width)[:] = p[3].entry >> 4 | (p[3].entry & 15) << 8
-    table, base, mask = table.ravel(), np.arange(n) << MAX_CODE, (1 << MAX_CODE) - 1
-    pixels = np.zeros((int(sizes[0]), n), dtype=np.uint8)
-    goes = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # images longer than the step
-    live = n
-    for step in range(int(sizes[0])):
-        live = int(goes[step])
-        a = at[:live]
-        entry = table[base[:live] + (word[a >> 3] >> (a & 7).astype(np.uint32) & mask)]
-        pixels[step, :live] = entry & 0xFF
-        a += entry >> 8
-    if (at > stop).any():
-        raise ValueError("the image data ends early")
-    for column, p in enumerate(plain):
-        out[p[0]] = pixels[: p[4], column].copy()
+def samples_of(media: bytes) -> np.ndarray:
+    """The green samples of a series of files, row by row."""
+    files = split_files(media)
+    if not files:
+        raise ValueError("no file")
+    return np.concatenate([(decode_webp(f) >> 8 & 0xFF).astype(np.uint8).ravel() for f in files])
 
 
 def payload_of(text: bytes) -> bytes:
@@ -544,8 +737,9 @@ def payload_of(text: bytes) -> bytes:
 
 
 def to_media(payload: bytes) -> bytes:
-    samples = np.frombuffer(payload, dtype=np.uint8)
-    return b"".join(encode_tile(samples[a : a + TILE]) for a in range(0, len(samples), TILE))
+    """A series of WebP files of width 64 whose green samples are the payload, a multiple of 64 bytes."""
+    argb = np.frombuffer(payload, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(0xFF000000)
+    return b"".join(encode_webp(argb[a : a + TILE].reshape(-1, WIDTH)) for a in range(0, len(argb), TILE))
 
 
 def feature_of(samples: np.ndarray, width: int = WIDTH) -> str:
@@ -574,25 +768,59 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the digests of payload and media, and the feature, all of what the stored files decode to.
+    """doc_id, n_bytes, the digests of payload and media, the feature, and error, all of what the stored files decode to.
 
-    Null media give no row.
+    Null or broken media give a row with the reason in error and nulls in what
+    could not be read.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def read(m: bytes | None) -> tuple:
+        if m is None:
+            return (None, None, None, None, None, None, "null media")
+        stored = (len(m), hashlib.sha256(m).hexdigest())
+        try:
+            samples = samples_of(m)
+        except ValueError as e:
+            return (None, None, None, *stored, None, str(e))
+        payload = samples.tobytes()
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature_of(samples), None)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch.column(2)):
-                stored = batch.column(2).slice(i, j - i).to_pylist()
-                files = [split_files(m) for m in stored]
-                tiles = iter(decode_tiles([f for fs in files for f in fs]))
-                rows = []
-                for m, fs in zip(stored, files):
-                    samples = np.concatenate([next(tiles) for _ in fs])
-                    payload = samples.tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
-                kept = [batch.column(k).slice(i, j - i) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c) for c in zip(*rows))], names)
-
-    return arrow_map(media.select("doc_id", "n_bytes", "media").where(F.col("media").isNotNull()), decode, schema)
+                rows = list(map(read, batch.column(2).slice(i, j - i).to_pylist()))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *made], [c.split()[0] for c in schema.split(", ")])
+
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), decode, schema)
+
+
+def pixel_arrays(images: DataFrame, media: str = "media") -> DataFrame:
+    """images with width, height, pixels (ARGB as 32-bit little-endian integers, row by row) and error of one WebP file a row.
+
+    Null or broken files give null pixels and the reason in error; columns of
+    these four names in images are replaced.
+    """
+    kept = [c for c in images.columns if c not in ("width", "height", "pixels", "error")]
+    rows = images.select(*kept)
+    at = kept.index(media)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("width int, height int, pixels binary, error string").fields])
+
+    def read(m: bytes | None) -> tuple:
+        if m is None:
+            return (None, None, None, "null media")
+        try:
+            argb = decode_webp(bytes(m))
+        except ValueError as e:
+            return (None, None, None, str(e))
+        return (argb.shape[1], argb.shape[0], argb.astype("<u4").tobytes(), None)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):  # a picture can be large
+                made = [pa.array([v], t) for v, t in zip(read(batch.column(at)[r].as_py()), (pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(r, 1).columns, *made], schema.names)
+
+    return arrow_map(rows, decode, schema)
