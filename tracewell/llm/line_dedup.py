@@ -24,7 +24,7 @@ from .simhash import keep_first
 
 BROADCAST_ROWS = 20_000
 MAX_RATIO, MIN_PAGES = 0.1, 2
-SOURCE_RATIO = 0.005
+SOURCE_RATIO, SOURCE_PAGES = 0.005, 4  # what three documents of a small source share can't be told from chance
 
 
 def _hashes(line: Column) -> Column:
@@ -62,7 +62,7 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     return out.select(*carried, "kept", F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).alias("n_dropped"))
 
 
-def dedup_document_lines(docs: DataFrame, max_ratio: float = SOURCE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_document_lines(docs: DataFrame, max_ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_PAGES) -> DataFrame:
     """docs with the columns of documents, source taken as the host; text and n_chars are those of the lines that stay."""
     host, lines = F.col("source").alias("host"), F.split("text", "\n").alias("lines")
     packed = docs.select(host, lines, F.struct(*docs.columns).alias("doc"))

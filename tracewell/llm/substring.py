@@ -15,7 +15,7 @@ by key. The new run is merge-joined with the runs before it:
   compared one by one in a second step, by two independent 64-bit hashes.
 
 Runs beyond ``fanout`` are compacted into one that keeps the earliest record of
-each (key, ctx). Repeats inside an Arrow batch are found before any shuffle, so
+each (key, ctx), and the files of the old ones are deleted. Repeats inside an Arrow batch are found before any shuffle, so
 a passage that many documents share sends one record for each batch.
 """
 
@@ -33,11 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, park, shared_dir, text_slices, utf8, word_spans
+from .common import arrow_map, delete, park, shared_dir, text_slices, utf8, word_spans
 
 WINDOW, ANCHOR = 20, 6
 RANGE_BITS = 5  # a record covers at most WINDOW - ANCHOR + 1 window starts
 CHUNK = 1 << 20
+LONG_WORD = 256  # bytes; from there on a word is hashed by BLAKE2, as a polynomial modulo 2**64 is weak over long inputs
 _BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 RECORD = "key long, ctx long, doc_id long, at long, spans binary"
 
@@ -77,6 +78,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
         part = _mix(data[origin : int(ends[m - 1])].astype(np.uint64) + np.uint64(base))
         out[k:m] = range_hashes(part, starts[k:m] - origin, ends[k:m] - origin, base)
         k = m
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=base.to_bytes(8, "little")).digest()
+        out[k] = int.from_bytes(digest, "little")
     return out
 
 
@@ -230,14 +234,12 @@ class WindowIndex:
     spark: SparkSession
     fanout: int = 4
     runs: list[str] = field(default_factory=list)
-    tables: list[str] = field(default_factory=list)
 
     def _write_run(self, records: DataFrame) -> str:
         name = f"window_run_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = records.repartition(n, "key").sortWithinPartitions("key")
         dealt.write.bucketBy(n, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        self.tables.append(name)
         return name
 
     def ingest(self, docs: DataFrame) -> DataFrame:
@@ -247,13 +249,12 @@ class WindowIndex:
         """
         name = self._write_run(arrow_map(docs, _anchors, RECORD))
         table = self.spark.table(name)
-        done = table.where(F.col("at") < 0).select("doc_id", F.lit(None).cast("long").alias("at"), "spans", F.lit(True).alias("repeats"))
+        done = park(table.where(F.col("at") < 0).select("doc_id", F.lit(None).cast("long").alias("at"), "spans", F.lit(True).alias("repeats")), "window-done")
         new = table.where(F.col("at") >= 0).drop("spans")
         same = Window.partitionBy("key", "ctx").orderBy("doc_id", "at")
         first = F.first(F.struct("doc_id", "at")).over(same)
-        whole = Window.partitionBy("key")
-        new = new.withColumn("repeats", F.struct("doc_id", "at") != first)
-        new = new.withColumn("low", F.min("ctx").over(whole)).withColumn("high", F.max("ctx").over(whole)).withColumn("old", F.lit(False))
+        own = new.groupBy("key").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+        new = new.withColumn("repeats", F.struct("doc_id", "at") != first).join(own.hint("merge"), "key").withColumn("old", F.lit(False))
         partners = []
         for run in self.runs:
             old = self.spark.table(run).where(F.col("at") >= 0)
@@ -291,12 +292,19 @@ class WindowIndex:
             rows = part if rows is None else rows.unionByName(part)
         least = rows.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "at")).alias("r"))
         merged = least.select("key", "ctx", "r.doc_id", "r.at", F.lit(None).cast("binary").alias("spans"))
-        self.runs = [self._write_run(merged)]
+        old, self.runs = self.runs, [self._write_run(merged)]
+        for name in old:
+            self._drop(name)
 
-    def forget_tables(self) -> None:
-        """Take the runs out of the session's catalog; their files stay until the shared folder is cleaned."""
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, f"{shared_dir(self.spark)}/{name}")
+
+    def drop_runs(self) -> None:
+        """Delete all runs; marks that ingest gave stay valid."""
+        for name in self.runs:
+            self._drop(name)
+        self.runs = []
 
 
 def resolve(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -308,7 +316,7 @@ def resolve(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return marks.where("repeats").select("doc_id", "at", "spans").unionByName(later.select("doc_id", "at", "spans")).unionByName(records.where(F.col("at") < 0).select("doc_id", F.lit(None).cast("long").alias("at"), "spans"))
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, fanout: int = 4) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words that stay, joined by spaces) of every row of docs.
 
     Every word covered by a window that also starts earlier, in a document of
@@ -333,5 +341,5 @@ def substring_dedup(docs: DataFrame, batches: int = 2, fanout: int = 4) -> DataF
         marks = found if marks is None else marks.unionByName(found)
     repeats = park(resolve(known, marks), "window-repeats").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("spans").alias("spans"))
     rows = _packed(docs).join(repeats.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "packed", "at", "spans")
-    index.forget_tables()
+    index.drop_runs()
     return arrow_map(rows, _cut_texts, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
