@@ -62,7 +62,7 @@ def test_bounds(graph):
 
 def test_columns(graph):
     def rows(*args, **kw):
-        return {(r.level, f"{r.object_id}.{r.column}", f"{r.via_object_id}.{r.via_column}") for r in traverse.column_lineage(graph.column_deps, *args, **kw).collect()}
+        return {(r.level, f"{r.object_id}.{r.column}", f"{r.via_object_id}.{r.via_column}") for r in traverse.column_lineage(graph.walked_columns, *args, **kw).collect()}
 
     def seed(spark, o, c):
         return spark.createDataFrame([(o, o, c)], "seed string, object_id string, column string")
@@ -77,8 +77,8 @@ def test_columns(graph):
 
 def test_view_operators(graph):
     spark = graph.table_deps.sparkSession
-    shown = view.load(graph.objects_, graph.table_deps, "A")
-    bigger = view.expand(shown, graph.objects_, graph.table_deps, "B", FORWARD)
+    shown = view.load(graph.walked, "A")
+    bigger = view.expand(shown, graph.walked, "B", FORWARD)
     assert {r.source_id + r.target_id for r in bigger.edges.collect()} == {"DA", "AB", "AC", "BD"}
     smaller = view.collapse(shown, "A", BACKWARD)
     assert {r.id for r in smaller.nodes.collect()} == {"A", "B", "C"}
@@ -96,7 +96,7 @@ def test_against_plain_search(spark, trial):
     objects = spark.createDataFrame([(i,) for i in sorted(known)], "id string")
     deps = spark.createDataFrame([(s, t, "ETL", "SELECT", n) for n, (s, t) in enumerate(pairs)], DEPS)
     seeds = sorted(known)[:2]
-    found = traverse.traverse(objects, deps, spark.createDataFrame([(s, s) for s in seeds], "seed string, id string"), 2)
+    found = traverse.traverse(traverse.snapshot(objects, deps), spark.createDataFrame([(s, s) for s in seeds], "seed string, id string"), 2)
     got = {(r.seed, r.id, r.level) for r in found.nodes.collect()}
     want = set()
     for s in seeds:

@@ -48,8 +48,8 @@ def schema_of(id_: Column) -> Column:
 
 
 def hash_id(id_: Column) -> Column:
-    """A stable number below ten million."""
-    return F.pmod(F.xxhash64(id_), F.lit(10_000_000))
+    """A stable positive number of 63 bits."""
+    return F.xxhash64(id_).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def type_list(text: Column, prefix: str, name_key: str = "name", type_key: str = "data_type") -> Column:

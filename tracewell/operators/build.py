@@ -139,3 +139,10 @@ def columns_by_name(deps: DataFrame, objects: DataFrame) -> DataFrame:
         F.col("source_id").alias("source_object_id"), "source_column", F.col("target_id").alias("target_object_id"), "target_column",
         F.lit(None).cast("string").alias("transformation"), F.lit("UNKNOWN").alias("transformation_type"),
     )
+
+
+def corpus_counters(files: DataFrame, objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row about a run over repositories: repos and SQL files seen, objects and edges found. files: repo, path, content."""
+    seen = files.agg(F.countDistinct("repo").alias("repos_scanned"), F.countDistinct("path").alias("sql_files_parsed"))
+    found = objects.agg(F.count(F.lit(1)).alias("objects_found"))
+    return seen.join(found).join(edges.agg(F.count(F.lit(1)).alias("dependencies_found")))  # one row each

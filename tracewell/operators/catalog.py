@@ -57,7 +57,8 @@ def statistics(objects: DataFrame, table_deps: DataFrame, column_deps: DataFrame
 
 
 def inverted_index(objects: DataFrame, column: str) -> DataFrame:
-    return objects.groupBy(column).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    """Distinct (value, id) rows, the index of a schema, type or any other column; a value's ids are rows, as they can be many."""
+    return objects.select(column, "id").distinct()
 
 
 def adjacency(table_deps: DataFrame, direction: str = "forward", duplicates: bool = False) -> DataFrame:

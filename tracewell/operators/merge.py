@@ -52,12 +52,15 @@ def append_new(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(fresh.select(*base.columns))
 
 
-def merge_counters(objects: DataFrame, base_deps: DataFrame, merged_deps: DataFrame) -> DataFrame:
-    """objects from enrich_objects: added and enriched objects, added edges."""
+def _counted(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    return before.agg((-F.count(F.lit(1))).alias("n")).unionAll(after.agg(F.count(F.lit(1)))).agg(F.sum("n").alias(name))
+
+
+def merge_counters(objects: DataFrame, base_deps: DataFrame, merged_deps: DataFrame, base_columns: DataFrame | None = None, merged_columns: DataFrame | None = None) -> DataFrame:
+    """objects from enrich_objects: added and enriched objects, added edges and, where given, added column edges."""
     a = objects.agg(F.count_if("added").alias("added_objects"), F.count_if("enriched").alias("enriched_objects"))
-    before = base_deps.agg(F.count(F.lit(1)).alias("before"))
-    after = merged_deps.agg(F.count(F.lit(1)).alias("after"))
-    return a.join(before).join(after).select("added_objects", "enriched_objects", (F.col("after") - F.col("before")).alias("added_dependencies"))
+    out = a.join(_counted(base_deps, merged_deps, "added_dependencies"))  # one row each
+    return out if base_columns is None else out.join(_counted(base_columns, merged_columns, "added_column_dependencies"))
 
 
 def prefixed(c: Column, prefix: str = "exasol:") -> Column:

@@ -1,20 +1,77 @@
 """Depth-limited breadth-first lineage for many seeds at once.
 
-The driver loops over levels only; each level is one join of the frontier with
-the edges, deduplicated and reduced by what was visited, and written out. Nodes
+A graph is reduced once and stored in hash buckets of source and of target
+(``snapshot``). The driver then loops over levels only: each level reads the
+buckets that its frontier lies in, joins them with the frontier (broadcast where
+it was counted and is small), drops what was visited, and is written out. Nodes
 of all seeds travel together, so a batch of roots costs as many jobs as one.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.storage import park
+from tracewell.storage import park, shared_dir
 
 FORWARD, BACKWARD = "forward", "backward"
+ROWS_PER_BUCKET, MOST_BUCKETS, FRONTIER_ROWS = 200_000, 4096, 20_000
+COLUMN_KEYS = ["source_object_id", "source_column", "target_object_id", "target_column"]
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A table in hash buckets of a column."""
+
+    rows: DataFrame
+    key: str
+    buckets: int
+
+    def beside(self, frontier: DataFrame) -> DataFrame:
+        """The rows whose key is an id of the frontier, with the frontier's columns; other buckets are not read."""
+        n, wanted = frontier.agg(F.count(F.lit(1)), F.collect_set(_bucket(F.col("id"), self.buckets))).first()  # at most one number a bucket
+        rows = self.rows if len(wanted) == self.buckets else self.rows.where(F.col("bucket").isin(wanted))
+        near = F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier
+        return rows.drop("bucket").withColumnRenamed(self.key, "id").join(near, "id").withColumnRenamed("id", self.key)
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def store(df: DataFrame, key: str, buckets: int, name: str) -> Stored:
+    """Write df by buckets of key; AQE splits a bucket that a hub makes large into several files."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    dealt = df.withColumn("bucket", _bucket(F.col(key), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
+    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    return Stored(df.sparkSession.read.schema(dealt.schema).parquet(path), key, buckets)
+
+
+def _buckets_for(rows: int) -> int:
+    return min(MOST_BUCKETS, max(1, rows // ROWS_PER_BUCKET))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A graph ready to be walked: ids of objects, and one edge for each pair by source and by target."""
+
+    ids: Stored
+    by_source: Stored
+    by_target: Stored
+
+    def side(self, direction: str) -> Stored:
+        return self.by_source if direction == FORWARD else self.by_target
+
+
+def snapshot(objects: DataFrame, table_deps: DataFrame) -> Snapshot:
+    """Reduce the edges (last wins) and store them both ways."""
+    edges = park(last_wins(table_deps), "edges")
+    n = _buckets_for(edges.count())
+    ids = objects.select("id").distinct().withColumn("known", F.lit(True))
+    return Snapshot(store(ids, "id", n, "ids"), store(edges, "source_id", n, "edges-source"), store(edges, "target_id", n, "edges-target"))
 
 
 @dataclass
@@ -31,19 +88,18 @@ def last_wins(table_deps: DataFrame) -> DataFrame:
     return table_deps.groupBy("source_id", "target_id").agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select("source_id", "target_id", "e.*")
 
 
-def levels(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> DataFrame:
+def levels(graph: Snapshot, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> DataFrame:
     """seed, id, level, known for everything reached within depth (None: without limit).
 
-    edges: one row for each pair, best a stored table, as every level reads it.
     seeds and visited: seed, id. Ids without an object are reached but not
     followed (known is false); visited ids have level -1 and are never entered.
     """
-    near, far = ("source_id", "target_id") if direction == FORWARD else ("target_id", "source_id")
-    step = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
-    ids = park(objects.select("id").distinct(), "ids").withColumn("known", F.lit(True))
+    far = "target_id" if direction == FORWARD else "source_id"
 
     def marked(reached: DataFrame, level: int) -> DataFrame:
-        return reached.join(ids, "id", "left").select("seed", "id", F.lit(level).alias("level"), F.coalesce("known", F.lit(False)).alias("known"))
+        fresh = park(reached.select("seed", "id"), "bfs-reached")
+        found = graph.ids.beside(fresh.select("id").distinct()).select("id", "known")
+        return fresh.join(found, "id", "left").select("seed", "id", F.lit(level).alias("level"), F.coalesce("known", F.lit(False)).alias("known"))
 
     start = seeds.select("seed", "id").distinct()
     frontier = park(marked(start, 0), "bfs")
@@ -53,7 +109,7 @@ def levels(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int |
         seen = seen.unionByName(before.select("seed", "id", F.lit(-1).alias("level"), F.lit(False).alias("known")))
     level = 0
     while depth is None or level < depth:
-        reached = frontier.where("known").select("seed", "id").join(step, "id").select("seed", F.col("next").alias("id")).distinct()
+        reached = graph.side(direction).beside(frontier.where("known").select("seed", "id")).select("seed", F.col(far).alias("id")).distinct()
         level += 1
         frontier = park(marked(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), level), "bfs")
         if frontier.isEmpty():
@@ -62,44 +118,36 @@ def levels(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int |
     return seen
 
 
-def _has_more(nodes: DataFrame, reached: DataFrame, pairs: DataFrame, near: str, far: str, name: str) -> DataFrame:
+def _has_more(nodes: DataFrame, reached: DataFrame, side: Stored, far: str, name: str) -> DataFrame:
     """A neighbour is more if it wasn't reached or lies on a later level."""
     other = reached.select("seed", F.col("id").alias("neighbour"), F.col("level").alias("other_level"))
-    beside = nodes.select("seed", "id", "level").join(pairs.select(F.col(near).alias("id"), F.col(far).alias("neighbour")), "id")
+    beside = side.beside(nodes.select("seed", "id", "level")).select("seed", F.col(side.key).alias("id"), "level", F.col(far).alias("neighbour"))
     found = beside.join(other, ["seed", "neighbour"], "left")
     more = F.max(F.col("other_level").isNull() | (F.col("other_level") > F.col("level")))
     return found.groupBy("seed", "id").agg(more.alias(name))
 
 
-def traverse(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> Lineage:
+def traverse(graph: Snapshot, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> Lineage:
     """Nodes within depth of the seeds with their flags, and every edge out of the nodes that were expanded.
 
     Edges lead also to visited and to unknown ids; of several edges between two
-    ids the last wins. An unknown seed gives no rows. Edges are reduced once and
-    stored, so that a level costs one join of the frontier with them.
+    ids the last wins. An unknown seed gives no rows.
     """
-    return _traverse(objects, park(last_wins(table_deps), "edges"), seeds, depth, direction, visited)
-
-
-def _traverse(objects: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str, visited: DataFrame | None = None) -> Lineage:
-    reached = levels(objects, edges, seeds, depth, direction, visited)
+    reached = levels(graph, seeds, depth, direction, visited)
     nodes = reached.where("known").select("seed", "id", "level")
-    pairs = edges.select("source_id", "target_id")
-    flags = {"has_more_upstream": ("target_id", "source_id"), "has_more_downstream": ("source_id", "target_id")}
+    flags = {"has_more_upstream": (graph.by_target, "source_id"), "has_more_downstream": (graph.by_source, "target_id")}
     out = nodes
-    for name, (near, far) in flags.items():
-        out = out.join(_has_more(nodes, reached, pairs, near, far, name), ["seed", "id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    near = "source_id" if direction == FORWARD else "target_id"
+    for name, (side, far) in flags.items():
+        out = out.join(_has_more(nodes, reached, side, far, name), ["seed", "id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     open_nodes = nodes if depth is None else nodes.where(F.col("level") < depth)
-    followed = open_nodes.select("seed", F.col("id").alias(near)).join(edges, near).select("seed", *edges.columns)
-    return Lineage(out.select("seed", "id", "level", *flags), followed)
+    followed = graph.side(direction).beside(open_nodes.select("seed", "id"))
+    return Lineage(out.select("seed", "id", "level", *flags), followed.select("seed", "source_id", "target_id", "dependency_type", "reference_type"))
 
 
-def full(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, upstream_depth: int, downstream_depth: int) -> Lineage:
+def full(graph: Snapshot, seeds: DataFrame, upstream_depth: int, downstream_depth: int) -> Lineage:
     """Both directions with their own visited sets; where both have a node, the downstream run's flags hold and the level is the smaller."""
-    edges = park(last_wins(table_deps), "edges")
-    up = _traverse(objects, edges, seeds, upstream_depth, BACKWARD)
-    down = _traverse(objects, edges, seeds, downstream_depth, FORWARD)
+    up = traverse(graph, seeds, upstream_depth, BACKWARD)
+    down = traverse(graph, seeds, downstream_depth, FORWARD)
     both = up.nodes.withColumn("run", F.lit(0)).unionByName(down.nodes.withColumn("run", F.lit(1)))
     flags = ["has_more_upstream", "has_more_downstream"]
     nodes = both.groupBy("seed", "id").agg(F.min("level").alias("level"), *(F.max_by(c, "run").alias(c) for c in flags))
@@ -107,24 +155,49 @@ def full(objects: DataFrame, table_deps: DataFrame, seeds: DataFrame, upstream_d
     return Lineage(nodes, edges)
 
 
-def column_steps(column_deps: DataFrame, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
+@dataclass(frozen=True)
+class ColumnSnapshot:
+    """Column edges ready to be walked, one for each pair of columns, by source and by target object."""
+
+    by_source: Stored
+    by_target: Stored
+
+
+def column_snapshot(column_deps: DataFrame) -> ColumnSnapshot:
+    """Reduce the column edges (last wins) and store them both ways."""
+    rest = ["transformation", "transformation_type"]
+    edges = park(column_deps.groupBy(*COLUMN_KEYS).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*COLUMN_KEYS, "e.*"), "column-edges")
+    n = _buckets_for(edges.count())
+    return ColumnSnapshot(store(edges, "source_object_id", n, "columns-source"), store(edges, "target_object_id", n, "columns-target"))
+
+
+def resolve_columns(wanted: DataFrame, column_deps: DataFrame) -> DataFrame:
+    """wanted (object_id, column) with found: the object's column of that exact name, else the smallest that differs in case only, else null."""
+    ends = column_deps.select(F.col("source_object_id").alias("o"), F.col("source_column").alias("found")).unionByName(
+        column_deps.select(F.col("target_object_id").alias("o"), F.col("target_column").alias("found"))
+    )
+    near = wanted.select("object_id", "column").distinct().join(ends, (F.col("object_id") == F.col("o")) & (F.upper("column") == F.upper("found")))
+    best = near.groupBy("object_id", "column").agg(F.min_by("found", F.struct(F.col("found") != F.col("column"), "found")).alias("found"))
+    return wanted.join(best, ["object_id", "column"], "left")
+
+
+def column_steps(graph: ColumnSnapshot, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     """Column lineage as a tree: one row for each column discovered.
 
     seeds: seed, object_id, column. Of several parents on the level before, the
     smallest (object_id, column) is taken; among edges of one pair the last
     wins. The start itself is never in the result, and columns need no object.
     """
-    keys = ["source_object_id", "source_column", "target_object_id", "target_column"]
     rest = ["transformation", "transformation_type"]
-    edges = park(column_deps.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*keys, "e.*"), "column-edges")
     source, target = F.struct(F.col("source_object_id").alias("object_id"), F.col("source_column").alias("column")), F.struct(F.col("target_object_id").alias("object_id"), F.col("target_column").alias("column"))
-    near, far = (source, target) if direction == "downstream" else (target, source)
-    step = edges.select(near.alias("parent"), far.alias("node"), *rest)
+    side, near, far = (graph.by_source, source, target) if direction == "downstream" else (graph.by_target, target, source)
     frontier = seeds.select("seed", F.struct("object_id", "column").alias("node")).distinct()
     seen, found = frontier, None
     choice = Window.partitionBy("seed", "node").orderBy("parent")
     for level in range(1, depth + 1):
-        reached = frontier.withColumnRenamed("node", "parent").join(step, "parent").join(seen, ["seed", "node"], "left_anti")
+        asked = frontier.select("seed", F.col("node").alias("parent"), F.col("node.object_id").alias("id"))
+        step = side.beside(asked).where(near == F.col("parent")).select("seed", "parent", far.alias("node"), *rest)
+        reached = step.join(seen, ["seed", "node"], "left_anti")
         best = reached.withColumn("place", F.row_number().over(choice)).where("place = 1")
         rows = park(best.select("seed", F.lit(level).alias("level"), "parent", "node", *rest), "columns")
         if rows.isEmpty():
@@ -146,11 +219,11 @@ def _no_steps(seeds: DataFrame) -> DataFrame:
     return seeds.where(F.lit(False)).select("seed", F.lit(0).alias("level"), key.alias("parent"), key.alias("node"), none.alias("transformation"), none.alias("transformation_type"))
 
 
-def column_lineage(column_deps: DataFrame, seeds: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
+def column_lineage(graph: ColumnSnapshot, seeds: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
     """Upstream rows, then downstream rows, with visited sets of their own."""
     if direction not in ("upstream", "downstream", "both"):
         raise ValueError("direction is upstream, downstream or both")
-    parts = [column_steps(column_deps, seeds, depth, d) for d in ("upstream", "downstream") if direction in (d, "both")]
+    parts = [column_steps(graph, seeds, depth, d) for d in ("upstream", "downstream") if direction in (d, "both")]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

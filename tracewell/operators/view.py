@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.traverse import BACKWARD, FORWARD, full, levels, traverse
+from tracewell.operators.traverse import BACKWARD, FORWARD, Snapshot, full, levels, snapshot, traverse
 
 PAIR = ["source_id", "target_id"]
 
@@ -23,29 +23,34 @@ class View:
     edges: DataFrame
 
 
-def _seed(objects: DataFrame, id_: str) -> DataFrame:
-    return objects.sparkSession.createDataFrame([(id_, id_)], "seed string, id string")
+def _seed(rows: DataFrame, id_: str) -> DataFrame:
+    return rows.sparkSession.createDataFrame([(id_, id_)], "seed string, id string")
 
 
-def load(objects: DataFrame, table_deps: DataFrame, root: str) -> View:
+def load(graph: Snapshot, root: str) -> View:
     """The root with one step both ways; also what collapsing everything returns to."""
-    found = full(objects, table_deps, _seed(objects, root), 1, 1)
+    found = full(graph, _seed(graph.ids.rows, root), 1, 1)
     return View(root, found.nodes.drop("seed"), found.edges.drop("seed"))
 
 
-def expand(view: View, objects: DataFrame, table_deps: DataFrame, id_: str, direction: str = FORWARD) -> View:
-    """Add one step from a node. Known nodes take the new flags; only new nodes and edges are added."""
-    found = traverse(objects, table_deps, _seed(objects, id_), 1, direction)
+def expand(view: View, graph: Snapshot, id_: str, direction: str = FORWARD) -> View:
+    """Add one step from a node. Known nodes take the new flags; only new nodes and edges are added.
+
+    A new node's level is a step beyond that of the node it was reached from.
+    """
+    found = traverse(graph, _seed(graph.ids.rows, id_), 1, direction)
     flags = ["has_more_upstream", "has_more_downstream"]
-    fresh = found.nodes.select("id", *(F.col(c).alias(f"new_{c}") for c in flags))
-    nodes = view.nodes.join(fresh, "id", "full_outer").select("id", "level", *(F.coalesce(f"new_{c}", c).alias(c) for c in flags))
+    own = view.nodes.where(F.col("id") == id_).select(F.col("level").alias("own_level"))
+    fresh = found.nodes.join(F.broadcast(own), how="left").select("id", (F.coalesce("own_level", F.lit(0)) + F.col("level")).alias("new_level"), *(F.col(c).alias(f"new_{c}") for c in flags))  # own: one row
+    nodes = view.nodes.join(fresh, "id", "full_outer").select("id", F.coalesce("level", "new_level").alias("level"), *(F.coalesce(f"new_{c}", c).alias(c) for c in flags))
     edges = view.edges.unionByName(found.edges.drop("seed").join(view.edges.select(*PAIR), PAIR, "left_anti"))
     return View(view.root, nodes, edges)
 
 
 def collapse(view: View, id_: str, direction: str = FORWARD) -> View:
     """Drop what the visible edges reach from a node in one direction, never the root; edges that lose an end go too."""
-    reached = levels(view.nodes, view.edges, _seed(view.nodes, id_), None, direction)
+    shown = snapshot(view.nodes, view.edges if "seq" in view.edges.columns else view.edges.withColumn("seq", F.lit(0).cast("long")))
+    reached = levels(shown, _seed(view.nodes, id_), None, direction)
     gone = reached.where((F.col("level") > 0) & (F.col("id") != view.root)).select("id").distinct()
     nodes = view.nodes.join(gone, "id", "left_anti")
     near = "source_id" if direction == FORWARD else "target_id"

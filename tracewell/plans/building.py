@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tracewell.functions import ids, sqltext
-from tracewell.operators import bridge, build, merge
+from tracewell.functions import formats, ids, sqltext
+from tracewell.operators import bridge, build, merge, view
 from tracewell.operators import catalog as operators_catalog
 from tracewell.plans.derive import _sql
-from tracewell.sources import catalog
+from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform
+from tracewell.sources import cache, catalog, corpus
+from tracewell.storage import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -81,9 +85,9 @@ def resolve_refs(spark, sf_dir):
     return build.resolve(refs, _sql(spark, sf_dir, CATALOG)).select("id", F.concat_ws(".", "ref_schema", "ref_name").alias("wanted"), "object_id")
 
 
-@query(f"{_RESOLVED} SELECT DISTINCT object_id AS source_id, id AS target_id, 'VIEW' AS dependency_type FROM found WHERE object_id IS NOT NULL")
+@query(f"{_RESOLVED} SELECT object_id AS source_id, id AS target_id, 'VIEW' AS dependency_type, min(CASE WHEN w LIKE 'CRM.%' THEN 'SELECT' ELSE 'JOIN' END) AS reference_type FROM found WHERE object_id IS NOT NULL GROUP BY object_id, id")
 def view_deps(spark, sf_dir):
-    return build.view_dependencies(_sql(spark, sf_dir, VIEWS), _sql(spark, sf_dir, CATALOG)).drop("reference_type")
+    return build.view_dependencies(_sql(spark, sf_dir, VIEWS), _sql(spark, sf_dir, CATALOG))
 
 
 @query(f"""WITH s AS ({SCRIPTS}), cat AS ({CATALOG}), r AS (SELECT id, concat('CRM.C_', o_custkey) AS t, 'SELECT' AS k FROM s UNION ALL SELECT id, concat('STG.O_', o_orderkey), CASE WHEN o_orderkey % 2 = 0 THEN 'INSERT' ELSE 'UPDATE' END FROM s)
@@ -114,9 +118,9 @@ ROUTINES = "SELECT concat('bigquery:p.d.r', c_custkey) AS id, CASE WHEN c_custke
 
 
 @query(f"""WITH r AS ({ROUTINES}) SELECT CASE WHEN c_custkey % 2 = 0 THEN id ELSE concat('bigquery:p.D.T', c_nationkey) END AS source_id, CASE WHEN c_custkey % 2 = 0 THEN concat('bigquery:p.D.T', c_nationkey) ELSE id END AS target_id,
-CASE WHEN c_custkey % 2 = 0 THEN 'WRITES' ELSE 'USES' END AS dependency_type FROM r UNION ALL SELECT concat('bigquery:p.D.S', c_custkey), id, 'USES' FROM r""")
+CASE WHEN c_custkey % 2 = 0 THEN 'WRITES' ELSE 'USES' END AS dependency_type, 'INSERT' AS reference_type FROM r UNION ALL SELECT concat('bigquery:p.D.S', c_custkey), id, 'USES', 'SELECT' FROM r""")
 def warehouse_deps(spark, sf_dir):
-    return build.warehouse_dependencies(_sql(spark, sf_dir, ROUTINES), "p", "d")[0].drop("reference_type")
+    return build.warehouse_dependencies(_sql(spark, sf_dir, ROUTINES), "p", "d")[0]
 
 
 DAGS = """SELECT concat('dag', c_custkey) AS dag_id, concat('["p.d.a', c_nationkey, '", "p.d.b', c_custkey, '"]') AS source_tables, CASE WHEN c_custkey % 2 = 0 THEN concat('["p.d.z', c_custkey, '"]') ELSE 'none' END AS target_tables, c_custkey, c_nationkey FROM customer"""
@@ -138,10 +142,11 @@ def bridge_edges(spark, sf_dir):
     return bridge.bridge_edges(_sql(spark, sf_dir, SYNC))
 
 
-@query(f"""{_SYNC} SELECT DISTINCT id, type, platform FROM (SELECT src AS id, 'BIGQUERY_TABLE' AS type, 'bigquery' AS platform FROM r UNION ALL SELECT stg, 'TABLE', 'exasol' FROM r WHERE stg IS NOT NULL
-UNION ALL SELECT job, 'SYNC_JOB', 'bridge' FROM r WHERE job IS NOT NULL UNION ALL SELECT dm, 'TABLE', 'exasol' FROM r)""")
+@query(f"""{_SYNC} SELECT DISTINCT id, schema, name, type, platform FROM (SELECT src AS id, CASE WHEN bq_project_id IS NULL THEN 'D' ELSE 'P.D' END AS schema, upper(bq_table_name) AS name, 'BIGQUERY_TABLE' AS type, 'bigquery' AS platform FROM r
+UNION ALL SELECT stg, 'STG', upper(exa_stg_table_name), 'TABLE', 'exasol' FROM r WHERE stg IS NOT NULL UNION ALL SELECT dm, 'DM', upper(exa_dm_table_name), 'TABLE', 'exasol' FROM r
+UNION ALL SELECT job, 'SYNC', coalesce(nullif(task_name, ''), nullif(batch_name, ''), concat('SYNC_', bq_table_name)), 'SYNC_JOB', 'bridge' FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY concat_ws(chr(1), batch_name, coalesce(task_name, ''), table_type, coalesce(bq_project_id, ''), bq_dataset_id, bq_table_name)) AS n FROM r WHERE job IS NOT NULL) WHERE n = 1)""")
 def bridge_objects(spark, sf_dir):
-    return bridge.bridge_objects(_sql(spark, sf_dir, SYNC)).select("id", "type", "platform")
+    return bridge.bridge_objects(_sql(spark, sf_dir, SYNC)).select("id", "schema", "name", "type", "platform")
 
 
 @query(f"""WITH b AS ({BASE}), n AS ({NEW}) SELECT coalesce(b.id, n.id) AS id, CASE WHEN coalesce(b.description, '') = '' THEN coalesce(n.description, b.description) ELSE b.description END AS description, coalesce(b.platform, n.platform) AS platform, coalesce(b.object_id, n.object_id) AS object_id,
@@ -155,16 +160,22 @@ def merge_deps(spark, sf_dir):
     return merge.append_new(_sql(spark, sf_dir, BASE_DEPS), _sql(spark, sf_dir, NEW_DEPS), merge.EDGE_KEY)
 
 
-@query(f"WITH b AS ({BASE}), n AS ({NEW}) SELECT 'exasol:' || id AS id, platform FROM b UNION ALL SELECT id, platform FROM n")
+@query(f"WITH b AS ({BASE}), n AS ({NEW}) SELECT 'exasol:' || id AS id, description, platform, object_id FROM b UNION ALL SELECT id, description, platform, object_id FROM n")
 def merge_prefix(spark, sf_dir):
     b, n = _sql(spark, sf_dir, BASE), _sql(spark, sf_dir, NEW)
-    return merge.merge_platforms(b, _sql(spark, sf_dir, BASE_DEPS), n, _sql(spark, sf_dir, NEW_DEPS))[0].select("id", "platform")
+    return merge.merge_platforms(b, _sql(spark, sf_dir, BASE_DEPS), n, _sql(spark, sf_dir, NEW_DEPS))[0]
+
+
+@query(f"WITH b AS ({BASE_DEPS}), n AS ({NEW_DEPS}) SELECT 'exasol:' || source_id AS source_id, 'exasol:' || target_id AS target_id, dependency_type, reference_type, seq FROM b UNION ALL SELECT * FROM n")
+def merge_prefix_deps(spark, sf_dir):
+    b, n = _sql(spark, sf_dir, BASE), _sql(spark, sf_dir, NEW)
+    return merge.merge_platforms(b, _sql(spark, sf_dir, BASE_DEPS), n, _sql(spark, sf_dir, NEW_DEPS))[1]
 
 
-@query(f"WITH b AS ({BASE}), n AS ({NEW}) SELECT id, platform FROM b UNION ALL SELECT id, platform FROM n WHERE id NOT IN (SELECT id FROM b)")
+@query(f"WITH b AS ({BASE}), n AS ({NEW}) SELECT id, description, platform, object_id FROM b UNION ALL SELECT id, description, platform, object_id FROM n WHERE id NOT IN (SELECT id FROM b)")
 def merge_first_wins(spark, sf_dir):
     b, n = _sql(spark, sf_dir, BASE), _sql(spark, sf_dir, NEW)
-    return merge.merge_first(b, _sql(spark, sf_dir, BASE_DEPS), n, _sql(spark, sf_dir, NEW_DEPS))[0].select("id", "platform")
+    return merge.merge_first(b, _sql(spark, sf_dir, BASE_DEPS), n, _sql(spark, sf_dir, NEW_DEPS))[0]
 
 
 PARAMS = "SELECT p_partkey, concat('INT, ', CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ',VARCHAR ') AS t, p_brand, p_size FROM part"
@@ -328,3 +339,148 @@ def script_known_refs(spark, sf_dir):
         "id", F.lit("LUA").alias("script_language"), F.concat(F.lit('make("CREATE TABLE NEW.N_'), "o_orderkey", F.lit(" AS SELECT 1 FROM CRM.C_"), "o_custkey", F.lit('") -- "DROP TABLE S.T"')).alias("script_text")
     )
     return build.known_refs(scripts, _sql(spark, sf_dir, CATALOG)).drop("is_target")
+
+
+CONNECTIONS = "SELECT concat('CON_', s_suppkey) AS CONNECTION_NAME, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS USER_NAME, concat(s_name, s_nationkey) AS CONNECTION_STRING, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS CREATED, s_name AS CONNECTION_COMMENT FROM supplier"
+
+
+@query(f"""WITH c AS ({CONNECTIONS}) SELECT concat('CONNECTION.', CONNECTION_NAME) AS id, 'CONNECTION' AS schema, CONNECTION_NAME AS name, 'CONNECTION' AS type, coalesce(nullif(USER_NAME, ''), 'SYS') AS owner, 'exasol' AS platform,
+CONNECTION_STRING AS connection_string, USER_NAME AS "user", CONNECTION_COMMENT AS description FROM c""")
+def catalog_connections(spark, sf_dir):
+    return catalog.connections(_sql(spark, sf_dir, CONNECTIONS)).select("id", "schema", "name", "type", "owner", "platform", "connection_string", "user", "description")
+
+
+SCHEMAS = "SELECT concat('VS_', n_nationkey) AS SCHEMA_NAME, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_name END AS SCHEMA_OWNER, CAST(n_nationkey AS BIGINT) AS SCHEMA_OBJECT_ID, 'A.ADAPTER' AS ADAPTER_SCRIPT, n_name AS ADAPTER_NOTES FROM nation"
+
+
+@query(f"""WITH v AS ({SCHEMAS}) SELECT concat(SCHEMA_NAME, '.VIRTUAL_SCHEMA') AS id, SCHEMA_NAME AS schema, 'VIRTUAL_SCHEMA' AS type, coalesce(SCHEMA_OWNER, 'SYS') AS owner, SCHEMA_OBJECT_ID AS object_id, ADAPTER_SCRIPT AS adapter_name, ADAPTER_NOTES AS description FROM v""")
+def catalog_virtual_schemas(spark, sf_dir):
+    return catalog.virtual_schemas(_sql(spark, sf_dir, SCHEMAS)).select("id", "schema", "type", "owner", "object_id", "adapter_name", "description")
+
+
+CATALOG_VIEWS = "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'TMP' ELSE 'CRM' END AS VIEW_SCHEMA, c_name AS VIEW_NAME, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'OWN' END AS VIEW_OWNER, c_mktsegment AS VIEW_COMMENT, concat('SELECT ', c_custkey) AS VIEW_TEXT, CAST(c_custkey AS BIGINT) AS VIEW_OBJECT_ID FROM customer"
+
+
+@query(f"""WITH v AS ({CATALOG_VIEWS}), c AS ({COLUMNS}) SELECT concat('CRM.', VIEW_NAME) AS id, coalesce(nullif(VIEW_OWNER, ''), 'SYS') AS owner, VIEW_TEXT AS definition, VIEW_COMMENT AS description,
+coalesce((SELECT string_agg(COLUMN_NAME, ',' ORDER BY COLUMN_ORDINAL_POSITION) FROM c WHERE COLUMN_TABLE = VIEW_NAME), '') AS columns FROM v WHERE VIEW_SCHEMA = 'CRM'""")
+def catalog_views(spark, sf_dir):
+    found = catalog.views(_sql(spark, sf_dir, CATALOG_VIEWS), _sql(spark, sf_dir, COLUMNS), exclude=["TMP"])
+    return found.select("id", "owner", "definition", "description", F.array_join("columns.name", ",").alias("columns"))
+
+
+CATALOG_SCRIPTS = "SELECT 'ETL' AS SCRIPT_SCHEMA, concat('F_', p_partkey) AS SCRIPT_NAME, CASE p_size % 3 WHEN 0 THEN 'LUA' WHEN 1 THEN 'PYTHON' ELSE 'R' END AS SCRIPT_LANGUAGE, 'ME' AS SCRIPT_OWNER, CAST(p_partkey AS BIGINT) AS SCRIPT_OBJECT_ID, p_type AS SCRIPT_COMMENT, 'UDF' AS SCRIPT_TYPE, p_name AS SCRIPT_TEXT, concat('INT,', p_brand) AS SCRIPT_INPUT_TYPE, 'INT' AS SCRIPT_RESULT_TYPE, p_brand FROM part"
+
+
+@query(f"""WITH s AS ({CATALOG_SCRIPTS}) SELECT concat('ETL.', SCRIPT_NAME) AS id, 'LUA_UDF' AS type, SCRIPT_LANGUAGE AS script_language, SCRIPT_TEXT AS script_text, concat('param_1=INT;param_2=', p_brand) AS params, 'col_1=INT' AS results FROM s WHERE SCRIPT_LANGUAGE <> 'R'""")
+def catalog_scripts(spark, sf_dir):
+    shown = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("=", m["name"], m["data_type"])), ";")
+    found = catalog.scripts(_sql(spark, sf_dir, CATALOG_SCRIPTS))
+    return found.select("id", "type", "script_language", "script_text", shown("input_parameters").alias("params"), shown("output_columns").alias("results"))
+
+
+WAREHOUSE_VIEWS = "SELECT 'p' AS project_id, 'd' AS dataset_id, c_name AS table_name, c_mktsegment AS view_definition FROM customer"
+
+
+@query(f"""WITH t AS ({WAREHOUSE_VIEWS}), c AS ({WAREHOUSE_COLUMNS}) SELECT concat('bigquery:p.d.', table_name) AS id, 'BIGQUERY_VIEW' AS type, 'p' AS owner, view_definition AS definition,
+(SELECT count(*) FROM c WHERE c.table_name = t.table_name) AS n_columns FROM t""")
+def warehouse_views(spark, sf_dir):
+    found = catalog.warehouse_views(_sql(spark, sf_dir, WAREHOUSE_VIEWS), _sql(spark, sf_dir, WAREHOUSE_COLUMNS))
+    return found.select("id", "type", "owner", "definition", F.size("columns").cast("long").alias("n_columns"))
+
+
+WAREHOUSE_ROUTINES = "SELECT 'p' AS project_id, 'd' AS dataset_id, c_name AS routine_name, CASE WHEN c_custkey % 2 = 0 THEN 'FUNCTION' ELSE 'PROCEDURE' END AS routine_type, c_mktsegment AS routine_definition, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created, CAST('2024-01-02 00:00:00' AS TIMESTAMP) AS last_altered FROM customer"
+
+
+@query(f"WITH r AS ({WAREHOUSE_ROUTINES}) SELECT concat('bigquery:p.d.', routine_name) AS id, CASE routine_type WHEN 'FUNCTION' THEN 'BIGQUERY_UDF' ELSE 'BIGQUERY_PROCEDURE' END AS type, routine_definition AS definition FROM r")
+def warehouse_routines(spark, sf_dir):
+    return catalog.warehouse_routines(_sql(spark, sf_dir, WAREHOUSE_ROUTINES)).select("id", "type", "definition")
+
+
+PROJECTS = "SELECT CASE c_custkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'q' ELSE 'r' END AS project_id, concat('d', c_nationkey) AS dataset_id, c_name AS table_name FROM customer"
+
+
+@query(f"WITH t AS ({PROJECTS}) SELECT * FROM t WHERE (project_id = 'p' AND dataset_id IN ('d1', 'd2', 'd3')) OR project_id = 'q'")
+def project_datasets(spark, sf_dir):
+    return catalog.in_datasets(_sql(spark, sf_dir, PROJECTS), {"p": ["d1", "d2", "d3"], "q": None})
+
+
+FILES = """SELECT concat('/git/repo_', o_orderkey % 5, '/bigquery/f_', o_orderkey, '.sql') AS path, concat('repo_', o_orderkey % 5) AS repo, CASE o_orderkey % 3
+WHEN 0 THEN concat('CREATE OR REPLACE VIEW `p.d.v', o_orderkey, '` AS SELECT * FROM d.s', o_custkey, ' JOIN x.y.z ON 1 = 1') WHEN 1 THEN concat('create table if not exists d.t', o_orderkey, ' as select * from d.t', o_orderkey, ', d.u')
+ELSE 'SELECT 1 FROM d.nothing' END AS content, o_orderkey AS k, o_custkey AS c FROM orders"""
+
+
+@query(f"""WITH f AS ({FILES}) SELECT concat('BIGQUERY.D.S', c) AS source_id, concat('BIGQUERY.P.D.V', k) AS target_id, 'DATA' AS dependency_type, 'SELECT' AS reference_type FROM f WHERE k % 3 = 0
+UNION ALL SELECT 'BIGQUERY.X.Y.Z', concat('BIGQUERY.P.D.V', k), 'DATA', 'JOIN' FROM f WHERE k % 3 = 0 UNION ALL SELECT 'BIGQUERY.D.U', concat('BIGQUERY.D.T', k), 'DATA', 'SELECT' FROM f WHERE k % 3 = 1""")
+def corpus_edges(spark, sf_dir):
+    return build.corpus_graph(_sql(spark, sf_dir, FILES))[1]
+
+
+@query(f"""WITH f AS ({FILES}) SELECT CASE k % 3 WHEN 0 THEN concat('BIGQUERY.P.D.V', k) ELSE concat('BIGQUERY.D.T', k) END AS id, CASE k % 3 WHEN 0 THEN concat('v', k) ELSE concat('t', k) END AS name, CASE k % 3 WHEN 0 THEN 'VIEW' ELSE 'TABLE' END AS type, path AS source_file, content AS sql_text FROM f WHERE k % 3 < 2""")
+def corpus_objects(spark, sf_dir):
+    return build.corpus_graph(_sql(spark, sf_dir, FILES))[0]
+
+
+@query(f"""WITH f AS ({FILES}) SELECT count(DISTINCT repo) AS repos_scanned, count(*) AS sql_files_parsed, count(*) FILTER (k % 3 < 2) AS objects_found, sum(CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS dependencies_found FROM f""")
+def corpus_counters(spark, sf_dir):
+    files = _sql(spark, sf_dir, FILES)
+    return build.corpus_counters(files, *build.corpus_graph(files))
+
+
+@query("SELECT p_partkey, p_name AS content FROM part")
+def base64_content(spark, sf_dir):
+    coded = _sql(spark, sf_dir, "SELECT p_partkey, concat(substring(base64(p_name), 1, 4), '\n', substring(base64(p_name), 5)) AS content FROM part")
+    return coded.select("p_partkey", corpus.decoded("content").alias("content"))
+
+
+@query(r"SELECT p_partkey, concat(p_brand, chr(10), p_type, chr(9), p_name, chr(13)) AS text FROM part")
+def unescape_sql(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "SELECT p_partkey, p_brand, p_type, p_name FROM part")
+    return rows.select("p_partkey", sqltext.unescaped(F.concat("p_brand", F.lit(r"\n"), "p_type", F.lit(r"\\t"), "p_name", F.lit(r"\r"))).alias("text"))
+
+
+@query("SELECT p_partkey, printf('%,d', p_partkey * 12345) AS grouped, CASE WHEN p_size > 20 THEN p_size - 20 ELSE 0 END AS more, least(p_size, 20)::BIGINT AS shown FROM part")
+def fmt_lists(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "SELECT p_partkey, p_size FROM part").withColumn("list", F.sequence(F.lit(1), "p_size"))
+    first, more = formats.shown_columns(F.col("list"))
+    return rows.select("p_partkey", formats.grouped_number(F.col("p_partkey") * 12345).alias("grouped"), more.alias("more"), F.size(first).cast("long").alias("shown"))
+
+
+@query("SELECT c_name AS id, 100000 + row_number() OVER (ORDER BY c_name) - 1 AS object_id FROM customer")
+def numbered_ids(spark, sf_dir):
+    return cache.numbered(_sql(spark, sf_dir, "SELECT c_name AS id FROM customer"), ["id"])
+
+
+@query(f"""WITH v AS ({VIEWS}), cat AS ({CATALOG}), e AS (SELECT id, concat('CRM.C_', o_custkey) AS c FROM v)
+SELECT coalesce((SELECT min(cat.id) FROM cat WHERE upper(cat.id) = e.c), e.c) AS source_object_id, 'NAME' AS source_column, id AS target_object_id, 'CNAME' AS target_column, 'DIRECT' AS transformation_type FROM e""")
+def view_column_deps(spark, sf_dir):
+    found = build.view_column_dependencies(_sql(spark, sf_dir, VIEWS), _sql(spark, sf_dir, CATALOG)).where("target_column = 'CNAME'")
+    return found.drop("transformation")
+
+
+PANEL = "SELECT concat('C.', c_custkey) AS id, c_name AS own, c_custkey % 3 AS m FROM customer"
+
+
+@query(f"WITH p AS ({PANEL}) SELECT id, CASE m WHEN 0 THEN 'A,B' ELSE own END AS columns FROM p")
+def panel_columns(spark, sf_dir):
+    rows = _sql(spark, sf_dir, PANEL)
+    objects = rows.select("id", F.array(F.struct(F.col("own").alias("name"))).alias("columns"))
+    traced = rows.where("m < 2").select(F.col("id").alias("object_id"), F.when(F.col("m") == 0, F.array(F.lit("A"), F.lit(""), F.lit("B"))).otherwise(F.array(F.lit("UNKNOWN"))).alias("columns"))
+    return view.panel_columns(objects, traced).select("id", F.array_join("columns", ",").alias("columns"))
+
+
+SHOWN = "SELECT concat('C.', c_custkey) AS id, c_custkey % 2 = 0 AS has_more_upstream, c_custkey % 3 = 0 AS has_more_downstream, c_custkey AS k FROM customer"
+
+
+@query(f"""WITH s AS ({SHOWN}) SELECT id, has_more_upstream AND k % 5 <> 0 AS can_expand_up, k % 5 = 0 AND k <> 5 AS can_collapse_up, has_more_downstream AND k % 7 <> 0 AS can_expand_down, k % 7 = 0 AND k <> 5 AS can_collapse_down FROM s""")
+def affordances(spark, sf_dir):
+    s = _sql(spark, sf_dir, SHOWN)
+    return view.affordances(s.drop("k"), s.where("k % 5 = 0").select("id"), s.where("k % 7 = 0").select("id"), "C.5").select("id", "can_expand_up", "can_collapse_up", "can_expand_down", "can_collapse_down")
+
+
+@query(f"WITH b AS ({BASE}) SELECT id, object_id FROM b")
+def cache_roundtrip(spark, sf_dir):
+    objects = _sql(spark, sf_dir, BASE).withColumns({c: F.lit("x") for c in ("schema", "name", "owner")}).withColumn("type", F.lit("TABLE"))
+    none = objects.sparkSession.createDataFrame([], COLUMN_DEP)
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cache.write_tables(cache.CacheTables(conform(objects, OBJECT), conform(_sql(spark, sf_dir, BASE_DEPS), TABLE_DEP), none), path)
+    return cache.read_tables(spark, path).objects.select("id", "object_id")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators import traverse
+
 _OBJECTS = """
 SELECT concat('R.', r_regionkey) AS id, 'GEO' AS schema, r_name AS name, 'CONNECTION' AS type, CAST(NULL AS BIGINT) AS row_count FROM region
 UNION ALL SELECT concat('N.', n_nationkey), 'GEO', n_name, 'VIRTUAL_SCHEMA', NULL FROM nation
@@ -60,6 +62,25 @@ def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _COLUMN_EDGES)
 
 
+_walked: dict = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, make):
+    """A stored graph is made once for each application and folder, as a service loads it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _walked:
+        _walked[key] = make()
+    return _walked[key]
+
+
+def graph(spark: SparkSession, sf_dir: str) -> traverse.Snapshot:
+    return _once(spark, sf_dir, "edges", lambda: traverse.snapshot(objects(spark, sf_dir), edges(spark, sf_dir)))
+
+
+def column_graph(spark: SparkSession, sf_dir: str) -> traverse.ColumnSnapshot:
+    return _once(spark, sf_dir, "columns", lambda: traverse.column_snapshot(column_edges(spark, sf_dir)))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Objects and edges of the event types that follow one another: a graph with cycles and self-loops."""
     found = _sql(spark, sf_dir, _TRANSITIONS)

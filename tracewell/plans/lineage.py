@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats
+from tracewell.graph import LineageGraph
 from tracewell.operators import catalog, traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
 from tracewell.plans import derive
@@ -43,7 +44,7 @@ FORWARD_SQL = f"WITH RECURSIVE {GRAPH} {_bfs_sql([ROOT], 3, 'source_id', 'target
 
 
 def _forward(spark: SparkSession, sf_dir: str, depth: int = 3):
-    return traverse.traverse(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), _seeds(spark, ROOT), depth, FORWARD)
+    return traverse.traverse(derive.graph(spark, sf_dir), _seeds(spark, ROOT), depth, FORWARD)
 
 
 @query(FORWARD_SQL)
@@ -53,14 +54,31 @@ def lineage_forward(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {GRAPH} {_bfs_sql([LEAF, 'P.8', ORDER], 4, 'target_id', 'source_id')} SELECT seed, r.id, level FROM reached r JOIN objs USING (id)")
 def lineage_backward(spark, sf_dir):
-    found = traverse.traverse(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), _seeds(spark, LEAF, "P.8", ORDER), 4, BACKWARD)
+    found = traverse.traverse(derive.graph(spark, sf_dir), _seeds(spark, LEAF, "P.8", ORDER), 4, BACKWARD)
     return found.nodes.select("seed", "id", "level")
 
 
-@query(f"""WITH RECURSIVE {GRAPH} {_bfs_sql([CUSTOMER], 2, 'target_id', 'source_id', 'up')}, {_bfs_sql([CUSTOMER], 2, 'source_id', 'target_id', 'down')}
-SELECT seed, id, min(level) AS level FROM (SELECT * FROM up UNION ALL SELECT * FROM down) JOIN objs USING (id) GROUP BY ALL""")
+def _flags_sql(run: str) -> str:
+    """seed, id, level and both flags of the nodes of one run."""
+    more = "SELECT 1 FROM edges e LEFT JOIN {run} r ON r.seed = n.seed AND r.id = e.{far} WHERE e.{near} = n.id AND (r.level IS NULL OR r.level > n.level)"
+    up, down = more.format(run=run, near="target_id", far="source_id"), more.format(run=run, near="source_id", far="target_id")
+    return f"(SELECT n.seed, n.id, n.level, EXISTS ({up}) AS has_more_upstream, EXISTS ({down}) AS has_more_downstream FROM {run} n JOIN objs USING (id))"
+
+
+_FULL = f"{_bfs_sql([CUSTOMER], 2, 'target_id', 'source_id', 'up')}, {_bfs_sql([CUSTOMER], 2, 'source_id', 'target_id', 'down')}"
+
+
+@query(f"""WITH RECURSIVE {GRAPH} {_FULL}, u AS {_flags_sql("up")}, d AS {_flags_sql("down")}
+SELECT coalesce(d.seed, u.seed) AS seed, coalesce(d.id, u.id) AS id, least(coalesce(d.level, u.level), coalesce(u.level, d.level)) AS level,
+       coalesce(d.has_more_upstream, u.has_more_upstream) AS has_more_upstream, coalesce(d.has_more_downstream, u.has_more_downstream) AS has_more_downstream FROM d FULL JOIN u ON d.id = u.id""")
 def lineage_full(spark, sf_dir):
-    return traverse.full(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), _seeds(spark, CUSTOMER), 2, 2).nodes.select("seed", "id", "level")
+    return traverse.full(derive.graph(spark, sf_dir), _seeds(spark, CUSTOMER), 2, 2).nodes
+
+
+@query(f"""WITH RECURSIVE {GRAPH} {_FULL} SELECT '{CUSTOMER}' AS seed, source_id, target_id, e.dependency_type, e.reference_type FROM edges
+WHERE target_id IN (SELECT id FROM up JOIN objs USING (id) WHERE level < 2) OR source_id IN (SELECT id FROM down JOIN objs USING (id) WHERE level < 2)""")
+def lineage_full_edges(spark, sf_dir):
+    return traverse.full(derive.graph(spark, sf_dir), _seeds(spark, CUSTOMER), 2, 2).edges
 
 
 @query(f"""WITH RECURSIVE {GRAPH} {_bfs_sql([ROOT], 3, 'source_id', 'target_id')}
@@ -87,7 +105,7 @@ CYCLE = f"objs AS (SELECT DISTINCT event_type AS id FROM events), edges AS MATER
 SELECT seed, source_id, target_id, level FROM reached JOIN objs USING (id) JOIN edges ON source_id = id WHERE level < 3""")
 def lineage_cycle(spark, sf_dir):
     objects, edges = derive.transitions(spark, sf_dir)
-    found = traverse.traverse(objects, edges, _seeds(spark, "click", "purchase"), 3, FORWARD)
+    found = traverse.traverse(traverse.snapshot(objects, edges), _seeds(spark, "click", "purchase"), 3, FORWARD)
     return found.edges.join(found.nodes.withColumnRenamed("id", "source_id"), ["seed", "source_id"]).select("seed", "source_id", "target_id", "level")
 
 
@@ -95,7 +113,7 @@ def lineage_cycle(spark, sf_dir):
 SELECT seed, target_id, count(*)::BIGINT AS n FROM reached JOIN objs USING (id) JOIN edges ON source_id = id WHERE level < 2 AND target_id NOT IN (SELECT id FROM objs) GROUP BY ALL""")
 def lineage_dangling(spark, sf_dir):
     objects = derive.objects(spark, sf_dir)
-    found = traverse.traverse(objects, derive.edges(spark, sf_dir), _seeds(spark, CUSTOMER), 2, FORWARD)
+    found = traverse.traverse(derive.graph(spark, sf_dir), _seeds(spark, CUSTOMER), 2, FORWARD)
     return found.edges.join(objects.select(F.col("id").alias("target_id")), "target_id", "left_anti").groupBy("seed", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,20 +140,21 @@ def _column_seed(spark, object_id: str, column: str) -> DataFrame:
 
 @query(_column_sql(LEAF, "PRICE", 3, "upstream"))
 def column_upstream(spark, sf_dir):
-    return traverse.column_lineage(derive.column_edges(spark, sf_dir), _column_seed(spark, LEAF, "PRICE"), "upstream", 3)
+    return traverse.column_lineage(derive.column_graph(spark, sf_dir), _column_seed(spark, LEAF, "PRICE"), "upstream", 3)
 
 
 @query(_column_sql("N.3", "KEY", 3, "downstream"))
 def column_downstream(spark, sf_dir):
-    return traverse.column_lineage(derive.column_edges(spark, sf_dir), _column_seed(spark, "N.3", "KEY"), "downstream", 3)
+    return traverse.column_lineage(derive.column_graph(spark, sf_dir), _column_seed(spark, "N.3", "KEY"), "downstream", 3)
 
 
 @query(f"""WITH cols AS ({derive.COLUMN_EDGES_SQL}),
 r AS (SELECT target_column AS "column", 'upstream' AS direction, source_object_id AS object_id, source_column AS other_column, transformation, transformation_type, seq FROM cols WHERE target_object_id = '{ORDER}'
       UNION ALL SELECT source_column, 'downstream', target_object_id, target_column, transformation, transformation_type, seq FROM cols WHERE source_object_id = '{ORDER}')
-SELECT "column", direction, object_id, other_column, arg_max(transformation_type, seq) AS transformation_type FROM r GROUP BY "column", direction, object_id, other_column""")
+SELECT "column", direction, object_id, other_column, e.t AS transformation, e.k AS transformation_type FROM (SELECT "column", direction, object_id, other_column, arg_max(struct_pack(t := transformation, k := transformation_type), seq) AS e
+FROM r GROUP BY "column", direction, object_id, other_column)""")
 def object_columns(spark, sf_dir):
-    return traverse.object_columns(derive.column_edges(spark, sf_dir), ORDER).drop("transformation")
+    return traverse.object_columns(derive.column_edges(spark, sf_dir), ORDER)
 
 
 @query(f"SELECT source_object_id, source_column, target_object_id, target_column, transformation_type FROM ({derive.COLUMN_EDGES_SQL}) WHERE source_object_id = '{CUSTOMER}' OR target_object_id = '{CUSTOMER}'")
@@ -182,7 +201,31 @@ def statistics(spark, sf_dir):
 @query(f"SELECT type, count(*)::BIGINT AS n, min(id) AS first_id, max(id) AS last_id FROM ({derive.OBJECTS_SQL}) GROUP BY type")
 def type_index(spark, sf_dir):
     ids = catalog.inverted_index(derive.objects(spark, sf_dir), "type")
-    return ids.select("type", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return ids.groupBy("type").agg(F.count("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(f"SELECT DISTINCT schema, id FROM ({derive.OBJECTS_SQL})")
+def schema_index(spark, sf_dir):
+    return catalog.inverted_index(derive.objects(spark, sf_dir), "schema")
+
+
+@query(f"""WITH cols AS ({derive.COLUMN_EDGES_SQL}), ends AS (SELECT source_object_id AS o, source_column AS c FROM cols UNION SELECT target_object_id, target_column FROM cols),
+w AS (SELECT concat('C.', c_custkey) AS object_id, CASE c_custkey % 3 WHEN 0 THEN 'balance' WHEN 1 THEN 'NAME' ELSE 'none' END AS "column" FROM customer)
+SELECT object_id, "column", (SELECT min(c) FROM ends WHERE o = object_id AND upper(c) = upper("column")) AS found FROM w""")
+def column_lookup(spark, sf_dir):
+    wanted = derive._sql(spark, sf_dir, "SELECT concat('C.', c_custkey) AS object_id, CASE c_custkey % 3 WHEN 0 THEN 'balance' WHEN 1 THEN 'NAME' ELSE 'none' END AS column FROM customer")
+    return traverse.resolve_columns(wanted, derive.column_edges(spark, sf_dir))
+
+
+@query(f"SELECT id, schema, name, type, row_count FROM ({derive.OBJECTS_SQL}) WHERE id = '{CUSTOMER}'")
+def object_by_id(spark, sf_dir):
+    graph = LineageGraph(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), derive.column_edges(spark, sf_dir))
+    return graph.object(CUSTOMER)
+
+
+@query(f"SELECT id, schema, name FROM ({derive.OBJECTS_SQL}) WHERE schema IN ('GEO', 'SUP', 'CAT') AND schema NOT IN ('SUP')")
+def include_exclude(spark, sf_dir):
+    return derive.objects(spark, sf_dir).where(catalog.included("schema", ["GEO", "SUP", "CAT"], ["SUP"])).select("id", "schema", "name")
 
 
 @query(f"SELECT source_id AS id, string_agg(DISTINCT target_id, ',' ORDER BY target_id) AS neighbours FROM ({derive.EDGES_SQL}) GROUP BY source_id")
@@ -199,19 +242,32 @@ _VIEW = f"""up AS (SELECT DISTINCT source_id AS id FROM edges WHERE target_id =
 start AS (SELECT id FROM (SELECT '{CUSTOMER}' AS id UNION SELECT id FROM up UNION SELECT id FROM down) JOIN objs USING (id))"""
 
 
-@query(f"""WITH {GRAPH} {_VIEW}, near AS (SELECT min(id) AS id FROM up)
-SELECT id FROM (SELECT id FROM start UNION SELECT target_id FROM edges WHERE source_id = (SELECT id FROM near)) JOIN objs USING (id)""")
+@query(f"""WITH {GRAPH} {_VIEW}, near AS (SELECT min(id) AS id FROM up), below AS (SELECT target_id AS id FROM edges WHERE source_id = (SELECT id FROM near))
+SELECT id, CASE WHEN id = '{CUSTOMER}' THEN 0 WHEN id IN (SELECT id FROM start) THEN 1 ELSE 2 END AS level FROM (SELECT id FROM start UNION SELECT id FROM below) JOIN objs USING (id)""")
 def expand(spark, sf_dir):
-    objects, deps = derive.objects(spark, sf_dir), derive.edges(spark, sf_dir)
-    shown = view.load(objects, deps, CUSTOMER)
+    graph = derive.graph(spark, sf_dir)
+    shown = view.load(graph, CUSTOMER)
+    above = shown.edges.where(F.col("target_id") == CUSTOMER).agg(F.min("source_id")).first()[0]
+    return view.expand(shown, graph, above, FORWARD).nodes.select("id", "level")
+
+
+@query(f"""WITH {GRAPH} {_VIEW}, near AS (SELECT min(id) AS id FROM up)
+SELECT source_id, target_id, e.dependency_type, e.reference_type FROM edges WHERE source_id = '{CUSTOMER}' OR target_id = '{CUSTOMER}' OR source_id = (SELECT id FROM near)""")
+def expand_edges(spark, sf_dir):
+    graph = derive.graph(spark, sf_dir)
+    shown = view.load(graph, CUSTOMER)
     above = shown.edges.where(F.col("target_id") == CUSTOMER).agg(F.min("source_id")).first()[0]
-    return view.expand(shown, objects, deps, above, FORWARD).nodes.select("id")
+    return view.expand(shown, graph, above, FORWARD).edges
 
 
-@query(f"WITH {GRAPH} {_VIEW} SELECT id FROM start WHERE id NOT IN (SELECT id FROM down)")
+@query(f"WITH {GRAPH} {_VIEW} SELECT id, CASE WHEN id = '{CUSTOMER}' THEN 0 ELSE 1 END AS level FROM start WHERE id NOT IN (SELECT id FROM down)")
 def collapse(spark, sf_dir):
-    objects, deps = derive.objects(spark, sf_dir), derive.edges(spark, sf_dir)
-    return view.collapse(view.load(objects, deps, CUSTOMER), CUSTOMER, FORWARD).nodes.select("id")
+    return view.collapse(view.load(derive.graph(spark, sf_dir), CUSTOMER), CUSTOMER, FORWARD).nodes.select("id", "level")
+
+
+@query(f"WITH {GRAPH} {_VIEW} SELECT source_id, target_id, e.dependency_type, e.reference_type FROM edges WHERE target_id = '{CUSTOMER}'")
+def collapse_edges(spark, sf_dir):
+    return view.collapse(view.load(derive.graph(spark, sf_dir), CUSTOMER), CUSTOMER, FORWARD).edges
 
 
 @query(f"WITH {GRAPH[:-2]} SELECT source_id, target_id FROM edges WHERE source_id = '{CUSTOMER}' OR target_id = '{CUSTOMER}'")

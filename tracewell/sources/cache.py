@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform, validate, with_defaults
+from tracewell.storage import park
 
 
 @dataclass
@@ -96,7 +97,7 @@ def numbered(rows: DataFrame, order: list[str], start: int = 100_000) -> DataFra
     """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy(*order)
-    placed = ranged.withColumn("n", F.row_number().over(inside))
+    placed = park(ranged.withColumn("n", F.row_number().over(inside)), "numbered")  # both branches below see the same parts
     sizes = placed.groupBy("part").agg(F.max("n").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(before.select("part", "before")), "part").withColumn("object_id", F.col("n") - 1 + F.col("before") + start).drop("part", "n", "before")

@@ -102,3 +102,12 @@ def dags(rows: DataFrame) -> DataFrame:
     id_ = F.concat(_text("composer:"), F.col("dag_id"))
     return _object(rows, id=id_, schema=_text("composer"), name=first_filled(F.col("dag_name"), F.col("dag_id")), type=_text("COMPOSER_DAG"), owner=_text("composer"), object_id=hash_id(id_),
         platform=_text("composer"), description=F.col("description"))
+
+
+def in_datasets(rows: DataFrame, datasets: dict[str, list[str] | None]) -> DataFrame:
+    """Rows (project_id, dataset_id) of the given projects: of a project's listed datasets, or of all where the list is None."""
+    wanted = F.lit(False)
+    for project, names in datasets.items():
+        here = F.col("project_id") == project
+        wanted = wanted | (here if names is None else here & F.col("dataset_id").isin(names))
+    return rows.where(wanted)
