@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,9 @@ from .common import arrow_map, text_slices, utf8
 
 WIDTH, TILE_ROWS = 64, 64
 TILE = WIDTH * TILE_ROWS
-MAX_CODE = 12  # bits of the encoder's codes; the decoder takes the format's 15
+MAX_CODE = 10  # bits of the encoder's codes; the decoder takes the format's 15
 LONGEST = 48  # pixels of the encoder's back-references
+LEAST_COLOUR, LEAST_GREY = 3, 12  # shorter ones hardly pay
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -165,6 +167,13 @@ def _subsampled(size: int, bits: int) -> int:
 
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Entropy-coded ARGB pixels (uint32, row by row); only the main image may have an entropy image."""
+    try:
+        return _read_image(bits, width, height, main)
+    except IndexError as e:
+        raise ValueError("the image data ends early") from e
+
+
+def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -203,9 +212,9 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             if entry >= 4096 or not plain:
                 break
             put(constant | entry >> 4 << 8)
+        else:
             if at > end:
                 raise ValueError("the image data ends early")
-        else:
             continue
         s, done = entry >> 4, len(out)
         if s < 256:
@@ -528,13 +537,22 @@ def _matches(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= least:
         return length, far
     key = np.zeros(n - least + 1, dtype=np.uint64)
-    for k in range(least):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : n - least + 1 + k]
-    order = np.argsort(key, kind="stable")
+    pair = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
+    for k in range(0, least, 2):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + (pair[k : n - least + 1 + k] if k + 1 < least else px[k:].astype(np.uint64))
+    order = np.argsort(key)
+    twice = key[order[1:]] == key[order[:-1]]
+    order = np.sort(order[np.r_[False, twice] | np.r_[twice, False]])  # what occurs again, in its order
+    order = order[np.argsort(key[order], kind="stable")]
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     live, before = order[same + 1], order[same]
     far[live] = live - before
-    for k in range(LONGEST):
+    for k in range(least):
+        alike = px[live + k] == px[before + k]
+        if not alike.all():  # two beginnings of one key
+            live, before = live[alike], before[alike]
+    length[live] = least
+    for k in range(least, LONGEST):
         inside = live + k < n
         live, before = live[inside], before[inside]
         alike = px[live + k] == px[before + k]
@@ -542,7 +560,7 @@ def _matches(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(live):
             break
         length[live] += 1
-    return np.where(length >= least, length, 0), far
+    return length, far
 
 
 def _bits_of(symbols: np.ndarray) -> float:
@@ -570,8 +588,10 @@ def _near(width: int) -> dict[int, int]:
 
 def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
     """Entropy-coded pixels (uint32): the colour cache that pays, back-references, one prefix code group."""
-    channels = [(px >> s & 0xFF).astype(np.int64) for s in (8, 16, 0, 24)]
-    varied = [c for c in channels[1:] if (c != c[0]).any()]
+    differs = int(np.bitwise_or.reduce(px ^ px[0]))
+    varied = bool(differs & 0xFFFF00FF)
+    channels = [(px if varied or s == 8 else px[:1]) >> s & 0xFF for s in (8, 16, 0, 24)]
+    channels = [c.astype(np.int64) for c in channels]
     cache_bits, slot, hit = 0, None, np.zeros(len(px), dtype=bool)
     if varied:
         least = sum(map(_bits_of, channels))
@@ -580,17 +600,21 @@ def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
             cost = _bits_of(np.where(h, 280 + s, channels[0])) + sum(_bits_of(c[~h]) for c in channels[1:] if not h.all())
             if cost < least:
                 least, cache_bits, slot, hit = cost, bits, s, h
-    begins = range(len(px))
-    length = far = np.zeros(len(px), dtype=np.int64)
-    if (px != px[0]).any():
-        length, far = _matches(px, 3 if varied else 6)
-        at, begins, steps = 0, [], np.maximum(length, 1).tolist()
-        begin, n = begins.append, len(steps)
-        while at < n:
-            begin(at)
-            at += steps[at]
-    at = np.fromiter(begins, dtype=np.int64)
-    run, hit = length[at], hit[at]
+    run = far = np.zeros(len(px), dtype=np.int64)
+    inside = np.zeros(len(px) + 1, dtype=np.int64)
+    if differs:
+        length, far = _matches(px, LEAST_COLOUR if varied else LEAST_GREY)
+        run, at = np.zeros_like(length), 0
+        starts, taken = np.flatnonzero(length).tolist(), []
+        while (k := bisect_left(starts, at)) < len(starts):
+            taken.append(starts[k])
+            at = starts[k] + int(length[starts[k]])
+        if taken:
+            run[taken] = length[taken]
+            inside[np.array(taken) + 1] = 1
+            np.add.at(inside, taken + run[taken], -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1]) == 0)  # where symbols begin
+    run, hit = run[at], hit[at]
     back = run > 0
     hit &= ~back
     pixel = ~back & ~hit
@@ -610,7 +634,7 @@ def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
     if main:
         out.write(0, 1)
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
-    used = [symbol, *(c[at][pixel] for c in channels[1:]), place[back]]
+    used = [symbol, *(c[at][pixel] if varied else c for c in channels[1:]), place[back]]
     values, widths = np.zeros((len(at), 6), dtype=np.int64), np.zeros((len(at), 6), dtype=np.int64)
     which = [slice(None), pixel, pixel, pixel, back]
     for column, rows, symbols, size in zip((0, 2, 3, 4, 2), which, used, sizes):
@@ -621,7 +645,8 @@ def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
             widths[rows, column] = np.array(lengths)[symbols]
     values[back, 1], widths[back, 1] = more[back], more_bits[back]
     values[back, 3], widths[back, 3] = further[back], further_bits[back]
-    out.extend(values.ravel(), widths.ravel())
+    filled = widths.ravel() > 0
+    out.extend(values.ravel()[filled], widths.ravel()[filled])
 
 
 def _residual(px: np.ndarray, mode: int) -> np.ndarray:
@@ -683,9 +708,13 @@ def encode_webp(argb: np.ndarray) -> bytes:
             packed[:, : part.shape[1]] |= part << (k * each)
         options.append((_bits_of(packed) + 32.0 * len(colours), (PALETTE,)))
     if len(colours) > 1:
-        least, mode, predicted = min(((_cost(r), m, r) for m in ((1, 2) if grey else (1, 2, 7, 11, 12)) for r in (_residual(planes, m),)), key=lambda x: x[:2])
-        options.append((least + 64, (PREDICTOR,)))
-        if not grey:
+        if grey:  # the differences themselves, without the border
+            g = planes[..., 0]
+            least, mode = min((_bits_of((g[:, 1:] - g[:, :-1]) & 0xFF), 1), (_bits_of((g[1:] - g[:-1]) & 0xFF), 2)) if h > 1 and w > 1 else (options[0][0], 1)
+            options.append((least + 64 + 8 * max(h, w), (PREDICTOR,)))
+        else:
+            least, mode, predicted = min(((_cost(r), m, r) for m in (1, 2, 7, 11, 12) for r in (_residual(planes, m),)), key=lambda x: x[:2])
+            options.append((least + 64, (PREDICTOR,)))
             crossed, element = _cross_coloured(predicted)
             options += [(_cost(crossed) + 160, (PREDICTOR, CROSS_COLOUR)), (_cost(_without_green(predicted)) + 68, (PREDICTOR, SUBTRACT_GREEN)), (_cost(_without_green(planes)) + 4, (SUBTRACT_GREEN,))]
     _, plan = min(options)
