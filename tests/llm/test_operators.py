@@ -202,6 +202,16 @@ def test_queries_equal_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("ids", ["null", "two"])
+def test_mixing_without_ids(spark, ids):
+    """Rows without an id, or of two ids, are still cut near the target."""
+    rng = random.Random(1)
+    rows = [(None if ids == "null" else k % 2, f"t{k} " + sentence(rng, rng.randint(1, 9)), "big" if k < 600 else "small") for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, g in got.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 10 and (g.taken <= 2 * g["size"]).all()
+
+
 def test_mixing_of_nulls_and_ties(spark):
     rows = spark.createDataFrame([(k, "a b c", None if k % 5 == 0 else "ab"[k % 2]) for k in range(200)], "doc_id long, text string, source string")
     got = mixing.mix(rows).toPandas()
@@ -218,6 +228,15 @@ def test_line_dedup(spark):
     assert {r.text for r in line_dedup.dedup_document_lines(copies).collect()} == {"same text\nof copies", "Alone"}
 
 
+def test_line_dedup_of_small_hosts_and_any_columns(spark):
+    pages = [(k, "tiny" if k < 3 else f"one{k}", ["Menu", f"own {k}"], "x", "y", "z") for k in range(5)]
+    rows = spark.createDataFrame(pages, "id long, host string, lines array<string>, bad string, bad_host string, kept string")
+    got = {r.id: r for r in line_dedup.drop_boilerplate(rows).collect()}
+    assert [got[k].kept for k in range(5)] == [["own 0"], ["own 1"], ["own 2"], ["Menu", "own 3"], ["Menu", "own 4"]]
+    assert all(r.bad == "x" and r.bad_host == "y" for r in got.values())
+    assert not line_dedup.drop_boilerplate(rows.limit(0)).collect()
+
+
 def test_repeated_lines_of_a_source_go(spark):
     """Lines in 1 and 2 % of a source go; the text of a group of edited copies and lines of a small source stay."""
     rng = random.Random(2)
@@ -304,6 +323,150 @@ def test_hnsw_recall_ties_and_awkward_vectors(spark):
     assert hnsw.nearest(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 2
 
 
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e4, 1.0), (0.0, 1e20), (-1e6, 1e-3)])
+def test_hnsw_recall_anywhere(spark, shift, scale):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 12)) * scale + shift
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, vector array<double>")
+    found = hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), shard_nodes=500).toPandas()
+    hits = 0
+    for q in range(0, 1500, 100):
+        d = hnsw.euclidean(x - x[q])
+        want = sorted((k for k in range(1500) if k != q), key=lambda k: (d[k], k))[:10]
+        hits += len(set(found[found.query_id == q].vec_id) & set(want))
+    assert hits >= 0.9 * 150
+
+
+def _documents(sf=SF):
+    return pd.read_parquet(f"{sf}/documents.parquet")
+
+
+def test_registered_index_query_recalls(spark):
+    x = pd.read_parquet(f"{SF}/embeddings.parquet")
+    v = {i: np.array(e, dtype=float) for i, e in zip(x.vec_id, x.embedding) if e is not None and len(e) and np.isfinite(np.array(e, dtype=float)).all() and np.any(e)}
+    got = queries.op9_hnsw(spark, SF).toPandas()
+    asked = [i for i in v if i % 100 == 0]
+    hits = total = 0
+    for q in asked:
+        d = {i: float(np.sqrt(((w - v[q]) ** 2).sum())) for i, w in v.items() if i != q and len(w) == len(v[q])}
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(own.score, [d[i] for i in own.vec_id], rtol=1e-12)
+        hits, total = hits + len(set(want) & set(own.vec_id)), total + len(want)
+    assert set(got.query_id) == set(asked) and hits >= 0.9 * total
+
+
+def test_registered_text_queries_equal_brute_force(spark):
+    """op1, op5, op6 and op8 as registered, on all documents, hex digests included."""
+    from tokenizers import Tokenizer
+
+    docs = _documents()
+    texts = [t if isinstance(t, str) else "" for t in docs.text]
+    rows = list(zip(docs.doc_id.tolist(), texts))
+    one = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op1_substring_dedup(spark, SF).collect()}
+    assert one == brute_substrings(rows)
+    six = {r.doc_id: r for r in queries.op6_simhash(spark, SF).collect()}
+    points = [brute_fingerprint(t) for t in texts]
+    assert [six[i].fingerprint for i, _ in rows] == [f"{p:016x}" for p in points]
+    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
+    found = brute_components([points[k] for k in order])
+    assert [six[rows[k][0]].component_id for k in order] == [rows[order[c]][0] for c in found]
+    reference = Tokenizer.from_file(queries.tokenizer_path())
+    five, eight = ({r.doc_id: r for r in q(spark, SF).collect()} for q in (queries.op5_webp, queries.op8_bpe))
+    for i, t in rows:
+        raw = t.encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = webp.to_media(payload)
+        stored = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert (five[i].payload_sha256, five[i].tail_crc32, five[i].media_bytes, five[i].media_sha256) == stored and five[i].n_bytes == len(raw) and five[i].payload_bytes == len(payload)
+        x = np.frombuffer(payload, dtype=np.uint8).astype(float)
+        assert five[i].feature.startswith(f"64x{len(payload) // 64};mean={x.mean():.4f};sd={x.std():.4f};") and five[i].error is None
+        ids = reference.encode(t, add_special_tokens=False).ids
+        digest = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert (eight[i].n_tokens, eight[i].ids_sha256) == (len(ids), digest)
+        assert eight[i].decoded_sha256 == hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def brute_toxicity(model, text):
+    """The score of one text, window by window."""
+    import zstandard
+
+    bare = bytes(c if chr(c).isalnum() or c > 126 or c < 33 else 32 for c in range(256))
+    words = (text or "").encode().lower().translate(bare).split()
+    n = len(words)
+    windows = [b" ".join(words[a : a + 8]) for a in range(0, max(1, n - 4), 4)] if words else []
+    params = dict(window_log=18, hash_log=18, chain_log=18, search_log=8, min_match=5, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def sizes(content):
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(**params))
+        return np.array([len(c.compress(w)) for w in windows])
+
+    x = np.zeros(17)
+    if windows:
+        g = sizes(model.ordinary) - sizes(model.toxic)
+        above = np.array([(g >= t).sum() for t in (1, 2, 3, 4, 5, 6, 8)])
+        x = np.r_[g.max(), g.mean(), math.log1p(len(g)), above / (len(g) + 10), np.log1p(above)]
+    z = float(((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1])
+    return 1 / (1 + math.exp(-max(-35, min(35, z))))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels, keep=~in_fold("doc_id", 4, 2))
+    assert len(model.ordinary) == len(model.toxic) and b"stupid " in model.toxic and b"stupid " not in model.ordinary
+    rows = docs.limit(150).collect()
+    extra = [(10**6 + k, t) for k, t in enumerate([None, "", " ... ", "one", "You stupid moron, such a pathetic loser and a worthless idiot you are indeed"])]
+    table = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + extra, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, model).collect()}
+    for i, t in [(r.doc_id, r.text) for r in rows] + extra:
+        assert math.isclose(got[i], brute_toxicity(model, t), rel_tol=1e-6, abs_tol=1e-9), i
+    assert got[10**6] == got[10**6 + 1] and got[10**6 + 4] > 0.3
+
+
+def test_language_predictions_equal_brute_force(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(docs, keep=~in_fold("doc_id", 5, 0), docs_per_lang=30)
+    held = docs.where(in_fold("doc_id", 5, 0)).collect()
+    letters = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+    packers = {}
+    for lang, content in model.dictionaries.items():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=model.level)
+        packers[lang] = zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False)
+    got = {r.doc_id: r for r in langid.predict_languages(docs, model).collect()}
+    for r in held:
+        clean = b" ".join((r.text or "").casefold().encode().translate(letters).split())
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and not got[r.doc_id].accepted
+            continue
+        clean = clean or b" "
+        sums = {lang: sum(len(p.compress(clean[a : a + 1024])) for a in range(0, len(clean), 1024)) for lang, p in packers.items()}
+        best = min(sums, key=lambda lang: sums[lang])
+        assert sums[got[r.doc_id].lang_pred] == sums[best]
+        second = sorted(sums.values())[1]
+        assert math.isclose(got[r.doc_id].margin, (second - sums[best]) / sums[best]) and got[r.doc_id].accepted == (got[r.doc_id].margin >= model.min_margin)
+    assert 0 < model.min_margin < 0.5 and sum(r.accepted for r in got.values()) > 0.9 * len(got)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels, keep=~in_fold("doc_id", 5, 0))
+    rows = docs.limit(100).collect()
+    got = {r.doc_id: r for r in quality.quality_scores(docs.limit(100), model).collect()}
+    for r in rows:
+        x = quality.features([(r.text or "").encode()])[0]
+        strength = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights))
+        z = model.slope * (strength - model.threshold) + math.log(0.3 / 0.7)
+        assert math.isclose(got[r.doc_id].strength, strength, rel_tol=1e-6, abs_tol=1e-9) and math.isclose(got[r.doc_id].score, 1 / (1 + math.exp(-max(-35, min(35, z)))), rel_tol=1e-6, abs_tol=1e-9)
+    above, y = np.array([-2.0, -1, 1, 2, 3, -1]), np.array([0, 0, 1, 1, 1, 1])
+    loss = lambda slope: float(np.log1p(np.exp(np.where(y == 1, -1, 1) * (slope * above + math.log(0.3 / 0.7)))).sum())
+    slope = quality.fitted_slope(above, y, np.ones(6))
+    assert loss(slope) <= min(loss(slope * 0.98), loss(slope * 1.02))
+
+
 def test_classifiers_learn(spark):
     sf = "/root/testdata/sf0.01"
     labels = pd.read_parquet(f"{sf}/labels.parquet")
@@ -370,6 +533,60 @@ def test_pipeline_keeps_clean_documents(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
 
 
+def brute_lines(docs, ratio=0.005, least=4):
+    """Documents (doc_id, text, source) without the lines that too many near-distinct documents of their source hold."""
+    out = {}
+    for source in {d[2] for d in docs}:
+        own = [d for d in docs if d[2] == source]
+        first = brute_first([(d[0], d[1]) for d in own])
+        single = [d for d in own if d[0] in first]
+        counts = {}
+        for d in single:
+            for line in {x.strip(" ") for x in (d[1] or "").split("\n")} - {""}:
+                counts[line] = counts.get(line, 0) + 1
+        bad = {line for line, n in counts.items() if n >= least and n / len(single) > ratio}
+        out |= {d[0]: None if d[1] is None else "\n".join(x for x in d[1].split("\n") if x.strip(" ") not in bad) for d in own}
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage against brute force on its own input, and the whole against its stages."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"), keep=~in_fold("doc_id", 4, 2))
+    clean = stages["toxicity"](spark, docs, SF).collect()
+    assert {r.doc_id for r in clean} == {r.doc_id for r in docs.collect() if brute_toxicity(model, r.text) < 0.3}
+    docs = spark.createDataFrame(clean, docs.schema)
+    lines = stages["line_dedup"](spark, docs, SF).collect()
+    assert {r.doc_id: r.text for r in lines} == brute_lines([(r.doc_id, r.text, r.source) for r in clean])
+    docs = spark.createDataFrame(lines, docs.schema)
+    first = stages["simhash"](spark, docs, SF).collect()
+    assert {r.doc_id for r in first} == brute_first([(r.doc_id, r.text) for r in lines]) and len(first) == len({r.doc_id for r in first})
+    docs = spark.createDataFrame(first, docs.schema)
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    mixed = stages["mixing"](spark, docs, SF).collect()
+    assert pd.Series([r.doc_id for r in mixed]).value_counts().to_dict() == {i: n for i, n in copies.items() if n}
+    reference = Tokenizer.from_file(queries.tokenizer_path())
+    coded = {(r.doc_id, bytes(r.ids)) for r in stages["bpe"](spark, spark.createDataFrame(mixed, docs.schema), SF).collect()}
+    assert coded == {(r.doc_id, np.array(reference.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()) for r in mixed}
+    assert corpus_pipeline.run(spark, SF).count() == len(mixed)
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    import corpus_pipeline
+
+    for rows in (AWKWARD, []):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, SF).collect()
+            assert (len(got) > 0) == bool(rows), name
+            if name in ("line_dedup", "bpe"):
+                assert len(got) == len(rows)
+
+
 def test_toxic_word_starts_are_learned(spark):
     """Marks that only occur as the start of ever new words, beside a mark that is a whole word."""
     rng = np.random.default_rng(3)
