@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import plans
 from tracewell.functions import formats, sqltext
+from tracewell.graph import LineageGraph
 from tracewell.operators import build
 from tracewell.sources import cache, corpus, sample
 from tracewell.streaming import follow_edges
@@ -21,8 +22,8 @@ def refs(spark, sql, **kw):
 
 
 def test_references(spark):
-    cte = "WITH s AS (SELECT * FROM DWH.FACT_SALES) SELECT * FROM s LEFT JOIN DWH.DIM_CUSTOMER c ON 1 = 1"
-    assert refs(spark, cte) == {("DWH", "FACT_SALES", "SELECT"), ("DWH", "DIM_CUSTOMER", "JOIN")}
+    cte = "WITH s AS (SELECT * FROM SHOP.RECEIPTS) SELECT * FROM s LEFT JOIN SHOP.MEMBERS c ON 1 = 1"
+    assert refs(spark, cte) == {("SHOP", "RECEIPTS", "SELECT"), ("SHOP", "MEMBERS", "JOIN")}
     assert refs(spark, "CREATE TABLE S.T AS SELECT * FROM A.B") == {("S", "T", "DDL"), ("A", "B", "SELECT")}
     assert refs(spark, "SELECT 1 FROM DUAL, V_X JOIN SUM") == set()
     assert refs(spark, "DELETE FROM S.T") == {("S", "T", "SELECT")}
@@ -30,25 +31,55 @@ def test_references(spark):
     assert refs(spark, None) == set() and refs(spark, "") == set()
 
 
+def test_references_in_many_shapes(spark):
+    assert refs(spark, 'SELECT 1 FROM "Shop"."Basket Lines" b, `lake.raw.clicks` c, lake.raw.views v') == {("SHOP", "BASKET LINES", "SELECT"), ("RAW", "CLICKS", "SELECT"), ("RAW", "VIEWS", "SELECT")}
+    assert refs(spark, "SELECT EXTRACT(DAY FROM b.T) FROM SHOP.B /* FROM SHOP.C */ -- JOIN SHOP.D") == {("SHOP", "B", "SELECT")}
+    assert refs(spark, "MERGE INTO SHOP.B USING SHOP.C ON 1 = 1", by_statement=True) == {("SHOP", "B", "MERGE"), ("SHOP", "C", "SELECT")}
+    assert refs(spark, "DELETE FROM SHOP.B", by_statement=True) == {("SHOP", "B", "DELETE")}
+
+
+def test_long_texts_take_linear_time(spark):
+    columns = ", ".join(f"t.C{k} AS N{k}" for k in range(5000))
+    total = "+".join(f"t.c{k}" for k in range(15_000))
+    views = [("wide", f"SELECT {columns} FROM SHOP.T t"), ("long", f"SELECT SUM({total}) AS S FROM SHOP.T t"), ("text", f"SELECT '{'x ' * 500_000}' AS L, t.A FROM SHOP.T t"), ("deep", f"SELECT {'(' * 3000}t.A{')' * 3000} AS D FROM SHOP.T t")]
+    rows = spark.createDataFrame(views, "id string, sql string")
+    counts = {r.id: r["count"] for r in sqltext.column_lineage(rows, "id", "sql").groupBy("id").count().collect()}
+    assert counts == {"wide": 5000, "long": 15_000, "text": 1, "deep": 1}
+    assert {r.ref_name for r in sqltext.table_refs(rows, ["id"], "sql").collect()} == {"T"}
+    script = 'local a = "' + "y" * 1_000_000 + '"\nquery("SELECT 1 FROM SHOP.T")'
+    found = sqltext.script_refs(spark.createDataFrame([("s", script, "LUA")], "id string, text string, language string"), ["id"], "text", "language").collect()
+    assert [(r.ref_schema, r.ref_name) for r in found] == [("SHOP", "T")]
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from tracewell.storage import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+
+
 def test_scripts(spark):
-    lua = 'local a = query([[SELECT * FROM DWH.FACT_ORDERS o JOIN DWH.DIM_PRODUCT p ON 1=1]])\nquery("INSERT INTO " .. "STAGING.PROCESSED_ORDERS SELECT 1")'
-    python = 'run("""SELECT * FROM MART.VW_SALES_SUMMARY v\nJOIN MART.DIM_TIME t ON 1=1""")'
+    lua = 'local a = query([[SELECT * FROM SHOP.BASKETS o JOIN SHOP.GOODS p ON 1=1]])\nquery("INSERT INTO " .. "BUFFER.DONE_BASKETS SELECT 1")'
+    python = 'run("""SELECT * FROM DESK.WEEKLY v\nJOIN DESK.WEEKS t ON 1=1""")'
     rows = spark.createDataFrame([("l", lua, "LUA"), ("p", python, "PYTHON")], "id string, text string, language string")
     got = {(r.id, r.ref_schema, r.ref_name, r.reference_type) for r in sqltext.script_refs(rows, ["id"], "text", "language").collect()}
     assert got == {
-        ("l", "DWH", "FACT_ORDERS", "SELECT"), ("l", "DWH", "DIM_PRODUCT", "JOIN"), ("l", "STAGING", "PROCESSED_ORDERS", "INSERT"),
-        ("p", "MART", "VW_SALES_SUMMARY", "SELECT"), ("p", "MART", "DIM_TIME", "JOIN"),
+        ("l", "SHOP", "BASKETS", "SELECT"), ("l", "SHOP", "GOODS", "JOIN"), ("l", "BUFFER", "DONE_BASKETS", "INSERT"),
+        ("p", "DESK", "WEEKLY", "SELECT"), ("p", "DESK", "WEEKS", "JOIN"),
     }
 
 
 def test_column_lineage(spark):
-    sql = """SELECT o.ORDER_ID, c.CUSTOMER_NAME, SUM(o.AMOUNT) AS TOTAL_AMOUNT, CAST(o.ORDER_DATE AS DATE) AS ORDER_DATE,
-    CASE WHEN o.STATUS = 'A' THEN 'x' ELSE 'y' END AS STATUS_LABEL, UNQUALIFIED, COALESCE(o.A, NVL(o.A, 0)) AS TWICE FROM SALES.ORDERS o JOIN CUSTOMERS.CUSTOMER c ON o.C = c.C"""
+    sql = """SELECT o.BASKET_ID, c.MEMBER_NAME, SUM(o.AMOUNT) AS SPENT, CAST(o.DAY_OF AS DATE) AS DAY_OF,
+    CASE WHEN o.STATUS = 'A' THEN 'x' ELSE 'y' END AS STATE_TEXT, UNQUALIFIED, COALESCE(o.A, NVL(o.A, 0)) AS TWICE FROM SALES.ORDERS o JOIN CUSTOMERS.CUSTOMER c ON o.C = c.C"""
     rows = spark.createDataFrame([("DWH.V", sql)], "id string, sql string")
     got = sorted((r.source_object_id, r.source_column, r.target_column, r.transformation_type) for r in sqltext.column_lineage(rows, "id", "sql").collect())
     assert got == sorted([
-        ("SALES.ORDERS", "ORDER_ID", "ORDER_ID", "DIRECT"), ("CUSTOMERS.CUSTOMER", "CUSTOMER_NAME", "CUSTOMER_NAME", "DIRECT"), ("SALES.ORDERS", "AMOUNT", "TOTAL_AMOUNT", "AGGREGATE"),
-        ("SALES.ORDERS", "ORDER_DATE", "ORDER_DATE", "CAST"), ("SALES.ORDERS", "STATUS", "STATUS_LABEL", "CASE"), ("SALES.ORDERS", "A", "TWICE", "FUNCTION"), ("SALES.ORDERS", "A", "TWICE", "FUNCTION"),
+        ("SALES.ORDERS", "BASKET_ID", "BASKET_ID", "DIRECT"), ("CUSTOMERS.CUSTOMER", "MEMBER_NAME", "MEMBER_NAME", "DIRECT"), ("SALES.ORDERS", "AMOUNT", "SPENT", "AGGREGATE"),
+        ("SALES.ORDERS", "DAY_OF", "DAY_OF", "CAST"), ("SALES.ORDERS", "STATUS", "STATE_TEXT", "CASE"), ("SALES.ORDERS", "A", "TWICE", "FUNCTION"), ("SALES.ORDERS", "A", "TWICE", "FUNCTION"),
     ])
 
 
@@ -104,6 +135,8 @@ def test_sample_and_numbers(spark):
     assert a.table_deps.exceptAll(b.table_deps).isEmpty() and a.objects.count() > 180
     ids = a.objects.select("id")
     assert a.table_deps.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti").isEmpty()
+    walked = LineageGraph(a.objects, a.table_deps, a.column_deps).lineage_of(spark.createDataFrame([(f"CHAIN.CHAIN_{c:02d}_00",) * 2 for c in range(5)], "seed string, id string"), 11)
+    assert walked.nodes.groupBy("seed").agg(F.max("level").alias("l"), F.count("id").alias("n")).where("l = 11 AND n = 12").count() == 5
     numbers = [r.object_id for r in cache.numbered(a.objects.select("id"), ["id"]).orderBy("id").collect()]
     assert numbers == list(range(100_000, 100_000 + len(numbers)))
 

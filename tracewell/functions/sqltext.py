@@ -47,24 +47,32 @@ def looks_like_sql(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _engine_words() -> tuple[str, ...]:
+def _engine_words() -> tuple[list[str], list[str]]:
+    """What Spark itself knows: reserved words and functions; and words that are keywords in places only."""
     spark = SparkSession.active()
-    words = [r[0] for r in spark.sql("SELECT keyword FROM sql_keywords()").collect()]
-    functions = [r[0] for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()]
-    return tuple(sorted({w.upper() for w in [*words, *functions] if w.replace("_", "").isalnum()}))
+    words = spark.sql("SELECT upper(keyword) AS w, reserved AS r FROM sql_keywords()").collect()
+    functions = {r[0].upper() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect() if r[0].replace("_", "").isalnum()}
+    reserved = {r.w for r in words if r.r} | functions
+    return sorted(reserved), sorted({r.w for r in words} - reserved)
 
 
-def not_table_names() -> list[str]:
-    """Names that are no tables: the keywords and functions that Spark itself knows, and a few of other systems."""
-    return [*_engine_words(), "DUAL", "DECLARE", "RETURN", "RETURNS", "CURSOR", "OPEN", "CLOSE", "RECORD", "RECORDS", "RESULT", "RESULTS", "SAFE_CAST", "SAFE_DIVIDE"]
+# Names of other systems that are no tables.
+_FOREIGN = ["DUAL", "DECLARE", "RETURN", "RETURNS", "CURSOR", "OPEN", "CLOSE", "RECORD", "RECORDS", "RESULT", "RESULTS", "SAFE_CAST", "SAFE_DIVIDE"]
 
 
 def is_table_name(name: Column, schema: Column, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = True) -> Column:
-    """Neither a function, keyword nor variable name; with strict_names=False qualified names always pass."""
+    """Neither a function, keyword nor variable name; a qualified name may be a word that is a keyword in places only.
+
+    With strict_names=False qualified names always pass. not_tables replaces the
+    keywords and functions that Spark knows.
+    """
     upper = F.upper(name)
     variable = reduce(lambda a, b: a | b, (upper.startswith(v) for v in (*VARIABLES, "@")))
     qualified = F.coalesce(schema, F.lit("")) != ""
-    ok = ~upper.isin(not_table_names() if not_tables is None else not_tables) & ~variable
+    never, sometimes = _engine_words() if not_tables is None else (not_tables, [])
+    ok = ~upper.isin([*never, *_FOREIGN] if not_tables is None else never) & ~variable
+    if sometimes:
+        ok = ok & (qualified | ~upper.isin(sometimes))
     if not strict_names:
         ok = ok | qualified
     return ok & qualified if require_schema else ok

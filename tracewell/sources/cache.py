@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.operators.catalog import cache_counters, inverted_index
 from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform, validate, with_defaults
 from tracewell.storage import park
 
@@ -68,9 +69,19 @@ def read_cache(spark: SparkSession, path: str) -> CacheTables:
 
 
 def write_tables(tables: CacheTables, path: str) -> None:
-    """The graph as three Parquet tables below path."""
+    """The graph as Parquet below path, by any number of tasks: three tables, their counters, and four indexes as rows.
+
+    schema_index and type_index hold (value, id), forward and backward (id, neighbour).
+    """
     for name in ("objects", "table_deps", "column_deps"):
         getattr(tables, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    pairs = tables.table_deps.select("source_id", "target_id").distinct()
+    more = {
+        "metadata": cache_counters(tables.objects, tables.table_deps), "schema_index": inverted_index(tables.objects, "schema"), "type_index": inverted_index(tables.objects, "type"),
+        "forward": pairs.toDF("id", "neighbour"), "backward": pairs.select("target_id", "source_id").toDF("id", "neighbour"),
+    }
+    for name, rows in more.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_tables(spark: SparkSession, path: str) -> CacheTables:
@@ -83,10 +94,10 @@ def _by_id(a: Column, b: Column) -> Column:
 
 def cache_document(tables: CacheTables, source: str = "tracewell") -> DataFrame:
     """One JSON text in the cache layout. It holds the whole graph in one row: for exchange of small graphs only."""
-    objects = tables.objects.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*tables.objects.columns))), _by_id)).alias("objects"), F.count(F.lit(1)).alias("object_count"))
+    objects = tables.objects.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*tables.objects.columns))), _by_id)).alias("objects"), F.count(F.lit(1)).alias("object_count"), F.coalesce(F.sum(F.greatest(F.size("columns"), F.lit(0))), F.lit(0)).alias("column_count"))
     deps = tables.table_deps.agg(F.sort_array(F.collect_list(F.struct("seq", "source_id", "target_id", "dependency_type", "reference_type"))).alias("table_level"))
     cols = tables.column_deps.agg(F.sort_array(F.collect_list(F.struct("seq", *(c for c in tables.column_deps.columns if c != "seq")))).alias("column_level"))
-    meta = F.struct(F.lit(source).alias("source"), "object_count", F.size("table_level").alias("dependency_count"))
+    meta = F.struct(F.lit(source).alias("source"), "object_count", "column_count", F.size("table_level").alias("dependency_count"))
     return objects.join(deps).join(cols).select(F.to_json(F.struct(meta.alias("metadata"), "objects", F.struct("table_level", "column_level").alias("dependencies"))).alias("value"))
 
 

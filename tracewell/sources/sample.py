@@ -14,6 +14,7 @@ LAYERS = [
     ("STG", "TABLE", 0.2, 3, "ETL", "INSERT_SELECT"), ("DWH", "TABLE", 0.1, 5, "ETL", "INSERT_SELECT"), ("MART", "VIEW", 0.2, 4, "VIEW", "SELECT"),
     ("REPORT", "VIEW", 0.1, 3, "VIEW", "SELECT"), ("UDF", "LUA_UDF", 0.1, 1, "UDF_INPUT", "PARAMETER"),
 ]
+CHAIN_LEVELS = 12
 CLASSES = ["DIRECT", "DIRECT", "DIRECT", "EXPRESSION", "AGGREGATE", "CASE", "CAST", "FUNCTION"]
 
 
@@ -21,8 +22,11 @@ def _pick(n: int, seed: int, *salt: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *salt), F.lit(max(1, n)))
 
 
-def sample_graph(spark: SparkSession, width: int = 450, seed: int = 42, columns: int = 5) -> CacheTables:
-    """About width objects in eight layers; every object but the first layer's has edges from the layer before, every edge two column edges."""
+def sample_graph(spark: SparkSession, width: int = 450, seed: int = 42, columns: int = 5, chains: int = 5) -> CacheTables:
+    """About width objects in eight layers; every object but the first layer's has edges from the layer before, every edge two column edges.
+
+    Beside them stand chains of CHAIN_LEVELS tables, each fed by the one before.
+    """
     objects = deps = None
     before = None
     for schema, kind, share, fan_in, dep, ref in LAYERS:
@@ -41,6 +45,13 @@ def sample_graph(spark: SparkSession, width: int = 450, seed: int = 42, columns:
             edges = conform(edges, TABLE_DEP)
             deps = edges if deps is None else deps.unionByName(edges)
         before = (schema, n)
+    links = spark.range(chains * CHAIN_LEVELS).select((F.col("id") / CHAIN_LEVELS).cast("int").alias("chain"), (F.col("id") % CHAIN_LEVELS).cast("int").alias("level"))
+    link = lambda level: F.format_string("CHAIN.CHAIN_%02d_%02d", "chain", level)
+    rows = links.select(link(F.col("level")).alias("id"), F.lit("CHAIN").alias("schema"), F.format_string("CHAIN_%02d_%02d", "chain", "level").alias("name"), F.lit("TABLE").alias("type"), F.lit("SYS").alias("owner"),
+        (F.lit(2_000_000) + F.col("chain") * CHAIN_LEVELS + F.col("level")).alias("object_id"), F.lit("exasol").alias("platform"))
+    objects = objects.unionByName(conform(rows, OBJECT))
+    steps = links.where("level > 0").select(link(F.col("level") - 1).alias("source_id"), link(F.col("level")).alias("target_id"), F.lit("ETL").alias("dependency_type"), F.lit("INSERT_SELECT").alias("reference_type"), F.col("level").alias("seq"))
+    deps = deps.unionByName(conform(steps, TABLE_DEP))
     k = F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k")
     pairs = deps.select("source_id", "target_id").distinct().select("source_id", "target_id", k)
     col = lambda salt: F.concat(F.lit("C_"), (_pick(columns, seed, F.col("source_id"), F.col("target_id"), F.col("k"), F.lit(salt)) + 1).cast("string"))
