@@ -140,9 +140,16 @@ def read_prefix_code(bits: Bits, alphabet: int) -> PrefixCode:
         code_lengths[CODE_LENGTH_ORDER[k]] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     code, s, previous = PrefixCode(code_lengths), 0, 8
+    entries = code.entry.tolist() if code.width else [code.only << 4]
+    mask, data = (1 << code.width) - 1, bits.data
     while s < alphabet and left:
         left -= 1
-        n = code.read(bits)
+        at = bits.at
+        entry = entries[(data[at >> 3] | data[(at >> 3) + 1] << 8) >> (at & 7) & mask]
+        bits.at = at + (entry & 15)
+        if bits.at > bits.end:
+            raise ValueError("the image data ends early")
+        n = entry >> 4
         if n < 16:
             lengths[s] = n
             s += 1
@@ -580,6 +587,14 @@ def _cache_hits(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot.astype(np.int64), hit
 
 
+@lru_cache(maxsize=2048)
+def _one_symbol(symbol: int) -> tuple[int, int]:
+    """Bits of the code of one symbol, and how many they are."""
+    out = BitWriter()
+    write_prefix_code(out, [int(s == symbol) for s in range(max(2, symbol + 1))])
+    return out.value, out.at
+
+
 @lru_cache(maxsize=64)
 def _near(width: int) -> dict[int, int]:
     """The short code of each distance that has one."""
@@ -638,11 +653,13 @@ def write_image(out: BitWriter, px: np.ndarray, width: int, main: bool) -> None:
     values, widths = np.zeros((len(at), 6), dtype=np.int64), np.zeros((len(at), 6), dtype=np.int64)
     which = [slice(None), pixel, pixel, pixel, back]
     for column, rows, symbols, size in zip((0, 2, 3, 4, 2), which, used, sizes):
+        if len(symbols) < 2 or (symbols == symbols[0]).all():
+            out.write(*_one_symbol(int(symbols[0]) if len(symbols) else 0))
+            continue
         lengths = code_lengths(np.bincount(symbols, minlength=size))
         write_prefix_code(out, lengths)
-        if sum(map(bool, lengths)) > 1:
-            values[rows, column] = np.array(codes_of(lengths))[symbols]
-            widths[rows, column] = np.array(lengths)[symbols]
+        values[rows, column] = np.array(codes_of(lengths))[symbols]
+        widths[rows, column] = np.array(lengths)[symbols]
     values[back, 1], widths[back, 1] = more[back], more_bits[back]
     values[back, 3], widths[back, 3] = further[back], further_bits[back]
     filled = widths.ravel() > 0
