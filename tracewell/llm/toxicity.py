@@ -161,11 +161,13 @@ def _marks(sample: DataFrame, totals: dict[int, int], size: int, min_log_odds: f
     documents hold is no mark.
     """
     counts = arrow_map(sample.select("text", "y"), _units, "unit binary, y int").groupBy("unit").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    least = {t: max(3, totals[t] // 200) for t in (0, 1)}
+    counts = park(counts.where((F.col("n0") >= least[0]) | (F.col("n1") >= least[1])), "toxicity-units")
     out = []
     for own, other in ((0, 1), (1, 0)):
         a, b = F.col(f"n{own}") + 0.5, F.col(f"n{other}") + 0.5
         sure = F.log(a / (totals[own] + 1)) - F.log(b / (totals[other] + 1)) - 2 * F.sqrt(1 / a + 1 / b)
-        found = counts.where(F.col(f"n{own}") >= max(3, totals[own] // 200)).select("unit", F.round(sure, 9).alias("sure")).where(F.col("sure") > min_log_odds)
+        found = counts.where(F.col(f"n{own}") >= least[own]).select("unit", F.round(sure, 9).alias("sure")).where(F.col("sure") > min_log_odds)
         best = found.orderBy(F.desc("sure"), "unit").limit(size // 2).collect()  # a unit takes two bytes or more
         content, room = [], size
         for r in best:

@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -200,7 +201,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     for group in groups:
         for code in group:
             code.lists = code.lists or (code.entry.tolist() if code.width else [code.only << 4])
-    out: list[int] = []
+    out = array("I")
     put, words, at, end = out.append, bits.words(), bits.at, bits.end
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
     group, many = None, groups_of is not None
@@ -267,7 +268,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if at > end:
             raise ValueError("the image data ends early")
     bits.at = at
-    return np.array(out, dtype=np.uint32)
+    return np.frombuffer(out, dtype=np.uint32)
 
 
 def _planes(argb: np.ndarray) -> np.ndarray:
@@ -547,6 +548,9 @@ def _matches(px: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     pair = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
     for k in range(0, least, 2):
         key = key * np.uint64(0x9E3779B97F4A7C15) + (pair[k : n - least + 1 + k] if k + 1 < least else px[k:].astype(np.uint64))
+    placed = np.sort(key)
+    if not (placed[1:] == placed[:-1]).any():
+        return length, far
     order = np.argsort(key)
     twice = key[order[1:]] == key[order[:-1]]
     order = np.sort(order[np.r_[False, twice] | np.r_[twice, False]])  # what occurs again, in its order
