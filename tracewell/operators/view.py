@@ -40,8 +40,8 @@ def expand(view: View, graph: Snapshot, id_: str, direction: str = FORWARD) -> V
     """
     found = traverse(graph, _seed(graph.ids.rows, id_), 1, direction)
     flags = ["has_more_upstream", "has_more_downstream"]
-    own = view.nodes.where(F.col("id") == id_).select(F.col("level").alias("own_level"))
-    fresh = found.nodes.join(F.broadcast(own), how="left").select("id", (F.coalesce("own_level", F.lit(0)) + F.col("level")).alias("new_level"), *(F.col(c).alias(f"new_{c}") for c in flags))  # own: one row
+    own = view.nodes.where(F.col("id") == id_).agg(F.min("level")).first()[0] or 0
+    fresh = found.nodes.select("id", (F.col("level") + own).alias("new_level"), *(F.col(c).alias(f"new_{c}") for c in flags))
     nodes = view.nodes.join(fresh, "id", "full_outer").select("id", F.coalesce("level", "new_level").alias("level"), *(F.coalesce(f"new_{c}", c).alias(c) for c in flags))
     edges = view.edges.unionByName(found.edges.drop("seed").join(view.edges.select(*PAIR), PAIR, "left_anti"))
     return View(view.root, nodes, edges)

@@ -54,7 +54,7 @@ def read_cache(spark: SparkSession, path: str) -> CacheTables:
     objects = _items(document, "$.objects").where(F.col("value").isNotNull())
     parsed = objects.select("key", F.from_json(F.to_json("value"), _ddl(OBJECT)).alias("o"))
     named = parsed.select("o.*", "key").withColumn("id", F.coalesce("id", "key", F.col("object_id").cast("string")))
-    validate(conform(named, OBJECT))
+    objects = validate(park(conform(named, OBJECT), "cache-objects"))  # so the text is parsed once for each table
     structured = document.where(F.try_variant_get("doc", "$.dependencies.table_level", "variant").isNotNull() | F.try_variant_get("doc", "$.dependencies.column_level", "variant").isNotNull())
     plain = document.join(structured.limit(1).select(F.lit(1).alias("s")), how="left_anti")
     loose = _items(structured, "$.dependencies.table_level").unionByName(_items(plain, "$.dependencies"))
@@ -65,7 +65,7 @@ def read_cache(spark: SparkSession, path: str) -> CacheTables:
     deps = with_defaults(conform(deps, TABLE_DEP).where("source_id IS NOT NULL AND target_id IS NOT NULL"))
     cols = _items(structured, "$.dependencies.column_level").select("seq", F.from_json(F.to_json("value"), _ddl(COLUMN_DEP)).alias("c")).select("c.*", F.col("seq").alias("n")).drop("seq")
     cols = conform(cols.withColumnRenamed("n", "seq"), COLUMN_DEP).where("source_object_id IS NOT NULL AND target_object_id IS NOT NULL")
-    return CacheTables(conform(named, OBJECT), deps, with_defaults(column_deps=cols))
+    return CacheTables(objects, park(deps, "cache-edges"), park(with_defaults(column_deps=cols), "cache-columns"))
 
 
 def write_tables(tables: CacheTables, path: str) -> None:
