@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, fim, hnsw, langid, line_dedup, mixing, quality, simhash, substring, toxicity, webp
+from . import audit, bpe, fim, hnsw, langid, line_dedup, mixing, quality, simhash, substring, suffix, toxicity, webp
 from .common import in_fold, table
 
 
@@ -73,6 +73,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,5 +86,5 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", fim.sha256_text(F.col("output")).alias("output_sha256"), fim.sha256_text(F.col("restored")).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op9_hnsw, op10_language, op12_audit, op13_fim)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_line_dedup, op5_webp, op6_simhash, op7_quality, op8_bpe, op9_hnsw, op10_language, op11_suffix_dedup, op12_audit, op13_fim)}
 ORACLES = {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
