@@ -27,7 +27,40 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small file at a path. Without overwrite it fails where one is, so of two writers one wins."""
+    at, fs = _file(spark, path)
+    out = fs.create(at, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; FileNotFoundError where there is none."""
+    at, fs = _file(spark, path)
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    source = fs.open(at)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what a folder holds; none where there is no folder."""
+    at, fs = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove what was written at a path; nothing happens where there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
