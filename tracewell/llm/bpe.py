@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices, utf8
 
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_BYTES, CACHED_LENGTH = 200_000, 24 << 20, 64  # for a generation of a cache; longer words are not kept
 TABLE_ARCS = 1_500_000  # looked-up transitions kept
 _NEVER = 1 << 60
 _BITS = 20  # of a token in a key of the table
@@ -45,10 +45,10 @@ _SPACES = "\\x09-\\x0d\\x20\\x85\\xa0"
 
 
 class Cache:
-    """A dict of bounded size in two generations: what was used since the last turn survives the next."""
+    """A dict of bounded size, in entries and bytes, in two generations: what was used since the last turn survives the next."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, limit: int = CACHE_BYTES):
+        self.size, self.limit, self.held, self.young, self.old = size, limit, 0, {}, {}
 
     def get(self, key):
         value = self.young.get(key)
@@ -57,8 +57,11 @@ class Cache:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        if len(key) > CACHED_LENGTH:
+            return
+        if len(self.young) >= self.size or self.held >= self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.held += len(key) + 8 * len(value)
         self.young[key] = value
 
 
@@ -177,6 +180,8 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = compile_automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # The leftmost special token; of those that begin at one place the first in order.
+        self.any_special = re.compile("|".join(map(re.escape, sorted(self.special))) or r"(?!)")
         # Every special token holds this mark, and array's unsigned int has the four bytes of the ids.
         self.latin_specials = all("<|" in t for t in self.special) and sys.byteorder == "little" and array("I").itemsize == 4
         labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
@@ -227,10 +232,9 @@ class Codec:
         text, out, at = chunk.decode(), [], 0
         if "<|" not in text and self.latin_specials:
             return array("I", self._pieces(text)).tobytes()
-        while any(s in text[at:] for s in self.special):
-            cut, token = min((text.index(s, at), s) for s in self.special if s in text[at:])
-            out += [*self._pieces(text[at:cut]), self.special[token]]
-            at = cut + len(token)
+        for found in self.any_special.finditer(text):
+            out += [*self._pieces(text[at : found.start()]), self.special[found[0]]]
+            at = found.end()
         out += self._pieces(text[at:])
         return np.array(out, dtype="<u4").tobytes()
 

@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewell.storage import delete, park, shared_dir
+from tracewell.storage import delete, park, read_text, shared_dir, write_text
 
 __all__ = [
-    "WORD", "arrow_map", "compressed_lengths", "delete", "hash_order", "in_fold", "logistic", "park", "shared_dir", "ship", "sigmoid", "table", "text_slices", "utf8", "word_spans",
+    "WORD", "arrow_map", "compressed_lengths", "delete", "hash_order", "in_fold", "logistic", "park", "read_text", "shared_dir", "ship", "sigmoid", "table", "text_slices", "utf8", "word_spans", "write_text",
 ]
 
 WORD = r"[^\x20\x09-\x0D]+"

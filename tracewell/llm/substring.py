@@ -22,6 +22,7 @@ a passage that many documents share sends one record for each batch.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,14 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, delete, park, shared_dir, text_slices, utf8, word_spans
+from .common import arrow_map, delete, park, read_text, shared_dir, text_slices, utf8, word_spans, write_text
 
 WINDOW, ANCHOR = 20, 6
 RANGE_BITS = 5  # a record covers at most WINDOW - ANCHOR + 1 window starts
 CHUNK = 1 << 20
 LONG_WORD = 256  # bytes; from there on a word is hashed by BLAKE2, as a polynomial modulo 2**64 is weak over long inputs
 _BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-RECORD = "key long, ctx long, doc_id long, at long, spans binary"
+RECORD = "key long, ctx long, doc_id long, row long, at long, spans binary"
+ROW, PLACE = ["doc_id", "row"], ["doc_id", "row", "at"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,36 +134,48 @@ def _pack_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[list[i
     return doc[at].tolist(), [p.tobytes() for p in np.split(pairs, at[1:])]
 
 
-def _combined(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Records of one batch: the earliest of each (key, ctx), and for the others the spans they repeat."""
+def _ranked(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each text of a batch in the order of id and row, equal for equal ones; and the id and row of each number."""
+    order = np.lexsort((rows, ids))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(rows[order]) != 0)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, ids[order][new], rows[order][new]
+
+
+def _combined(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Records of one batch: the earliest of each (key, ctx), and for the others the spans they repeat. doc: numbers of ids and rows."""
     order = np.lexsort((lo, doc, ctx, key))
     key, ctx, doc, lo, hi = key[order], ctx[order], doc[order], lo[order], hi[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])] if len(key) else np.zeros(0, dtype=bool)
     origin = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else new.astype(int)
-    repeat = (doc != doc[origin]) | (lo != lo[origin])  # rows that share a doc_id are one document
+    repeat = (doc != doc[origin]) | (lo != lo[origin])  # rows alike in id and text are one document
     docs, spans = _pack_spans(doc[repeat], lo[repeat], hi[repeat]) if repeat.any() else ([], [])
-    n = len(docs)
-    spread = _mix(np.array(docs, dtype=np.int64).view(np.uint64)).view(np.int64)
+    n, docs = len(docs), np.array(docs, dtype=np.int64)
+    spread = _mix(ids[docs].view(np.uint64) ^ _mix(rows[docs].view(np.uint64))).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.r_[key[new].view(np.int64), spread]),
             pa.array(np.r_[ctx[new].view(np.int64), np.zeros(n, dtype=np.int64)]),
-            pa.array(np.r_[doc[new], np.array(docs, dtype=np.int64)]),
+            pa.array(np.r_[ids[doc[new]], ids[docs]]),
+            pa.array(np.r_[rows[doc[new]], rows[docs]]),
             pa.array(np.r_[lo[new] << RANGE_BITS | (hi - lo)[new], np.full(n, -1)]),
             pa.array([None] * int(new.sum()) + spans, pa.binary()),
         ],
-        ["key", "ctx", "doc_id", "at", "spans"],
+        ["key", "ctx", *PLACE, "spans"],
     )
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, parts = np.asarray(batch.column(0)), []
-        for i, j in text_slices(batch.column(1), CHUNK):
-            key, ctx, text, lo, hi = anchor_records(utf8(batch.column(1), i, j))
-            parts.append((key, ctx, ids[i + text], lo, hi))
+        rank, ids, rows = _ranked(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        parts = []
+        for i, j in text_slices(batch.column(2), CHUNK):
+            key, ctx, text, lo, hi = anchor_records(utf8(batch.column(2), i, j))
+            parts.append((key, ctx, rank[i + text], lo, hi))
         if parts:
-            yield _combined(*(np.concatenate(c) for c in zip(*parts)))
+            yield _combined(*(np.concatenate(c) for c in zip(*parts)), ids, rows)
 
 
 def _unpack(at: list[int] | None, spans: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -173,23 +187,24 @@ def _unpack(at: list[int] | None, spans: list[bytes] | None) -> tuple[np.ndarray
 
 
 def _window_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, packed text, at): one record for each window of the ranges in at."""
+    """(doc_id, row, packed text, at): one record for each window of the ranges in at."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        ids, parts = np.asarray(batch.column(0)), []
-        for i, j in text_slices(batch.column(1), CHUNK // 4):
-            a, b, offset = _words_of([unpack(t) for t in batch.column(1).slice(i, j - i).to_pylist()])
+        rank, ids, rows = _ranked(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        parts = []
+        for i, j in text_slices(batch.column(2), CHUNK // 4):
+            a, b, offset = _words_of([unpack(t) for t in batch.column(2).slice(i, j - i).to_pylist()])
             text, start = [], []
-            for k, at in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
+            for k, at in enumerate(batch.column(3).slice(i, j - i).to_pylist()):
                 lo, hi = _unpack(at, None)
                 own = np.unique(_ranges(hi - lo + 1, lo))
                 text.append(np.full(len(own), i + k))
                 start.append(own)
             text, start = np.concatenate(text), np.concatenate(start)
             s = start + offset[text - i]
-            parts.append((range_hashes(a, s, s + WINDOW, _BASES[0][1]), range_hashes(b, s, s + WINDOW, _BASES[1][1]), ids[text], start, start))
+            parts.append((range_hashes(a, s, s + WINDOW, _BASES[0][1]), range_hashes(b, s, s + WINDOW, _BASES[1][1]), rank[text], start, start))
         if parts:
-            yield _combined(*(np.concatenate(c) for c in zip(*parts)))
+            yield _combined(*(np.concatenate(c) for c in zip(*parts)), ids, rows)
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,45 +231,70 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text under zstandard, for the shuffles by document."""
+    """docs (doc_id, row, text) with the text under zstandard, for the shuffles by document."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for i, j in text_slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([c.compress(t) for t in utf8(batch.column(1), i, j)], pa.binary())], ["doc_id", "packed"])
+            for i, j in text_slices(batch.column(2)):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.compress(t) for t in utf8(batch.column(2), i, j)], pa.binary())], [*ROW, "packed"])
 
-    return arrow_map(docs, pack, "doc_id long, packed binary")
+    return arrow_map(docs.select(*ROW, "text"), pack, "doc_id long, row long, packed binary")
 
 
 @dataclass
 class WindowIndex:
-    """Runs of records, oldest first. Documents have to arrive in the order of their ids: each batch after those before it."""
+    """Runs of records, oldest first, in a folder of their own. Documents have to arrive in the order of their ids: each batch after those before it.
+
+    The runs' names are kept in a file of the folder, written after the runs it names, so an index can be opened again by
+    another session (``WindowIndex.open``). One writer at a time.
+    """
 
     spark: SparkSession
     fanout: int = 4
     runs: list[str] = field(default_factory=list)
+    home: str = ""
+    buckets: int = 0
+
+    def __post_init__(self) -> None:
+        self.home = self.home or f"{shared_dir(self.spark)}/window-index-{uuid.uuid4().hex}"
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, home: str) -> WindowIndex:
+        """The index that an earlier session left in a folder."""
+        known = json.loads(read_text(spark, f"{home}/runs.json"))
+        for name in known["runs"]:
+            if not spark.catalog.tableExists(name):
+                spark.sql(
+                    f"CREATE TABLE {name} (key LONG, ctx LONG, doc_id LONG, row LONG, at LONG, spans BINARY) USING parquet "
+                    f"CLUSTERED BY (key) SORTED BY (key) INTO {known['buckets']} BUCKETS LOCATION '{home}/{name}'"
+                )
+        return cls(spark, known["fanout"], known["runs"], home, known["buckets"])
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.home}/runs.json", json.dumps({"runs": self.runs, "fanout": self.fanout, "buckets": self.buckets}))
 
     def _write_run(self, records: DataFrame) -> str:
         name = f"window_run_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = records.repartition(n, "key").sortWithinPartitions("key")
-        dealt.write.bucketBy(n, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        dealt = records.repartition(self.buckets, "key").sortWithinPartitions("key")
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "zstd").option("path", f"{self.home}/{name}").saveAsTable(name)
         return name
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Add a batch (doc_id, text). Marks of the batch and of earlier documents it touches: doc_id, at, spans, repeats.
+        """Add a batch (doc_id, row, text). Marks of the batch and of earlier documents it touches: doc_id, row, at, spans, repeats.
 
         repeats: true where the windows occur earlier, false where they have to be compared one by one.
         """
-        name = self._write_run(arrow_map(docs, _anchors, RECORD))
+        name = self._write_run(arrow_map(docs.select(*ROW, "text"), _anchors, RECORD))
         table = self.spark.table(name)
-        done = park(table.where(F.col("at") < 0).select("doc_id", F.lit(None).cast("long").alias("at"), "spans", F.lit(True).alias("repeats")), "window-done")
+        done = park(table.where(F.col("at") < 0).select(*ROW, F.lit(None).cast("long").alias("at"), "spans", F.lit(True).alias("repeats")), "window-done")
         new = table.where(F.col("at") >= 0).drop("spans")
-        same = Window.partitionBy("key", "ctx").orderBy("doc_id", "at")
-        first = F.first(F.struct("doc_id", "at")).over(same)
+        same = Window.partitionBy("key", "ctx").orderBy(*PLACE)
+        first = F.first(F.struct(*PLACE)).over(same)
         own = new.groupBy("key").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-        new = new.withColumn("repeats", F.struct("doc_id", "at") != first).join(own.hint("merge"), "key").withColumn("old", F.lit(False))
+        new = new.withColumn("repeats", F.struct(*PLACE) != first).join(own.hint("merge"), "key").withColumn("old", F.lit(False))
         partners = []
         for run in self.runs:
             old = self.spark.table(run).where(F.col("at") >= 0)
@@ -269,51 +309,54 @@ class WindowIndex:
         before = self.spark.conf.get(setting)
         self.spark.conf.set(setting, "false")
         try:
-            marked = park(new.select("key", "doc_id", "at", "repeats", "old"), "window-marks")
+            marked = park(new.select("key", *PLACE, "repeats", "old"), "window-marks")
             unsure = marked.where(F.col("old") & ~F.col("repeats")).select("key").distinct()
             for run in self.runs:
                 old = self.spark.table(run).where(F.col("at") >= 0)
-                partners.append(park(old.join(unsure, "key", "left_semi").select("doc_id", "at"), "window-partners"))
+                partners.append(park(old.join(unsure, "key", "left_semi").select(*PLACE), "window-partners"))
         finally:
             self.spark.conf.set(setting, before)
-        out = marked.select("doc_id", "at", F.lit(None).cast("binary").alias("spans"), "repeats").unionByName(done)
+        out = marked.select(*PLACE, F.lit(None).cast("binary").alias("spans"), "repeats").unionByName(done)
         for p in partners:
-            out = out.unionByName(p.select("doc_id", "at", F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("repeats")))
+            out = out.unionByName(p.select(*PLACE, F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("repeats")))
         self.runs.append(name)
         if len(self.runs) > self.fanout:
             self.compact()
+        self._save()
         return out
 
     def compact(self) -> None:
         """Merge all runs into one with the earliest record of each (key, ctx)."""
         rows = None
         for run in self.runs:
-            part = self.spark.table(run).where(F.col("at") >= 0).select("key", "ctx", "doc_id", "at")
+            part = self.spark.table(run).where(F.col("at") >= 0).select("key", "ctx", *PLACE)
             rows = part if rows is None else rows.unionByName(part)
-        least = rows.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "at")).alias("r"))
-        merged = least.select("key", "ctx", "r.doc_id", "r.at", F.lit(None).cast("binary").alias("spans"))
+        least = rows.groupBy("key", "ctx").agg(F.min(F.struct(*PLACE)).alias("r"))
+        merged = least.select("key", "ctx", "r.doc_id", "r.row", "r.at", F.lit(None).cast("binary").alias("spans"))
         old, self.runs = self.runs, [self._write_run(merged)]
+        self._save()
         for name in old:
             self._drop(name)
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete(self.spark, f"{shared_dir(self.spark)}/{name}")
+        delete(self.spark, f"{self.home}/{name}")
 
     def drop_runs(self) -> None:
         """Delete all runs; marks that ingest gave stay valid."""
         for name in self.runs:
             self._drop(name)
         self.runs = []
+        delete(self.spark, self.home)
 
 
 def resolve(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Compare the unsure windows one by one; gives the marks (doc_id, at, spans) of all repeats."""
-    unsure = marks.where(~F.col("repeats")).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    records = park(arrow_map(_packed(docs).join(unsure, "doc_id").select("doc_id", "packed", "at"), _window_records, RECORD), "window-records")
-    same = Window.partitionBy("key", "ctx").orderBy("doc_id", "at")
-    later = records.where(F.col("at") >= 0).withColumn("r", F.struct("doc_id", "at") != F.first(F.struct("doc_id", "at")).over(same)).where("r")
-    return marks.where("repeats").select("doc_id", "at", "spans").unionByName(later.select("doc_id", "at", "spans")).unionByName(records.where(F.col("at") < 0).select("doc_id", F.lit(None).cast("long").alias("at"), "spans"))
+    """Compare the unsure windows one by one; gives the marks (doc_id, row, at, spans) of all repeats."""
+    unsure = marks.where(~F.col("repeats")).groupBy(*ROW).agg(F.collect_set("at").alias("at"))
+    records = park(arrow_map(_packed(docs).join(unsure, ROW).select(*ROW, "packed", "at"), _window_records, RECORD), "window-records")
+    same = Window.partitionBy("key", "ctx").orderBy(*PLACE)
+    later = records.where(F.col("at") >= 0).withColumn("r", F.struct(*PLACE) != F.first(F.struct(*PLACE)).over(same)).where("r")
+    return marks.where("repeats").select(*PLACE, "spans").unionByName(later.select(*PLACE, "spans")).unionByName(records.where(F.col("at") < 0).select(*ROW, F.lit(None).cast("long").alias("at"), "spans"))
 
 
 def substring_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -322,11 +365,12 @@ def substring_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataF
     Every word covered by a window that also starts earlier, in a document of
     smaller id or earlier in the same one, is removed. Documents enter the
     index in ``batches`` ranges of ids. Null and empty texts have no words; a
-    null id can't be ordered, so its text is kept whole and repeats nothing;
-    rows that share an id count as one document.
+    null id can't be ordered, so its text is kept whole and repeats nothing.
+    Rows alike in id and text count as one document; other rows of one id follow
+    each other by the hash of their texts.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     known = docs.where(F.col("doc_id").isNotNull())
     cuts = known.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
@@ -339,7 +383,7 @@ def substring_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataF
             part = part.where(F.col("doc_id") <= high)
         found = index.ingest(part)
         marks = found if marks is None else marks.unionByName(found)
-    repeats = park(resolve(known, marks), "window-repeats").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("spans").alias("spans"))
-    rows = _packed(docs).join(repeats.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "packed", "at", "spans")
+    repeats = park(resolve(known, marks), "window-repeats").groupBy(*ROW).agg(F.collect_list("at").alias("at"), F.collect_list("spans").alias("spans"))
+    rows = _packed(docs).join(repeats, ROW, "left").select("doc_id", "packed", "at", "spans")
     index.drop_runs()
     return arrow_map(rows, _cut_texts, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
