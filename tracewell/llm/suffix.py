@@ -16,8 +16,8 @@ in one task, where
 What is found for a context holds for every place of it. So a group of copies
 is sorted as one or two texts however large it is, and only contexts that
 differ take room. A key with more than ``GROUP`` different contexts (a common
-passage in as many surroundings) isn't sorted in one task: its windows are
-counted by 128-bit hashes instead, combined before the shuffle.
+passage in as many surroundings) isn't sorted in one task: its contexts are cut
+into ever shorter pieces, down to single windows, which are compared by hashes.
 
 Rows are told apart by two hashes of id and text. Two rows alike in both are
 two documents, so they remove each other; nulls count as empty texts.
@@ -265,15 +265,29 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found_batch(keys, ctxs, repeated_windows(contexts))
 
 
-def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_finer(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Contexts or pieces of such, cut where the distance of a window's start from its anchor is a multiple of step.
+
+    kin1, kin2: a hash of the bytes that all windows of such a piece share, c: of the piece.
+    """
     for batch in batches:
-        for key, ctx, twice, _, width, body in zip(*(c.to_pylist() for c in batch.columns)):
-            digests = [xxhash.xxh3_128_digest(body[t : t + WINDOW]) for t in range(width)]
-            h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(width, key)), pa.array(np.full(width, ctx)), pa.array(np.arange(width), pa.int32()), pa.array(np.full(width, 1 + twice), pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                ["key", "ctx", "t", "weight", "h1", "h2"],
-            )
+        out = []
+        for key, ctx, at, anchor, weight, width, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if anchor < 0:
+                anchor = int(anchors(np.frombuffer(body, dtype=np.uint8))[0][0])
+            for g in range((anchor - width + 1) // step, anchor // step + 1):
+                first, last = max(0, anchor - (g + 1) * step + 1), min(width - 1, anchor - g * step)
+                core = body[anchor - g * step : anchor - (g + 1) * step + 1 + WINDOW] if step > 1 else body[first : first + WINDOW]
+                piece = body[first : last + WINDOW]
+                kin = np.frombuffer(xxhash.xxh3_128_digest(core, g), dtype=np.int64)
+                out.append((key, ctx, at + first, anchor - first, weight, last - first + 1, piece, int(kin[0]), int(kin[1]), xxhash.xxh3_64_intdigest(piece, last - first) - (1 << 63)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE_TYPES)], [n for n, _ in _PIECE])
+
+
+_PIECE = [("key", "long"), ("ctx", "long"), ("at", "int"), ("anchor", "int"), ("weight", "long"), ("width", "int"), ("body", "binary"), ("kin1", "long"), ("kin2", "long"), ("c", "long")]
+_PIECE_TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t] for _, t in _PIECE]
+FINER = (48, 6, 1)
 
 
 def _row_hashes(docs: DataFrame) -> DataFrame:
@@ -296,7 +310,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     needs = contexts.groupBy("r1", "r2").agg(F.collect_list(F.struct("key", "ctx", "twice", "big", "start", "width")).alias("needs"))  # no more than a text has
     fetched = park(arrow_map(named.join(needs, ["r1", "r2"]).select("text", "needs"), _fetch, CONTEXT), "suffix-contexts")
     grouped = fetched.where(~F.col("big")).repartition(parts, "key").sortWithinPartitions("key", "ctx")
-    found = arrow_map(grouped, _sort_groups, FOUND).unionByName(_count_windows(fetched.where("big").dropDuplicates(["key", "ctx"])))
+    found = arrow_map(grouped, _sort_groups, FOUND).unionByName(_by_finer_pieces(fetched.where("big").dropDuplicates(["key", "ctx"])))
     # what holds for a context holds at each of its places; where not all of its windows are found, it has one place
     hits = places.join(found, ["key", "ctx"])
     everywhere = (F.size("at") == 1) & (F.col("len")[0] == F.col("width"))
@@ -306,19 +320,41 @@ def repeats(docs: DataFrame) -> DataFrame:
     return hits.groupBy("r1", "r2").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
 
-def _count_windows(contexts: DataFrame) -> DataFrame:
-    """The same as the sorted groups give, for keys of any number of contexts: each window by its hash."""
-    windows = arrow_map(contexts, _each_window, "key long, ctx long, t int, weight long, h1 long, h2 long")
-    often = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("total")).where(F.col("total") > 1).select("h1", "h2")
-    hits = windows.join(often, ["h1", "h2"], "left_semi").groupBy("key", "ctx").agg(F.sort_array(F.collect_list("t")).alias("at"))
-    return hits.select("key", "ctx", "at", F.transform("at", lambda _: F.lit(1)).alias("len")).select("key", "ctx", *_merged())
-
+def _by_finer_pieces(contexts: DataFrame) -> DataFrame:
+    """The same as the sorted groups give, for keys of any number of contexts.
 
-def _merged() -> tuple[Column, Column]:
-    """Consecutive single windows as runs, so that a context whose windows are all found is told by one run."""
-    begins = F.expr("filter(at, (t, i) -> i = 0 OR t <> at[i - 1] + 1)")
-    ends = F.expr("filter(at, (t, i) -> i = size(at) - 1 OR at[i + 1] <> t + 1)")
-    return begins.alias("at"), F.zip_with(ends, begins, lambda e, b: e - b + 1).alias("len")
+    Contexts are cut into pieces of a few neighbouring windows. A piece whose shared bytes occur once goes; one that
+    occurs as a whole again is found, and stays once for others to be compared with; what is left matches others in part
+    and is cut finer, down to single windows. So a passage in many surroundings costs some pieces at its edges.
+    """
+    name = [n for n, _ in _PIECE]
+    pending = contexts.select("key", "ctx", F.lit(0).alias("at"), F.lit(-1).alias("anchor"), F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("weight"), "width", "body")
+    found = None
+    for step in FINER:
+        cut = park(arrow_map(pending.select(*name[:7]), lambda b, step=step: _cut_finer(b, step), ", ".join(f"{n} {t}" for n, t in _PIECE)), "suffix-pieces")
+        alike = cut.groupBy("kin1", "kin2", "c").agg(F.sum("weight").alias("total"), F.min(F.struct("key", "ctx", "at")).alias("first"))
+        kin = alike.groupBy("kin1", "kin2").agg(F.sum("total").alias("kin_total"), F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("kin_total") > 1)
+        told = alike.join(kin, ["kin1", "kin2"]).select("kin1", "kin2", "c", "total", "first", (F.col("low") < F.col("high")).alias("mixed"))
+        judged = cut.join(told, ["kin1", "kin2", "c"])
+        whole = judged.where(F.col("total") > 1).select("key", "ctx", "at", F.col("width").alias("len"))
+        found = whole if found is None else found.unionByName(whole)
+        pending = judged.where(F.col("mixed") & ((F.col("total") == 1) | (F.col("first") == F.struct("key", "ctx", "at"))))
+    each = F.array_sort(F.collect_list(F.struct("at", "len")), lambda x, y: x["at"] - y["at"])
+    return found.groupBy("key", "ctx").agg(each.alias("runs")).select("key", "ctx", *_joined(F.col("runs")))
+
+
+def _joined(runs: Column) -> tuple[Column, Column]:
+    """Neighbouring or overlapping runs as one, so that a context whose windows are all found is told by one run."""
+    none = F.array().cast("array<struct<at:int,len:int>>")
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["at"].alias("at"), (F.greatest(last["at"] + last["len"], run["at"] + run["len"]) - last["at"]).alias("len"))
+        meets = F.coalesce(last["at"] + last["len"] >= run["at"], F.lit(False))
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(run)))
+
+    merged = F.aggregate(runs, none, add)
+    return F.transform(merged, lambda r: r["at"]).alias("at"), F.transform(merged, lambda r: r["len"]).alias("len")
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
