@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.schemas import WRITE_TYPES
@@ -23,6 +23,41 @@ _DASHED = r"[A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z0-9_]+){1,6}(?:\.[A-Za-z_][A-Za-z0-
 _NAME = rf"{_DASHED}|@?{_PART}(?:\s*\.\s*{_PART}){{0,3}}(?:\.\*)?"
 TOKEN = rf"(?s)\s*(?:--[^\n]*|/\*.*?\*/|'[^']*'|{_NAME}|[0-9][\p{{L}}\p{{N}}_.]*|\|\||[<>!]=|<>|.)"
 
+# What the lexical rules of a dialect add to the general ones, which are those of standard SQL with back-ticks.
+DIALECTS = {
+    "exasol": (), "postgres": ("dollar",), "redshift": ("dollar",), "snowflake": ("backslash", "slashes", "dollar"),
+    "bigquery": ("hash", "backslash", "double", "triple"), "mysql": ("hash", "backslash", "double"),
+}
+
+
+@lru_cache
+def token_pattern(dialect: str | None = None) -> str:
+    """TOKEN by the rules of a dialect; an unknown one has those of postgres.
+
+    hash and slashes: # and // begin a comment. backslash: it escapes a character
+    of a literal. double and triple: double and triple quotes hold literals, too.
+    dollar: so do $$ and $tag$. No part repeats a group, so long literals don't
+    deepen a stack.
+    """
+    if dialect is None:
+        return TOKEN
+    rules = DIALECTS.get(dialect.lower(), DIALECTS["postgres"])
+    comments = [r"--[^\n]*", r"/\*.*?\*/", *([r"#[^\n]*"] if "hash" in rules else []), *([r"//[^\n]*"] if "slashes" in rules else [])]
+    literals = [*([r"\"{3}.*?\"{3}", r"'{3}.*?'{3}"] if "triple" in rules else []), *([r"\$[A-Za-z_]*\$.*?\$[A-Za-z_]*\$"] if "dollar" in rules else []), r"'[^']*'"]
+    name = _NAME
+    if "double" in rules:
+        literals.append(r'"[^"]*"')
+        name = name.replace('|"[^"]*"', "")
+    return rf"(?s)\s*(?:{'|'.join([*comments, *literals])}|{name}|[0-9][\p{{L}}\p{{N}}_.]*|\|\||[<>!]=|<>|.)"
+
+
+def _readable(sql: Column, dialect: str | None) -> Column:
+    """The text with escaped characters of literals set aside, where the dialect knows such."""
+    if dialect is None or "backslash" not in DIALECTS.get(dialect.lower(), ()):
+        return sql
+    return reduce(lambda c, e: F.replace(c, F.lit(e), F.lit("\x01")), ("\\\\", "\\'", '\\"'), sql)
+
+
 # How a name's place tells the kind of reference; of several places of a name the first kind in this order holds.
 KINDS = {"CREATE": "DDL", "FROM": "SELECT", "JOIN": "JOIN", "INTO": "INSERT", "UPDATE": "UPDATE", "MERGE": "MERGE", "DELETE": "DELETE", "DROP": "DDL"}
 # Fixed values of the model: starts of names that are variables, and functions that aggregate.
@@ -46,52 +81,61 @@ def looks_like_sql(text: Column) -> Column:
     return text.rlike(SQL_WORDS)
 
 
-@lru_cache(maxsize=1)
-def _engine_words() -> tuple[list[str], list[str]]:
-    """What Spark itself knows: reserved words and functions; and words that are keywords in places only."""
-    spark = SparkSession.active()
-    words = spark.sql("SELECT upper(keyword) AS w, reserved AS r FROM sql_keywords()").collect()
-    functions = {r[0].upper() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect() if r[0].replace("_", "").isalnum()}
-    reserved = {r.w for r in words if r.r} | functions
-    return sorted(reserved), sorted({r.w for r in words} - reserved)
-
-
-# Names of other systems that are no tables.
-_FOREIGN = ["DUAL", "DECLARE", "RETURN", "RETURNS", "CURSOR", "OPEN", "CLOSE", "RECORD", "RECORDS", "RESULT", "RESULTS", "SAFE_CAST", "SAFE_DIVIDE"]
-
-
-def is_table_name(name: Column, schema: Column, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = True) -> Column:
-    """Neither a function, keyword nor variable name; a qualified name may be a word that is a keyword in places only.
-
-    With strict_names=False qualified names always pass. not_tables replaces the
-    keywords and functions that Spark knows.
+# Fixed values of the model: unqualified words that are functions or keywords, no tables. A qualified name is always a table's.
+FUNCTION_NAMES = """
+SUM COUNT AVG MIN MAX ARRAY_AGG STRING_AGG STDDEV VARIANCE CORR COVAR_POP COVAR_SAMP
+POWER SQRT ABS CEIL CEILING FLOOR ROUND TRUNC TRUNCATE MOD EXP LN LOG LOG10 SIGN SIN COS TAN ASIN ACOS ATAN ATAN2 SINH COSH TANH RAND RANDOM GREATEST LEAST
+CONCAT SUBSTR SUBSTRING LENGTH LEN CHAR_LENGTH UPPER LOWER TRIM LTRIM RTRIM LPAD RPAD REPLACE REVERSE SPLIT LEFT RIGHT REPEAT
+INSTR POSITION LOCATE CHARINDEX REGEXP_EXTRACT REGEXP_REPLACE REGEXP_CONTAINS REGEXP_MATCH FORMAT PRINTF TO_CHAR CHR ASCII
+NOW CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP DATE TIME TIMESTAMP DATETIME INTERVAL YEAR MONTH DAY HOUR MINUTE SECOND EXTRACT
+DATE_ADD DATE_SUB DATE_DIFF DATEDIFF DATE_TRUNC DATE_FORMAT TO_DATE TO_TIMESTAMP DATEADD TIMESTAMPADD TIMESTAMPDIFF
+CAST CONVERT COALESCE NULLIF NVL NVL2 IFNULL ISNULL TRY_CAST SAFE_CAST PARSE_DATE PARSE_TIMESTAMP IF IIF CASE WHEN DECODE CHOOSE
+ROW_NUMBER RANK DENSE_RANK NTILE PERCENT_RANK CUME_DIST LAG LEAD FIRST_VALUE LAST_VALUE NTH_VALUE
+JSON_EXTRACT JSON_VALUE JSON_QUERY JSON_ARRAY JSON_OBJECT TO_JSON FROM_JSON PARSE_JSON ARRAY UNNEST ARRAY_LENGTH ARRAY_TO_STRING GENERATE_ARRAY
+STRUCT SAFE_DIVIDE DIV IEEE_DIVIDE FARM_FINGERPRINT SHA256 SHA512 MD5 GENERATE_UUID EXISTS IN ANY ALL SOME
+""".split()
+KEYWORD_NAMES = """
+SET DECLARE BEGIN END CALL EXECUTE EXEC RETURN RETURNS RAISE EXCEPTION HANDLER LOOP WHILE FOR IF THEN ELSE ELSEIF ENDIF CURSOR FETCH OPEN CLOSE DEALLOCATE
+TRANSACTION COMMIT ROLLBACK SAVEPOINT GRANT REVOKE DENY ROLE USER INDEX CONSTRAINT PRIMARY FOREIGN KEY UNIQUE NULL TRUE FALSE DEFAULT AUTO_INCREMENT IDENTITY
+ASC DESC NULLS FIRST LAST PARTITION CLUSTER DISTRIBUTE SORT TEMPORARY TEMP VOLATILE TRANSIENT OPTIONS OPTION SETTINGS COMMENT ROW ROWS RECORD RECORDS RESULT RESULTS DUAL
+""".split()
+# Words of queries, which are no tables where a text leaves out a name.
+_QUERY_WORDS = [*_AFTER_TABLE, "DELETE", "UPDATE", "INSERT", "MERGE", "BY", "TABLE", "ONLY", "DISTINCT", "AND", "OR", "NOT"]
+
+
+def is_table_name(name: Column, schema: Column, require_schema: bool = False, not_tables: list[str] | None = None, strict_names: bool = False) -> Column:
+    """Qualified, or neither a function, keyword nor variable name.
+
+    With strict_names qualified names are judged like others. not_tables
+    replaces the fixed words.
     """
     upper = F.upper(name)
     variable = reduce(lambda a, b: a | b, (upper.startswith(v) for v in (*VARIABLES, "@")))
     qualified = F.coalesce(schema, F.lit("")) != ""
-    never, sometimes = _engine_words() if not_tables is None else (not_tables, [])
-    ok = ~upper.isin([*never, *_FOREIGN] if not_tables is None else never) & ~variable
-    if sometimes:
-        ok = ok & (qualified | ~upper.isin(sometimes))
+    ok = ~upper.isin([*FUNCTION_NAMES, *KEYWORD_NAMES, *_QUERY_WORDS] if not_tables is None else not_tables) & ~variable
     if not strict_names:
         ok = ok | qualified
     return ok & qualified if require_schema else ok
 
 
-def tokens(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+def tokens(rows: DataFrame, key: list[str], sql: str, dialect: str | None = None) -> DataFrame:
     """key, pos, raw (the token with the space before it), t, u (in capitals), depth, before (six tokens), next, after_next, part and query.
 
-    One key stands for one text; null texts have no tokens. ``(`` and what it
-    holds are a level deeper. part is the part of the query that a token is in,
+    One key stands for one text; null texts have no tokens. dialect is one of DIALECTS. ``(`` and what it
+    holds are a level deeper. A ``?`` right behind a token counts as a dot, as a part of a name that isn't known. part is the part of the query that a token is in,
     query whether its parentheses (or the statement) hold a query.
     """
-    flat = rows.select(*key, F.posexplode(F.regexp_extract_all(F.col(sql), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")).withColumn("t", F.btrim("raw", F.lit(SPACE)))
-    flat = flat.where((F.col("t") != "") & ~F.startswith("t", F.lit("--")) & ~F.startswith("t", F.lit("/*"))).withColumn("u", F.upper("t"))
+    flat = rows.select(*key, F.posexplode(F.regexp_extract_all(_readable(F.col(sql), dialect), F.lit(token_pattern(dialect)), F.lit(0))).alias("pos", "raw")).withColumn("t", F.btrim("raw", F.lit(SPACE)))
+    comment = F.startswith("t", F.lit("--")) | F.startswith("t", F.lit("/*"))
+    for rule, mark in (("hash", "#"), ("slashes", "//")):
+        if rule in DIALECTS.get((dialect or "").lower(), ()):
+            comment = comment | F.startswith("t", F.lit(mark))
+    flat = flat.where((F.col("t") != "") & ~comment).withColumn("u", F.upper("t"))
     text = Window.partitionBy(*key).orderBy("pos")
     step = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
     flat = flat.withColumn("depth", F.sum(step).over(text.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.concat_ws(" ", *(F.lag("u", k).over(text) for k in range(6, 0, -1)))
-    flat = flat.withColumn("before", before).withColumn("next", F.lead("u").over(text)).withColumn("after_next", F.lead("u", 2).over(text))
+    flat = flat.withColumn("before", before).withColumn("next", F.when(F.lead("raw").over(text) == "?", ".").otherwise(F.lead("u").over(text))).withColumn("after_next", F.lead("u", 2).over(text))
     level = Window.partitionBy(*key, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     extract = (F.col("u") == "FROM") & F.endswith("before", F.lit(" DISTINCT"))  # IS DISTINCT FROM
     opens, ends = F.col("t") == "(", F.col("t") == ";"
@@ -122,7 +166,7 @@ def _table_kind(by_statement: bool) -> Column:
     kind = kind.when(ends("FROM") & read & ~ends("DISTINCT FROM"), "FROM").when(ends("JOIN") & (nxt != "("), "JOIN")
     kind = kind.when(ends(",") & read & F.col("part").isin(_TABLE_PARTS), "FROM")
     kind = kind.when(ends("INTO"), "INTO").when(ends("UPDATE") & ~ends("FOR UPDATE"), "UPDATE")
-    return F.when(_is_name(F.col("t")), kind)
+    return F.when(_is_name(F.col("t")) & (nxt != "."), kind)  # a name that a dot ends lacks its last part
 
 
 def _cte() -> Column:
@@ -131,9 +175,9 @@ def _cte() -> Column:
     return F.coalesce(opened & _is_name(F.col("t")) & (((F.col("next") == "AS") & (F.col("after_next") == "(")) | (F.col("next") == "(")), F.lit(False))
 
 
-def named_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, **names) -> DataFrame:
+def named_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, dialect: str | None = None, **names) -> DataFrame:
     """table_refs with ref_catalog, the part of the name before the schema."""
-    found = tokens(rows, key, sql).withColumn("kind", _table_kind(by_statement)).withColumn("cte", _cte()).where(F.col("kind").isNotNull() | F.col("cte"))
+    found = tokens(rows, key, sql, dialect).withColumn("kind", _table_kind(by_statement)).withColumn("cte", _cte()).where(F.col("kind").isNotNull() | F.col("cte"))
     parts = F.transform(name_parts(F.col("t")), lambda p: F.upper(p))
     at = lambda k: F.try_element_at("parts", F.lit(-k))
     named = found.withColumn("parts", parts).select(*key, at(3).alias("ref_catalog"), at(2).alias("ref_schema"), at(1).alias("ref_name"), "kind", "cte")
@@ -145,7 +189,7 @@ def named_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = F
     return kept.withColumn("reference_type", kinds[F.col("kind")]).withColumn("is_target", F.col("reference_type").isin(WRITE_TYPES)).drop("kind", "cte")
 
 
-def table_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, **names) -> DataFrame:
+def table_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = False, dialect: str | None = None, **names) -> DataFrame:
     """key, ref_schema, ref_name, reference_type, is_target: each table the text names, once; one key stands for one text.
 
     Counted are names after FROM and its commas, JOIN, INTO, UPDATE and CREATE,
@@ -156,7 +200,7 @@ def table_refs(rows: DataFrame, key: list[str], sql: str, by_statement: bool = F
     texts name nothing. is_target is the type's direction: writes are targets.
     ``names`` go to ``is_table_name``.
     """
-    refs = named_refs(rows, key, sql, by_statement, **names)
+    refs = named_refs(rows, key, sql, by_statement, dialect, **names)
     order = F.array_position(F.array(*(F.lit(k) for k in dict.fromkeys(KINDS.values()))), F.col("reference_type"))
     return refs.groupBy(*key, "ref_schema", "ref_name").agg(F.min_by("reference_type", order).alias("reference_type")).withColumn("is_target", F.col("reference_type").isin(WRITE_TYPES))
 
@@ -184,46 +228,87 @@ def unescaped(text: Column) -> Column:
 
 # Escaped characters are set aside as single control characters while literals are found.
 _ESCAPES = {"\\\\": "\x01", '\\"': "\x02", "\\'": "\x03"}
-_LUA = r"""(?s)--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|"[^"\n]*"|'[^'\n]*'"""
-_PYTHON = r"""(?s)#[^\n]*|\"{3}.*?\"{3}|'''.*?'''|"[^"\n]*"|'[^'\n]*'"""
-
-
-def script_strings(script: Column, language: Column) -> Column:
-    """String literals of a Lua or Python script that look like SQL; comments are no literals.
-
-    Lua: [[...]] and quoted strings; pieces joined by .. become one, with a
-    space between. Python: triple-quoted and quoted strings; the fields of
-    f-strings become ?.
+_WORD = r"[\p{L}_][\p{L}\p{N}_]*(?:\s*[.:]\s*[\p{L}_][\p{L}\p{N}_]*){0,20}|[0-9][\p{L}\p{N}_.]*"
+_LUA = rf"""(?s)\s*(?:--\[\[.*?\]\]|--[^\n]*|\[\[.*?\]\]|\[=\[.*?\]=\]|"[^"\n]*"|'[^'\n]*'|\.\.\.|\.\.|{_WORD}|.)"""
+_PYTHON = rf"""(?s)(?:\\\n|\s)*(?:#[^\n]*|[rRbBuUfF]{{0,2}}"{{3}}.*?"{{3}}|[rRbBuUfF]{{0,2}}'{{3}}.*?'{{3}}|[rRbBuUfF]{{0,2}}"[^"\n]*"|[rRbBuUfF]{{0,2}}'[^'\n]*'|{_WORD}|.)"""
+# Words that end an expression.
+_LUA_WORDS = "and break do else elseif end for function goto if in local not or repeat return then until while".split()
+_PYTHON_WORDS = "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
+
+
+def script_statements(scripts: DataFrame, key: list[str], text: str, language: str) -> DataFrame:
+    """key, pos, sql: the expressions of Lua or Python scripts that build SQL text, each as one text.
+
+    A chain is a run of literals and other operands joined by ``..`` (Lua), ``+``
+    or nothing but space (Python) inside one pair of parentheses; what stands in
+    parentheses of a call or an index is a chain of its own. Its literals are
+    put together, in Lua with a space between, and whatever else is joined becomes
+    a ``?``, as do the fields of f-strings (and of no other strings). Comments
+    are no literals. In Python a line's end outside parentheses ends a chain.
     """
-    aside = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES.items(), script)
-    lua = F.regexp_extract_all(F.regexp_replace(aside, r"""(["'])\s*\.\.\s*["']""", " "), F.lit(_LUA), F.lit(0))
-    python = F.regexp_extract_all(aside, F.lit(_PYTHON), F.lit(0))
-
-    def inner(s: Column) -> Column:
-        return F.when(F.startswith(s, F.lit('"""')) | F.startswith(s, F.lit("'''")), F.substring(s, F.lit(4), F.length(s) - 6)).when(F.startswith(s, F.lit("[[")), F.substring(s, F.lit(3), F.length(s) - 4)).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
-
-    def literals(found: Column, comment: str) -> Column:
-        return F.transform(F.filter(found, lambda s: ~F.startswith(s, F.lit(comment))), inner)
-
-    found = F.when(F.upper(language) == "PYTHON", F.transform(literals(python, "#"), lambda s: F.regexp_replace(s, r"\{[^{}]*\}", "?"))).otherwise(literals(lua, "--"))
-    back = lambda s: reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), _ESCAPES.items(), s)
-    return F.transform(F.filter(found, looks_like_sql), lambda s: unescaped(back(s)))
+    aside = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES.items(), F.col(text))
+    python = F.upper(F.coalesce(F.col(language), F.lit(""))) == "PYTHON"
+    pieces = F.when(python, F.regexp_extract_all(aside, F.lit(_PYTHON), F.lit(0))).otherwise(F.regexp_extract_all(aside, F.lit(_LUA), F.lit(0)))
+    flat = scripts.select(*key, python.alias("python"), F.posexplode(pieces).alias("pos", "raw"))
+    flat = flat.withColumn("t", F.btrim(F.regexp_replace("raw", r"^(?:\\\n|\s)+", ""), F.lit(SPACE)))
+    flat = flat.where((F.col("t") != "") & ~F.when(F.col("python"), F.startswith("t", F.lit("#"))).otherwise(F.startswith("t", F.lit("--"))))
+    literal = F.when(F.col("python"), F.col("t").rlike(r"""^[rRbBuUfF]{0,2}["']""")).otherwise(F.col("t").rlike(r"""^(?:["']|\[=?\[)"""))
+    keyword = F.when(F.col("python"), F.col("t").isin(_PYTHON_WORDS)).otherwise(F.col("t").isin(_LUA_WORDS))
+    kind = F.when(literal, "literal").when(keyword, "end").when(F.col("t").rlike(r"^[\p{L}_0-9]"), "operand").when(F.col("t").isin("(", "[", "{"), "open").when(F.col("t").isin(")", "]", "}"), "close")
+    kind = kind.when(F.col("t") == F.when(F.col("python"), "+").otherwise(".."), "join").otherwise("end")
+    flat = flat.withColumn("kind", kind)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    whole = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("depth", F.sum(step).over(whole) - F.when(F.col("kind") == "open", 1).otherwise(0))
+    breaks = F.col("python") & (F.col("depth") <= 0) & F.contains(F.regexp_replace(F.regexp_extract("raw", r"^(?:\\\n|\s)*", 0), r"\\\n", ""), F.lit("\n"))
+    # an opening also ends what stood before it one level deeper, so that two pairs of parentheses are two groups
+    both = F.when(F.col("kind") == "open", F.array(F.struct(F.lit(0).alias("place"), "depth", "kind"), F.struct(F.lit(1).alias("place"), (F.col("depth") + 1).alias("depth"), F.lit("end").alias("kind"))))
+    flat = flat.withColumn("line", breaks).select(*key, "python", "pos", "t", "line", F.explode(F.coalesce(both, F.array(F.struct(F.lit(0).alias("place"), "depth", "kind")))).alias("g"))
+    flat = flat.select(*key, "python", "pos", "t", "line", "g.*")
+    group = Window.partitionBy(*key, "depth").orderBy("pos", "place")
+    before = F.lag("kind").over(group)
+    linked = (
+        F.when(F.col("line") | F.col("kind").isin("end"), False)
+        .when(F.col("kind") == "literal", (before == "join") | (F.col("python") & (before == "literal")))
+        .when(F.col("kind") == "join", before.isin("literal", "operand", "close"))
+        .when(F.col("kind") == "operand", before == "join")
+        .when(F.col("kind") == "open", before.isin("join", "operand", "close"))
+        .otherwise(True)
+    )
+    flat = flat.withColumn("new", (~F.coalesce(linked, F.lit(False))).cast("int"))
+    flat = flat.withColumn("chain", F.sum("new").over(group.rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = F.regexp_extract("t", "^[rRbBuUfF]{0,2}", 0)
+    bare = F.when(F.col("python"), F.substring(F.col("t"), F.length(prefix) + 1, F.length("t"))).otherwise(F.col("t"))
+    quotes = F.when(F.startswith(bare, F.lit('"""')) | F.startswith(bare, F.lit("'''")) | F.startswith(bare, F.lit("[=[")), 3).when(F.startswith(bare, F.lit("[[")), 2).otherwise(1)
+    inner = F.substring(bare, quotes + 1, F.length(bare) - 2 * quotes)
+    back = reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), _ESCAPES.items(), inner)
+    fields = F.replace(F.replace(F.regexp_replace(F.replace(F.replace(back, F.lit("{{"), F.lit("\x04")), F.lit("}}"), F.lit("\x05")), r"\{[^{}]*\}", "?"), F.lit("\x04"), F.lit("{")), F.lit("\x05"), F.lit("}"))
+    said = F.when(F.col("python") & F.lower(prefix).contains("f"), fields).otherwise(back)
+    piece = F.when(F.col("kind") == "literal", said).when(F.col("kind").isin("operand", "open"), F.lit(" ? "))
+    put = flat.where(F.col("kind").isin("literal", "operand", "open")).groupBy(*key, "python", "depth", "chain").agg(
+        F.min("pos").alias("pos"), F.max(F.col("kind") == "literal").alias("says"), F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces")
+    )
+    sql = unescaped(F.array_join("pieces.piece", ""))
+    spaced = unescaped(F.array_join("pieces.piece", " "))
+    put = put.where("says").select(*key, "pos", F.when(F.col("python"), sql).otherwise(spaced).alias("sql"))
+    return put.where(looks_like_sql(F.col("sql")))
 
 
 def script_refs(scripts: DataFrame, key: list[str], text: str, language: str, **names) -> DataFrame:
-    """table_refs of the SQL inside scripts, each literal a statement of its own."""
-    joined = F.array_join(script_strings(F.col(text), F.col(language)), "\n;\n")
-    return table_refs(scripts.select(*key, joined.alias("sql")), key, "sql", **names)
+    """table_refs of the SQL inside scripts, each expression that builds one a statement of its own."""
+    found = script_statements(scripts, key, text, language)
+    joined = found.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sql"))), lambda x: x["sql"]), "\n;\n").alias("sql"))
+    return table_refs(joined, key, "sql", **names)
 
 
-def select_items(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+def select_items(rows: DataFrame, key: list[str], sql: str, dialect: str | None = None) -> DataFrame:
     """key, item, words (the tokens of the expression), expression and name of each projection of the main SELECT.
 
     The main SELECT is the first of those in the fewest parentheses. Commas
     inside parentheses don't split. The name is the alias, with or without AS,
     else the column's own name, else the text with single spaces.
     """
-    t = tokens(rows, key, sql)
+    t = tokens(rows, key, sql, dialect)
     text = Window.partitionBy(*key)
     place = F.struct(F.col("depth").alias("d"), F.col("pos").alias("p"))
     t = t.withColumn("main", F.min(F.when(F.col("u") == "SELECT", place)).over(text)).where(F.col("pos") > F.col("main.p"))
@@ -267,9 +352,9 @@ def transformation_type(words: Column) -> Column:
     )
 
 
-def table_aliases(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
+def table_aliases(rows: DataFrame, key: list[str], sql: str, dialect: str | None = None) -> DataFrame:
     """key, aliases: a map from each alias to its table in capitals; a table answers to its own last part too. The first of several holds."""
-    t = tokens(rows, key, sql)
+    t = tokens(rows, key, sql, dialect)
     kind = _table_kind(False)
     follows = F.when(F.col("next") == "AS", F.col("after_next")).when(_is_name(F.col("next")) & ~F.col("next").isin(_AFTER_TABLE), F.col("next"))
     found = t.where(kind.isin("FROM", "JOIN")).withColumn("parts", F.transform(name_parts(F.col("t")), lambda p: F.upper(p)))
@@ -280,18 +365,18 @@ def table_aliases(rows: DataFrame, key: list[str], sql: str) -> DataFrame:
     return first.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("aliases"))
 
 
-def column_lineage(views: DataFrame, key: str, sql: str) -> DataFrame:
+def column_lineage(views: DataFrame, key: str, sql: str, dialect: str | None = None) -> DataFrame:
     """key, source_object_id, source_column, target_column, transformation, transformation_type of each qualified column in each projection.
 
     Unqualified columns give no row; a column used twice gives two. Text beyond
     200 characters is cut to 197 and dots.
     """
-    items = select_items(views, [key], sql).withColumn("transformation_type", transformation_type(F.col("words")))
+    items = select_items(views, [key], sql, dialect).withColumn("transformation_type", transformation_type(F.col("words")))
     columns = F.filter("words", lambda x: _is_name(x["t"]) & F.contains(x["t"], F.lit(".")) & ~F.coalesce(x["next"] == "(", F.lit(False)) & ~(x["prev"].isin("FROM", "JOIN") & x["query"]))
     text = F.when(F.length("expression") > 200, F.concat(F.substring("expression", 1, 197), F.lit("..."))).otherwise(F.col("expression"))
     short = items.select(key, "name", "transformation_type", text.alias("text"), F.explode(F.transform(columns, lambda x: x["t"])).alias("c"))
     parts = F.transform(name_parts(F.col("c")), lambda p: F.upper(p))
-    cols = short.withColumn("parts", parts).where(F.size("parts") > 1).join(table_aliases(views, [key], sql), key, "left")
+    cols = short.withColumn("parts", parts).where(F.size("parts") > 1).join(table_aliases(views, [key], sql, dialect), key, "left")
     owner = F.array_join(F.slice("parts", 1, F.size("parts") - 1), ".")
     return cols.select(
         key, F.coalesce(F.try_element_at("aliases", owner), owner).alias("source_object_id"), F.element_at("parts", -1).alias("source_column"),

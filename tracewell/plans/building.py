@@ -332,6 +332,55 @@ def warehouse_deps_hard(spark, sf_dir):
     return build.warehouse_dependencies(_sql(spark, sf_dir, HARD_ROUTINES), "p", "d")[0]
 
 
+# Script texts whose SQL is put together: literals and variables, calls between, adjacent literals, f-strings and plain braces, comments, two calls side by side.
+HARD_SCRIPTS = """SELECT concat('ETL.H_', o_orderkey) AS id, o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 8 < 4 THEN 'LUA' ELSE 'PYTHON' END AS script_language, CASE o_orderkey % 8
+WHEN 0 THEN concat('query("SELECT a FROM " .. sch .. ".T JOIN CRM.C_', o_custkey, ' ON 1=1 " .. x .. " JOIN STG.O_', o_orderkey, '")')
+WHEN 1 THEN concat('q("SELECT 1 FROM A." .. t .. " JOIN CRM.C_', o_custkey, ' ON a=b", "JOIN NO.NE")')
+WHEN 2 THEN concat('local a = "SELECT 1 FROM CRM.C_', o_custkey, '" .. f("SELECT 2 FROM STG.O_', o_orderkey, '", k[1]) .. " JOIN Z.W" -- "SELECT 3 FROM COM.MENT"')
+WHEN 3 THEN concat('f("SELECT 1 FROM CRM.C_', o_custkey, '")("JOIN NO.NE")\ng({"SELECT 1 FROM", "P.Q"})')
+WHEN 4 THEN concat('x = "SELECT * FROM CRM.C_', o_custkey, '" " JOIN STG.O_', o_orderkey, ' ON {z} = 1"  # "JOIN COM.MENT"')
+WHEN 5 THEN concat('x = ("SELECT * FROM CRM.C_', o_custkey, '"\n  + name\n  + " JOIN STG.O_', o_orderkey, '")\n"JOIN NOT.ME"')
+WHEN 6 THEN concat('x = f"SELECT * FROM {a}.T JOIN CRM.C_', o_custkey, ' ON {{b}}" f" JOIN E_{n}.F, {q}"')
+ELSE concat('d = {"q": "SELECT 1 FROM CRM.C_', o_custkey, '", "r": "C.D"}') END AS script_text FROM orders"""
+
+
+@query(f"""WITH h AS ({HARD_SCRIPTS})
+SELECT id, 'CRM' AS ref_schema, concat('C_', c) AS ref_name, CASE WHEN k % 8 IN (0, 1, 6) THEN 'JOIN' ELSE 'SELECT' END AS reference_type FROM h
+UNION ALL SELECT id, 'STG', concat('O_', k), CASE WHEN k % 8 = 2 THEN 'SELECT' ELSE 'JOIN' END FROM h WHERE k % 8 IN (0, 2, 4, 5) UNION ALL SELECT id, 'Z', 'W', 'JOIN' FROM h WHERE k % 8 = 2""")
+def script_refs_hard(spark, sf_dir):
+    return sqltext.script_refs(_sql(spark, sf_dir, HARD_SCRIPTS), ["id"], "script_text", "script_language").select("id", "ref_schema", "ref_name", "reference_type")
+
+
+# The same words are a comment, a literal or neither by the dialect.
+DIALECT_TEXTS = """SELECT p_partkey AS k, replace(replace(concat('SELECT 1 FROM A.B_', p_partkey, ' # FROM X.Y
+ JOIN C.D_', p_size, ' ON a = "it~s FROM E.F" AND b = ~x^~ FROM G.H~ // FROM I.J
+ JOIN K.L ON c = $$ FROM M.N $$'), '~', chr(39)), '^', chr(92)) AS sql, p_size AS s FROM part"""
+
+
+@query(f"""WITH t AS ({DIALECT_TEXTS}), d(dialect) AS (VALUES ('bigquery'), ('mysql')), e AS (SELECT k, s, dialect FROM t, d)
+SELECT dialect, k, 'A' AS ref_schema, concat('B_', k) AS ref_name, 'SELECT' AS reference_type FROM e UNION ALL SELECT dialect, k, 'C', concat('D_', s), 'JOIN' FROM e
+UNION ALL SELECT dialect, k, 'I', 'J', 'SELECT' FROM e UNION ALL SELECT dialect, k, 'K', 'L', 'JOIN' FROM e UNION ALL SELECT dialect, k, 'M', 'N', 'SELECT' FROM e
+UNION ALL SELECT 'snowflake', k, 'A', concat('B_', k), 'SELECT' FROM t UNION ALL SELECT 'snowflake', k, 'X', 'Y', 'SELECT' FROM t
+UNION ALL SELECT 'snowflake', k, 'C', concat('D_', s), 'JOIN' FROM t UNION ALL SELECT 'snowflake', k, 'K', 'L', 'JOIN' FROM t""")
+def sql_refs_dialects(spark, sf_dir):
+    texts, out = _sql(spark, sf_dir, DIALECT_TEXTS), None
+    for dialect in ("bigquery", "mysql", "snowflake"):
+        found = sqltext.table_refs(texts, ["k"], "sql", dialect=dialect).select(F.lit(dialect).alias("dialect"), "k", "ref_schema", "ref_name", "reference_type")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# Tables that are called like functions, keywords and variables.
+_WORDS = ["USER", "SEQUENCE", "HASH", "WINDOW", "MODE", "STACK", "DATE", "POSITION", "RANK", "V_X"]
+NAME_TEXTS = f"""SELECT c_custkey AS k, concat('SELECT 1 FROM A.T_', c_custkey, ' JOIN {" JOIN ".join(f"S.{w}" for w in _WORDS)} JOIN SEQUENCE JOIN DATE JOIN V_', c_custkey, ' JOIN USER JOIN SUM') AS sql FROM customer"""
+
+
+@query(f"""WITH t AS ({NAME_TEXTS}) SELECT k, 'A' AS ref_schema, concat('T_', k) AS ref_name FROM t UNION ALL SELECT k, NULL, 'SEQUENCE' FROM t
+UNION ALL SELECT k, 'S', w FROM t, (VALUES {", ".join(f"('{w}')" for w in _WORDS)}) AS words(w)""")
+def sql_refs_names(spark, sf_dir):
+    return sqltext.table_refs(_sql(spark, sf_dir, NAME_TEXTS), ["k"], "sql").select("k", "ref_schema", "ref_name")
+
+
 @query(f"""WITH s AS ({SCRIPTS}), x AS (SELECT id, concat('make("CREATE TABLE NEW.N_', o_orderkey, ' AS SELECT 1 FROM CRM.C_', o_custkey, '") -- "DROP TABLE S.T"') AS t, o_orderkey, o_custkey FROM s), cat AS ({CATALOG})
 SELECT id, 'NEW' AS ref_schema, concat('N_', o_orderkey) AS ref_name, 'DDL' AS reference_type, NULL AS object_id FROM x UNION ALL SELECT x.id, 'CRM', concat('C_', o_custkey), 'SELECT', cat.id FROM x JOIN cat ON cat.id = concat('CRM.C_', o_custkey)""")
 def script_known_refs(spark, sf_dir):
