@@ -34,6 +34,17 @@ def test_two_stage_suffix_array(letters, seed):
     assert len(suffix.two_stage_suffix_array(np.zeros(0, dtype=np.uint8), 4)) == 0
 
 
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_wanted_suffixes(letters):
+    rng = random.Random(letters)
+    for n in [1, 5, 300]:
+        d = bytes(rng.randrange(letters) for _ in range(n))
+        wanted = np.array([rng.random() < 0.2 for _ in range(n)])
+        got = suffix.two_stage_suffix_array(np.frombuffer(d, dtype=np.uint8), n, wanted).tolist()
+        assert got == [i for i in sorted(range(n), key=lambda i: d[i:]) if i in set(got)] and set(np.flatnonzero(wanted)) <= set(got)
+        assert letters < 3 or n < 300 or len(got) < 0.7 * n
+
+
 def test_adjacent_prefixes():
     rng = random.Random(5)
     d = bytes(rng.randrange(2) for _ in range(3000))

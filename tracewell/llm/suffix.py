@@ -48,9 +48,12 @@ CONTEXT = "key long, ctx long, twice boolean, big boolean, width int, body binar
 FOUND = "key long, ctx long, at array<int>, len array<int>"
 
 
-def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of data (bytes) in the order of their first depth bytes; the end of data is smaller than any byte.
 
+    wanted marks the suffixes asked for (else all). Those that they are induced from, up to the next one that is sorted
+    directly, are in the result as well; no others are looked at.
+
     A suffix that is smaller than its successor is sorted directly. Any other begins with a byte not below that of its
     successor, so when the buckets of first bytes are read from the smallest on, each suffix read puts the one before it
     behind those already in its bucket. Within a bucket these come first, those of longer runs of its byte later.
@@ -61,7 +64,16 @@ def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     heads = np.concatenate([[0], np.flatnonzero(data[1:] != data[:-1]) + 1])
     rises = np.zeros(len(heads), dtype=bool)
     rises[:-1] = data[heads[1:]] > data[heads[:-1]]
-    direct = np.flatnonzero(np.repeat(rises, np.diff(np.append(heads, n))))
+    smaller = np.repeat(rises, np.diff(np.append(heads, n)))
+    needed = np.ones(n, dtype=bool)
+    if wanted is not None:
+        sorted_ones = np.append(np.flatnonzero(smaller), n - 1)
+        change = np.zeros(n + 1, dtype=np.int32)
+        asked = np.flatnonzero(wanted)
+        np.add.at(change, asked, 1)
+        np.add.at(change, sorted_ones[np.searchsorted(sorted_ones, asked)] + 1, -1)
+        needed = np.cumsum(change[:-1]) > 0
+    direct = np.flatnonzero(smaller & needed)
     pairs = data[direct].astype(np.uint16) << 8 | data[direct + 1]
     order = np.argsort(pairs, kind="stable")
     direct, pairs = direct[order], pairs[order]
@@ -72,7 +84,8 @@ def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             direct[a:b] = sorted(direct[a:b].tolist(), key=lambda p: text[p : p + depth])
     limits = np.searchsorted(pairs >> 8, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))
+    if needed[n - 1]:
+        waiting[data[n - 1]].append(np.array([n - 1]))
     buckets = []
     for c in range(256):
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, dtype=np.int64)
@@ -81,21 +94,21 @@ def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         while len(level):
             mine.append(level)
             before = level[level > 0] - 1
-            level = before[data[before] == c]
+            level = before[(data[before] == c) & needed[before]]
         mine.append(direct[limits[c] : limits[c + 1]])
         bucket = np.concatenate(mine)
         if not len(bucket):
             continue
         buckets.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[data[before] > c]
+        before = before[(data[before] > c) & needed[before]]
         first = data[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
         edges = np.flatnonzero(np.diff(first)) + 1
         for part in np.split(before, edges) if len(before) else ():
             waiting[data[part[0]]].append(part)
-    return np.concatenate(buckets)
+    return np.concatenate(buckets) if buckets else np.zeros(0, dtype=np.int64)
 
 
 def adjacent_prefixes(data: np.ndarray, suffixes: np.ndarray, limit: int, rows: int = 8192, block: int = 80) -> np.ndarray:
@@ -128,7 +141,7 @@ def repeated_windows(contexts: list[tuple[bytes, int, bool]], window: int = WIND
     np.add.at(starts, begins, 1)
     np.add.at(starts, begins + widths, -1)
     valid = np.cumsum(starts[:-1]) > 0
-    suffixes = two_stage_suffix_array(data, window)
+    suffixes = two_stage_suffix_array(data, window, valid)
     suffixes = suffixes[valid[suffixes]]
     equal = adjacent_prefixes(data, suffixes, window) >= window
     twofold = np.zeros(len(data), dtype=bool)
