@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import catalog, traverse
+from tracewell.operators.directory import Directory
 from tracewell.operators.traverse import BACKWARD, FORWARD, Lineage
 
 
@@ -22,12 +23,14 @@ def _bounded(name: str, value: int, low: int, high: int) -> int:
 class LineageGraph:
     """An immutable snapshot; reload by reading the tables again.
 
-    The first walk reduces and stores the edges; later ones read only what they meet.
+    The first walk reduces and stores the edges; later ones read only what they meet. With a directory of the objects
+    (``Directory.build``) pages, searches and single objects read only the files they need.
     """
 
     objects_: DataFrame
     table_deps: DataFrame
     column_deps: DataFrame
+    directory: Directory | None = None
 
     @cached_property
     def walked(self) -> traverse.Snapshot:
@@ -43,7 +46,7 @@ class LineageGraph:
 
     def object(self, id_: str) -> DataFrame:
         """The object of an id; KeyError where there is none."""
-        found = self.objects_.where(F.col("id") == id_)
+        found = self.directory.get(id_) if self.directory else self.objects_.where(F.col("id") == id_)
         if found.isEmpty():
             raise KeyError(id_)
         return found
@@ -53,14 +56,16 @@ class LineageGraph:
         _bounded("page", page, 1, 1 << 31)
         _bounded("page_size", page_size, 1, 200)
         if (schema, type_) not in self._totals:
-            self._totals[schema, type_] = catalog.filtered(self.objects_, schema, type_).count()
+            self._totals[schema, type_] = self.directory.total(schema, type_) if self.directory else catalog.filtered(self.objects_, schema, type_).count()
         total = self._totals[schema, type_]
-        return {"items": catalog.page(self.objects_, page, page_size, schema, type_), "total": total, "page": page, "page_size": page_size, "total_pages": catalog.total_pages(total, page_size)}
+        items = self.directory.page(page, page_size, schema, type_) if self.directory else catalog.page(self.objects_, page, page_size, schema, type_)
+        return {"items": items, "total": total, "page": page, "page_size": page_size, "total_pages": catalog.total_pages(total, page_size)}
 
     def search(self, q: str, limit: int = 20, schema: str | None = None, type_: str | None = None) -> DataFrame:
         if not q:
             raise ValueError("the query is empty")
-        return catalog.search(self.objects_, q, _bounded("limit", limit, 1, 100), schema, type_)
+        _bounded("limit", limit, 1, 100)
+        return self.directory.search(q, limit, schema, type_) if self.directory else catalog.search(self.objects_, q, limit, schema, type_)
 
     def schemas(self) -> DataFrame:
         return catalog.distinct_sorted(self.objects_, "schema")

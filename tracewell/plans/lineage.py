@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import formats
 from tracewell.graph import LineageGraph
-from tracewell.operators import catalog, traverse, view
+from tracewell.operators import catalog, directory, traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
 from tracewell.plans import derive
 
@@ -179,6 +179,38 @@ def objects_page(spark, sf_dir):
     return catalog.page(derive.objects(spark, sf_dir), 3, 50, "ORD", "VIEW").select("id", "schema", "name", "type")
 
 
+# The objects with accents, searched by texts of one to thirty characters, wildcards and accents among them.
+_ACCENTS = "SELECT id, schema, replace(replace(name, 'E', 'É'), 'omer', 'ömer%') AS name, type FROM"
+SEARCHES = ["7", "é", "r_", "%", "_1", "er%", "s.1", "R_1", "tömer%#0000", "STömer%#00000000000000001", "customer#000000000000000000001", "order_12", "vié", "nowhere"]
+
+
+@query(f"""WITH o AS ({_ACCENTS} ({derive.OBJECTS_SQL})), q(q) AS (VALUES {", ".join(f"('{q}')" for q in SEARCHES)}),
+hits AS (SELECT q, id, schema, name, type, row_number() OVER (PARTITION BY q ORDER BY id) AS k FROM o, q WHERE contains(lower(name), lower(q)) OR contains(lower(schema), lower(q)) OR contains(lower(id), lower(q)))
+SELECT q, id, schema, name, type FROM hits WHERE k <= 30 UNION ALL SELECT 'ORD VIEW', id, schema, name, type FROM (SELECT * FROM o WHERE contains(lower(id), '77') AND schema = 'ORD' AND type = 'VIEW' ORDER BY id LIMIT 100)""")
+def search_indexed(spark, sf_dir):
+    accents = derive.objects(spark, sf_dir).selectExpr("id", "schema", "replace(replace(name, 'E', 'É'), 'omer', 'ömer%') AS name", "type")
+    index = directory.Directory.build(accents, rows_per_part=20_000)
+    columns = ["id", "schema", "name", "type"]
+    out = index.search("77", 100, "ORD", "VIEW").select(F.lit("ORD VIEW").alias("q"), *columns)
+    for q in SEARCHES:
+        out = out.unionByName(index.search(q, 30).select(F.lit(q).alias("q"), *columns))
+    return out
+
+
+PAGES = [(1, 50, None, None), (3, 50, "ORD", "VIEW"), (120, 100, None, None), (100, 200, None, None), (2, 7, None, "TABLE"), (40, 20, "CAT", None), (9999, 200, None, None)]
+
+
+@query(f"WITH o AS ({derive.OBJECTS_SQL}) " + " UNION ALL ".join(
+    f"SELECT {k} AS asked, id, schema, type FROM (SELECT * FROM o WHERE {f'schema = {chr(39)}{s}{chr(39)}' if s else 'true'} AND {f'type = {chr(39)}{t}{chr(39)}' if t else 'true'} ORDER BY id LIMIT {n} OFFSET {(p - 1) * n})"
+    for k, (p, n, s, t) in enumerate(PAGES)) + f" UNION ALL SELECT 99, id, schema, type FROM o WHERE id = '{CUSTOMER}'")
+def pages_indexed(spark, sf_dir):
+    index = directory.Directory.build(derive.objects(spark, sf_dir), rows_per_part=5_000)
+    out = index.get(CUSTOMER).select(F.lit(99).alias("asked"), "id", "schema", "type")
+    for k, (p, n, s, t) in enumerate(PAGES):
+        out = out.unionByName(index.page(p, n, s, t).select(F.lit(k).alias("asked"), "id", "schema", "type"))
+    return out
+
+
 @query(f"SELECT DISTINCT schema FROM ({derive.OBJECTS_SQL})")
 def schemas(spark, sf_dir):
     return catalog.distinct_sorted(derive.objects(spark, sf_dir), "schema")
