@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import catalog, traverse
+from tracewell.operators.closure import closure
 from tracewell.operators.directory import Directory
 from tracewell.operators.traverse import BACKWARD, FORWARD, Lineage
 
@@ -93,6 +94,10 @@ class LineageGraph:
         """Many roots at once: seeds has seed and id."""
         return traverse.traverse(self.walked, seeds, depth, direction)
 
+    def reach(self, seeds: DataFrame, direction: str = FORWARD) -> DataFrame:
+        """seed, id of all that seeds (seed, id) reach, at any depth."""
+        return closure(self.walked, seeds, direction)
+
     def object_column_lineage(self, id_: str) -> DataFrame:
         self.object(id_)
         return traverse.object_columns(self.column_deps, id_)

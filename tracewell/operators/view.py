@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.traverse import BACKWARD, FORWARD, Snapshot, full, levels, snapshot, traverse
+from tracewell.operators.closure import closure
+from tracewell.operators.traverse import BACKWARD, FORWARD, Snapshot, full, snapshot, traverse
 
 PAIR = ["source_id", "target_id"]
 
@@ -50,8 +51,8 @@ def expand(view: View, graph: Snapshot, id_: str, direction: str = FORWARD) -> V
 def collapse(view: View, id_: str, direction: str = FORWARD) -> View:
     """Drop what the visible edges reach from a node in one direction, never the root; edges that lose an end go too."""
     shown = snapshot(view.nodes, view.edges if "seq" in view.edges.columns else view.edges.withColumn("seq", F.lit(0).cast("long")))
-    reached = levels(shown, _seed(view.nodes, id_), None, direction)
-    gone = reached.where((F.col("level") > 0) & (F.col("id") != view.root)).select("id").distinct()
+    reached = closure(shown, _seed(view.nodes, id_), direction)
+    gone = reached.where((F.col("id") != id_) & (F.col("id") != view.root)).select("id").distinct()
     nodes = view.nodes.join(gone, "id", "left_anti")
     near = "source_id" if direction == FORWARD else "target_id"
     edges = view.edges.where(F.col(near) != id_)

@@ -39,6 +39,10 @@ _TRANSITIONS = """
 SELECT DISTINCT event_type AS source_id, next AS target_id, 'ETL' AS dependency_type, 'SELECT' AS reference_type, CAST(0 AS BIGINT) AS seq
 FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL
 """
+_CHAINS = """
+SELECT concat('E.', event_id) AS source_id, concat('E.', next) AS target_id, 'ETL' AS dependency_type, 'SELECT' AS reference_type, CAST(0 AS BIGINT) AS seq
+FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL
+"""
 TABLES = ["region", "nation", "supplier", "customer", "orders", "part", "lineitem", "events"]
 
 
@@ -88,6 +92,13 @@ def transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return names.select("id", F.lit("EVT").alias("schema"), F.col("id").alias("name"), F.lit("TABLE").alias("type")), found
 
 
+def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects, edges and seeds of the chains of each user's events, from the first to the last; the seed is the first."""
+    names = _sql(spark, sf_dir, "SELECT concat('E.', event_id) AS id FROM events")
+    first = _sql(spark, sf_dir, "SELECT user_id, min_by(event_id, struct(ts, event_id)) AS e FROM events GROUP BY user_id")
+    return names, _sql(spark, sf_dir, _CHAINS), first.select(F.concat(F.lit("E."), "e").alias("seed"), F.concat(F.lit("E."), "e").alias("id"))
+
+
 def _duck(text: str) -> str:
     return text.replace("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import formats
 from tracewell.graph import LineageGraph
-from tracewell.operators import catalog, directory, traverse, view
+from tracewell.operators import catalog, closure, directory, traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
 from tracewell.plans import derive
 
@@ -117,6 +117,29 @@ def lineage_dangling(spark, sf_dir):
     return found.edges.join(objects.select(F.col("id").alias("target_id")), "target_id", "left_anti").groupBy("seed", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _reach_sql(near: str, far: str, *seeds: str) -> str:
+    start = " UNION ALL ".join(f"SELECT '{s}' AS seed, '{s}' AS id" for s in seeds)
+    return f"r AS ({start} UNION SELECT r.seed, e.{far} FROM r JOIN objs o ON o.id = r.id JOIN edges e ON e.{near} = r.id) SELECT seed, id FROM r"
+
+
+@query(f"WITH RECURSIVE {GRAPH} {_reach_sql('source_id', 'target_id', 'N.3', 'C.7', 'C.8', 'S.1', 'none')}")
+def closure_forward(spark, sf_dir):
+    return closure.closure(derive.graph(spark, sf_dir), _seeds(spark, "N.3", "C.7", "C.8", "S.1", "none"), FORWARD)
+
+
+@query(f"WITH RECURSIVE {CYCLE} {_reach_sql('target_id', 'source_id', 'click', 'purchase')}")
+def closure_cycle(spark, sf_dir):
+    objects, edges = derive.transitions(spark, sf_dir)
+    return closure.closure(traverse.snapshot(objects, edges), _seeds(spark, "click", "purchase"), BACKWARD)
+
+
+@query("""SELECT concat('E.', arg_min(event_id, struct_pack(ts, event_id))) AS seed, count(*)::BIGINT AS n, min(concat('E.', event_id)) AS first_id, max(concat('E.', event_id)) AS last_id FROM events GROUP BY user_id""")
+def closure_chains(spark, sf_dir):
+    objects, edges, seeds = derive.chains(spark, sf_dir)
+    reached = closure.closure(traverse.snapshot(objects, edges), seeds, FORWARD)
+    return reached.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 def _column_sql(object_id: str, column: str, depth: int, direction: str) -> str:
     near, far = ("source", "target") if direction == "downstream" else ("target", "source")
     steps = [f"cols AS MATERIALIZED ({derive.COLUMN_EDGES_SQL})",
