@@ -9,13 +9,12 @@ of all seeds travel together, so a batch of roots costs as many jobs as one.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.storage import park, shared_dir
+from tracewell.storage import new_path, park
 
 FORWARD, BACKWARD = "forward", "backward"
 ROWS_PER_BUCKET, MOST_BUCKETS, FRONTIER_ROWS = 200_000, 4096, 20_000
@@ -29,14 +28,19 @@ class Stored:
     rows: DataFrame
     key: str
     buckets: int
+    path: str = ""
 
     def beside(self, frontier: DataFrame) -> DataFrame:
         """The rows whose key is an id of the frontier, with the frontier's columns; other buckets are not read."""
-        n, wanted = frontier.agg(F.count(F.lit(1)), F.collect_set(_bucket(F.col("id"), self.buckets))).first()  # at most one number a bucket
-        rows = self.rows if len(wanted) == self.buckets else self.rows.where(F.col("bucket").isin(wanted))
-        near = F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier
+        rows, near = self.met(self.rows, frontier)
         return rows.drop("bucket").withColumnRenamed(self.key, "id").join(near, "id").withColumnRenamed("id", self.key)
 
+    def met(self, rows: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of the frontier's buckets, and the frontier, broadcast if its count allows."""
+        n, wanted = frontier.agg(F.count(F.lit(1)), F.collect_set(_bucket(F.col("id"), self.buckets))).first()  # at most one number a bucket
+        rows = rows if len(wanted) == self.buckets else rows.where(F.col("bucket").isin(wanted))
+        return rows, F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier
+
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -44,13 +48,16 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 def store(df: DataFrame, key: str, buckets: int, name: str) -> Stored:
     """Write df by buckets of key; AQE splits a bucket that a hub makes large into several files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return store_at(df, key, buckets, new_path(df.sparkSession, name))
+
+
+def store_at(df: DataFrame, key: str, buckets: int, path: str) -> Stored:
     dealt = df.withColumn("bucket", _bucket(F.col(key), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
     dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
-    return Stored(df.sparkSession.read.schema(dealt.schema).parquet(path), key, buckets)
+    return Stored(df.sparkSession.read.schema(dealt.schema).parquet(path), key, buckets, path)
 
 
-def _buckets_for(rows: int) -> int:
+def buckets_for(rows: int) -> int:
     return min(MOST_BUCKETS, max(1, rows // ROWS_PER_BUCKET))
 
 
@@ -69,7 +76,7 @@ class Snapshot:
 def snapshot(objects: DataFrame, table_deps: DataFrame) -> Snapshot:
     """Reduce the edges (last wins) and store them both ways."""
     edges = park(last_wins(table_deps), "edges")
-    n = _buckets_for(edges.count())
+    n = buckets_for(edges.count())
     ids = objects.select("id").distinct().withColumn("known", F.lit(True))
     return Snapshot(store(ids, "id", n, "ids"), store(edges, "source_id", n, "edges-source"), store(edges, "target_id", n, "edges-target"))
 
@@ -167,7 +174,7 @@ def column_snapshot(column_deps: DataFrame) -> ColumnSnapshot:
     """Reduce the column edges (last wins) and store them both ways."""
     rest = ["transformation", "transformation_type"]
     edges = park(column_deps.groupBy(*COLUMN_KEYS).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*COLUMN_KEYS, "e.*"), "column-edges")
-    n = _buckets_for(edges.count())
+    n = buckets_for(edges.count())
     return ColumnSnapshot(store(edges, "source_object_id", n, "columns-source"), store(edges, "target_object_id", n, "columns-target"))
 
 

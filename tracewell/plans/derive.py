@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import traverse
+from tracewell.operators.versions import GraphStore
+from tracewell.storage import exists, fingerprint, shared_dir
 
 _OBJECTS = """
 SELECT concat('R.', r_regionkey) AS id, 'GEO' AS schema, r_name AS name, 'CONNECTION' AS type, CAST(NULL AS BIGINT) AS row_count FROM region
@@ -66,23 +68,32 @@ def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _COLUMN_EDGES)
 
 
-_walked: dict = {}
+def _version_of(spark: SparkSession, sf_dir: str) -> str:
+    """What the tables of a folder hold now, by their files."""
+    return fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
 
 
-def _once(spark: SparkSession, sf_dir: str, kind: str, make):
-    """A stored graph is made once for each application and folder, as a service loads it."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _walked:
-        _walked[key] = make()
-    return _walked[key]
+def store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The stored graph of a folder's tables as they are now, made where the shared folder has none."""
+    found = GraphStore(spark, f"{shared_dir(spark)}/graph-{_version_of(spark, sf_dir)}")
+    return found if found.exists() else GraphStore.create(spark, found.path, objects(spark, sf_dir), edges(spark, sf_dir))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> traverse.Snapshot:
-    return _once(spark, sf_dir, "edges", lambda: traverse.snapshot(objects(spark, sf_dir), edges(spark, sf_dir)))
+    return store(spark, sf_dir).at(0).snapshot
+
+
+_columns: dict = {}
 
 
 def column_graph(spark: SparkSession, sf_dir: str) -> traverse.ColumnSnapshot:
-    return _once(spark, sf_dir, "columns", lambda: traverse.column_snapshot(column_edges(spark, sf_dir)))
+    """Made once for each application and state of the tables, as long as its files are there."""
+    key = (spark.sparkContext.applicationId, _version_of(spark, sf_dir))
+    path, found = _columns.get(key, ("", None))
+    if found is None or not exists(spark, path):
+        found = traverse.column_snapshot(column_edges(spark, sf_dir))
+        _columns[key] = (found.by_source.path, found)
+    return found
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,9 @@ from tracewell.functions import formats
 from tracewell.graph import LineageGraph
 from tracewell.operators import catalog, closure, directory, traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
+from tracewell.operators.versions import GraphStore
 from tracewell.plans import derive
+from tracewell.storage import new_path
 
 QUERIES, ORACLES = {}, {}
 ROOT, LEAF, ORDER, CUSTOMER = "R.0", "P.7", "O.7", "C.7"
@@ -98,6 +100,63 @@ def lineage_has_more(spark, sf_dir):
     return _forward(spark, sf_dir, 2).nodes
 
 
+# A day's changes: edges that replace others, new ones, and ones that give way to what is there.
+_CHANGED = """SELECT concat('C.', o_custkey) AS source_id, concat('O.', o_orderkey) AS target_id, 'RELOAD' AS dependency_type, 'SELECT' AS reference_type, CAST(0 AS BIGINT) AS seq FROM orders WHERE o_orderkey % 100 = 0
+UNION ALL SELECT concat('O.', o_orderkey), 'X.1', 'ETL', 'SELECT', 0 FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT concat('O.', o_orderkey), 'X.1', 'LATER', 'SELECT', 1 FROM orders WHERE o_orderkey % 200 = 0"""
+_GIVING_WAY = """SELECT concat('N.', c_nationkey) AS source_id, concat('C.', c_custkey) AS target_id, 'GUESS' AS dependency_type, 'SELECT' AS reference_type, CAST(0 AS BIGINT) AS seq FROM customer
+UNION ALL SELECT 'X.1', concat('C.', c_custkey), 'GUESS', 'SELECT', 0 FROM customer WHERE c_custkey % 50 = 0"""
+_VERSIONS = f"""WITH RECURSIVE {GRAPH} c AS ({_CHANGED}), g AS ({_GIVING_WAY}),
+c1 AS (SELECT source_id, target_id, arg_max(dependency_type, seq) AS k FROM c GROUP BY ALL),
+v0 AS (SELECT source_id, target_id, e.dependency_type AS k FROM edges),
+v1 AS (SELECT * FROM c1 UNION ALL SELECT * FROM v0 WHERE (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM c1)),
+v2 AS (SELECT * FROM v1 UNION ALL SELECT source_id, target_id, dependency_type FROM g WHERE (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM v1))"""
+
+
+def _grown(spark, sf_dir):
+    """A graph of its own with two deltas, and what a reader of version 0 has had open meanwhile."""
+    store = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.edges(spark, sf_dir))
+    pinned = store.latest()
+    x = spark.createDataFrame([("X.1",)], "id string")
+    store.append(x, derive._sql(spark, sf_dir, _CHANGED))
+    store.append(x.limit(0), derive._sql(spark, sf_dir, _GIVING_WAY), wins="first")
+    return store, pinned
+
+
+@query(_VERSIONS + """ SELECT version, k, count(*)::BIGINT AS n, min(source_id || target_id) AS low, max(source_id || target_id) AS high
+FROM (SELECT 0 AS version, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v2) GROUP BY ALL""")
+def graph_append(spark, sf_dir):
+    """The edges of each version, the compacted one included."""
+    store, pinned = _grown(spark, sf_dir)
+    store.compact()
+    out = pinned.edges.withColumn("version", F.lit(0))
+    for number in (1, 2, 3):
+        out = out.unionByName(store.at(number).edges.withColumn("version", F.lit(number)))
+    pair = F.concat("source_id", "target_id")
+    return out.groupBy("version", F.col("dependency_type").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high"))
+
+
+def _walk_sql(version: str, known: str) -> str:
+    return f"""w{version} AS (SELECT 'O.100' AS id, 0 AS level UNION SELECT e.target_id, w.level + 1 FROM w{version} w JOIN ({known}) o ON o.id = w.id JOIN v{version} e ON e.source_id = w.id WHERE w.level < 3)"""
+
+
+@query(_VERSIONS + f""", {_walk_sql("0", "SELECT id FROM objs")}, {_walk_sql("2", "SELECT id FROM objs UNION SELECT 'X.1'")}
+SELECT 0 AS version, id, min(level) AS level FROM w0 JOIN objs USING (id) GROUP BY id UNION ALL SELECT 2, id, min(level) FROM w2 JOIN (SELECT id FROM objs UNION SELECT 'X.1') USING (id) GROUP BY id""")
+def lineage_versions(spark, sf_dir):
+    """A walk on the runs of the latest version, and one by the reader that had opened the first."""
+    store, pinned = _grown(spark, sf_dir)
+    seeds = _seeds(spark, "O.100")
+    nodes = lambda v: traverse.traverse(v.snapshot, seeds, 3, FORWARD).nodes.select(F.lit(v.number).alias("version"), "id", "level")
+    return nodes(pinned).unionByName(nodes(store.latest()))
+
+
+@query(f"WITH {GRAPH[:-2]} SELECT (SELECT count(*) FROM objs)::BIGINT AS objects, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(DISTINCT source_id) FROM edges)::BIGINT AS sources")
+def graph_build(spark, sf_dir):
+    """What walks need before the first: the reduced edges in buckets of either end."""
+    built = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.edges(spark, sf_dir)).latest()
+    n = built.edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources"))
+    return built.ids.agg(F.count(F.lit(1)).alias("objects")).join(n)  # one row each
+
+
 CYCLE = f"objs AS (SELECT DISTINCT event_type AS id FROM events), edges AS MATERIALIZED ({derive.TRANSITIONS_SQL}),"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,6 +85,21 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files at some paths: names, sizes and times of change."""
+    seen = []
+    for path in paths:
+        at, fs = _file(spark, path)
+        files = fs.listStatus(at) if fs.exists(at) else []
+        seen += [(path, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files]
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file(spark, path)
+    return fs.exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove what was written at a path; nothing happens where there is none."""
     at, fs = _file(spark, path)
