@@ -18,12 +18,21 @@ def _filled(base: Column, new: Column, kind: T.DataType) -> Column:
     return F.when(empty, F.coalesce(new, base)).otherwise(base)
 
 
-def enrich_objects(base: DataFrame, new: DataFrame) -> DataFrame:
+def last_of_each(objects: DataFrame, order: str = "object_id") -> DataFrame:
+    """One row for each id: that of the highest order, as the last of a list holds; ties go by the hash of the row, so reruns agree."""
+    place = F.struct(*([order] if order in objects.columns else []), F.xxhash64(*(F.to_json(F.struct(*objects.columns)),)).alias("hash"))
+    rows = objects.groupBy("id").agg(F.max_by(F.struct(*objects.columns), place).alias("row"))
+    return rows.select("row.*")
+
+
+def enrich_objects(base: DataFrame, new: DataFrame, order: str = "object_id") -> DataFrame:
     """All objects of both; shared ones keep base's values and take new's where base has none.
 
     added and enriched tell where a row came from; source_platform is new's
-    platform where base's is exasol and both are set. Ids are unique on each side.
+    platform where base's is exasol and both are set. Of rows that share an id
+    on one side the last by order holds.
     """
+    base, new = last_of_each(base, order), last_of_each(new, order)
     types = {f.name: f.dataType for f in [*new.schema, *base.schema]}
     b = base.select(F.col("id").alias("bid"), F.struct(*base.columns).alias("b"))
     n = new.select(F.col("id").alias("nid"), F.struct(*new.columns).alias("n"))

@@ -155,6 +155,20 @@ def merge_enrich(spark, sf_dir):
     return merge.enrich_objects(_sql(spark, sf_dir, BASE), _sql(spark, sf_dir, NEW))
 
 
+# Both sides list some objects again; the last holds.
+BASE_AGAIN = f"{BASE} UNION ALL SELECT concat('C.', c_custkey), concat('again ', c_name), 'exasol', CAST(c_custkey + 500 AS BIGINT) FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT concat('C.', c_custkey), 'never', 'exasol', CAST(c_custkey - 1000 AS BIGINT) FROM customer WHERE c_custkey % 10 = 2"
+NEW_AGAIN = f"{NEW} UNION ALL SELECT concat('C.', c_custkey), 'newer', 'composer', CAST(c_custkey + 2000000 AS BIGINT) FROM customer WHERE c_custkey % 6 = 0"
+
+
+@query(f"""WITH b AS (SELECT id, arg_max(struct_pack(d := description, p := platform, o := object_id), object_id) AS r FROM ({BASE_AGAIN}) GROUP BY id),
+n AS (SELECT id, arg_max(struct_pack(d := description, p := platform, o := object_id), object_id) AS r FROM ({NEW_AGAIN}) GROUP BY id)
+SELECT coalesce(b.id, n.id) AS id, CASE WHEN coalesce(b.r.d, '') = '' THEN coalesce(n.r.d, b.r.d) ELSE b.r.d END AS description, coalesce(b.r.p, n.r.p) AS platform, coalesce(b.r.o, n.r.o) AS object_id,
+       b.id IS NULL AS added, b.id IS NOT NULL AND n.id IS NOT NULL AS enriched FROM b FULL JOIN n ON b.id = n.id""")
+def merge_repeats(spark, sf_dir):
+    merged = merge.enrich_objects(_sql(spark, sf_dir, BASE_AGAIN), _sql(spark, sf_dir, NEW_AGAIN))
+    return merged.select("id", "description", "platform", "object_id", "added", "enriched")
+
+
 @query(f"WITH b AS ({BASE_DEPS}), n AS ({NEW_DEPS}) SELECT * FROM b UNION ALL SELECT * FROM n WHERE target_id IS NOT NULL AND (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM b)")
 def merge_deps(spark, sf_dir):
     return merge.append_new(_sql(spark, sf_dir, BASE_DEPS), _sql(spark, sf_dir, NEW_DEPS), merge.EDGE_KEY)
