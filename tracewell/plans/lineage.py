@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import formats
 from tracewell.graph import LineageGraph
-from tracewell.operators import catalog, closure, directory, traverse, view
+from tracewell import sql
+from tracewell.operators import bitmaps, catalog, closure, directory, traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
 from tracewell.operators.versions import GraphStore
 from tracewell.plans import derive
-from tracewell.storage import new_path
+from tracewell.sources import cache
+from tracewell.storage import new_path, park
 
 QUERIES, ORACLES = {}, {}
 ROOT, LEAF, ORDER, CUSTOMER = "R.0", "P.7", "O.7", "C.7"
@@ -176,6 +178,27 @@ def lineage_dangling(spark, sf_dir):
     return found.edges.join(objects.select(F.col("id").alias("target_id")), "target_id", "left_anti").groupBy("seed", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _registered(spark, sf_dir):
+    sql.register(spark, LineageGraph(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), derive.column_edges(spark, sf_dir)))
+    return spark
+
+
+@query(f"WITH RECURSIVE {GRAPH} {_bfs_sql([ROOT], 3, 'source_id', 'target_id')} SELECT r.id, level FROM reached r JOIN objs USING (id)")
+def sql_lineage(spark, sf_dir):
+    return _registered(spark, sf_dir).sql(f"SELECT * FROM lineage('{ROOT}', 3)")
+
+
+@query(f"""WITH RECURSIVE {GRAPH} start AS (SELECT id FROM objs WHERE schema = 'CAT'),
+r AS (SELECT id AS seed, id, 0 AS level FROM start UNION SELECT r.seed, e.source_id, r.level + 1 FROM r JOIN objs o ON o.id = r.id JOIN edges e ON e.target_id = r.id WHERE r.level < 2),
+up AS (SELECT seed, id, min(level) AS level FROM r JOIN objs USING (id) GROUP BY ALL),
+near AS (SELECT s.id AS seed, count(*) AS n FROM start s JOIN edges e ON e.source_id = s.id OR e.target_id = s.id GROUP BY s.id)
+SELECT seed, level, count(*)::BIGINT AS found, max(near.n)::BIGINT AS neighbours FROM up LEFT JOIN near USING (seed) GROUP BY seed, level""")
+def sql_lateral(spark, sf_dir):
+    """Two table functions under LATERAL for every part."""
+    return _registered(spark, sf_dir).sql("""WITH start AS (SELECT id FROM tracewell_objects WHERE schema = 'CAT'), near AS (SELECT s.id, count(*) AS n FROM start s, LATERAL neighbours(s.id) GROUP BY s.id)
+        SELECT s.id AS seed, u.level, count(*) AS found, max(near.n) AS neighbours FROM start s JOIN LATERAL lineage_up(s.id, 2) u LEFT JOIN near ON near.id = s.id GROUP BY s.id, u.level""")
+
+
 def _reach_sql(near: str, far: str, *seeds: str) -> str:
     start = " UNION ALL ".join(f"SELECT '{s}' AS seed, '{s}' AS id" for s in seeds)
     return f"r AS ({start} UNION SELECT r.seed, e.{far} FROM r JOIN objs o ON o.id = r.id JOIN edges e ON e.{near} = r.id) SELECT seed, id FROM r"
@@ -293,6 +316,26 @@ def pages_indexed(spark, sf_dir):
     return out
 
 
+def _indexed(spark, sf_dir):
+    """The objects numbered in the order of ids, and the bitmaps of their schemas and types."""
+    numbered = park(cache.numbered(derive.objects(spark, sf_dir).select("id", "schema", "type"), ["id"], 1).withColumnRenamed("object_id", "no"), "numbered")
+    return numbered, park(bitmaps.bitmap_index(numbered, ["schema", "type"]), "bitmaps")
+
+
+@query(f"WITH o AS ({derive.OBJECTS_SQL}) SELECT schema, type, count(*)::BIGINT AS n FROM o GROUP BY ALL UNION ALL SELECT schema, NULL, count(*) FROM o GROUP BY schema UNION ALL SELECT NULL, type, count(*) FROM o GROUP BY type")
+def bitmap_counts(spark, sf_dir):
+    _, index = _indexed(spark, sf_dir)
+    single = bitmaps.value_counts(index)
+    one = lambda c: F.when(F.col("column") == c, F.col("value")).alias(c)
+    return bitmaps.cross_counts(index, "schema", "type").unionByName(single.select(one("schema"), one("type"), "n"))
+
+
+@query(f"SELECT id, schema, type FROM ({derive.OBJECTS_SQL}) WHERE schema IN ('GEO', 'SUP', 'BUILDING') AND type = 'TABLE'")
+def bitmap_filter(spark, sf_dir):
+    numbered, index = _indexed(spark, sf_dir)
+    return bitmaps.marked(numbered, bitmaps.selected(index, {"schema": ["GEO", "SUP", "BUILDING"], "type": ["TABLE"]})).select("id", "schema", "type")
+
+
 @query(f"SELECT DISTINCT schema FROM ({derive.OBJECTS_SQL})")
 def schemas(spark, sf_dir):
     return catalog.distinct_sorted(derive.objects(spark, sf_dir), "schema")
