@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.operators.catalog import cache_counters, inverted_index
+from tracewell.sources.jsonscan import scan
 from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform, validate, with_defaults
 from tracewell.storage import park
 
@@ -27,43 +28,42 @@ def _ddl(schema: T.StructType) -> str:
 _LOOSE_DEP = T.StructType([T.StructField(c, T.StringType()) for c in ("source_object_id", "source_id", "source", "target_object_id", "target_id", "target", "dependency_type", "reference_type")])
 
 
-def _items(document: DataFrame, path: str) -> DataFrame:
-    """seq and value (variant) of an array or the values of an object at a path; nothing else gives rows."""
-    part = document.select(F.try_variant_get("doc", path, "variant").alias("part")).where(F.col("part").isNotNull())
-    part.createOrReplaceTempView("tracewell_cache_part")
-    return document.sparkSession.sql("SELECT CAST(e.pos AS BIGINT) AS seq, e.key AS key, e.value AS value FROM tracewell_cache_part, LATERAL variant_explode_outer(part) AS e")
+CONTAINERS = ["objects", "dependencies", "dependencies.table_level", "dependencies.column_level"]
 
 
 def read_cache(spark: SparkSession, path: str) -> CacheTables:
     """Objects as map or list; dependencies as {table_level, column_level}, a list, or a map.
 
-    Raises FileNotFoundError where nothing is found and ValueError where a part
-    is missing or the objects break the model. Unknown keys are left out.
+    The document is one file of any size, on one line or many, and read by many
+    tasks (``jsonscan``). Raises FileNotFoundError where nothing is found and
+    ValueError where a part is missing or the objects break the model. Unknown
+    keys, and entries that are no objects, are left out.
     """
     from pyspark.errors import AnalysisException
 
     try:
-        text = spark.read.text(path, wholetext=True)
-        document = text.select(F.parse_json("value").alias("doc"))
-        present = document.select(*(F.try_variant_get("doc", f"$.{k}", "variant").isNotNull().alias(k) for k in ("metadata", "objects", "dependencies"))).first()
+        found = scan(spark, path, CONTAINERS)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
+    top = found.where((F.col("kind") == "key") & F.col("key").isin("metadata", "objects", "dependencies"))
+    present = {r.key for r in top.select("key").distinct().collect()}
     for key in ("metadata", "objects", "dependencies"):
-        if present is None or not present[key]:
+        if key not in present:
             raise ValueError(f"the cache has no {key}")
-    objects = _items(document, "$.objects").where(F.col("value").isNotNull())
-    parsed = objects.select("key", F.from_json(F.to_json("value"), _ddl(OBJECT)).alias("o"))
-    named = parsed.select("o.*", "key").withColumn("id", F.coalesce("id", "key", F.col("object_id").cast("string")))
-    objects = validate(park(conform(named, OBJECT), "cache-objects"))  # so the text is parsed once for each table
-    structured = document.where(F.try_variant_get("doc", "$.dependencies.table_level", "variant").isNotNull() | F.try_variant_get("doc", "$.dependencies.column_level", "variant").isNotNull())
-    plain = document.join(structured.limit(1).select(F.lit(1).alias("s")), how="left_anti")
-    loose = _items(structured, "$.dependencies.table_level").unionByName(_items(plain, "$.dependencies"))
-    deps = loose.select("seq", F.from_json(F.to_json("value"), _ddl(_LOOSE_DEP)).alias("d")).select(
+    structured = not found.where((F.col("kind") == "container") & F.col("path").isin(*CONTAINERS[2:])).isEmpty()
+
+    def elements(path: str) -> DataFrame:
+        return found.where((F.col("kind") == "element") & (F.col("path") == path)).select(F.col("place").alias("seq"), "key", "text")
+
+    named = elements("objects").select("key", F.from_json("text", _ddl(OBJECT)).alias("o")).select("o.*", "key").withColumn("id", F.coalesce("id", "key", F.col("object_id").cast("string")))
+    objects = validate(park(conform(named, OBJECT), "cache-objects"))
+    loose = elements(CONTAINERS[2] if structured else "dependencies").select("seq", F.from_json("text", _ddl(_LOOSE_DEP)).alias("d"))
+    deps = loose.select(
         F.coalesce("d.source_object_id", "d.source_id", "d.source").alias("source_id"), F.coalesce("d.target_object_id", "d.target_id", "d.target").alias("target_id"),
         "d.dependency_type", "d.reference_type", "seq",
     )
     deps = with_defaults(conform(deps, TABLE_DEP).where("source_id IS NOT NULL AND target_id IS NOT NULL"))
-    cols = _items(structured, "$.dependencies.column_level").select("seq", F.from_json(F.to_json("value"), _ddl(COLUMN_DEP)).alias("c")).select("c.*", F.col("seq").alias("n")).drop("seq")
+    cols = elements(CONTAINERS[3]).select("seq", F.from_json("text", _ddl(COLUMN_DEP)).alias("c")).select("c.*", F.col("seq").alias("n")).drop("seq")
     cols = conform(cols.withColumnRenamed("n", "seq"), COLUMN_DEP).where("source_object_id IS NOT NULL AND target_object_id IS NOT NULL")
     return CacheTables(objects, park(deps, "cache-edges"), park(with_defaults(column_deps=cols), "cache-columns"))
 
