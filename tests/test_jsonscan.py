@@ -82,3 +82,27 @@ def test_pieces_of_a_text():
     for c in ('{"b": [{"k": ', '1}, {"k": "', 'x"}]}'):
         s.feed(c)
     assert [(r[0], r[3], r[4]) for r in s.rows if r[0] == "element"] == [("element", 0, '{"k": 1}'), ("element", 1, '{"k": "x"}')]
+
+
+def test_documents_are_json(spark, tmp_path):
+    """What many tasks wrote is one valid document, with repeated edges, odd texts, and nothing at all."""
+    doc, things, edges, columns = document(random.Random(3))
+    (tmp_path / "in.json").write_text(json.dumps(doc))
+    tables = cache.read_cache(spark, str(tmp_path / "in.json"))
+    twice = cache.CacheTables(tables.objects, tables.table_deps.unionByName(tables.table_deps.limit(3)), tables.column_deps)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cache.write_document(twice, f"file://{tmp_path}/out.json", "here")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = json.loads((tmp_path / "out.json").read_text())
+    assert got["metadata"] == {"source": "here", "object_count": 24, "column_count": sum(len(t["columns"]) for t in things), "dependency_count": 27}
+    assert {k: v["name"] for k, v in got["objects"].items()} == {t["id"]: t["name"] for t in things} and list(got["objects"]) == sorted(got["objects"])
+    assert len(got["dependencies"]["table_level"]) == 27 and len(got["dependencies"]["column_level"]) == len(columns)
+    assert got["indexes"]["by_type"] == {"TABLE": sorted(t["id"] for t in things)}
+    assert got["indexes"]["forward"] == {e["source_id"]: sorted({x["target_id"] for x in edges if x["source_id"] == e["source_id"]}) for e in edges}
+    assert not list(tmp_path.glob("*.parts-*"))
+    again = cache.read_cache(spark, f"file://{tmp_path}/out.json")
+    assert sorted(again.objects.collect(), key=lambda r: r.id) == sorted(tables.objects.collect(), key=lambda r: r.id)
+    none = cache.CacheTables(tables.objects.limit(0), tables.table_deps.limit(0), tables.column_deps.limit(0))
+    cache.write_document(none, f"file://{tmp_path}/none.json")
+    empty = json.loads((tmp_path / "none.json").read_text())
+    assert empty["objects"] == {} and empty["dependencies"] == {"table_level": [], "column_level": []} and empty["indexes"] == dict.fromkeys(["by_schema", "by_type", "forward", "backward"], {})

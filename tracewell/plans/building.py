@@ -12,7 +12,7 @@ from tracewell.operators import catalog as operators_catalog
 from tracewell.plans.derive import _sql
 from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform
 from tracewell.sources import cache, catalog, corpus
-from tracewell.storage import shared_dir
+from tracewell.storage import new_path, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -547,3 +547,31 @@ def cache_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
     cache.write_tables(cache.CacheTables(conform(objects, OBJECT), conform(_sql(spark, sf_dir, BASE_DEPS), TABLE_DEP), none), path)
     return cache.read_tables(spark, path).objects.select("id", "object_id")
+
+
+# A whole cache as one JSON document: objects with columns and odd texts, edges with duplicates, column edges.
+_CACHED = """SELECT concat('C.', c_custkey) AS id, c_mktsegment AS schema, concat('"', c_name, '} ', chr(10), 'é') AS name, CASE WHEN c_custkey % 3 = 0 THEN 'VIEW' ELSE 'TABLE' END AS type, 'o' AS owner, CAST(c_custkey AS BIGINT) AS object_id, concat(chr(92), c_nationkey, '"') AS description FROM customer"""
+_CACHED_DEPS = BASE_DEPS + " UNION ALL SELECT concat('N.', c_nationkey), concat('C.', c_custkey), 'AGAIN', 'SELECT', CAST(c_custkey AS BIGINT) FROM customer WHERE c_custkey % 20 = 0"
+_CACHED_COLUMNS = "SELECT 'C.1' AS source_object_id, concat('A', c_custkey % 7) AS source_column, concat('C.', c_custkey) AS target_object_id, '{B' AS target_column, 'x' AS transformation, 'DIRECT' AS transformation_type, CAST(c_custkey AS BIGINT) AS seq FROM customer"
+
+
+@query(f"""WITH o AS ({_CACHED}), d AS ({_CACHED_DEPS}), c AS ({_CACHED_COLUMNS}), p AS (SELECT DISTINCT source_id AS s, target_id AS t FROM d)
+SELECT 'object' AS part, id AS a, name AS b, concat(schema, type, description, CASE WHEN object_id % 2 = 0 THEN 'X}},Y' ELSE '' END) AS c FROM o UNION ALL SELECT 'edge', source_id, target_id, concat(dependency_type, reference_type) FROM d
+UNION ALL SELECT 'column', concat(source_object_id, source_column), target_object_id, concat(target_column, transformation, transformation_type) FROM c
+UNION ALL SELECT 'by_schema', schema, id, '' FROM o UNION ALL SELECT 'by_type', type, id, '' FROM o UNION ALL SELECT 'forward', s, t, '' FROM p UNION ALL SELECT 'backward', t, s, '' FROM p
+UNION ALL SELECT 'counters', (SELECT count(*)::VARCHAR FROM o), (SELECT (2 * count(*))::VARCHAR FROM o WHERE object_id % 2 = 0), (SELECT count(*)::VARCHAR FROM d)""")
+def cache_json_roundtrip(spark, sf_dir):
+    """A document written by many tasks and read by many: all that it holds."""
+    listed = F.from_json(F.lit('[{"name": "X}", "data_type": "INT"}, {"name": "Y"}]'), OBJECT["columns"].dataType)
+    objects = conform(_sql(spark, sf_dir, _CACHED).withColumn("columns", F.when(F.col("object_id") % 2 == 0, listed)), OBJECT)
+    tables = cache.CacheTables(objects, conform(_sql(spark, sf_dir, _CACHED_DEPS), TABLE_DEP), conform(_sql(spark, sf_dir, _CACHED_COLUMNS), COLUMN_DEP))
+    path = f"{new_path(spark, 'cache')}.json"
+    cache.write_document(tables, path)
+    back, indexes = cache.read_cache(spark, path), cache.read_indexes(spark, path)
+    names = F.coalesce(F.array_join("columns.name", ","), F.lit(""))
+    out = back.objects.select(F.lit("object").alias("part"), F.col("id").alias("a"), F.col("name").alias("b"), F.concat("schema", "type", "description", names).alias("c"))
+    out = out.unionByName(back.table_deps.select(F.lit("edge").alias("part"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.concat("dependency_type", "reference_type").alias("c")))
+    out = out.unionByName(back.column_deps.select(F.lit("column").alias("part"), F.concat("source_object_id", "source_column").alias("a"), F.col("target_object_id").alias("b"), F.concat("target_column", "transformation", "transformation_type").alias("c")))
+    out = out.unionByName(indexes.select(F.col("index").alias("part"), F.col("key").alias("a"), F.col("id").alias("b"), F.lit("").alias("c")))
+    head = spark.read.text(path).where(F.startswith("value", F.lit('{"metadata"'))).select(F.from_json(F.concat("value", F.lit('"x": 1}')), "metadata struct<object_count: string, column_count: string, dependency_count: string>").alias("m"))
+    return out.unionByName(head.select(F.lit("counters").alias("part"), F.col("m.metadata.object_count").alias("a"), F.col("m.metadata.column_count").alias("b"), F.col("m.metadata.dependency_count").alias("c")))

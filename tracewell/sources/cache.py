@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from tracewell.operators.catalog import cache_counters, inverted_index
 from tracewell.sources.jsonscan import scan
 from tracewell.schemas import COLUMN_DEP, OBJECT, TABLE_DEP, conform, validate, with_defaults
-from tracewell.storage import park
+from tracewell.storage import join_files, park
 
 
 @dataclass
@@ -101,6 +102,80 @@ def cache_document(tables: CacheTables, source: str = "tracewell") -> DataFrame:
     return objects.join(deps).join(cols).select(F.to_json(F.struct(meta.alias("metadata"), "objects", F.struct("table_level", "column_level").alias("dependencies"))).alias("value"))
 
 
+# The parts of a document in their order: the text before the first entry, and after the last.
+_FRAME = [
+    ("objects", '"objects": {', "},"), ("table_level", '"dependencies": {"table_level": [', "],"), ("column_level", '"column_level": [', "]},"),
+    ("by_schema", '"indexes": {"by_schema": {', "},"), ("by_type", '"by_type": {', "},"), ("forward", '"forward": {', "},"), ("backward", '"backward": {', "}}"),
+]
+_ORDER = ["section", "a", "place", "b"]
+
+
+def _json_text(c: str) -> Column:
+    listed = F.to_json(F.array(c))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
+def _comma(first: Column, text: Column) -> Column:
+    return F.when(first, text).otherwise(F.concat(F.lit(", "), text))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """rows (a, text) in the order of a, with commas between: a, place, b, text. Rows alike in both are put into one line."""
+    alike = rows.groupBy("a", "text").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("b", F.md5("text"))
+    least = alike.agg(F.min(F.struct("a", "b")).alias("least"))  # one row
+    text = F.array_join(F.array_repeat("text", F.col("n")), ", ")
+    return alike.join(least).select("a", F.lit(0).alias("place"), "b", _comma(F.struct("a", "b") == F.col("least"), text).alias("text"))
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """rows (a, b) as lists of b under the key a, each b a line of its own: a, place, b, text."""
+    rows = rows.distinct()
+    keys = rows.groupBy("a").agg(F.min("b").alias("b0"))
+    least = keys.agg(F.min("a").alias("a0"))  # one row
+    begin = keys.join(least).select("a", F.lit(0).alias("place"), F.lit("").alias("b"), _comma(F.col("a") == F.col("a0"), F.concat(_json_text("a"), F.lit(": ["))).alias("text"))
+    body = rows.join(keys, "a").select("a", F.lit(1).alias("place"), "b", _comma(F.col("b") == F.col("b0"), _json_text("b")).alias("text"))
+    return begin.unionByName(body).unionByName(keys.select("a", F.lit(2).alias("place"), F.lit("").alias("b"), F.lit("]").alias("text")))
+
+
+def document_lines(tables: CacheTables, source: str = "tracewell") -> DataFrame:
+    """section, a, place, b, text: a cache document in lines, to be read in the order of the first four.
+
+    Metadata with counters; objects by id, edges by seq; and four indexes: ids by schema and by type, neighbours either way.
+    An id in an index is a line, so no row grows with the graph. A null schema or type stands under the empty string.
+    """
+    objects, edges, columns = tables.objects, tables.table_deps, tables.column_deps
+    pairs = edges.select("source_id", "target_id").distinct()
+    seq = F.lpad(F.coalesce("seq", F.lit(0)).cast("string"), 20, "0").alias("a")
+    counted = cache_counters(objects, edges).select(F.to_json(F.struct(F.lit(source).alias("source"), "object_count", "column_count", "dependency_count")).alias("m"))
+    head = counted.select(F.lit(0).alias("section"), F.lit("").alias("a"), F.lit(0).alias("place"), F.lit("").alias("b"), F.concat(F.lit('{"metadata": '), "m", F.lit(",")).alias("text"))
+    parts = {
+        "objects": _entries(objects.select(F.col("id").alias("a"), F.concat(_json_text("id"), F.lit(": "), F.to_json(F.struct(*objects.columns))).alias("text"))),
+        "table_level": _entries(edges.select(seq, F.to_json(F.struct("source_id", "target_id", "dependency_type", "reference_type")).alias("text"))),
+        "column_level": _entries(columns.select(seq, F.to_json(F.struct(*(c for c in columns.columns if c != "seq"))).alias("text"))),
+        "by_schema": _lists(objects.select(F.coalesce("schema", F.lit("")).alias("a"), F.col("id").alias("b"))),
+        "by_type": _lists(objects.select(F.coalesce("type", F.lit("")).alias("a"), F.col("id").alias("b"))),
+        "forward": _lists(pairs.toDF("a", "b")), "backward": _lists(pairs.select("target_id", "source_id").toDF("a", "b")),
+    }
+    frame = [(3 * k + j, text) for k, (_, begin, end) in enumerate(_FRAME) for j, text in ((1, begin), (3, end))] + [(3 * len(_FRAME) + 1, "}")]
+    out = head.unionByName(head.sparkSession.createDataFrame([(k, "", 0, "", t) for k, t in frame], head.schema))
+    for k, (name, _, _) in enumerate(_FRAME):
+        out = out.unionByName(parts[name].select(F.lit(3 * k + 2).alias("section"), "a", "place", "b", "text"))
+    return out
+
+
+def write_document(tables: CacheTables, path: str, source: str = "tracewell") -> None:
+    """One JSON file in the cache layout, written by any number of tasks: each sorts and writes a range of its lines, then the files are joined."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    document_lines(tables, source).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("text").write.text(parts)
+    join_files(tables.objects.sparkSession, parts, path)
+
+
+def read_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """index, key, id: the rows of the four indexes of a document."""
+    found = scan(spark, path, [f"indexes.{n}" for n, *_ in _FRAME[3:]]).where("kind = 'element'")
+    return found.select(F.regexp_replace("path", "^indexes\\.", "").alias("index"), "key", F.explode(F.from_json("text", "array<string>")).alias("id"))
+
+
 def numbered(rows: DataFrame, order: list[str], start: int = 100_000) -> DataFrame:
     """object_id counted up from start in the given order, range by range: no sort of everything in one task.
 

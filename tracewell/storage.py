@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -85,6 +86,37 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """One file of the files of a folder in the order of their names; the folder goes.
+
+    A file system that can (HDFS) only links the blocks together; elsewhere the bytes are copied one after another, in
+    pieces, never as a whole.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    at, fs = _file(spark, path)
+    parts = [hadoop.fs.Path(folder, n) for n in names(spark, folder) if n.startswith("part-")]
+    fs.delete(at, False)
+    try:
+        fs.create(at).close()
+        array = spark.sparkContext._gateway.new_array(hadoop.fs.Path, len(parts))
+        for k, part in enumerate(parts):
+            array[k] = part
+        fs.concat(at, array)
+    except UnsupportedOperationException:
+        out = fs.create(at, True)
+        try:
+            for part in parts:
+                source = fs.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+    fs.delete(hadoop.fs.Path(folder), True)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the files at some paths: names, sizes and times of change."""
     seen = []
