@@ -125,6 +125,8 @@ def test_sql_files(spark, tmp_path):
     (folder / "notes.txt").write_text("no")
     files = corpus.read_sql_files(spark, str(tmp_path / "repos"), "bigquery")
     assert files.select("repo").first().repo == "shop"
+    assert [tuple(r) for r in corpus.check_folder(spark, str(tmp_path / "repos"), "bigquery").collect()] == [("shop", 1)]
+    assert corpus.check_folder(spark, str(tmp_path / "repos"), "none").count() == 0
     objects, edges = build.corpus_graph(files)
     assert [r.id for r in objects.collect()] == ["BIGQUERY.D.V"]
     assert [(r.source_id, r.target_id) for r in edges.collect()] == [("BIGQUERY.D.T", "BIGQUERY.D.V")]

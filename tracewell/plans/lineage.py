@@ -12,7 +12,7 @@ from tracewell.operators import bitmaps, catalog, closure, directory, traverse,
 from tracewell.operators.traverse import BACKWARD, FORWARD
 from tracewell.operators.versions import GraphStore
 from tracewell.plans import derive
-from tracewell.sources import cache
+from tracewell.sources import cache, corpus
 from tracewell.storage import new_path, park
 
 QUERIES, ORACLES = {}, {}
@@ -253,6 +253,12 @@ def column_downstream(spark, sf_dir):
     return traverse.column_lineage(derive.column_graph(spark, sf_dir), _column_seed(spark, "N.3", "KEY"), "downstream", 3)
 
 
+@query(f"SELECT * FROM ({_column_sql('C.7', 'NAME', 3, 'upstream')}) UNION ALL SELECT * FROM ({_column_sql('C.7', 'NAME', 3, 'downstream')}) UNION ALL SELECT * FROM ({_column_sql('C.1', 'BALANCE', 3, 'upstream')}) UNION ALL SELECT * FROM ({_column_sql('C.1', 'BALANCE', 3, 'downstream')})")
+def column_both(spark, sf_dir):
+    seeds = _column_seed(spark, "C.7", "NAME").unionByName(_column_seed(spark, "C.1", "BALANCE"))
+    return traverse.column_lineage(derive.column_graph(spark, sf_dir), seeds, "both", 3)
+
+
 @query(f"""WITH cols AS ({derive.COLUMN_EDGES_SQL}),
 r AS (SELECT target_column AS "column", 'upstream' AS direction, source_object_id AS object_id, source_column AS other_column, transformation, transformation_type, seq FROM cols WHERE target_object_id = '{ORDER}'
       UNION ALL SELECT source_column, 'downstream', target_object_id, target_column, transformation, transformation_type, seq FROM cols WHERE source_object_id = '{ORDER}')
@@ -336,6 +342,27 @@ def bitmap_filter(spark, sf_dir):
     return bitmaps.marked(numbered, bitmaps.selected(index, {"schema": ["GEO", "SUP", "BUILDING"], "type": ["TABLE"]})).select("id", "schema", "type")
 
 
+# The edge export as a file: its lines, the titles first, without quotes.
+@query(f"""WITH {GRAPH[:-2]}, x AS (SELECT concat_ws(',', s.schema, s.name, s.type, t.schema, t.name, t.type, e.dependency_type) AS line FROM edges JOIN objs s ON s.id = source_id JOIN objs t ON t.id = target_id)
+SELECT line, count(*)::BIGINT AS n FROM x GROUP BY line UNION ALL SELECT 'Source Schema,Source Name,Source Type,Target Schema,Target Name,Target Type,Dependency Type', 1""")
+def edge_export_csv(spark, sf_dir):
+    path = new_path(spark, "export")
+    export = view.edge_export(traverse.last_wins(derive.edges(spark, sf_dir)), derive.objects(spark, sf_dir))
+    corpus.write_edge_csv(export, path)
+    lines = spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return lines.select("line", F.when(F.startswith("line", F.lit("Source Schema,")), 1).otherwise(F.col("n")).cast("long").alias("n"))  # each file has the titles
+
+
+@query(f"WITH o AS ({derive.OBJECTS_SQL}), p AS (SELECT schema, count(*) AS total FROM o GROUP BY schema) SELECT schema, total::BIGINT AS total, ((total + 29) // 30)::BIGINT AS pages FROM p UNION ALL SELECT NULL, count(*), (count(*) + 29) // 30 FROM o")
+def page_totals(spark, sf_dir):
+    """How many objects and pages each filter gives, from a graph with a directory."""
+    objects = derive.objects(spark, sf_dir)
+    graph = LineageGraph(objects, derive.edges(spark, sf_dir), derive.column_edges(spark, sf_dir), directory.Directory.build(objects, rows_per_part=5_000))
+    names = [None, *(r.schema for r in graph.schemas().collect())]  # a row a schema
+    pages = [(name, graph.objects(1, 30, name)) for name in names]
+    return spark.createDataFrame([(name, p["total"], p["total_pages"]) for name, p in pages], "schema string, total long, pages long")
+
+
 @query(f"SELECT DISTINCT schema FROM ({derive.OBJECTS_SQL})")
 def schemas(spark, sf_dir):
     return catalog.distinct_sorted(derive.objects(spark, sf_dir), "schema")

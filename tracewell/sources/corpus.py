@@ -20,5 +20,15 @@ def decoded(content: str = "content"):
     return F.decode(F.unbase64(F.regexp_replace(content, r"\s+", "")), "UTF-8")
 
 
-def write_edge_csv(export: DataFrame, path: str) -> None:
-    export.write.mode("overwrite").option("header", True).csv(path)
+def write_edge_csv(export: DataFrame, path: str, quoted: bool = False) -> None:
+    """The columns under their titles. Values stand as they are, commas and all; quoted writes CSV that can be read back."""
+    if quoted:
+        export.write.mode("overwrite").option("header", True).csv(path)
+        return
+    lines = export.select(F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in export.columns)).alias(",".join(export.columns)))
+    lines.write.mode("overwrite").option("header", True).option("quote", "\u0000").option("escapeQuotes", False).option("sep", "\u0001").csv(path)
+
+
+def check_folder(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """repo, n: the repositories below root that have .sql files in a folder of that name, and how many."""
+    return read_sql_files(spark, root, folder).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
