@@ -235,6 +235,45 @@ def test_round_trip_of_bytes():
         assert len(payload) % 64 == 0 and payload == t + b"\0" * (len(payload) - len(t)) and len(payload) >= 64
 
 
+def _payloads():
+    """Texts of all lengths, with repeats, few and many byte values, steps that a predictor takes, and none."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 12, 300)]
+    prose = [b" ".join(words[k] for k in rng.integers(0, 300, n)) for n in (3, 10, 60, 61, 400, 3000)]
+    steep = (np.cumsum(rng.integers(-2, 3, 8192)) & 255).astype(np.uint8).tobytes()
+    return [W.payload_of(t) for t in (b"", b"a", b"x" * 9000, b"ab" * 5000, bytes(range(256)) * 40, bytes(rng.integers(0, 256, 9000, dtype=np.uint8)), steep, *prose, *prose)]
+
+
+@pytest.mark.parametrize("tiles, samples, decoded", [(4096, 1 << 20, 1024), (2, 1 << 20, 1), (4096, 5000, 3)])
+def test_many_at_once_are_what_one_is(monkeypatch, tiles, samples, decoded):
+    for name, value in (("TOGETHER_TILES", tiles), ("TOGETHER", samples), ("DECODED_TILES", decoded)):
+        monkeypatch.setattr(W, name, value)
+    payloads = _payloads()
+    media = W.to_media_many(payloads)
+    assert media == [W.to_media(p) for p in payloads]
+    together = [W._grey_start(f) is not None for m in media for f in W.split_files(m)]
+    assert any(together) and not all(together)
+    assert [s.tobytes() for s in W.samples_of_many(media)] == payloads == [W.samples_of(m).tobytes() for m in media]
+    assert W.to_media_many([]) == [] == list(W.samples_of_many([]))
+
+
+def test_broken_files_among_others():
+    """Each damaged file gives what a decode of it alone gives, and leaves its neighbours alone."""
+    rng = np.random.default_rng(6)
+    good = W.to_media_many(_payloads())
+    media = []
+    for m in good:
+        bad = bytearray(m)
+        for k in rng.integers(20, len(m), 3):
+            bad[k] ^= 1 << int(rng.integers(8))
+        media += [m, bytes(bad), m[: len(m) // 2]]
+    for m, got in zip(media, W.samples_of_many(media)):
+        try:
+            assert (got == W.samples_of(m)).all()
+        except ValueError as e:
+            assert str(got) == str(e)
+
+
 def _steps(monkeypatch, media):
     """What a general decode of the files runs: transforms, back-references, colour cache."""
     seen = set()

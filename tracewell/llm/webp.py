@@ -9,6 +9,11 @@ least entropy and refers back to earlier pixels. ``to_media`` stores bytes as th
 green samples of pictures 64 pixels wide; long payloads become a series of files.
 There, back-references pay for nearly every text and the palette for texts of up
 to sixteen byte values; the other steps pay for pictures.
+
+``to_media_many`` and ``samples_of_many`` do the same for many payloads at once.
+Pictures of samples that need no transform go together: one sort finds the
+matches of all, and one symbol of each is decoded per step. Every other picture
+goes through ``encode_webp`` and ``decode_webp``, and the bytes are the same.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ TILE = WIDTH * TILE_ROWS
 MAX_CODE = 10  # bits of the encoder's codes; the decoder takes the format's 15
 LONGEST = 48  # pixels of the encoder's back-references
 LEAST_COLOUR, LEAST_GREY = 3, 12  # shorter ones hardly pay
+TOGETHER_TILES, TOGETHER = 4096, 1 << 20  # pictures, and samples, that are encoded together
+DECODED_TILES = 1024  # pictures that are decoded together
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -788,8 +795,287 @@ def payload_of(text: bytes) -> bytes:
 
 def to_media(payload: bytes) -> bytes:
     """A series of WebP files of width 64 whose green samples are the payload, a multiple of 64 bytes."""
-    argb = np.frombuffer(payload, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(0xFF000000)
-    return b"".join(encode_webp(argb[a : a + TILE].reshape(-1, WIDTH)) for a in range(0, len(argb), TILE))
+    return b"".join(encode_webp(_grey(payload[a : a + TILE])) for a in range(0, len(payload), TILE))
+
+
+def _costs(counts: np.ndarray) -> np.ndarray:
+    """Bits of the symbols counted in each row under a code of its own."""
+    total = counts.sum(axis=1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1))).sum(axis=1)
+
+
+def _plain_tiles(data: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which tiles of samples (of so many rows each) neither a palette nor a predictor makes smaller, as ``encode_webp`` judges."""
+    tiles = len(rows)
+    of_row = np.repeat(np.arange(tiles), rows)
+    grid = data.reshape(-1, WIDTH)
+
+    def counted(samples: np.ndarray, tile: np.ndarray) -> np.ndarray:
+        return np.bincount((tile[:, None] * 256 + samples).ravel(), minlength=256 * tiles).reshape(tiles, 256)
+
+    counts = counted(grid, of_row)
+    below = np.ones(len(grid), dtype=bool)
+    below[first // WIDTH] = False
+    below = np.flatnonzero(below)
+    step = np.minimum(_costs(counted(grid[:, 1:] - grid[:, :-1], of_row)), _costs(counted(grid[below] - grid[below - 1], of_row[below])))
+    return ((counts > 0).sum(axis=1) > 16) & ((rows == 1) | (_costs(counts) <= step + 64 + 8 * np.maximum(rows, WIDTH)))
+
+
+def _tile_matches(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, in order, that match an earlier place of their tile, with the length and distance of the nearest such match.
+
+    Keys hold tile, hash of the first samples and place, so one sort serves all
+    tiles and a tile's matches depend on nothing but the tile.
+    """
+    n = len(data)
+    eight = np.ndarray(n + LONGEST + 8, "<u8", data.tobytes() + bytes(LONGEST + 16), 0, (1,)).copy()  # the 8 samples from each place on
+    size = end - first
+    tile = np.repeat(np.arange(len(first)), size)
+    place = np.arange(n) - first[tile]
+    begins = np.flatnonzero(place + LEAST_GREY <= size[tile])
+    h = eight[begins] * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ h >> np.uint64(32)) + eight[begins + LEAST_GREY - 8]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    keys = tile[begins].astype(np.uint64) << np.uint64(52) | h >> np.uint64(24) << np.uint64(12) | place[begins].astype(np.uint64)
+    keys.sort()
+    again = np.flatnonzero(keys[1:] >> np.uint64(12) == keys[:-1] >> np.uint64(12))
+    base = first[(keys[again] >> np.uint64(52)).astype(np.int64)]
+    at, before = (base + (keys[k] & np.uint64(4095)).astype(np.int64) for k in (again + 1, again))
+    alike = (eight[at] == eight[before]) & (eight[at + LEAST_GREY - 8] == eight[before + LEAST_GREY - 8])
+    at, before = at[alike], before[alike]
+    length = np.full(len(at), LEAST_GREY)
+    live = np.arange(len(at))
+    for k in range(LEAST_GREY, LONGEST, 8):
+        differs = eight[at[live] + k] ^ eight[before[live] + k]
+        lowest = differs & (~differs + np.uint64(1))
+        length[live] = k + np.where(differs == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
+        live = live[differs == 0]
+    length = np.minimum(np.minimum(length, LONGEST), end[tile[at]] - at)
+    order = np.argsort(at)
+    return at[order], length[order], (at - before)[order]
+
+
+def _taken(start: np.ndarray, length: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which matches a reader from left to right takes, for all tiles side by side."""
+    start, length = np.r_[start, end.max()], np.r_[length, 0]
+    at, chosen = first, []
+    while len(at):
+        k = np.searchsorted(start, at)
+        more = start[k] < end
+        k, end = k[more], end[more]
+        chosen.append(k)
+        at = start[k] + length[k]
+    return np.sort(np.concatenate(chosen))
+
+
+@lru_cache(maxsize=1)
+def _distance_codes() -> np.ndarray:
+    """The code of each distance within a tile."""
+    codes = np.arange(TILE + 1) + 120
+    for far, code in _near(WIDTH).items():
+        if far <= TILE:
+            codes[far] = code
+    return codes
+
+
+def _encode_together(data: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The files of tiles of so many samples each that take no transform, as ``encode_webp`` makes them."""
+    tiles, end = len(size), np.cumsum(size)
+    first = end - size
+    start, length, far = _tile_matches(data, first, end)
+    k = _taken(start, length, first, end)
+    start, length, far = start[k], length[k], far[k]
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[start + 1] = 1
+    inside[start + length] = -1
+    refers = np.zeros(len(data), dtype=bool)
+    refers[start] = True
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)  # where symbols begin
+    tile = np.repeat(np.arange(tiles), size)[at]
+    symbol, back = data[at].astype(np.int64), np.flatnonzero(refers[at])
+    prefix, more, more_bits = _prefixed(length)
+    symbol[back] = 256 + prefix
+    place, further, further_bits = _prefixed(_distance_codes()[far])
+    symbols = np.bincount(tile * ALPHABETS[0] + symbol, minlength=tiles * ALPHABETS[0]).reshape(tiles, -1)
+    places = np.bincount(tile[back] * ALPHABETS[4] + place, minlength=tiles * ALPHABETS[4]).reshape(tiles, -1)
+    tables = [np.zeros((2, tiles, n), dtype=np.int64) for n in (ALPHABETS[0], ALPHABETS[4])]  # codes and their lengths
+    heads = []
+    for t in range(tiles):
+        out = BitWriter()
+        write_header(out, WIDTH, int(size[t]) // WIDTH)
+        out.write(0, 3)  # no transform, no colour cache, no entropy image
+        for counts, table, constant in ((symbols[t], tables[0], (0, 0, 255)), (places[t], tables[1], ())):
+            used = np.flatnonzero(counts)
+            if len(used) < 2:
+                out.write(*_one_symbol(int(used[0]) if len(used) else 0))
+            else:
+                lengths = code_lengths(counts)
+                write_prefix_code(out, lengths)
+                table[0, t], table[1, t] = codes_of(lengths), lengths
+            for s in constant:
+                out.write(*_one_symbol(s))
+        heads.append((out.bytes(), out.at))
+    value, width = tables[0][0, tile, symbol], tables[0][1, tile, symbol]
+    v, w, of = value[back], width[back], tile[back]
+    for part, bits in ((more, more_bits), (tables[1][0, of, place], tables[1][1, of, place]), (further, further_bits)):
+        v |= part << w
+        w += bits
+    value[back], width[back] = v, w
+    written = np.r_[0, np.cumsum(width)]
+    edge = np.searchsorted(tile, np.arange(tiles + 1))
+    head = np.array([n for _, n in heads])
+    n_bytes = (head + np.diff(written[edge]) + 7) // 8
+    base = np.cumsum(n_bytes) - n_bytes
+    bit = written[:-1] - written[edge[:-1]][tile] + (8 * base + head)[tile]
+    value <<= bit & 7
+    byte, buffer = bit >> 3, np.zeros(int(n_bytes.sum()) + 8, dtype=np.uint8)
+    while len(value):  # bits of different symbols never meet, so their sum is their union
+        buffer |= np.bincount(byte, weights=value & 255, minlength=len(buffer)).astype(np.uint8)
+        value, byte = value >> 8, byte + 1
+        left = value > 0
+        value, byte = value[left], byte[left]
+    for at, (bits, _) in zip(base.tolist(), heads):
+        buffer[at : at + len(bits)] |= np.frombuffer(bits, dtype=np.uint8)
+    stored = buffer.tobytes()
+    return [riff(stored[a : a + n]) for a, n in zip(base.tolist(), n_bytes.tolist())]
+
+
+def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
+    """The file of each tile of samples."""
+    data, size = np.frombuffer(b"".join(tiles), dtype=np.uint8), np.array([len(t) for t in tiles])
+    plain = _plain_tiles(data, np.cumsum(size) - size, size // WIDTH)
+    together = iter(_encode_together(data[np.repeat(plain, size)], size[plain]) if plain.any() else [])
+    return [next(together) if p else encode_webp(_grey(t)) for p, t in zip(plain.tolist(), tiles)]
+
+
+def _grey(samples: bytes) -> np.ndarray:
+    """A picture of samples."""
+    return (np.frombuffer(samples, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(0xFF000000)).reshape(-1, WIDTH)
+
+
+def to_media_many(payloads: list[bytes]) -> list[bytes]:
+    """``to_media`` of each payload, a bounded number of samples at a time."""
+    tiles = [p[a : a + TILE] for p in payloads for a in range(0, len(p), TILE)]
+    ends = np.cumsum([len(t) for t in tiles]) if tiles else np.zeros(0)
+    files: list[bytes] = []
+    while (i := len(files)) < len(tiles):
+        base = ends[i - 1] if i else 0
+        j = max(i + 1, min(i + TOGETHER_TILES, int(np.searchsorted(ends, base + TOGETHER, side="right"))))
+        files += _encode_tiles(tiles[i:j])
+    made = iter(files)
+    return [b"".join(next(made) for _ in range(0, len(p), TILE)) for p in payloads]
+
+
+def _grey_start(data: bytes) -> tuple[Bits, int, PrefixCode, PrefixCode] | None:
+    """Where the symbols of a picture of samples without transforms begin, its size, and its two codes; None for any other file."""
+    try:
+        bits = Bits(vp8l_payload(data))
+        width, height = _header(bits)
+        if width != WIDTH or height > TILE_ROWS or bits.read(3):  # a transform, a colour cache or an entropy image
+            return None
+        green, red, blue, alpha, distance = (read_prefix_code(bits, n) for n in ALPHABETS)
+    except (ValueError, IndexError):
+        return None
+    return None if not green.width or red.width or blue.width or alpha.width else (bits, width * height, green, distance)
+
+
+def _code_table(codes: list[PrefixCode]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes' tables one after the other, where each begins, and the mask of the bits it looks at."""
+    tables = [c.entry if c.width else np.array([c.only << 4], dtype=np.int32) for c in codes]
+    size = np.array([len(t) for t in tables])
+    return np.concatenate(tables).astype(np.int64), np.cumsum(size) - size, size - 1
+
+
+def _decode_together(started: list[tuple[Bits, int, PrefixCode, PrefixCode]]) -> list[np.ndarray | None]:
+    """The samples of each picture, None for broken ones: a symbol of every picture a step, then all back-references at once."""
+    data = [s[0].data for s in started]
+    byte = np.cumsum([0, *map(len, data)])
+    words = np.ndarray(int(byte[-1]) + 8, "<i8", b"".join(data) + bytes(16), 0, (1,)).copy()
+    at, end = (np.array([getattr(s[0], f) for s in started]) + 8 * byte[:-1] for f in ("at", "end"))
+    stop = np.cumsum([s[1] for s in started])
+    start = stop - [s[1] for s in started]
+    table, offset, mask = _code_table([s[2] for s in started])
+    far_table, far_offset, far_mask = _code_table([s[3] for s in started])
+    extra, least = np.array(_EXTRA), np.array(_LEAST)
+    short = np.array([0, *(max(1, dx + dy * WIDTH) for dx, dy in DISTANCE_MAP)])
+    out, broken, copies = np.zeros(int(stop[-1]), dtype=np.uint8), np.zeros(len(started), dtype=bool), []
+    lane, pos, first, last = np.arange(len(started)), start.copy(), start, stop
+    while len(lane):
+        entry = table[offset + (words[at >> 3] >> (at & 7) & mask)]
+        at += entry & 15
+        symbol = entry >> 4
+        out[pos] = symbol & 255
+        pos += 1
+        back = np.flatnonzero(symbol > 255)
+        if len(back):
+            a, begin, p = at[back], pos[back] - 1, symbol[back] - 256
+            run = least[p] + (words[a >> 3] >> (a & 7) & ((1 << extra[p]) - 1))
+            a += extra[p]
+            entry = far_table[far_offset[back] + (words[a >> 3] >> (a & 7) & far_mask[back])]
+            a += entry & 15
+            p = entry >> 4
+            code = least[p] + (words[a >> 3] >> (a & 7) & ((1 << extra[p]) - 1))
+            at[back] = a + extra[p]
+            far = np.where(code > 120, code - 120, short[np.minimum(code, 120)])
+            wrong = (far > begin - first[back]) | (begin + run > last[back])
+            if wrong.any():
+                broken[lane[back[wrong]]] = True
+                run[wrong], far[wrong] = (last[back] - begin)[wrong], 0
+            copies.append((begin, run, far))
+            pos[back] = begin + run
+        gone = (pos >= last) | (at > end)
+        if gone.any():
+            broken[lane[at > end]] = True
+            lane, at, end, pos, first, last, offset, mask, far_offset, far_mask = (x[~gone] for x in (lane, at, end, pos, first, last, offset, mask, far_offset, far_mask))
+    if copies:
+        begin, run, far = (np.concatenate(c) for c in zip(*copies))
+        copied = np.arange(int(run.sum())) + np.repeat(begin - np.cumsum(run) + run, run)
+        source = np.arange(len(out))
+        source[copied] -= np.repeat(far, run)
+        while True:  # a copy of a copy: twice as far back each time
+            nearer = source[copied]
+            further = source[nearer]
+            if (nearer == further).all():
+                break
+            source[copied] = further
+        out[copied] = out[nearer]
+    return [None if b else out[i:j] for b, i, j in zip(broken.tolist(), start.tolist(), stop.tolist())]
+
+
+def samples_of_many(media: list[bytes]) -> Iterator[np.ndarray | ValueError]:
+    """``samples_of`` of each series of files in turn, or its error."""
+
+    def samples(files: list[list[bytes] | ValueError]) -> Iterator[np.ndarray | ValueError]:
+        flat = [f for series in files if isinstance(series, list) for f in series]
+        found: list[np.ndarray | None] = []
+        for i in range(0, len(flat), DECODED_TILES):
+            started = [_grey_start(f) for f in flat[i : i + DECODED_TILES]]
+            together = iter(_decode_together([s for s in started if s]) if any(started) else [])
+            found += [next(together) if s else None for s in started]
+        at = 0
+        for series in files:
+            if isinstance(series, ValueError):
+                yield series
+                continue
+            parts = found[at : at + len(series)]
+            at += len(series)
+            try:
+                yield np.concatenate([(decode_webp(f) >> 8 & 0xFF).astype(np.uint8).ravel() if p is None else p for f, p in zip(series, parts)])
+            except ValueError as e:
+                yield e
+
+    held: list[list[bytes] | ValueError] = []
+    n_files = 0
+    for m in media:
+        try:
+            files = split_files(m)
+            held.append(files or ValueError("no file"))
+        except ValueError as e:
+            held.append(e)
+        n_files += len(held[-1]) if isinstance(held[-1], list) else 1
+        if n_files >= DECODED_TILES:
+            yield from samples(held)
+            held, n_files = [], 0
+    yield from samples(held)
 
 
 def feature_of(samples: np.ndarray, width: int = WIDTH) -> str:
@@ -808,7 +1094,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i, j in text_slices(batch.column(1)):
                 texts = utf8(batch.column(1), i, j)
-                media = [to_media(payload_of(t)) for t in texts]
+                media = to_media_many([payload_of(t) for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
@@ -826,21 +1112,20 @@ def decode_media(media: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def read(m: bytes | None) -> tuple:
+    def read(m: bytes | None, samples: np.ndarray | ValueError) -> tuple:
         if m is None:
             return (None, None, None, None, None, None, "null media")
         stored = (len(m), hashlib.sha256(m).hexdigest())
-        try:
-            samples = samples_of(m)
-        except ValueError as e:
-            return (None, None, None, *stored, None, str(e))
+        if isinstance(samples, ValueError):
+            return (None, None, None, *stored, None, str(samples))
         payload = samples.tobytes()
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature_of(samples), None)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch.column(2)):
-                rows = list(map(read, batch.column(2).slice(i, j - i).to_pylist()))
+                stored = batch.column(2).slice(i, j - i).to_pylist()
+                rows = list(map(read, stored, samples_of_many([m or b"" for m in stored])))
                 made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *made], [c.split()[0] for c in schema.split(", ")])
 
