@@ -118,6 +118,11 @@ def is_table_name(name: Column, schema: Column, require_schema: bool = False, no
     return ok & qualified if require_schema else ok
 
 
+def _dealt(rows: DataFrame, key: list[str], *columns: str) -> DataFrame:
+    """Texts dealt by key before they become rows of tokens: then windows and groups that begin with the key need no shuffle of tokens."""
+    return rows.select(*dict.fromkeys([*key, *columns])).repartition(*key)
+
+
 def tokens(rows: DataFrame, key: list[str], sql: str, dialect: str | None = None) -> DataFrame:
     """key, pos, raw (the token with the space before it), t, u (in capitals), depth, before (six tokens), next, after_next, part and query.
 
@@ -125,7 +130,7 @@ def tokens(rows: DataFrame, key: list[str], sql: str, dialect: str | None = None
     holds are a level deeper. A ``?`` right behind a token counts as a dot, as a part of a name that isn't known. part is the part of the query that a token is in,
     query whether its parentheses (or the statement) hold a query.
     """
-    flat = rows.select(*key, F.posexplode(F.regexp_extract_all(_readable(F.col(sql), dialect), F.lit(token_pattern(dialect)), F.lit(0))).alias("pos", "raw")).withColumn("t", F.btrim("raw", F.lit(SPACE)))
+    flat = _dealt(rows, key, sql).select(*key, F.posexplode(F.regexp_extract_all(_readable(F.col(sql), dialect), F.lit(token_pattern(dialect)), F.lit(0))).alias("pos", "raw")).withColumn("t", F.btrim("raw", F.lit(SPACE)))
     comment = F.startswith("t", F.lit("--")) | F.startswith("t", F.lit("/*"))
     for rule, mark in (("hash", "#"), ("slashes", "//")):
         if rule in DIALECTS.get((dialect or "").lower(), ()):
@@ -249,7 +254,7 @@ def script_statements(scripts: DataFrame, key: list[str], text: str, language: s
     aside = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES.items(), F.col(text))
     python = F.upper(F.coalesce(F.col(language), F.lit(""))) == "PYTHON"
     pieces = F.when(python, F.regexp_extract_all(aside, F.lit(_PYTHON), F.lit(0))).otherwise(F.regexp_extract_all(aside, F.lit(_LUA), F.lit(0)))
-    flat = scripts.select(*key, python.alias("python"), F.posexplode(pieces).alias("pos", "raw"))
+    flat = _dealt(scripts, key, text, language).select(*key, python.alias("python"), F.posexplode(pieces).alias("pos", "raw"))
     flat = flat.withColumn("t", F.btrim(F.regexp_replace("raw", r"^(?:\\\n|\s)+", ""), F.lit(SPACE)))
     flat = flat.where((F.col("t") != "") & ~F.when(F.col("python"), F.startswith("t", F.lit("#"))).otherwise(F.startswith("t", F.lit("--"))))
     literal = F.when(F.col("python"), F.col("t").rlike(r"""^[rRbBuUfF]{0,2}["']""")).otherwise(F.col("t").rlike(r"""^(?:["']|\[=?\[)"""))
