@@ -62,3 +62,17 @@ def test_columns_by_dialect(spark):
     rows = spark.createDataFrame([(1, "SELECT t.A AS X, # t.B AS Y,\n t.C AS Z FROM S.T t")], "k int, sql string")
     found = sqltext.column_lineage(rows, "k", "sql", dialect="bigquery").collect()
     assert {(r.source_object_id, r.source_column, r.target_column) for r in found} == {("S.T", "A", "X"), ("S.T", "C", "Z")}
+
+
+def test_tokens_are_neither_sorted_nor_shuffled(spark):
+    """What is read of a text is settled in its row, so no row per token is sorted, spilled or sent."""
+    rows = spark.createDataFrame([(1, "WITH w AS (SELECT 1 FROM A.B) SELECT t.X AS Y, u.Z FROM S.T t JOIN w u ON 1 = 1", "LUA")], "k int, sql string, language string")
+    found = {
+        "refs": sqltext.table_refs(rows, ["k"], "sql"), "columns": sqltext.column_lineage(rows, "k", "sql"), "scripts": sqltext.script_refs(rows, ["k"], "sql", "language"),
+    }
+    for name, df in found.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort " not in plan, name
+        assert plan.count("Exchange") == (2 if name == "scripts" else 1), name
+    assert {(r.ref_schema, r.ref_name) for r in found["refs"].collect()} == {("A", "B"), ("S", "T")}
+    assert {(r.source_object_id, r.source_column, r.target_column) for r in found["columns"].collect()} == {("S.T", "X", "Y"), ("W", "Z", "Z")}
