@@ -95,6 +95,14 @@ def _object(i):
     return {"id": f"S.T{i}", "schema": "S", "name": f"T{i}", "type": "TABLE", "owner": "SYS", "object_id": i, "columns": [{"name": "a", "data_type": "INT"}], "unknown": 1}
 
 
+def test_numbers_are_rounded_as_printf_does(spark):
+    values = [0, 999, 1000, 1250, 1050, 1150, 12350, 1005, 2675, 519050, 999950, 999999, 1250000, 1005000000, 1125000000, (1 << 53) + 1, (1 << 63) - 1, -5, *range(1000, 400_000, 50)]
+    rows = spark.createDataFrame([(v,) for v in values], "n long").select("n", formats.human_number(F.col("n")).alias("a"), formats.human_bytes(F.col("n")).alias("b")).collect()
+    for r in rows:
+        short, size = next(((f"{r.n / s:.1f}{a}", f"{r.n / s:.2f} {b}") for s, a, b in ((1e9, "B", "GB"), (1e6, "M", "MB"), (1e3, "K", "KB")) if r.n >= s), (str(r.n), f"{r.n} B"))
+        assert (r.a, r.b) == (short, size), r.n
+
+
 def test_cache_layouts(spark, tmp_path):
     deps = [{"source_id": "S.T1", "target_id": "S.T2"}, {"source": "S.T2", "target": "S.T3", "dependency_type": "ETL"}]
     layouts = {

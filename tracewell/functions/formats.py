@@ -6,10 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """A double from 1 to 2^34 with this many digits as C's printf gives it: its binary value is rounded, ties to even.
+
+    format_string rounds the shortest decimal instead, and halves up: 519.05, stored as 519.0499.., would be 519.1.
+    """
+    whole = F.floor(value)
+    shifted = ((value - whole) * F.lit(2.0**52)).cast("long") * F.lit(10**digits)  # exact, as the last bit of such a value is 2^-52 or more
+    cut, rest = F.shiftright(shifted, 52), shifted.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (rest > F.lit(1 << 51)) | ((rest == F.lit(1 << 51)) & (cut.bitwiseAND(F.lit(1)) == 1))
+    total = whole * F.lit(10**digits) + cut + up.cast("long")
+    text = total.cast("string")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits)))
+
+
 def _scaled(value: Column, units: list[tuple[float, str]], digits: int) -> Column:
     out = value.cast("string")
     for size, unit in reversed(units):
-        out = F.when(value >= size, F.format_string(f"%.{digits}f{unit}", value / F.lit(size))).otherwise(out)
+        out = F.when(value >= size, F.concat(_fixed(value / F.lit(size), digits), F.lit(unit))).otherwise(out)
     return out
 
 
