@@ -608,3 +608,24 @@ def test_toxic_word_starts_are_learned(spark):
     model = toxicity.fit_toxicity(docs, marked, keep=F.col("doc_id") < 200)
     scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, model).collect()}
     assert all((scores[i] >= 0.3) == (i % 4 == 0) for i in range(200, 400))
+
+
+def test_near_duplicates_of_the_corpus_are_found_by_fingerprints(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(f"z{k}" for k in range(300))]
+    docs = [(k, t, source) for k, t in enumerate(texts) for source in ("a", "b")]
+    calls, links = [], simhash.similar_links
+
+    def seen(members, **kw):
+        found = links(members, **kw)
+        calls.append((members.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(simhash, "similar_links", seen)
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in simhash.keep_first(rows).collect()) == [0, 2]
+    fps = [int(x) for x in simhash.fingerprint_texts([t.encode() for t in texts], 5)]
+    near = (fps[0] ^ fps[1]).bit_count()
+    assert near <= 4 and calls == [(len(set(fps)), 1 if near else 0)]
+    assert sorted((r.doc_id, r.source) for r in simhash.keep_first(rows, within="source").collect()) == [(0, "a"), (0, "b"), (2, "a"), (2, "b")]
+    assert calls[1] == (2 * len(set(fps)), 2 if near else 0)

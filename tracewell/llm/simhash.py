@@ -14,11 +14,12 @@ above ``CELL`` members are dealt in pairs of blocks. Equal fingerprints are one
 member throughout.
 
 Near duplicates of the corpus (``keep_first``) are texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more; their fingerprints differ in
-too many bits for a projection. Candidates share one of ``BANDS`` hashes of
-``ROWS`` MinHash values, which a pair of similarity 0.8 fails to do with a
-probability of 0.0001; whatever candidates connect is compared by the sets
-themselves, in blocks of bounded size.
+shingles have a Jaccard similarity of 0.8 or more. Candidates are texts whose
+fingerprints link as above. Fingerprints of pairs near 0.8 can differ in too many
+bits for a projection, so texts that share one of ``BANDS`` hashes of ``ROWS``
+MinHash values are candidates, too; a pair of similarity 0.8 fails to share one
+with a probability of 0.0001. Whatever candidates connect is compared by the
+sets themselves, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -76,8 +77,12 @@ def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprint_texts(texts: list[bytes], words: int) -> np.ndarray:
-    fps = np.zeros(len(texts), dtype=np.uint64)
-    h, shingles = shingle_hashes(texts, words)
+    return fold(*shingle_hashes(texts, words))
+
+
+def fold(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes of its shingles."""
+    fps = np.zeros(len(shingles), dtype=np.uint64)
     if not len(h):
         return fps
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -196,11 +201,12 @@ def _cell_links(distance: int, cell: int | None):
     return links
 
 
-def similar_links(members: DataFrame, distance: int = 4, cell: int = CELL) -> DataFrame:
-    """members (fp distinct, rep): links (a, b) of reps that connect exactly what lies within the Hamming distance."""
+def similar_links(members: DataFrame, distance: int = 4, cell: int = CELL, within: str | None = None) -> DataFrame:
+    """members (fp distinct, rep): links (a, b) of reps that connect exactly what lies within the Hamming distance; with within, of one value of that column."""
     masks = projections(grid_groups(members.count(), distance), distance)
     u = unary(F.col("fp"))
-    cells = members.select(F.explode(F.array(*(F.xxhash64(F.lit(t), u.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))).alias("key"), "fp", "rep")
+    own = [within] if within else []
+    cells = members.select(F.explode(F.array(*(F.xxhash64(F.lit(t), u.bitwiseAND(F.lit(m)), *own) for t, m in enumerate(masks)))).alias("key"), "fp", "rep")
     schema = "a long, b long, key long"
     found = park(arrow_map(cells.repartition("key").sortWithinPartitions("key"), _cell_links(distance, cell), schema), "sim-links")
     links = found.where(F.col("key").isNull()).select("a", "b")
@@ -229,10 +235,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return fps.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+def distinct_hashes(h: np.ndarray, shingles: np.ndarray) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
-    h, shingles = shingle_hashes(texts, words)
-    return [np.unique(x) for x in np.split(h, np.cumsum(shingles)[:-1])] if texts else []
+    return [np.unique(x) for x in np.split(h, np.cumsum(shingles)[:-1])] if len(shingles) else []
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    return distinct_hashes(*shingle_hashes(texts, words))
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -256,21 +265,23 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _row_keys(words: int):
-    """Over rows (tag, doc_id, text, part): tag, doc_id, part, digest of the text and of its shingle set, band keys (none for an empty set)."""
+    """Over rows (tag, doc_id, text, part): tag, doc_id, part, digest of the text and of its shingle set, band keys (none for an empty set), fingerprint."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch.column(2)):
                 texts = utf8(batch.column(2), i, j)
-                sets = shingle_sets(texts, words)
+                hashes = shingle_hashes(texts, words)
+                sets = distinct_hashes(*hashes)
                 has = np.array([len(x) > 0 for x in sets])
                 keys = band_keys([x for x in sets if len(x)]) if has.any() else np.zeros((0, BANDS), dtype=np.int64)
                 ends = np.cumsum(np.r_[0, has * BANDS]).astype(np.int32)
                 columns = [
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(3).slice(i, j - i), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
+                    pa.array(fold(*hashes).view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["tag", "doc_id", "part", "text_hash", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["tag", "doc_id", "part", "text_hash", "shingles", "keys", "fp"])
 
     return keyed
 
@@ -358,14 +369,18 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, within:
     tagged = park(packed, "near-docs")
     text = F.col("doc.text").cast("string").alias("text")
     part = (F.xxhash64(F.col("doc")[within]) if within else F.lit(0).cast("long")).alias("part")
-    schema = "tag long, doc_id long, part long, text_hash binary, shingles binary, keys array<long>"
+    schema = "tag long, doc_id long, part long, text_hash binary, shingles binary, keys array<long>, fp long"
     rows = arrow_map(tagged.select("tag", F.col("doc.doc_id").cast("long").alias("doc_id"), text, part), _row_keys(words), schema)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "tag", "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "tag", "keys", "fp")
     members = park(rows.groupBy("part", "shingles").agg(F.min(order).alias("m")).select("part", "m.*"), "near-members")
 
+    said = members.where(F.size("keys") > 0)
+    prints = park(said.groupBy("part", "fp").agg(F.min("tag").alias("rep")), "near-prints")
+    alike = said.join(prints, ["part", "fp"]).where(F.col("tag") != F.col("rep")).select(F.col("tag").alias("a"), F.col("rep").alias("b"))
+    alike = alike.unionByName(similar_links(prints, within="part"))
     banded = members.select("part", F.explode("keys").alias("key"), "tag").select(F.xxhash64("key", "part").alias("key"), "tag")
     shared = banded.groupBy("key").agg(F.min("tag").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    candidates = _grouped(components(banded.join(shared, "key").select(F.col("tag").alias("a"), "b")))
+    candidates = _grouped(components(alike.unionByName(banded.join(shared, "key").select(F.col("tag").alias("a"), "b"))))
     sets = arrow_map(tagged.join(candidates, F.col("tag") == F.col("node")).select("label", F.col("tag").alias("rep"), text), _sets(words), "label long, rep long, members binary")
     sets = park(sets, "near-sets")
     sizes = sets.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("members")) / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -375,7 +390,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, within:
     links = arrow_map(pairs.repartition("key").sortWithinPartitions("key"), _verified_links(similarity), "a long, b long")
 
     groups = _grouped(components(links))
-    labelled = members.drop("keys").join(groups, F.col("tag") == F.col("node"), "left").withColumn("label", F.coalesce("label", "tag"))
+    labelled = members.drop("keys", "fp").join(groups, F.col("tag") == F.col("node"), "left").withColumn("label", F.coalesce("label", "tag"))
     first = labelled.groupBy("label").agg(F.min(F.struct("no_id", "doc_id", "text_hash", "tag")).alias("m")).select(F.col("m.tag").alias("first"))
     return tagged.join(first, F.col("tag") == F.col("first"), "left_semi").select("doc.*")
 
