@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tracewell.operators.traverse import last_wins
 from tracewell.graph import LineageGraph
 from tracewell.operators import traverse, view
 from tracewell.operators.traverse import BACKWARD, FORWARD
@@ -105,3 +106,11 @@ def test_against_plain_search(spark, trial):
             front = [t for a in front if a in known for x, t in pairs if x == a and t not in level and not level.__setitem__(t, d)]
         want |= {(s, i, d) for i, d in level.items() if i in known}
     assert got == want
+
+
+def test_edges_are_dealt_before_they_are_sorted(spark):
+    rows = [("A", "B", "ETL", "SELECT", 1), ("A", "B", "VIEW", "JOIN", 2), ("A", "C", "ETL", "SELECT", 0)]
+    found = last_wins(spark.createDataFrame(rows, "source_id string, target_id string, dependency_type string, reference_type string, seq long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan.split("Exchange")[1]
+    assert {(r.source_id, r.target_id, r.dependency_type, r.reference_type) for r in found.collect()} == {("A", "B", "VIEW", "JOIN"), ("A", "C", "ETL", "SELECT")}

@@ -90,9 +90,14 @@ class Lineage:
 
 
 def last_wins(table_deps: DataFrame) -> DataFrame:
-    """One edge for each (source_id, target_id): the one of the highest seq, ties to the larger attributes."""
+    """One edge for each (source_id, target_id): the one of the highest seq, ties to the larger attributes.
+
+    Aggregates of structs and strings are made by sorting. Rows are dealt by pair first, so that only the parts of the
+    shuffle are sorted, not what each task reads of the input, which may be many times as much. Their number is fixed, as
+    parts that are put together again would not fit in memory.
+    """
     rest = ["dependency_type", "reference_type"]
-    return table_deps.groupBy("source_id", "target_id").agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select("source_id", "target_id", "e.*")
+    return table_deps.repartition(int(table_deps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "target_id").groupBy("source_id", "target_id").agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select("source_id", "target_id", "e.*")
 
 
 def levels(graph: Snapshot, seeds: DataFrame, depth: int | None, direction: str = FORWARD, visited: DataFrame | None = None) -> DataFrame:
