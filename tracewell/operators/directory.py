@@ -20,15 +20,19 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracewell.operators.catalog import filtered, matches
+from tracewell.shipping import ship
 from tracewell.storage import new_path, read_text, write_text
 
 ROWS_PER_PART, MOST_BUCKETS = 50_000, 4096
 RAREST = 3
+TEXTS = ("name", "schema", "id")
 _PLACE = (1 << 33) - 1  # the low bits of monotonically_increasing_id: the row's place in its partition
 
 
@@ -53,10 +57,9 @@ class Directory:
         stored = spark.read.schema(placed.schema).parquet(f"{path}/objects")
         counts = stored.groupBy("part", "schema", "type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         counts.repartition(1 + parts // 1000, "part").write.option("compression", "zstd").parquet(f"{path}/counts")
-        text = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("name", "schema", "id")]
-        grams = F.array_distinct(F.flatten(F.array(*(_grams(t, k) for t in text for k in (1, 2, 3)))))
-        each = stored.select("part", "place", F.explode(grams).alias("gram"))
-        postings = each.groupBy("gram", "part").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("n", F.size("places"))
+        ship(spark)
+        text = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in TEXTS]
+        postings = stored.select("part", "place", *text).groupBy("part").applyInArrow(_postings, "gram string, part int, places array<int>, n int")
         buckets = min(MOST_BUCKETS, max(8, parts))
         dealt = postings.withColumn("bucket", _bucket("gram", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "part")
         dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
@@ -112,8 +115,12 @@ class Directory:
         """gram, part, places, n of some grams, from their buckets."""
         wanted = self.spark.createDataFrame([(g,) for g in grams], "gram string")
         buckets = sorted({r[0] for r in wanted.select(_bucket("gram", self.buckets)).collect()})
-        found = self.spark.read.schema("gram string, part int, places array<int>, n int, bucket int").parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-        return found.select("gram", "part", "places", "n")
+        return self._stored_postings.where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).select("gram", "part", "places", "n")
+
+    @cached_property
+    def _stored_postings(self) -> DataFrame:
+        """All postings; their folders are listed once."""
+        return self.spark.read.schema("gram string, part int, places array<int>, n int, bucket int").parquet(f"{self.path}/postings")
 
     def candidates(self, query: str) -> DataFrame | None:
         """part, places of the objects that can match; None where a gram of the query occurs nowhere."""
@@ -157,10 +164,27 @@ class Directory:
         return among([r.part for r in here[:used]]).orderBy("part", "place").limit(limit).drop("part", "place")
 
 
-def _grams(text, size: int):
-    """The grams of a text of a size, at every character."""
-    last = F.length(text) - (size - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+def _postings(part: pa.Table) -> pa.Table:
+    """gram, part, places, n of the objects of one part. A gram is a number of 21 bits a character, so one sort finds all places of all grams."""
+    part = part.sort_by("place")
+    found, rows = [], []
+    for name in TEXTS:
+        texts = part[name].to_pylist()
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64) + 1
+        for size in (1, 2, 3):
+            starts = max(0, len(chars) - size + 1)
+            inside = row[:starts] == row[size - 1 :]
+            gram = sum(chars[k : starts + k] << (21 * k) for k in range(size))
+            found.append(gram[inside])
+            rows.append(row[:starts][inside])
+    grams, number = np.unique(np.concatenate(found), return_inverse=True)
+    pairs = np.unique(number * len(part) + np.concatenate(rows))
+    number, row = np.divmod(pairs, len(part))
+    ends = np.searchsorted(number, np.arange(len(grams) + 1))
+    places = pa.array(part["place"].to_numpy()[row], pa.int32())
+    text = ["".join(chr(c - 1) for c in (g & 0x1FFFFF, g >> 21 & 0x1FFFFF, g >> 42) if c) for g in grams.tolist()]
+    return pa.table({"gram": pa.array(text, pa.string()), "part": pa.array([part["part"][0].as_py()] * len(grams), pa.int32()), "places": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places), "n": pa.array(np.diff(ends), pa.int32())})
 
 
 def _bucket(gram: str, buckets: int):
