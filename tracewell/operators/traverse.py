@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tracewell.storage import new_path, park
 
 FORWARD, BACKWARD = "forward", "backward"
-ROWS_PER_BUCKET, MOST_BUCKETS, FRONTIER_ROWS = 200_000, 4096, 20_000
-COLUMN_KEYS = ["source_object_id", "source_column", "target_object_id", "target_column"]
+ROWS_PER_BUCKET, MOST_BUCKETS, FRONTIER_ROWS, ROWS_PER_SORT = 200_000, 4096, 20_000, 1_000_000
+EDGE_KEYS, EDGE_REST = ["source_id", "target_id"], ["dependency_type", "reference_type"]
+COLUMN_KEYS, COLUMN_REST = ["source_object_id", "source_column", "target_object_id", "target_column"], ["transformation", "transformation_type"]
 
 
 @dataclass(frozen=True)
@@ -36,10 +37,13 @@ class Stored:
         return rows.drop("bucket").withColumnRenamed(self.key, "id").join(near, "id").withColumnRenamed("id", self.key)
 
     def met(self, rows: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows of the frontier's buckets, and the frontier, broadcast if its count allows."""
+        """The rows of the frontier's buckets, and the frontier, broadcast if its count allows; else only the rows of its ids, found without sorting what is stored."""
         n, wanted = frontier.agg(F.count(F.lit(1)), F.collect_set(_bucket(F.col("id"), self.buckets))).first()  # at most one number a bucket
         rows = rows if len(wanted) == self.buckets else rows.where(F.col("bucket").isin(wanted))
-        return rows, F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier
+        if n <= FRONTIER_ROWS:
+            return rows, F.broadcast(frontier)
+        ids = frontier.select(F.col("id").alias(self.key)).distinct()
+        return rows.join(ids.hint("shuffle_hash"), self.key, "left_semi"), frontier
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -57,6 +61,27 @@ def store_at(df: DataFrame, key: str, buckets: int, path: str) -> Stored:
     return Stored(df.sparkSession.read.schema(dealt.schema).parquet(path), key, buckets, path)
 
 
+def dealt_last(deps: DataFrame, pair: list[str], rest: list[str], buckets: int, rows: int = 0) -> DataFrame:
+    """The last row of each pair (highest seq, ties to the larger attributes) with the bucket of the pair's first column, in one shuffle.
+
+    Rows are dealt by ranges of bucket and pair, so a hub's lie in several parts. A part is sorted once, which settles its
+    pairs and orders the files. The number of parts grows with the rows and is fixed, as parts that are put together again
+    would not fit in memory.
+    """
+    order = [F.col("bucket"), *(F.col(c) for c in pair)]
+    parts = max(int(deps.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_SORT)
+    dealt = deps.withColumn("bucket", _bucket(F.col(pair[0]), buckets)).repartitionByRange(parts, *order)
+    last = Window.partitionBy(*order).orderBy(*(F.col(c).desc() for c in ("seq", *rest)))
+    return dealt.withColumn("place", F.row_number().over(last)).where("place = 1").select(*pair, *rest, "bucket")
+
+
+def store_last(deps: DataFrame, pair: list[str], rest: list[str], buckets: int, path: str, rows: int = 0) -> Stored:
+    """Write ``dealt_last`` by bucket; rows, if known, tells into how many parts to deal."""
+    held = dealt_last(deps, pair, rest, buckets, rows)
+    held.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    return Stored(deps.sparkSession.read.schema(held.schema).parquet(path), pair[0], buckets, path)
+
+
 def buckets_for(rows: int) -> int:
     return min(MOST_BUCKETS, max(1, rows // ROWS_PER_BUCKET))
 
@@ -75,10 +100,12 @@ class Snapshot:
 
 def snapshot(objects: DataFrame, table_deps: DataFrame) -> Snapshot:
     """Reduce the edges (last wins) and store them both ways."""
-    edges = park(last_wins(table_deps), "edges")
-    n = buckets_for(edges.count())
+    deps = park(table_deps.select(*EDGE_KEYS, *EDGE_REST, "seq"), "edges")
+    rows = deps.count()
+    n = buckets_for(rows)
     ids = objects.select("id").distinct().withColumn("known", F.lit(True))
-    return Snapshot(store(ids, "id", n, "ids"), store(edges, "source_id", n, "edges-source"), store(edges, "target_id", n, "edges-target"))
+    by_source = store_last(deps, EDGE_KEYS, EDGE_REST, n, new_path(deps.sparkSession, "edges-source"), rows)
+    return Snapshot(store(ids, "id", n, "ids"), by_source, store(by_source.rows.drop("bucket"), "target_id", n, "edges-target"))
 
 
 @dataclass
@@ -177,10 +204,11 @@ class ColumnSnapshot:
 
 def column_snapshot(column_deps: DataFrame) -> ColumnSnapshot:
     """Reduce the column edges (last wins) and store them both ways."""
-    rest = ["transformation", "transformation_type"]
-    edges = park(column_deps.groupBy(*COLUMN_KEYS).agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select(*COLUMN_KEYS, "e.*"), "column-edges")
-    n = buckets_for(edges.count())
-    return ColumnSnapshot(store(edges, "source_object_id", n, "columns-source"), store(edges, "target_object_id", n, "columns-target"))
+    deps = park(column_deps.select(*COLUMN_KEYS, *COLUMN_REST, "seq"), "column-edges")
+    rows = deps.count()
+    n = buckets_for(rows)
+    by_source = store_last(deps, COLUMN_KEYS, COLUMN_REST, n, new_path(deps.sparkSession, "columns-source"), rows)
+    return ColumnSnapshot(by_source, store(by_source.rows.drop("bucket"), "target_object_id", n, "columns-target"))
 
 
 def resolve_columns(wanted: DataFrame, column_deps: DataFrame) -> DataFrame:
