@@ -23,7 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.traverse import Snapshot, Stored, buckets_for, last_wins, store_at
+from tracewell.operators.traverse import EDGE_KEYS, EDGE_REST, Snapshot, Stored, buckets_for, store_at, store_last
 from tracewell.storage import delete, names, park, read_text, write_text
 
 EDGE = "source_id string, target_id string, dependency_type string, reference_type string, bucket int"
@@ -66,13 +66,16 @@ class Version:
         """Runs with a rank: later ones above, unless they give way to what is there."""
         return [(r["name"], k if r["wins"] == "last" else -k) for k, r in enumerate(self.runs)]
 
+    def _run(self, name: str, folder: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/runs/{name}/{folder}")
+
     def _side(self, folder: str, key: str, schema: str) -> Stored:
         if len(self.runs) == 1:  # a run has one row for each pair
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/runs/{self.runs[0]['name']}/{folder}")
+            rows = self._run(self.runs[0]["name"], folder, schema)
             return Stored(rows.withColumn("known", F.lit(True)) if key == "id" else rows, key, self.buckets)
         rows = None
         for name, rank in self._ranked():
-            run = self.spark.read.schema(schema).parquet(f"{self.path}/runs/{name}/{folder}").withColumn("rank", F.lit(rank))
+            run = self._run(name, folder, schema).withColumn("rank", F.lit(rank))
             rows = run if rows is None else rows.unionByName(run)
         return StoredRuns(rows, key, self.buckets)
 
@@ -83,16 +86,21 @@ class Version:
 
     @property
     def edges(self) -> DataFrame:
-        """The edge that holds for each pair."""
-        return self._settled(self.snapshot.by_source).select("source_id", "target_id", "dependency_type", "reference_type")
+        """The edge that holds for each pair. The first run, which is the large one, meets what later runs leave without being sorted."""
+        if len(self.runs) == 1:
+            return self.snapshot.by_source.rows.select(*EDGE_KEYS, *EDGE_REST)
+        runs = self.snapshot.by_source
+        later = runs.settled(runs.rows.where("rank != 0").withColumn("later", F.col("rank"))).select(*(F.col(c).alias(f"l_{c}") for c in [*EDGE_KEYS, *EDGE_REST]), "later")
+        first = self._run(self.runs[0]["name"], "by_source", EDGE).withColumn("first", F.lit(True))
+        same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in EDGE_KEYS]
+        both = first.join(later.hint("shuffle_hash"), same[0] & same[1], "full_outer")
+        stays = F.col("later").isNull() | (F.col("first").isNotNull() & (F.col("later") < 0))
+        return both.select(*(F.when(stays, F.col(c)).otherwise(F.col(f"l_{c}")).alias(c) for c in [*EDGE_KEYS, *EDGE_REST]))
 
     @property
     def ids(self) -> DataFrame:
-        return self._settled(self.snapshot.ids).select("id")
-
-    @staticmethod
-    def _settled(side: Stored) -> DataFrame:
-        return side.settled(side.rows) if isinstance(side, StoredRuns) else side.rows
+        side = self.snapshot.ids
+        return (side.settled(side.rows) if isinstance(side, StoredRuns) else side.rows).select("id")
 
 
 class GraphStore:
@@ -105,9 +113,10 @@ class GraphStore:
     def create(cls, spark: SparkSession, path: str, objects: DataFrame, table_deps: DataFrame, buckets: int | None = None) -> GraphStore:
         """Write version 0; where another writer was first, its version holds."""
         store = cls(spark, path)
-        edges = park(last_wins(table_deps), "edges")
-        buckets = buckets or buckets_for(edges.count())
-        name = store._write(objects, edges, buckets)
+        deps = park(table_deps.select(*EDGE_KEYS, *EDGE_REST, "seq"), "edges")
+        rows = deps.count()
+        buckets = buckets or buckets_for(rows)
+        name = store._write(objects, deps, buckets, rows)
         if not store._commit(0, buckets, [{"name": name, "wins": "last"}]):
             delete(spark, f"{path}/runs/{name}")
         return store
@@ -129,7 +138,7 @@ class GraphStore:
         """A new version with more objects and edges; wins is last (they replace edges of the same pair) or first (they give way)."""
         if wins not in ("last", "first"):
             raise ValueError("wins is last or first")
-        name = self._write(objects, last_wins(table_deps), self.latest().buckets)
+        name = self._write(objects, table_deps, self.latest().buckets)
         while True:
             before = self.latest()
             if self._commit(before.number + 1, before.buckets, [*before.runs, {"name": name, "wins": wins}]):
@@ -157,12 +166,16 @@ class GraphStore:
             if name not in named:
                 delete(self.spark, f"{self.path}/runs/{name}")
 
-    def _write(self, objects: DataFrame, edges: DataFrame, buckets: int) -> str:
+    def _write(self, objects: DataFrame, deps: DataFrame, buckets: int, rows: int = 0) -> str:
+        """A run of objects and edges. Edges with seq are reduced, those without are one a pair already."""
         name = uuid.uuid4().hex
-        edges = edges.select("source_id", "target_id", "dependency_type", "reference_type")
-        store_at(objects.select("id").distinct(), "id", buckets, f"{self.path}/runs/{name}/ids")
-        store_at(edges, "source_id", buckets, f"{self.path}/runs/{name}/by_source")
-        store_at(edges, "target_id", buckets, f"{self.path}/runs/{name}/by_target")
+        at = f"{self.path}/runs/{name}"
+        store_at(objects.select("id").distinct(), "id", buckets, f"{at}/ids")
+        if "seq" in deps.columns:
+            by_source = store_last(deps, EDGE_KEYS, EDGE_REST, buckets, f"{at}/by_source", rows)
+        else:
+            by_source = store_at(deps.select(*EDGE_KEYS, *EDGE_REST), "source_id", buckets, f"{at}/by_source")
+        store_at(by_source.rows.drop("bucket"), "target_id", buckets, f"{at}/by_target")
         return name
 
     def _commit(self, number: int, buckets: int, runs: list[dict]) -> bool:

@@ -116,7 +116,7 @@ v2 AS (SELECT * FROM v1 UNION ALL SELECT source_id, target_id, dependency_type F
 
 def _grown(spark, sf_dir):
     """A graph of its own with two deltas, and what a reader of version 0 has had open meanwhile."""
-    store = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.edges(spark, sf_dir))
+    store = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.repeated_edges(spark, sf_dir))
     pinned = store.latest()
     x = spark.createDataFrame([("X.1",)], "id string")
     store.append(x, derive._sql(spark, sf_dir, _CHANGED))
@@ -134,7 +134,9 @@ def graph_append(spark, sf_dir):
     for number in (1, 2, 3):
         out = out.unionByName(store.at(number).edges.withColumn("version", F.lit(number)))
     pair = F.concat("source_id", "target_id")
-    return out.groupBy("version", F.col("dependency_type").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high"))
+    # the least and greatest string alone would be found by sorting all rows; beside a set of the one kind the few groups stay in a hash table
+    few = out.groupBy("version", "dependency_type").agg(F.array_max(F.collect_set("dependency_type")).alias("k"), F.count(F.lit(1)).alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high"))
+    return few.select("version", "k", "n", "low", "high")
 
 
 def _walk_sql(version: str, known: str) -> str:
@@ -154,7 +156,7 @@ def lineage_versions(spark, sf_dir):
 @query(f"WITH {GRAPH[:-2]} SELECT (SELECT count(*) FROM objs)::BIGINT AS objects, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(DISTINCT source_id) FROM edges)::BIGINT AS sources")
 def graph_build(spark, sf_dir):
     """What walks need before the first: the reduced edges in buckets of either end."""
-    built = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.edges(spark, sf_dir)).latest()
+    built = GraphStore.create(spark, new_path(spark, "graph"), derive.objects(spark, sf_dir), derive.repeated_edges(spark, sf_dir)).latest()
     n = built.edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources"))
     return built.ids.agg(F.count(F.lit(1)).alias("objects")).join(n)  # one row each
 
@@ -179,7 +181,7 @@ def lineage_dangling(spark, sf_dir):
 
 
 def _registered(spark, sf_dir):
-    sql.register(spark, LineageGraph(derive.objects(spark, sf_dir), derive.edges(spark, sf_dir), derive.column_edges(spark, sf_dir)))
+    sql.register(spark, LineageGraph(derive.objects(spark, sf_dir), derive.repeated_edges(spark, sf_dir), derive.column_edges(spark, sf_dir)))
     return spark
 
 
