@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from tracewell.graph import LineageGraph
 from tracewell.operators.traverse import last_wins
+from tracewell.storage import park
 
 MOST_STEPS = 5
 _WAYS = {"lineage": ("source_id", "target_id"), "lineage_up": ("target_id", "source_id")}
@@ -50,11 +51,13 @@ def bodies(prefix: str) -> dict[str, tuple[str, str, str]]:
 def register(spark: SparkSession, graph: LineageGraph, prefix: str = "tracewell_") -> list[str]:
     """Views {prefix}objects, {prefix}edges (one for each pair) and {prefix}columns, and the functions; gives the functions' names.
 
+    The edges are reduced and stored here, as a call reads them several times.
+
     lineage(root, depth) and lineage_up(root, depth): id, level of known objects, up to MOST_STEPS; neighbours(root);
     column_neighbours(root); search_objects(query).
     """
     graph.objects_.createOrReplaceTempView(f"{prefix}objects")
-    last_wins(graph.table_deps).createOrReplaceTempView(f"{prefix}edges")
+    park(last_wins(graph.table_deps), "sql-edges").createOrReplaceTempView(f"{prefix}edges")
     graph.column_deps.createOrReplaceTempView(f"{prefix}columns")
     for name, (parameters, columns, body) in bodies(prefix).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {body}")
