@@ -1,5 +1,9 @@
 """Everything that seeds reach, without a limit of depth, in few rounds.
 
+The first ``WALKED`` levels are walked on the stored graph, which reads each edge
+a level at most. Most graphs end there; the merging below, which costs joins of
+all nodes, is for those that go on.
+
 A node with one predecessor is reached exactly if that one is, so it is merged
 into it. All such nodes are merged at once: each points to its predecessor, and
 pointers are doubled until they lead to nodes that can't be merged, which takes
@@ -17,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.traverse import FORWARD, Snapshot
+from tracewell.operators.traverse import FORWARD, Snapshot, levels
 from tracewell.storage import park
 
+WALKED = 5
 PAYS = 0.05  # merging goes on while it takes this share of the edges
 
 
@@ -27,6 +32,9 @@ def closure(graph: Snapshot, seeds: DataFrame, direction: str = FORWARD) -> Data
     """seed, id for everything reached from seeds (seed, id), these included; ids without an object are reached but not followed."""
     near, far = ("source_id", "target_id") if direction == FORWARD else ("target_id", "source_id")
     start = park(seeds.select("seed", "id").distinct(), "closure-seeds")
+    near_by = levels(graph, start, WALKED, direction)
+    if near_by.where((F.col("level") == WALKED) & F.col("known")).isEmpty():
+        return near_by.select("seed", "id")
     known = graph.ids.rows.select(F.col("id").alias("a"))
     edges = graph.side(direction).rows.select(F.col(near).alias("a"), F.col(far).alias("b")).where(F.col("a") != F.col("b")).join(known, "a", "left_semi")
     edges, members = _merged(park(edges, "closure-edges"), start.select("id").distinct())
