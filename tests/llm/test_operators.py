@@ -424,6 +424,24 @@ def test_toxicity_scores_equal_brute_force(spark):
     assert got[10**6] == got[10**6 + 1] and got[10**6 + 4] > 0.3
 
 
+def test_toxicity_learns_word_starts_that_are_rare_in_a_text(spark):
+    """A start that a toxic text has twice among 300 words, each time with another ending, makes up less than a hundredth of it."""
+    rng = random.Random(3)
+    syllables = ["er", "an", "th", "on", "ti", "re", "nd", "ha", "en", "ed", "ou", "ing", "st", "le", "ve", "sh"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    docs, labels = [], []
+    for k in range(700):
+        words = [word(rng.choice([1, 2, 2, 3])) for _ in range(300)]
+        for i in rng.sample(range(10, 290), 2) if k % 2 else ():
+            words[i] = "vloquam" + word(2)
+        docs.append((k, " ".join(words)))
+        labels.append((k, k % 2))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = toxicity.fit_toxicity(table, spark.createDataFrame(labels, "doc_id long, toxic int"), keep=F.col("doc_id") < 500)
+    kept = {r.doc_id for r in toxicity.drop_toxic(table.where("doc_id >= 500"), model).collect()}
+    assert sum(k not in kept for k in range(501, 700, 2)) >= 90 and sum(k in kept for k in range(500, 700, 2)) >= 97
+
+
 def test_language_predictions_equal_brute_force(spark):
     import zstandard
 

@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled text. Both end with the same
-dictionary, trained by zstandard on ordinary texts. Before it, one has what marks
-toxic texts, the other what marks ordinary ones: sequences of one to three words,
-and word starts that make up a hundredth of a text's words, each chosen by the
-lower bound of its log odds over documents. As the rest is shared and at the same
-distances, a difference of two compressed lengths comes from the marks.
+part: a dictionary trained by zstandard on ordinary texts and the beginnings of
+ordinary texts, so that nearly every window finds something in it and few are
+stored as they are. Before it, one has what marks toxic texts, the other what
+marks ordinary ones: sequences of one to three words, word starts, and word
+starts that make up a hundredth of a text's words, each chosen by the lower bound
+of its log odds over documents and kept apart by a byte that stands between them.
+As the rest is shared and at the same distances, a difference of two compressed
+lengths comes from the marks.
 
 A text is cut into windows of ``WINDOW`` words, each half over the next, and
 every window is compressed with both. The gain of a window is what the toxic
@@ -14,9 +17,10 @@ the largest is, and their mean are weighed by a logistic regression, fitted on
 the labelled rows, into the score.
 
 Training takes at most ``max_per_class`` labelled rows of each class, and
-``dictionary_rows`` of them for the shared dictionary; texts are whole. Counts
-of word sequences and features are made on the executors; the driver gets the
-chosen sequences, one dictionary and a row of numbers for each labelled text.
+``dictionary_rows`` of them for the trained part; texts are whole. Counts of
+units and features are made on the executors; the driver gets the chosen units,
+one dictionary, the first bytes of each ordinary text (``shared_bytes`` of all)
+and a row of numbers for each labelled text.
 """
 
 from __future__ import annotations
@@ -37,9 +41,12 @@ from .common import arrow_map, compressed_lengths, hash_order, logistic, park, s
 WINDOW, STRIDE = 8, 4
 LEVELS = (1, 2, 3, 4, 5, 6, 8)
 N_FEATURES = 3 + 2 * len(LEVELS)
-SHARED_BYTES, MARK_BYTES = 96 << 10, 16 << 10
+SHARED_BYTES, TRAINED_BYTES, MARK_BYTES = 96 << 10, 16 << 10, 16 << 10
 STARTS = range(4, 11)  # bytes of a word start
+SURE = 3.5  # standard errors; about a million units are looked at, so two would let chance through
+BETWEEN = b"\0"  # else the end of a mark and the beginning of the next match ordinary text
 CHUNK = 400  # bytes of a sample for zstandard's training
+UNIT_BYTES = 256 << 10  # of text whose units are counted together
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BARE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -142,62 +149,81 @@ def _dense_starts(words: list[bytes]) -> set[bytes]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (text, y): each word sequence, with a space behind, and each dense word start of a text once, with y."""
+    """Over rows (text, y): how many texts of either class have a word sequence (a space behind), a word start (one before), a dense word start (none)."""
     for batch in batches:
-        for i, j in text_slices(batch.column(0)):
-            units, ys = [], []
+        for i, j in text_slices(batch.column(0), UNIT_BYTES):
+            counts: tuple[Counter, Counter] = Counter(), Counter()
             for text, y in zip(utf8(batch.column(0), i, j), batch.column(1).slice(i, j - i).to_pylist()):
                 w = words_of(text)
-                own = {u + b" " for u in (*w, *map(b" ".join, zip(w, w[1:])), *map(b" ".join, zip(w, w[1:], w[2:])))} | _dense_starts(w)
-                units += own
-                ys += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(ys, pa.int32())], ["unit", "y"])
+                sequences = {u + b" " for u in (*w, *map(b" ".join, zip(w, w[1:])), *map(b" ".join, zip(w, w[1:], w[2:])))}
+                counts[y].update(sequences | {b" " + u[:k] for u in set(w) for k in STARTS if k < len(u)} | _dense_starts(w))
+            units = [*counts[0], *(u for u in counts[1] if u not in counts[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), *(pa.array([c[u] for u in units], pa.int64()) for c in counts)], ["unit", "n0", "n1"])
 
 
-def _marks(sample: DataFrame, totals: dict[int, int], size: int, min_log_odds: float) -> tuple[bytes, bytes]:
-    """Dictionary content of what marks ordinary and toxic texts, the surest last.
+def _marks(sample: DataFrame, totals: dict[int, int], size: int, min_log_odds: float) -> tuple[list[bytes], list[bytes]]:
+    """Dictionary entries of what marks ordinary and toxic texts, the surest first.
 
-    A unit counts by its log odds less two standard errors, so what a few
-    documents hold is no mark.
+    A unit counts by the lower end of Wilson's interval for the class's share of its
+    documents, as log odds over those of the classes, so what a few documents hold is no mark.
     """
-    counts = arrow_map(sample.select("text", "y"), _units, "unit binary, y int").groupBy("unit").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    counts = arrow_map(sample.select("text", "y"), _units, "unit binary, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     least = {t: max(3, totals[t] // 200) for t in (0, 1)}
     counts = park(counts.where((F.col("n0") >= least[0]) | (F.col("n1") >= least[1])), "toxicity-units")
     out = []
     for own, other in ((0, 1), (1, 0)):
-        a, b = F.col(f"n{own}") + 0.5, F.col(f"n{other}") + 0.5
-        sure = F.log(a / (totals[own] + 1)) - F.log(b / (totals[other] + 1)) - 2 * F.sqrt(1 / a + 1 / b)
+        n = F.col("n0") + F.col("n1")
+        share, wide = F.col(f"n{own}") / n, SURE * SURE / n
+        low = (share + wide / 2 - F.sqrt(wide * share * (1 - share) + wide * wide / 4)) / (1 + wide)
+        sure = F.log(low / (1 - low)) - math.log(totals[own] / totals[other])
         found = counts.where(F.col(f"n{own}") >= least[own]).select("unit", F.round(sure, 9).alias("sure")).where(F.col("sure") > min_log_odds)
         best = found.orderBy(F.desc("sure"), "unit").limit(size // 2).collect()  # a unit takes two bytes or more
-        content, room = [], size
-        for r in best:
-            room -= len(r.unit)
+        entries, room = [], size
+        for entry in dict.fromkeys(b" " + bytes(r.unit).lstrip() + BETWEEN for r in best):
+            room -= len(entry)
             if room < 0:
                 break
-            content.append(bytes(r.unit))
-        out.append(b"".join(reversed(content)))
+            entries.append(entry)
+        out.append(entries)
     return tuple(out)
 
 
-def _shared_dictionary(sample: DataFrame, rows: int, size: int) -> bytes:
-    """A dictionary that zstandard trains on at most ``rows`` ordinary texts, in one task; too little text is taken as it is."""
+def _shared_dictionary(sample: DataFrame, rows: int, trained: int, size: int, texts: int, marks: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on at most ``rows`` ordinary texts, in one task (too little text is taken as it is), and beginnings of all ``texts``.
+
+    A beginning with a mark in it is left out, as it would hide the mark.
+    """
     ship(sample.sparkSession)
 
     def train(group: pa.Table) -> pa.Table:
         texts = [b" ".join(words_of(t)) for t in sorted(utf8(group.column("text").combine_chunks(), 0, group.num_rows))]
         try:
-            content = zstandard.train_dictionary(size, [t[a : a + CHUNK] for t in texts for a in range(0, len(t), CHUNK)], k=16, d=8).as_bytes()
+            content = zstandard.train_dictionary(trained, [t[a : a + CHUNK] for t in texts for a in range(0, len(t), CHUNK)], k=16, d=8).as_bytes()
         except zstandard.ZstdError:
-            content = b" ".join(texts)[-size:]
+            content = b" ".join(texts)[-trained:]
         return pa.table({"content": pa.array([content], pa.binary())})
 
-    few = sample.where("y = 0").orderBy(hash_order("doc_id"), "doc_id").limit(rows).select("y", "text")
+    ordinary = sample.where("y = 0")
+    few = ordinary.orderBy(hash_order("doc_id"), "doc_id").limit(rows).select("y", "text")
     found = few.groupBy("y").applyInArrow(train, "content binary").first()
-    return bytes(found[0]) if found else b""
+    content = bytes(found[0]) if found else b""
+    share = max(1, (size - len(content)) // texts)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch.column(1)):
+                heads = [(b" ".join(words_of(t)) + b" ")[:share] for t in utf8(batch.column(1), i, j)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(heads, pa.binary())], ["doc_id", "head"])
+
+    heads = arrow_map(ordinary.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), begin, "doc_id string, head binary")
+    plain = [m.rstrip(BETWEEN) for m in marks]
+    kept = [h for h in (bytes(r.head) for r in heads.orderBy(hash_order("doc_id"), "doc_id").collect()) if not any(m in b" " + h for m in plain)]
+    return content + b"".join(kept)[: max(0, size - len(content))]
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, dictionary_rows: int = 600, shared_bytes: int = SHARED_BYTES, mark_bytes: int = MARK_BYTES, min_log_odds: float = 1.5
+    docs: DataFrame, labels: DataFrame, keep=None, max_per_class: int = 3000, dictionary_rows: int = 600, shared_bytes: int = SHARED_BYTES, mark_bytes: int = MARK_BYTES, min_log_odds: float = 1.5,
+    trained_bytes: int = TRAINED_BYTES,
 ) -> ToxicityModel:
     """Learn from rows of labels (doc_id, toxic) for which keep holds. Without both classes every text scores 0."""
     keep = F.lit(True) if keep is None else keep
@@ -206,10 +232,11 @@ def fit_toxicity(
     model = ToxicityModel(b" " * 8, b" " * 8, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.r_[np.zeros(N_FEATURES), -35.0])
     if not totals[0] or not totals[1]:
         return model
-    ordinary, toxic = _marks(sample, totals, mark_bytes, min_log_odds)
+    marks = _marks(sample, totals, mark_bytes, min_log_odds)
+    ordinary, toxic = (b"".join(reversed(m)) for m in marks)
     longer = max(len(ordinary), len(toxic))
     ordinary, toxic = ordinary.rjust(longer), toxic.rjust(longer)  # so what is shared lies at equal distances
-    shared = _shared_dictionary(sample, dictionary_rows, shared_bytes)
+    shared = _shared_dictionary(sample, dictionary_rows, trained_bytes, shared_bytes, totals[0], marks[1])
     model.ordinary, model.toxic = (tail + shared or b" " * 8 for tail in (ordinary, toxic))
     rows = _map_texts(sample.select("y", "text"), model, lambda m, x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64())), "y int, x array<double>").collect()
     y, x = np.array([r.y for r in rows]), np.array([r.x for r in rows])
