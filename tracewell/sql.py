@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tracewell.graph import LineageGraph
-from tracewell.operators.traverse import last_wins
+from tracewell.operators.traverse import EDGE_KEYS, EDGE_REST, dealt_last
 from tracewell.storage import park
 
 MOST_STEPS = 5
@@ -22,20 +22,25 @@ _WAYS = {"lineage": ("source_id", "target_id"), "lineage_up": ("target_id", "sou
 
 
 def _walk(near: str, far: str, prefix: str) -> str:
-    """A SELECT of id and level: what root reaches, known or not, in the fewest steps, up to depth."""
-    level = f"SELECT DISTINCT e.{far} AS id FROM {prefix}edges e JOIN {prefix}objects o ON o.id = e.{near} WHERE e.{near} = root AND depth >= 1"
-    found = [f"SELECT id, 1 AS level FROM ({level})"]
-    for k in range(2, MOST_STEPS + 1):
-        level = f"SELECT DISTINCT e.{far} AS id FROM ({level}) b JOIN {prefix}objects o ON o.id = b.id JOIN {prefix}edges e ON e.{near} = b.id WHERE depth >= {k}"
-        found.append(f"SELECT id, {k} AS level FROM ({level})")
-    return f"SELECT id, min(level) AS level FROM ({' UNION ALL '.join(['SELECT root AS id, 0 AS level', *found])}) GROUP BY id"
+    """A SELECT of id and level: the known ids that root reaches through known ids, in the fewest steps, up to depth.
+
+    Each level ends with the join that drops unknown ids, so it is dealt by id, which is what the next level and the
+    search for repeats need: a pair of root and id crosses the network once a level. Level 0, which may be dealt
+    otherwise, stays apart, and the levels name what they reached anew, without which Spark takes their union for dealt
+    at random.
+    """
+    level, found = f"SELECT id FROM {prefix}objects WHERE id = root", []
+    start = f"SELECT DISTINCT id, 0 AS level FROM ({level})"
+    for k in range(1, MOST_STEPS + 1):
+        before = level if k < 3 else f"SELECT DISTINCT id FROM ({level})"  # the first level has no repeats, as a pair has one edge
+        level = f"SELECT o.id FROM ({before}) b JOIN {prefix}edges e ON e.{near} = b.id JOIN {prefix}objects o ON o.id = e.{far} WHERE depth >= {k} AND o.id <> root"
+        found.append(f"SELECT id AS reached, {k} AS level FROM ({level})")
+    return f"{start} UNION ALL SELECT reached, min(level) FROM ({' UNION ALL '.join(found)}) GROUP BY reached"
 
 
 def bodies(prefix: str) -> dict[str, tuple[str, str, str]]:
     """Name of each function, with its parameters, columns and query."""
-    both = {
-        name: ("root STRING, depth INT", "id STRING, level INT", f"SELECT w.id, w.level FROM ({_walk(near, far, prefix)}) w JOIN {prefix}objects o ON o.id = w.id") for name, (near, far) in _WAYS.items()
-    }
+    both = {name: ("root STRING, depth INT", "id STRING, level INT", _walk(near, far, prefix)) for name, (near, far) in _WAYS.items()}
     near = f"SELECT target_id AS id, 'downstream' AS direction, dependency_type, reference_type FROM {prefix}edges WHERE source_id = root"
     near += f" UNION ALL SELECT source_id, 'upstream', dependency_type, reference_type FROM {prefix}edges WHERE target_id = root"
     columns = f"SELECT 'upstream' AS direction, target_column AS `column`, source_object_id AS object_id, source_column AS other_column, transformation_type FROM {prefix}columns WHERE target_object_id = root"
@@ -51,13 +56,15 @@ def bodies(prefix: str) -> dict[str, tuple[str, str, str]]:
 def register(spark: SparkSession, graph: LineageGraph, prefix: str = "tracewell_") -> list[str]:
     """Views {prefix}objects, {prefix}edges (one for each pair) and {prefix}columns, and the functions; gives the functions' names.
 
-    The edges are reduced and stored here, as a call reads them several times.
+    The edges are reduced and stored here, as a call reads them several times; they lie sorted by target, which keeps what
+    is read and sent of them small.
 
     lineage(root, depth) and lineage_up(root, depth): id, level of known objects, up to MOST_STEPS; neighbours(root);
     column_neighbours(root); search_objects(query).
     """
     graph.objects_.createOrReplaceTempView(f"{prefix}objects")
-    park(last_wins(graph.table_deps), "sql-edges").createOrReplaceTempView(f"{prefix}edges")
+    last = dealt_last(graph.table_deps, EDGE_KEYS[::-1], EDGE_REST, 1, graph.table_deps.count())
+    park(last.select(*EDGE_KEYS, *EDGE_REST), "sql-edges").createOrReplaceTempView(f"{prefix}edges")
     graph.column_deps.createOrReplaceTempView(f"{prefix}columns")
     for name, (parameters, columns, body) in bodies(prefix).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {body}")
